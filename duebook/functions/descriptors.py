@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from duebook.functions.binding import let
+
 # ---- fixed values: the word lists and patterns that define the result ------
 PROCESSOR_INITIALS = ("SP", "SQ", "TST", "PP", "PAYPAL", "PY", "DD", "EC", "IN",
                       "WL", "IG", "BT", "PSP", "ISO")
@@ -51,63 +53,96 @@ LONGEST_LEADING_NUMBER = 2
 SHORTEST_ID_TOKEN = 5
 # ---------------------------------------------------------------------------
 
-# (?U): \d, \s and \w mean their Unicode classes, as in the statements' locales.
+# Descriptors are nearly always plain ASCII. Those take patterns without Unicode
+# classes, and a pattern only runs where a plain string test says it could match.
+# (?U) makes \d, \s and \w mean their Unicode classes for the others.
 _U = "(?U)"
-_PREFIXES = (_U + "^(?:(?:" + "|".join(PROCESSOR_INITIALS) + r")\s*\*+\s*|(?:"
+_ASCII = r"^[\x00-\x7F]*$"
+_BLANKS = " \t\n\r\f\x0b"
+_PREFIXES = ("^(?:(?:" + "|".join(PROCESSOR_INITIALS) + r")\s*\*+\s*|(?:"
              + "|".join(PROCESSOR_PHRASES) + r")\s+){1," + str(MAX_PREFIXES) + "}")
-_DOMAIN = _U + r"\.(?:" + "|".join(DOMAIN_ENDINGS) + ")(?!" + WORD + ")"
+_DOMAIN = r"\.(?:" + "|".join(DOMAIN_ENDINGS) + ")(?!" + WORD + ")"
 _STATE = r"(?<=\S)\s+(?:" + "|".join(STATE_CODES) + ")$"
-_EDGES = _U + r"^\s+|\s+$"
-_ANY_TRAILING = _U + "(?:" + "|".join((*TRAILING_JUNK, _STATE, r"^\s", r"\s$")) + ")"
-
-
-def _drop(c: Column, pattern: str) -> Column:
-    return F.regexp_replace(c, F.lit(pattern), F.lit(""))
 
 
-def strip(c: Column) -> Column:
-    """Unicode whitespace off both ends (``trim`` only knows the plain space)."""
-    return _drop(c, _EDGES)
+def _ends_in_digit(c: Column) -> Column:
+    return F.substring(c, -1, 1).between("0", "9")
 
 
-def normal_case(c: Column) -> Column:
-    return strip(F.upper(c))
+def _any(c: Column, *texts: str) -> Column:
+    return F.greatest(*(c.contains(t) for t in texts)) if len(texts) > 1 else c.contains(texts[0])
 
 
-def peel_prefixes(c: Column) -> Column:
-    """Processor prefixes stack; one repeated, anchored group takes them all."""
-    return _drop(c, _PREFIXES)
+# What plain ASCII text must have for TRAILING_JUNK[i] to match.
+_COULD_MATCH = (
+    _ends_in_digit,
+    _ends_in_digit,
+    lambda c: _any(c, "#"),
+    lambda c: _ends_in_digit(c) & _any(c, "/", "-"),
+    lambda c: F.greatest(*(c.endswith(x) for x in ("US", "USA", "CA", "CAN"))),
+    lambda c: _ends_in_digit(c) & _any(c, "XX"),
+    lambda c: _any(c, "REF", "AUTH", "INV", "ID", "TRN"),
+)
 
 
-def drop_domains(c: Column) -> Column:
-    return _drop(c, _DOMAIN)
+def _drop(c: Column, pattern: str, plain: bool = False) -> Column:
+    return F.regexp_replace(c, F.lit(pattern if plain else _U + pattern), F.lit(""))
 
 
-def strip_state(c: Column) -> Column:
-    """A trailing state code goes, unless nothing would be left."""
-    return _drop(c, _U + _STATE)
+def strip(c: Column, plain: bool = False) -> Column:
+    """Whitespace off both ends: Unicode whitespace, or the ASCII kinds if `plain`."""
+    return F.btrim(c, F.lit(_BLANKS)) if plain else _drop(c, r"^\s+|\s+$")
 
 
-def _trailing_round(c: Column) -> Column:
-    first, *rest = TRAILING_JUNK
-    c = strip(_drop(c, _U + first))
-    for pattern in rest:
-        c = _drop(c, _U + pattern)
-    return strip_state(c)
+def peel_prefixes(c: Column, plain: bool = False) -> Column:
+    """Processor prefixes stack; one repeated, anchored group takes them all."""
+    return _drop(c, _PREFIXES, plain)
 
 
-def peel_trailing(c: Column) -> Column:
-    """Trailing junk stacks too: up to six rounds, and a round costs one probe
-    when nothing is left to peel."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_TRAILING_ROUNDS)), c,
-        lambda acc, _: F.when(acc.rlike(_ANY_TRAILING), _trailing_round(acc)).otherwise(acc))
+def drop_domains(c: Column, plain: bool = False) -> Column:
+    if plain:
+        return let(c, lambda v: F.when(v.contains("."), _drop(v, _DOMAIN, True)).otherwise(v))
+    return _drop(c, _DOMAIN)
 
 
-def words_only(c: Column) -> Column:
+def strip_state(c: Column, plain: bool = False) -> Column:
+    """A trailing state code goes, unless nothing would be left."""
+    if plain:
+        return let(c, lambda v: F.when(F.substring(v, -3, 1).rlike(r"\s"),
+                                       _drop(v, _STATE, True)).otherwise(v))
+    return _drop(c, _STATE)
+
+
+def _trailing_round(c: Column, plain: bool) -> Column:
+    for i, pattern in enumerate(TRAILING_JUNK):
+        if plain:
+            c = let(c, lambda v, i=i, pattern=pattern: F.when(
+                _COULD_MATCH[i](v), _drop(v, pattern, True)).otherwise(v))
+        else:
+            c = _drop(c, pattern)
+        if i == 0:
+            c = strip(c, plain)
+    return strip_state(c, plain)
+
+
+def peel_trailing(c: Column, plain: bool = False) -> Column:
+    """Trailing junk stacks too: up to six rounds, ending with the first that
+    changes nothing."""
+    def again(acc: Column, _: Column) -> Column:
+        done = F.struct(acc["text"].alias("text"), F.lit(True).alias("done"))
+        return F.when(acc["done"], acc).otherwise(let(
+            _trailing_round(acc["text"], plain),
+            lambda after: F.when(after == acc["text"], done).otherwise(
+                F.struct(after.alias("text"), F.lit(False).alias("done")))))
+
+    start = F.struct(c.alias("text"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_TRAILING_ROUNDS)), start, again)["text"]
+
+
+def words_only(c: Column, plain: bool = False) -> Column:
     """Letters, numbers, marks and the two joiners survive in every script."""
-    return F.regexp_replace(
-        c, F.lit(r"[^\p{L}\p{N}\p{M}\x{200C}\x{200D} ]"), F.lit(" "))
+    keep = "A-Za-z0-9" if plain else r"\p{L}\p{N}\p{M}\x{200C}\x{200D}"
+    return F.regexp_replace(c, F.lit(f"[^{keep} ]"), F.lit(" "))
 
 
 @lru_cache(maxsize=1)
@@ -119,18 +154,24 @@ def digit_class() -> str:
     return r"[\p{Nd}" + "".join(f"\\x{{{i:X}}}" for i in extra) + "]"
 
 
-def drop_store_numbers(tokens: Column) -> Column:
+def drop_store_numbers(tokens: Column, plain: bool = False) -> Column:
     """All-digit tokens go, except a short first one (``7 ELEVEN``)."""
-    numeric = "^" + digit_class() + "+$"
+    numeric = "^" + ("[0-9]" if plain else digit_class()) + "+$"
     return F.filter(tokens, lambda t, i: ~t.rlike(numeric)
                     | ((i == 0) & (F.length(t) <= LONGEST_LEADING_NUMBER)))
 
 
-def drop_id_tokens(tokens: Column) -> Column:
+def drop_id_tokens(tokens: Column, plain: bool = False) -> Column:
     """Order ids mix digits and letters; never the first token."""
-    digit = digit_class()
+    digit, letter = ("[0-9]", "[A-Za-z]") if plain else (digit_class(), r"\p{L}")
     return F.filter(tokens, lambda t, i: (i == 0) | (F.length(t) < SHORTEST_ID_TOKEN)
-                    | ~t.rlike(digit) | ~t.rlike(r"\p{L}"))
+                    | ~t.rlike(digit) | ~t.rlike(letter))
+
+
+def _scrub(c: Column, plain: bool) -> Column:
+    s = peel_trailing(drop_domains(peel_prefixes(strip(F.upper(c), plain), plain), plain), plain)
+    tokens = F.filter(F.split(words_only(s, plain), " "), lambda t: t != "")
+    return F.array_join(drop_id_tokens(drop_store_numbers(tokens, plain), plain), " ")
 
 
 def scrub(c: Column) -> Column:
@@ -139,6 +180,4 @@ def scrub(c: Column) -> Column:
     A descriptor made of noise only becomes ``''``; such rows are kept and
     counted by the load report.
     """
-    s = words_only(peel_trailing(drop_domains(peel_prefixes(normal_case(c)))))
-    tokens = F.filter(F.split(s, " "), lambda t: t != "")
-    return F.array_join(drop_id_tokens(drop_store_numbers(tokens)), " ")
+    return F.when(c.rlike(_ASCII), _scrub(c, True)).otherwise(_scrub(c, False))
