@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from duebook.operators.skew import materialise
+from duebook.operators.skew import by_python_key, materialise
 
 STATE, ROW, AHEAD = 0, 1, 2
 SPLIT_ROWS = 1_000_000
@@ -84,8 +84,8 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list[str], step: Callab
                           *added, StructField("_state", StringType())])
         out = StructType([StructField(f.name, f.dataType) for f in out])
         body = _runner(step, len(keys), len(order), len(fields), out.names, end_states)
-        return (chunked.select(*keys, "_chunk", "_kind", *fields, "_state")
-                .repartition(*keys, "_chunk")
+        return (by_python_key(chunked.select(*keys, "_chunk", "_kind", *fields, "_state"),
+                              [*keys, "_chunk"])
                 .sortWithinPartitions(*keys, "_chunk", "_kind", *order)
                 .mapInPandas(body, out))
 

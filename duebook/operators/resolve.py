@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions import similarity as sim
+from duebook.functions.similarity import (ACCEPT, BORDERLINE, MARGIN, SUSPECT, held, partial,
+                                          related, token_set)
 from duebook.operators.merge import merge_keep_first, merge_update
-from duebook.operators.skew import materialise, per_key_join, top_rows
+from duebook.operators.skew import by_python_key, materialise, per_key_join, top_rows
 
 TILE = 1000
 BATCH = 1000
@@ -60,8 +61,8 @@ def _in_tiles(needles: DataFrame, known: DataFrame, body, schema: str, tile: int
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
 
     key = ["user_id", "_nt", "_kt"]
-    left = deal(needles, "scrubbed", "_nt", "_kt").groupBy(*key)
-    right = deal(known, "name", "_kt", "_nt").groupBy(*key)
+    left = by_python_key(deal(needles, "scrubbed", "_nt", "_kt"), key).groupBy(*key)
+    right = by_python_key(deal(known, "name", "_kt", "_nt"), key).groupBy(*key)
     return left.cogroup(right).applyInPandas(body, schema)
 
 
@@ -74,7 +75,7 @@ def _flag_related(needles: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     left, right = needles["scrubbed"].tolist(), known["name"].tolist()
     ia, ib = _pairs(len(left), len(right))
     hit = np.zeros(len(left), dtype=bool)
-    hit[ia[sim.related(left, right, ia, ib)]] = True
+    hit[ia[related(left, right, ia, ib)]] = True
     return needles.loc[hit, NEEDLE]
 
 
@@ -96,11 +97,11 @@ def _found(batch: pd.DataFrame) -> pd.DataFrame:
         if chosen:
             ia, ib = _pairs(len(block), len(chosen))
             ia, ib = block[ia], np.array(chosen)[ib]
-            block = np.setdiff1d(block, ia[sim.related(names, names, ia, ib)])
+            block = np.setdiff1d(block, ia[related(names, names, ia, ib)])
         ia, ib = _pairs(len(block), len(block))
         later = ia > ib
         ia, ib = block[ia[later]], block[ib[later]]
-        close = sim.related(names, names, ia, ib)
+        close = related(names, names, ia, ib)
         barred = set()
         earlier: dict[int, list[int]] = {}
         for d, e in zip(ia[close].tolist(), ib[close].tolist()):
@@ -127,12 +128,14 @@ def select_founders(needles: DataFrame, merchants: DataFrame, batch: int = BATCH
     undecided = drop_related(needles, known, tile)
     oversize = needles.groupBy("user_id").agg(F.count("*").alias("k")).filter(F.col("k") > batch)
     if oversize.isEmpty():
-        return undecided.groupBy("user_id").applyInPandas(_found, schema)
+        return (by_python_key(undecided, ["user_id"]).groupBy("user_id")
+                .applyInPandas(_found, schema))
     found = None
     undecided = materialise(undecided)
     while True:
         first = materialise(top_rows(undecided, ["user_id"], [F.desc("n"), "scrubbed"], batch))
-        new = materialise(first.groupBy("user_id").applyInPandas(_found, schema))
+        new = materialise(by_python_key(first, ["user_id"]).groupBy("user_id")
+                          .applyInPandas(_found, schema))
         found = new if found is None else found.unionByName(new)
         rest = undecided.join(first.select(*NEEDLE), NEEDLE, "left_anti")
         undecided = materialise(drop_related(
@@ -168,17 +171,17 @@ def _best_hits(needles: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             out.append((needles["user_id"].iloc[i], left[i], kind, right[j], s,
                         bool(founded[j]), rank[j][0]))
 
-    token = sim.token_set(left, right, ia, ib)
+    token = token_set(left, right, ia, ib)
     keep("token", ia, ib, token, TOKEN_HITS)
     best = np.zeros(len(left))
     np.maximum.at(best, ia, token)
-    doubtful = best[ia] < sim.BORDERLINE
+    doubtful = best[ia] < BORDERLINE
     ia, ib = ia[doubtful], ib[doubtful]
     if len(ia):
-        partial = sim.partial(left, right, ia, ib)
-        keep("partial", ia, ib, partial, OTHER_HITS)
-        inside = sim.held(left, right, ia, ib)
-        keep("held", ia[inside], ib[inside], partial[inside], OTHER_HITS, by_score=False)
+        place = partial(left, right, ia, ib)
+        keep("partial", ia, ib, place, OTHER_HITS)
+        inside = held(left, right, ia, ib)
+        keep("held", ia[inside], ib[inside], place[inside], OTHER_HITS, by_score=False)
     return pd.DataFrame(out, columns=[c.split()[0] for c in _HIT.split(", ")])
 
 
@@ -212,13 +215,13 @@ def classify(hits: DataFrame) -> DataFrame:
     """-> (user_id, scrubbed, verdict, candidates). Only ``match`` is acted on
     without asking."""
     top, second = _score("token", 0), _score("token", 1)
-    clash = (F.size("token") > 1) & (top - second <= sim.MARGIN) & (second >= sim.BORDERLINE)
-    verdict = (F.when(clash, "ambiguous").when(top >= sim.ACCEPT, "match")
-               .when(top >= sim.BORDERLINE, "borderline")
-               .when(_score("partial", 0) >= sim.SUSPECT, "suspect")
+    clash = (F.size("token") > 1) & (top - second <= MARGIN) & (second >= BORDERLINE)
+    verdict = (F.when(clash, "ambiguous").when(top >= ACCEPT, "match")
+               .when(top >= BORDERLINE, "borderline")
+               .when(_score("partial", 0) >= SUSPECT, "suspect")
                .when(F.size("held") > 0, "suspect").otherwise("unknown"))
-    candidates = (F.when((top >= sim.BORDERLINE), F.col("token"))
-                  .when(_score("partial", 0) >= sim.SUSPECT, F.col("partial"))
+    candidates = (F.when((top >= BORDERLINE), F.col("token"))
+                  .when(_score("partial", 0) >= SUSPECT, F.col("partial"))
                   .when(F.size("held") > 0, F.col("held")).otherwise(F.col("token")))
     return hits.select(*NEEDLE, verdict.alias("verdict"), candidates.alias("candidates"))
 

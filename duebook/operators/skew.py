@@ -37,3 +37,11 @@ def top_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     sends n rows per task."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def by_python_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by `keys` for a Python step, into exactly as many tasks as the
+    cluster sets for a shuffle: such steps cost time, not bytes, and would be
+    merged into too few tasks by their size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -42,6 +42,7 @@ CREDIT_WORDS = ("credit", "deposit", "haben", "crédito", "credito", "uznanie",
                 "insättning")
 # ---------------------------------------------------------------------------
 
+OUTPUT_ROWS = 10_000
 META = ["user_id", "account_id", "currency", "dayfirst", "flip_sign", "source_file"]
 META_TYPES = ("user_id bigint, account_id bigint, currency string, dayfirst boolean, "
               "flip_sign boolean, source_file string")
@@ -103,22 +104,25 @@ def split_file(raw: bytes):
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [*META, "line_no", "reason", *(f"{r}_raw" for r in ROLES), "paired"]
+    out = []
     for pdf in batches:
         for rec in pdf.itertuples(index=False):
             meta = [getattr(rec, m) for m in META]
             reason, roles, rows = split_file(bytes(rec.content or b""))
-            out = []
+            mine = []
             try:
                 for n, row in enumerate(rows):
-                    out.append([*meta, n, None,
-                                *(row.get(roles[r]) if roles[r] else None for r in ROLES),
-                                roles["amount"] is None])
+                    mine.append([*meta, n, None,
+                                 *(row.get(roles[r]) if roles[r] else None for r in ROLES),
+                                 roles["amount"] is None])
             except csv.Error:
-                reason, out = "unreadable csv", []
-            if reason:
-                out = [[*meta, None, reason, *[None] * len(ROLES), None]]
-            if out:
+                reason = "unreadable csv"
+            out += [[*meta, None, reason, *[None] * len(ROLES), None]] if reason else mine
+            if len(out) >= OUTPUT_ROWS:
                 yield pd.DataFrame(out, columns=columns)
+                out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
 
 
 def files_under(spark: SparkSession, root: str) -> DataFrame:

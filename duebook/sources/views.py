@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duebook.functions.descriptors import scrub
+from duebook.operators.skew import by_python_key
 
 PARTS_PER_TENANT = 40
 
@@ -106,8 +107,8 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = _by_key(F.col("kind"), "Date,Description,Amount", "Buchung;Verwendungszweck;Betrag",
                    "Posted\tDetails\tDebit\tCredit", "Valuta|Libellé|Montant")
     body = F.concat_ws("\n", F.transform(F.array_sort("lines"), lambda s: s["line"]))
-    return (e.select("user_id", "block", kind.alias("kind"), "event_id", line.alias("line"))
-            .groupBy("user_id", "block", "kind")
+    lines = e.select("user_id", "block", kind.alias("kind"), "event_id", line.alias("line"))
+    return (by_python_key(lines, ["user_id", "block"]).groupBy("user_id", "block", "kind")
             .agg(F.collect_list(F.struct("event_id", "line")).alias("lines"))
             .select("user_id", F.concat_ws("/", F.lit("drop"), "user_id", F.concat(
                 F.col("block").cast("string"), F.lit(".csv"))).alias("path"),
