@@ -49,20 +49,22 @@ class Names:
 
     def __init__(self, texts):
         self.texts = list(texts)
-        alphabet = sorted(set("".join(self.texts)))
-        code = {ch: i + 1 for i, ch in enumerate(alphabet)}
+        n = len(self.texts)
+        points = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"),
+                               dtype=np.uint32)
+        alphabet, code = np.unique(points, return_inverse=True)
+        code = code + 1
         self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
-        width = int(self.size.max(initial=0))
-        self.codes = np.zeros((len(self.texts), width), dtype=np.int64)
-        self.masks = np.zeros((len(self.texts), len(alphabet) + 1), dtype=np.uint64)
-        self.counts = np.zeros((len(self.texts), len(alphabet) + 1), dtype=np.int32)
-        for i, t in enumerate(self.texts):
-            row = [code[ch] for ch in t]
-            self.codes[i, :len(row)] = row
-            for j, k in enumerate(row):
-                self.counts[i, k] += 1
-                if j < WORD_BITS:
-                    self.masks[i, k] |= np.uint64(1 << j)
+        row = np.repeat(np.arange(n), self.size)
+        at = np.arange(len(points)) - (np.cumsum(self.size) - self.size)[row]
+        self.codes = np.zeros((n, int(self.size.max(initial=0))), dtype=np.int64)
+        self.codes[row, at] = code
+        self.counts = np.zeros((n, len(alphabet) + 1), dtype=np.int32)
+        np.add.at(self.counts, (row, code), 1)
+        self.masks = np.zeros((n, len(alphabet) + 1), dtype=np.uint64)
+        fits = at < WORD_BITS
+        np.bitwise_or.at(self.masks, (row[fits], code[fits]),
+                         np.uint64(1) << at[fits].astype(np.uint64))
 
     def lcs(self, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
         """LCS length of each pair (ia[k], ib[k])."""
@@ -143,14 +145,8 @@ def token_set(left, right, ia, ib) -> np.ndarray:
     if not len(ia):
         return score
     sets_l, sets_r = [frozenset(t.split()) for t in left], [frozenset(t.split()) for t in right]
-    owners: dict[str, set[int]] = {}
-    for j, tokens in enumerate(sets_r):
-        for t in tokens:
-            owners.setdefault(t, set()).add(j)
-    partners = [set().union(*(owners.get(t, ()) for t in tokens)) if tokens else set()
-                for tokens in sets_l]
-    overlap = np.fromiter((j in partners[i] for i, j in zip(ia.tolist(), ib.tolist())),
-                          dtype=bool, count=len(ia))
+    overlap = np.fromiter((not sets_l[i].isdisjoint(sets_r[j])
+                           for i, j in zip(ia.tolist(), ib.tolist())), dtype=bool, count=len(ia))
 
     # No token in common: plain ratio of the sorted token strings.
     names = Names([_joined(s) for s in sets_l] + [_joined(s) for s in sets_r])

@@ -20,17 +20,17 @@ def flipped_files(lines: DataFrame) -> DataFrame:
     readable amounts above zero says yes."""
     return (lines.groupBy(*FILE)
             .agg((F.avg((F.col("amount_cents") > 0).cast("int")) > FLIPPED_SHARE)
-                 .alias("sign_flipped")))
+                 .alias("sign_flipped"), F.count("*").alias("lines")))
 
 
 def apply_sign(lines: DataFrame, flips: DataFrame, how: str = "left") -> DataFrame:
     """Negative = money out, whatever the file's convention. With ``inner`` lines
     of files without a row in `flips` go."""
     joined = per_key_join(lines, flips, FILE, ["posted_date", "amount_cents", "raw_descriptor"],
-                          how)
+                          how, weight="lines")
     return joined.withColumn("amount_cents", F.when(
         F.col("sign_flipped"), -F.col("amount_cents")).otherwise(F.col("amount_cents"))
-    ).drop("sign_flipped")
+    ).select(*lines.columns)
 
 
 def upsert_accounts(accounts: DataFrame, uploads: DataFrame, loaded_at) -> DataFrame:

@@ -272,10 +272,12 @@ def resolve(state: State, batch: int = BATCH, tile: int = TILE) -> tuple[State,
 
 
 def link(txns: DataFrame, links: DataFrame, only_unresolved: bool = True) -> DataFrame:
-    """Set the merchant of transactions by descriptor."""
-    links = links.select(*NEEDLE, F.col("merchant").alias("_merchant"))
+    """Set the merchant of transactions by descriptor. Links that say how many
+    charges a descriptor has (n) get only the hot ones salted."""
+    weight = "n" if "n" in links.columns else None
+    links = links.select(*NEEDLE, F.col("merchant").alias("_merchant"), *([weight] if weight else []))
     todo = txns.filter("merchant is null") if only_unresolved else txns
-    hit = per_key_join(todo, links, NEEDLE, ["dedup_hash"], "left")
+    hit = per_key_join(todo, links, NEEDLE, ["dedup_hash"], "left", weight)
     hit = hit.withColumn("merchant", F.coalesce("_merchant", "merchant")).drop("_merchant")
     done = hit.select(*txns.columns)
     return (txns.filter("merchant is not null").unionByName(done)

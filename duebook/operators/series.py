@@ -189,9 +189,9 @@ def spread(points: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
     w = F.col(weight)
     first = points.groupBy(*keys).agg(
         weighted_median(F.col("amount"), w).alias("_mid"),
-        (F.min("amount") < F.max("amount")).alias("_varies"))
-    varied = per_key_join(points, first.filter("_varies").select(*keys, "_mid"), keys,
-                          ["posted_date", "amount"])
+        (F.min("amount") < F.max("amount")).alias("_varies"), F.count("*").alias("_rows"))
+    varied = per_key_join(points, first.filter("_varies").select(*keys, "_mid", "_rows"), keys,
+                          ["posted_date", "amount"], weight="_rows")
     second = varied.groupBy(*keys).agg(
         median_distance(F.col("amount"), F.col("_mid"), w).alias("_mad"),
         F.first("_mid").alias("_mid"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+HOT_ROWS = 1_000_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -22,13 +23,29 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def per_key_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str],
-                 how: str = "inner", salts: int = SALTS) -> DataFrame:
+                 how: str = "inner", weight: str | None = None) -> DataFrame:
     """Join `big` to a side with one row per key, without sending all of a hot
-    key's rows to one task: its rows spread over `salts` tasks by the hash of the
-    `spread` columns, and the narrow side is repeated once per salt."""
-    salt = "_salt"
-    left = big.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    key's rows to one task: they spread over salts by the hash of the `spread`
+    columns, and the narrow side is repeated once per salt.
+
+    Without `weight` every key is salted: right for a side that is tiny next to
+    `big`, such as one row per tenant. With `weight` (a column of `small`: how many
+    rows of `big` the key has, at least) only keys above ``HOT_ROWS`` are. There are
+    at most total/HOT_ROWS of those, which is why their list may be broadcast.
+    """
+    salt, hot = "_salt", "_hot"
+    dealt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if weight is None:
+        left = big.withColumn(salt, dealt)
+        right = small.withColumn(salt, F.explode(every))
+    else:
+        is_hot = F.col(weight) > HOT_ROWS
+        listed = small.filter(is_hot).select(*keys, F.lit(True).alias(hot))
+        left = (big.join(F.broadcast(listed), keys, "left")
+                .withColumn(salt, F.when(F.col(hot), dealt).otherwise(0)).drop(hot))
+        right = small.withColumn(salt, F.explode(
+            F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, salt], how).drop(salt)
 
 

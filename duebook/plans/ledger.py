@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from duebook.operators.load import new_transactions, upsert_accounts
 from duebook.operators.resolve import State, apply_decisions, resolve
-from duebook.operators.skew import materialise
+from duebook.operators.skew import materialise, per_key_join
 from duebook.operators.subscriptions import detect
 from duebook.operators.tenancy import only_tenants, replace_derived
 from duebook.plans import reports
@@ -45,8 +45,9 @@ def load_files(tables: dict[str, DataFrame], files: DataFrame,
     nothing the second time."""
     accounts = materialise(upsert_accounts(
         tables["account"], files.select("user_id", "label", "currency"), loaded_at))
-    opened = statements.readable_files(files).join(
-        accounts.select("user_id", "label", "account_id"), ["user_id", "label"])
+    opened = per_key_join(statements.readable_files(files),
+                          accounts.select("user_id", "label", "account_id"),
+                          ["user_id", "label"], ["source_file"])
     fields = materialise(statements.split_files(opened))
     typed = statements.typed_lines(fields)
     facts = materialise(statements.file_facts(typed))

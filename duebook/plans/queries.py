@@ -174,7 +174,7 @@ def sign_conventions(spark, d):
     flips = load.flipped_files(lines)
     return (load.apply_sign(lines, flips).groupBy(*load.FILE)
             .agg(F.count("*").alias("lines"), F.sum("amount_cents").alias("total_cents"))
-            .join(flips, load.FILE))
+            .join(flips.drop("lines"), load.FILE))
 
 
 # -------------------------------------------------------- load and tables --

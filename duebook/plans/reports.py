@@ -192,7 +192,8 @@ def variant_groups(txns: DataFrame) -> DataFrame:
     groups = (variants.groupBy("user_id", "merchant")
               .agg(F.count("*").alias("variants"), F.sum("variant_charges").alias("charges"))
               .filter("variants > 1"))
-    return per_key_join(variants, groups, ["user_id", "merchant"], ["scrubbed"])
+    return per_key_join(variants, groups, ["user_id", "merchant"], ["scrubbed"],
+                        weight="variants")
 
 
 def understatement(queue: DataFrame) -> DataFrame:
@@ -245,11 +246,12 @@ def load_report(facts: DataFrame, new_txns: DataFrame, outcomes: DataFrame | Non
     if outcomes is not None:
         tiers = outcomes.groupBy("user_id").pivot(
             "tier", ["exact", "fuzzy", "new", "queued"]).agg(F.sum("n"))
-        report = report.join(tiers.na.fill(0), "user_id", "left").na.fill(
+        report = per_key_join(report, tiers, ["user_id"], ["source_file"], "left").na.fill(
             0, ["exact", "fuzzy", "new", "queued"])
     if subs is not None:
         found = subs.groupBy("user_id").agg(F.count("*").alias("subscriptions_found"))
-        report = report.join(found, "user_id", "left").na.fill(0, ["subscriptions_found"])
+        report = per_key_join(report, found, ["user_id"], ["source_file"], "left").na.fill(
+            0, ["subscriptions_found"])
     return report
 
 

@@ -198,7 +198,7 @@ def file_facts(typed: DataFrame) -> DataFrame:
     counts = typed.groupBy(*FILE).agg(
         F.count_if(usable).alias("rows_read"), F.count_if(~usable).alias("rows_skipped"),
         F.max("flip_sign").alias("flip_sign"), F.bool_and("paired").alias("paired"))
-    return (counts.join(flips, FILE, "left")
+    return (counts.join(flips.drop("lines"), FILE, "left")
             .withColumn("sign_flipped", F.coalesce("flip_sign", "sign_flipped", F.lit(False)))
             .withColumn("reason", F.when(F.col("rows_read") == 0, "no usable rows")
                         .when(F.col("rows_read") > MAX_ROWS, "more than 200000 rows"))
@@ -209,7 +209,8 @@ def signed_lines(typed: DataFrame, facts: DataFrame) -> DataFrame:
     """Usable lines of accepted files, negative = money out. A debit/credit pair
     already says which way money went and is never flipped."""
     good = facts.filter("reason is null").select(
-        *FILE, (F.col("sign_flipped") & ~F.col("paired")).alias("sign_flipped"))
+        *FILE, (F.col("sign_flipped") & ~F.col("paired")).alias("sign_flipped"),
+        F.col("rows_read").alias("lines"))
     lines = typed.filter("usable").select(
         "user_id", "account_id", "posted_date", "amount_cents", "currency",
         "raw_descriptor", "source_file")
