@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from duebook.functions.dates import days_in_month, month_day
 from duebook.functions.money import whole
 from duebook.operators.folds import SPLIT_ROWS, fold_groups
-from duebook.operators.skew import per_key_join, top_rows
+from duebook.operators.skew import materialise, per_key_join, top_rows
 
 # ---- fixed values: name, period in days, tolerated median deviation ---------
 CADENCES = (
@@ -62,10 +62,21 @@ def median_distance(value: Column, middle: Column, weight: Column) -> Column:
 
 
 def charge_points(txns: DataFrame) -> DataFrame:
-    """Money out, attached to a merchant, counted by (series, day, amount)."""
+    """Money out, attached to a merchant, counted by (series, day, amount, currency).
+
+    The currency is a key and not a minimum: a text minimum would turn this hash
+    aggregate over all charges into a sort.
+    """
     return (txns.filter("merchant is not null and amount_cents < 0")
-            .groupBy(*SERIES, "posted_date", (-F.col("amount_cents")).alias("amount"))
-            .agg(F.count("*").alias("n"), F.min("currency").alias("currency")))
+            .groupBy(*SERIES, "posted_date", (-F.col("amount_cents")).alias("amount"),
+                     "currency")
+            .agg(F.count("*").alias("n")))
+
+
+def series_currency(points: DataFrame) -> DataFrame:
+    """One currency per series (the least, should an account hold several)."""
+    seen = points.groupBy(*SERIES, "currency").agg(F.count("*").alias("_n"))
+    return seen.groupBy(*SERIES).agg(F.min("currency").alias("currency"))
 
 
 def gap_fit(gap: Column, weight: Column, period: float) -> tuple[Column, Column, Column]:
@@ -80,14 +91,13 @@ def gap_fit(gap: Column, weight: Column, period: float) -> tuple[Column, Column,
 
 def cadences(points: DataFrame) -> DataFrame:
     """Series with a cadence: (series, cadence, period_days, norm_dev, anchor_day,
-    charge_count, first_seen, last_seen, currency).
+    charge_count, first_seen, last_seen).
 
     One row per day enters; gaps and whole-series medians are windows over the
     series, and everything after them aggregates on the same partitioning.
     Charges sharing a day have gap 0, which is a full period off.
     """
-    days = points.groupBy(*SERIES, "posted_date").agg(
-        F.sum("n").alias("n"), F.min("currency").alias("currency"))
+    days = points.groupBy(*SERIES, "posted_date").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy(*SERIES).orderBy("posted_date")
     every = Window.partitionBy(*SERIES)
     day = F.dayofmonth("posted_date")
@@ -105,8 +115,8 @@ def cadences(points: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("gap"), (n - 1).alias("w"),
                  F.lit(0).cast("bigint").alias("nd"))))
     gaps = (seen.withColumn("e", entry)
-            .select(*SERIES, "posted_date", "currency", "day", "folded", "day_mid",
-                    "folded_mid", "e.gap", "e.w", "e.nd")
+            .select(*SERIES, "posted_date", "day", "folded", "day_mid", "folded_mid",
+                    "e.gap", "e.w", "e.nd")
             .filter("w > 0 or nd > 0"))
     w, nd = F.col("w"), F.col("nd")
 
@@ -117,7 +127,6 @@ def cadences(points: DataFrame) -> DataFrame:
     aggregates = [
         F.sum("nd").alias("charge_count"), F.sum("w").alias("gaps"),
         F.min("posted_date").alias("first_seen"), F.max("posted_date").alias("last_seen"),
-        F.min("currency").alias("currency"),
         F.first("day_mid").alias("day_mid"), F.first("folded_mid").alias("folded_mid"),
         near("day", "day_mid").alias("day_near"), near("folded", "folded_mid").alias("fold_near"),
         median_distance(F.col("day"), F.col("day_mid"), nd).alias("day_mad"),
@@ -155,7 +164,7 @@ def cadences(points: DataFrame) -> DataFrame:
     best = F.array_min(F.array(*(candidate(i, *c) for i, c in enumerate(CADENCES))))
     return (facts.withColumn("fit", best).filter("fit is not null")
             .select(*SERIES, "fit.cadence", "fit.period_days", "fit.norm_dev", "fit.anchor_day",
-                    "charge_count", "first_seen", "last_seen", "currency"))
+                    "charge_count", "first_seen", "last_seen"))
 
 
 def day_anchors(points: DataFrame) -> DataFrame:
@@ -187,9 +196,9 @@ def spread(points: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
     deviation over median. Groups of one single amount (nearly all) stop after one
     pass; only the others are read again."""
     w = F.col(weight)
-    first = points.groupBy(*keys).agg(
+    first = materialise(points.groupBy(*keys).agg(
         weighted_median(F.col("amount"), w).alias("_mid"),
-        (F.min("amount") < F.max("amount")).alias("_varies"), F.count("*").alias("_rows"))
+        (F.min("amount") < F.max("amount")).alias("_varies"), F.count("*").alias("_rows")))
     varied = per_key_join(points, first.filter("_varies").select(*keys, "_mid", "_rows"), keys,
                           ["posted_date", "amount"], weight="_rows")
     second = varied.groupBy(*keys).agg(
@@ -306,12 +315,10 @@ def segmented_cv(levels: DataFrame) -> DataFrame:
     day = [*SERIES, "posted_date"]
     cut = levels.filter("old_amount is not null").select(*day).distinct()
     last = levels.join(cut, day, "left_semi").groupBy(*day).agg(
-        F.max("amount").alias("_last"))
-    marked = per_key_join(levels, last, day, ["amount"], "left")
-    weight = (F.when(F.col("_last").isNull(), F.col("n"))
-              .when(F.col("amount") == F.col("_last"), 1).otherwise(0))
-    counted = (marked.withColumn("n", weight.cast("bigint")).filter("n > 0")
-               .select(*day, "level", "amount", "n"))
+        F.max("level").alias("level"), F.max("amount").alias("amount"),
+        F.lit(1).cast("bigint").alias("n"))
+    rest = per_key_join(levels, cut, day, ["amount"], "left_anti")
+    counted = rest.select(*last.columns).unionByName(last)
     return (spread(counted, [*SERIES, "level"]).groupBy(*SERIES)
             .agg(F.max("cv").alias("cv")))
 

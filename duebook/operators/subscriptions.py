@@ -14,7 +14,8 @@ from duebook.operators.skew import materialise, per_key_join
 def assemble(points, as_of, cvs) -> DataFrame:
     found = series.cadences(points)
     amounts = series.current_amounts(points)
-    rows = (found.join(amounts, SERIES).join(cvs, SERIES, "left")
+    rows = (found.join(amounts, SERIES).join(series.series_currency(points), SERIES)
+            .join(cvs, SERIES, "left")
             .withColumn("cv", F.coalesce("cv", F.lit(0.0))))
     rows = per_key_join(rows, as_of, ["user_id"], ["merchant", "account_id"])
     period, last = F.col("period_days"), F.col("last_seen")
@@ -49,5 +50,5 @@ def detect(txns: DataFrame, split_rows: int | None = SPLIT_ROWS
 def subscriptions_plain(txns: DataFrame) -> DataFrame:
     """Detection with the spread of the whole series instead of its levels: all
     native, no fold. Differs from :func:`detect` only where a price changed."""
-    points = series.charge_points(txns)
+    points = materialise(series.charge_points(txns))
     return assemble(points, series.as_of_dates(txns), series.spread(points, SERIES)).drop("_cv")

@@ -392,7 +392,7 @@ SELECT a, b, parts, round(CASE WHEN s > 0 AND (na = 0 OR nb = 0) THEN 100.0 ELSE
 FROM scored JOIN part_score USING (a, b)"""
 
 _FOUND = f"""SELECT {S}, cadence, period_days, round(norm_dev, 6) AS norm_dev, anchor_day,
-    charge_count, first_seen, last_seen, currency FROM found"""
+    charge_count, first_seen, last_seen FROM found"""
 
 EXPECTED = {
     "scrub_descriptors": q(f"""
@@ -523,8 +523,7 @@ EXPECTED = {
         JOIN review_items USING (user_id, scrubbed)
         JOIN (SELECT c_custkey AS user_id, c_mktsegment FROM customer) USING (user_id)
         GROUP BY ALL"""),
-    "charge_points": q(f"""SELECT {S}, posted_date, amount, count(*) AS n,
-        min(currency) AS currency FROM charges GROUP BY {S}, posted_date, amount""",
+    "charge_points": q("""SELECT *, count(*) AS n FROM charges GROUP BY ALL""",
                        "part_event_txns"),
     "as_of_dates": q("SELECT * FROM as_of", "order_txns"),
     "part_cadences": q(_FOUND),

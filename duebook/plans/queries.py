@@ -403,7 +403,7 @@ def current_amounts(spark, d):
 
 
 def robust_cv(spark, d):
-    cv = series.spread(series.charge_points(order_txns(spark, d)), SERIES)
+    cv = series.spread(materialise(series.charge_points(order_txns(spark, d))), SERIES)
     return cv.withColumn("cv", F.round("cv", 6))
 
 
