@@ -353,11 +353,11 @@ def lcs(a: str, b: str) -> str:
             f"{{'s': (1::BIGINT << length({a})) - 1, 'c': ''}}).s))")
 
 
-_SIMILARITY = f"""
-WITH here AS (SELECT p_partkey, upper(p_name) || ' ' || p_type AS a FROM part),
-pairs AS (SELECT x.a, y.a AS b FROM here x JOIN here y ON y.p_partkey = x.p_partkey + 1
-          UNION ALL SELECT a, replace(a, ' ', '') FROM here),
-pair AS (SELECT a, b, count(*) AS parts FROM pairs GROUP BY ALL),
+def score_ctes(pairs: str) -> str:
+    """CTEs up to pair_scores(a, b, token_set, partial, held) for the distinct
+    (a, b) that the query text `pairs` selects."""
+    return f"""
+pair AS ({pairs}),
 sets AS (SELECT *, list_sort(list_distinct(string_split(a, ' '))) AS sa,
                 list_sort(list_distinct(string_split(b, ' '))) AS sb FROM pair),
 left_over AS (SELECT *, array_to_string(list_filter(sa, lambda t: NOT list_contains(sb, t)), ' ')
@@ -368,28 +368,82 @@ left_over AS (SELECT *, array_to_string(list_filter(sa, lambda t: NOT list_conta
 scored AS (SELECT *, CASE WHEN s > 0 THEN 1 ELSE 0 END AS sp, length(da) AS na, length(db) AS nb,
                   CASE WHEN da = '' OR db = '' THEN 0 ELSE {lcs('da', 'db')} END AS l
            FROM left_over),
-windows AS (SELECT a, b, w, length(sh) AS m FROM (
+windows AS (SELECT a, b, w, sh FROM (
     SELECT a, b, sh, unnest(list_transform(range(1 - length(sh), length(lo)), lambda k:
              substring(lo, greatest(k, 0) + 1, least(k + length(sh), length(lo)) - greatest(k, 0))))
              AS w
     FROM (SELECT a, b, a AS sh, b AS lo FROM pair WHERE length(a) <= length(b)
           UNION ALL SELECT a, b, b, a FROM pair WHERE length(b) <= length(a)))),
-shorter AS (SELECT DISTINCT a, b, w, sh FROM (
-    SELECT p.a, p.b, w, CASE WHEN m = length(p.a) THEN p.a ELSE p.b END AS sh FROM windows p
-    WHERE length(p.a) <> length(p.b)
-    UNION ALL SELECT a, b, w, a FROM windows WHERE length(a) = length(b) AND contains(b, w)
-    UNION ALL SELECT a, b, w, b FROM windows WHERE length(a) = length(b) AND contains(a, w))),
-part_score AS (SELECT a, b, max((1 - CAST(length(sh) + length(w) - 2 * {lcs('sh', 'w')} AS DOUBLE)
-                      / (length(sh) + length(w))) * 100) AS partial FROM shorter GROUP BY ALL)
-SELECT a, b, parts, round(CASE WHEN s > 0 AND (na = 0 OR nb = 0) THEN 100.0 ELSE greatest(
+window_scores AS (SELECT sh, w, (1 - CAST(length(sh) + length(w) - 2 * {lcs('sh', 'w')} AS DOUBLE)
+                      / (length(sh) + length(w))) * 100 AS score
+                  FROM (SELECT DISTINCT sh, w FROM windows)),
+part_score AS (SELECT a, b, max(score) AS partial FROM windows JOIN window_scores USING (sh, w)
+               GROUP BY ALL),
+pair_scores AS (SELECT a, b, CASE WHEN s > 0 AND (na = 0 OR nb = 0) THEN 100.0 ELSE greatest(
          100 - 100 * CAST(na + nb - 2 * l AS DOUBLE) / (2 * (s + sp) + na + nb),
          CASE WHEN s > 0 THEN 100 - 100 * CAST(1 + na AS DOUBLE) / (2 * s + 1 + na) ELSE 0 END,
          CASE WHEN s > 0 THEN 100 - 100 * CAST(1 + nb AS DOUBLE) / (2 * s + 1 + nb) ELSE 0 END)
-         END, 6) AS token_set,
-       round(partial, 6) AS partial,
-       contains(replace(b, ' ', ''), replace(a, ' ', ''))
-         OR contains(replace(a, ' ', ''), replace(b, ' ', '')) AS held
-FROM scored JOIN part_score USING (a, b)"""
+         END AS token_set, partial,
+       least(length(replace(a, ' ', '')), length(replace(b, ' ', ''))) >= 5
+       AND (contains(replace(b, ' ', ''), replace(a, ' ', ''))
+            OR contains(replace(a, ' ', ''), replace(b, ' ', ''))) AS held
+  FROM scored JOIN part_score USING (a, b))"""
+
+
+_SIMILARITY = f"""
+WITH here AS (SELECT p_partkey, upper(p_name) || ' ' || p_type AS a FROM part),
+pairs AS (SELECT x.a, y.a AS b FROM here x JOIN here y ON y.p_partkey = x.p_partkey + 1
+          UNION ALL SELECT a, replace(a, ' ', '') FROM here),
+{score_ctes("SELECT DISTINCT a, b FROM pairs")}
+SELECT a, b, parts, round(token_set, 6) AS token_set, round(partial, 6) AS partial, held
+FROM pair_scores JOIN (SELECT a, b, count(*) AS parts FROM pairs GROUP BY ALL) USING (a, b)"""
+
+# The sequential ladder: names in rank order, each one compared with the founders
+# before it.
+_LADDER = f"""
+WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, name) AS rk
+                FROM (SELECT user_id, merchant AS name, count(*) AS n FROM part_txns GROUP BY ALL)),
+{score_ctes("""SELECT DISTINCT d.name AS a, k.name AS b
+               FROM ranked d JOIN ranked k ON d.user_id = k.user_id AND k.rk < d.rk""")},
+close AS (SELECT d.user_id, d.rk, list(k.rk) AS rel
+          FROM ranked d JOIN ranked k ON d.user_id = k.user_id AND k.rk < d.rk
+          JOIN pair_scores ON a = d.name AND b = k.name
+          WHERE length(d.name) >= 4 AND (token_set >= 72 OR partial >= 85 OR held)
+          GROUP BY d.user_id, d.rk),
+chosen AS (SELECT user_id, unnest(list_reduce(list({{'rk': rk, 'rel': coalesce(rel, [])}} ORDER BY rk),
+             lambda acc, x: CASE WHEN list_has_any(acc.ks, x.rel) THEN acc
+                                 ELSE {{'ks': list_append(acc.ks, x.rk)}} END,
+             {{'ks': []::BIGINT[]}}).ks) AS rk
+           FROM ranked LEFT JOIN close USING (user_id, rk) GROUP BY user_id),
+founded AS (SELECT user_id, name, n, rk FROM ranked JOIN chosen USING (user_id, rk)),
+hits AS (SELECT d.user_id, d.name, d.n, k.name AS known, token_set, partial, held,
+                row_number() OVER (PARTITION BY d.user_id, d.name ORDER BY token_set DESC, k.rk) AS tr,
+                row_number() OVER (PARTITION BY d.user_id, d.name ORDER BY partial DESC, k.rk) AS pr,
+                row_number() OVER (PARTITION BY d.user_id, d.name, held ORDER BY k.rk) AS hr
+         FROM (SELECT * FROM ranked ANTI JOIN founded USING (user_id, rk)) d
+         JOIN founded k ON d.user_id = k.user_id AND k.rk < d.rk
+         JOIN pair_scores ON a = d.name AND b = k.name),
+shown AS (SELECT *, known || ':' || CAST(CAST(round_even(token_set * 1000, 0) AS BIGINT) AS VARCHAR) AS tt,
+                 known || ':' || CAST(CAST(round_even(partial * 1000, 0) AS BIGINT) AS VARCHAR) AS pt
+          FROM hits),
+best AS (SELECT user_id, name, n, count(*) AS c, max(token_set) AS t1,
+                max(token_set) FILTER (WHERE tr = 2) AS t2, max(partial) AS p1,
+                max(partial) FILTER (WHERE held AND hr = 1) AS h1, arg_min(known, tr) AS top,
+                string_agg(tt, '|' ORDER BY tr) FILTER (WHERE tr <= 5) AS tok,
+                string_agg(pt, '|' ORDER BY pr) FILTER (WHERE pr <= 3) AS par,
+                string_agg(pt, '|' ORDER BY hr) FILTER (WHERE held AND hr <= 3) AS hel
+         FROM shown GROUP BY user_id, name, n),
+verdicts AS (SELECT *, CASE WHEN c > 1 AND t1 - t2 <= 4 AND t2 >= 72 THEN 'ambiguous'
+                    WHEN t1 >= 90 THEN 'match' WHEN t1 >= 72 THEN 'borderline'
+                    ELSE 'suspect' END AS verdict,
+               CASE WHEN t1 >= 72 THEN tok WHEN p1 >= 85 THEN par ELSE hel END AS candidates,
+               CASE WHEN t1 >= 72 THEN t1 WHEN p1 >= 85 THEN p1 ELSE h1 END AS score FROM best),
+outcomes AS (
+  SELECT user_id, name AS scrubbed, n, CASE WHEN verdict = 'match' THEN 'fuzzy' ELSE 'queued' END AS tier,
+         CASE WHEN verdict = 'match' THEN top END AS merchant, round(score, 6) AS score, verdict,
+         candidates FROM verdicts
+  UNION ALL SELECT user_id, name, n, 'new', name, NULL, 'unknown', NULL FROM founded)
+"""
 
 _FOUND = f"""SELECT {S}, cadence, period_days, round(norm_dev, 6) AS norm_dev, anchor_day,
     charge_count, first_seen, last_seen FROM found"""
@@ -512,6 +566,16 @@ EXPECTED = {
         FROM part_txns GROUP BY ALL"""),
     "exact_tier": q("""SELECT user_id, 'M ' || merchant AS merchant, count(*) AS charges
         FROM event_txns GROUP BY ALL"""),
+    "founders": q(_LADDER + "SELECT user_id, name AS scrubbed, n FROM founded"),
+    "resolution_outcomes": q(_LADDER + "SELECT * FROM outcomes"),
+    "resolution_tiers": q(_LADDER + """SELECT user_id, tier, CAST(sum(n) AS BIGINT) AS transactions
+        FROM outcomes GROUP BY ALL"""),
+    "resolved_transactions": q(_LADDER + """
+        SELECT t.user_id, o.merchant, t.account_id, o.scrubbed, posted_date, amount_cents
+        FROM part_txns t JOIN outcomes o ON t.user_id = o.user_id AND t.merchant = o.scrubbed"""),
+    "queued_candidates": q(_LADDER + """
+        SELECT user_id, scrubbed, n AS txn_count, round_even(score * 100, 0) / 100 AS top_score,
+               verdict AS reason, candidates FROM outcomes WHERE tier = 'queued'"""),
     "review_decisions": q("""
         SELECT user_id, scrubbed, CASE WHEN status <> 'pending' OR user_id % 4 = 3 THEN
                  CASE WHEN amount_cents % 2 = 0 THEN 'OLD' END

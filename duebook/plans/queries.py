@@ -302,13 +302,22 @@ def resolution_state(spark, d, lines=None):
                          none([], schemas.RESOLUTION_QUEUE))
 
 
+def _as_text(candidates):
+    """Names and scores (in thousandths) as one comparable text."""
+    shown = F.transform(candidates, lambda c: F.concat(
+        c["name"], F.lit(":"), F.rint(c["score"] * 1000).cast("bigint").cast("string")))
+    return F.when(F.col(candidates).isNotNull(), F.array_join(shown, "|"))
+
+
 def resolution_outcomes(spark, d):
     _, outcomes = resolve.resolve(resolution_state(spark, d))
-    return outcomes
+    return outcomes.withColumn("score", F.round("score", 6)).withColumn(
+        "candidates", _as_text("candidates"))
 
 
 def resolution_tiers(spark, d):
-    return resolve.tier_stats(resolution_outcomes(spark, d))
+    _, outcomes = resolve.resolve(resolution_state(spark, d))
+    return resolve.tier_stats(outcomes)
 
 
 def founders(spark, d):
@@ -325,7 +334,7 @@ def resolved_transactions(spark, d):
 def queued_candidates(spark, d):
     state, _ = resolve.resolve(resolution_state(spark, d))
     return state.queue.select("user_id", "scrubbed", "txn_count", "top_score", "reason",
-                              F.to_json("candidates").alias("candidates"))
+                              _as_text("candidates").alias("candidates"))
 
 
 def exact_tier(spark, d):
