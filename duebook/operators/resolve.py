@@ -47,7 +47,9 @@ def unresolved_counts(txns: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ tiles --
 def _tiles_needed(names: DataFrame, tile: int, column: str) -> DataFrame:
-    return names.groupBy("user_id").agg(F.ceil(F.count("*") / tile).cast("int").alias(column))
+    return names.groupBy("user_id").agg(
+        F.ceil(F.count("*") / tile).cast("int").alias(column),
+        F.count("*").alias(f"{column}_rows"))
 
 
 def _in_tiles(needles: DataFrame, known: DataFrame, body, schema: str, tile: int) -> DataFrame:
@@ -56,7 +58,8 @@ def _in_tiles(needles: DataFrame, known: DataFrame, body, schema: str, tile: int
              .join(_tiles_needed(known, tile, "_kt"), "user_id"))
 
     def deal(df, text, own, other):
-        sized = per_key_join(df, sizes, ["user_id"], [text])
+        sized = per_key_join(df, sizes.select("user_id", "_nt", "_kt", f"{own}_rows"),
+                             ["user_id"], [text], weight=f"{own}_rows").drop(f"{own}_rows")
         return (sized.withColumn(own, F.pmod(F.xxhash64(text), F.col(own)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
 

@@ -316,8 +316,10 @@ def segmented_cv(levels: DataFrame) -> DataFrame:
     cut = levels.filter("old_amount is not null").select(*day).distinct()
     last = levels.join(cut, day, "left_semi").groupBy(*day).agg(
         F.max("level").alias("level"), F.max("amount").alias("amount"),
-        F.lit(1).cast("bigint").alias("n"))
-    rest = per_key_join(levels, cut, day, ["amount"], "left_anti")
+        F.lit(1).cast("bigint").alias("n"), F.count("*").alias("_rows"))
+    last = materialise(last)
+    rest = per_key_join(levels, last.select(*day, "_rows"), day, ["amount"], "left_anti", "_rows")
+    last = last.drop("_rows")
     counted = rest.select(*last.columns).unionByName(last)
     return (spread(counted, [*SERIES, "level"]).groupBy(*SERIES)
             .agg(F.max("cv").alias("cv")))
@@ -355,5 +357,7 @@ def status(last: Column, as_of: Column, period: Column) -> Column:
 
 
 def as_of_dates(txns: DataFrame) -> DataFrame:
-    """Newest transaction per tenant, credits and unresolved rows included."""
-    return txns.groupBy("user_id").agg(F.max("posted_date").alias("as_of"))
+    """Newest transaction per tenant, credits and unresolved rows included, and
+    the number of rows (joins use it to know a hot tenant)."""
+    return txns.groupBy("user_id").agg(F.max("posted_date").alias("as_of"),
+                                       F.count("*").alias("rows"))

@@ -1,59 +1,88 @@
-"""Joins, folds and materialisation that hold when one key has a third of the rows."""
+"""Joins and materialisation that hold when one key has a third of the rows."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 HOT_ROWS = 1_000_000
+LIST_ROWS = 5_000_000
+GROUP_LIMIT = 1000      # spark.sql.optimizer.windowGroupLimitThreshold
+
+
+def shared_folder(spark) -> str:
+    """The cluster's checkpoint folder; one is made only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="duebook-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's checkpoint folder and cut its lineage, so a
-    lost executor costs a re-read and not a recomputation."""
+    """Write `df` once to the shared checkpoint folder and go on from there. Cuts
+    the lineage, so a lost executor costs a re-read; later readers load only the
+    columns they use and know the true size."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="duebook-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/duebook-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def per_key_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str],
                  how: str = "inner", weight: str | None = None) -> DataFrame:
     """Join `big` to a side with one row per key, without sending all of a hot
-    key's rows to one task: they spread over salts by the hash of the `spread`
-    columns, and the narrow side is repeated once per salt.
+    key's rows to one task.
 
-    Without `weight` every key is salted: right for a side that is tiny next to
-    `big`, such as one row per tenant. With `weight` (a column of `small`: how many
-    rows of `big` the key has, at least) only keys above ``HOT_ROWS`` are. There are
-    at most total/HOT_ROWS of those, which is why their list may be broadcast.
+    A key with more than ``HOT_ROWS`` rows is dealt over rows/HOT_ROWS salts by the
+    hash of the `spread` columns, and its row of `small` is repeated once per salt;
+    all others stay whole. `weight` names a column of `small` that bounds a key's
+    rows in `big` from above; without it they are counted. At most total/HOT_ROWS
+    keys are hot, so their list is small whatever the data and may be broadcast.
     """
-    salt, hot = "_salt", "_hot"
-    dealt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     if weight is None:
-        left = big.withColumn(salt, dealt)
-        right = small.withColumn(salt, F.explode(every))
+        weight = "_rows"
+        counted = big.groupBy(*keys).agg(F.count("*").alias(weight)).filter(
+            F.col(weight) > HOT_ROWS)
+        small = small.join(F.broadcast(counted), keys, "left")
+        own = [c for c in small.columns if c != weight]
     else:
-        is_hot = F.col(weight) > HOT_ROWS
-        listed = small.filter(is_hot).select(*keys, F.lit(True).alias(hot))
-        left = (big.join(F.broadcast(listed), keys, "left")
-                .withColumn(salt, F.when(F.col(hot), dealt).otherwise(0)).drop(hot))
-        right = small.withColumn(salt, F.explode(
-            F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, salt], how).drop(salt)
+        own = small.columns
+    salts = F.ceil(F.col(weight) / F.lit(HOT_ROWS)).cast("int")
+    hot = small.filter(F.col(weight) > HOT_ROWS).select(*keys, salts.alias("_salts"))
+    left = (big.join(F.broadcast(hot), keys, "left")
+            .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(
+                F.xxhash64(*spread), F.col("_salts")).cast("int")).otherwise(0)).drop("_salts"))
+    right = small.withColumn("_salt", F.explode(F.when(
+        F.col(weight) > HOT_ROWS, F.sequence(F.lit(0), salts - 1)).otherwise(
+        F.array(F.lit(0))))).select(*own, "_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_list(df: DataFrame, listed: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join with a list of keys. A list counted to be short is
+    broadcast, so `df` is not shuffled at all; a longer one joins key by key."""
+    listed = materialise(listed.select(*keys).distinct())
+    if listed.count() <= LIST_ROWS:
+        return df.join(F.broadcast(listed), keys, how)
+    return per_key_join(df, listed, keys, [c for c in df.columns if c not in keys], how)
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows per key. Spark cuts to n before the shuffle, so a hot key
-    sends n rows per task."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """The first n rows per key. Up to n = 1000 Spark cuts to n before the shuffle;
+    for more, each key is first cut to n within 64 slices, so that a hot key is
+    never sorted in one task."""
+    def first(source, by):
+        at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return source.withColumn("_rn", at).filter(F.col("_rn") <= n).drop("_rn")
+
+    if n > GROUP_LIMIT:
+        slice_of = F.pmod(F.xxhash64(*df.columns), F.lit(64))
+        df = first(df.withColumn("_slice", slice_of), [*keys, "_slice"]).drop("_slice")
+    return first(df, keys)
 
 
 def by_python_key(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duebook.operators import series
 from duebook.operators.folds import SPLIT_ROWS
-from duebook.operators.series import SERIES, USAGE_CV
+from duebook.operators.series import SERIES, USAGE_CV, as_of_dates
 from duebook.operators.skew import materialise, per_key_join
 
 
@@ -17,7 +17,7 @@ def assemble(points, as_of, cvs) -> DataFrame:
     rows = (found.join(amounts, SERIES).join(series.series_currency(points), SERIES)
             .join(cvs, SERIES, "left")
             .withColumn("cv", F.coalesce("cv", F.lit(0.0))))
-    rows = per_key_join(rows, as_of, ["user_id"], ["merchant", "account_id"])
+    rows = per_key_join(rows, as_of, ["user_id"], ["merchant", "account_id"], weight="rows")
     period, last = F.col("period_days"), F.col("last_seen")
     return rows.select(
         *SERIES, "cadence", "period_days", "anchor_day", "current_amount_cents", "currency",
@@ -39,7 +39,7 @@ def detect(txns: DataFrame, split_rows: int | None = SPLIT_ROWS
     """
     points = materialise(series.charge_points(txns))
     levels = materialise(series.price_levels(points, split_rows))
-    subs = assemble(points, series.as_of_dates(txns), series.segmented_cv(levels))
+    subs = materialise(assemble(points, as_of_dates(txns), series.segmented_cv(levels)))
     steady = subs.filter(F.col("_cv") <= USAGE_CV).select(*SERIES)
     old, new = F.col("old_amount_cents"), F.col("new_amount_cents")
     changes = (series.price_steps(levels).join(steady, SERIES, "left_semi")
@@ -51,4 +51,4 @@ def subscriptions_plain(txns: DataFrame) -> DataFrame:
     """Detection with the spread of the whole series instead of its levels: all
     native, no fold. Differs from :func:`detect` only where a price changed."""
     points = materialise(series.charge_points(txns))
-    return assemble(points, series.as_of_dates(txns), series.spread(points, SERIES)).drop("_cv")
+    return assemble(points, as_of_dates(txns), series.spread(points, SERIES)).drop("_cv")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook.operators.series import SERIES
-from duebook.operators.skew import per_key_join
+from duebook.operators.skew import join_list
 from duebook.sources.schemas import EXPORT_TABLES
 
 
@@ -17,19 +17,13 @@ def for_tenant(df: DataFrame, user_id: int | None) -> DataFrame:
     return df.filter(F.col("user_id") == F.lit(user_id).cast("bigint"))
 
 
-def _other_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != "user_id"] or ["user_id"]
-
-
 def without_tenants(df: DataFrame, users: DataFrame) -> DataFrame:
     """Rows of everyone but `users`."""
-    return per_key_join(df, users.select("user_id").distinct(), ["user_id"],
-                        _other_columns(df), "left_anti")
+    return join_list(df, users, ["user_id"], "left_anti")
 
 
 def only_tenants(df: DataFrame, users: DataFrame) -> DataFrame:
-    return per_key_join(df, users.select("user_id").distinct(), ["user_id"],
-                        _other_columns(df), "left_semi")
+    return join_list(df, users, ["user_id"], "left_semi")
 
 
 def erase(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:

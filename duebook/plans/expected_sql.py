@@ -129,7 +129,7 @@ CTES = {
     "charges": f"""
         SELECT {S}, posted_date, -amount_cents AS amount, currency FROM @SRC
         WHERE merchant IS NOT NULL AND amount_cents < 0""",
-    "as_of": "SELECT user_id, max(posted_date) AS as_of FROM @SRC GROUP BY ALL",
+    "as_of": "SELECT user_id, max(posted_date) AS as_of, count(*) AS rows FROM @SRC GROUP BY ALL",
     "cadence": f"SELECT * FROM (VALUES {_CADENCE_ROWS}) AS t(ordinal, cadence, period, tol)",
     "gaps": f"""
         SELECT {S}, posted_date - lag(posted_date) OVER (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duebook.operators.load import new_transactions, upsert_accounts
 from duebook.operators.resolve import State, apply_decisions, resolve
+from duebook.operators.series import as_of_dates
 from duebook.operators.skew import materialise, per_key_join
 from duebook.operators.subscriptions import detect
 from duebook.operators.tenancy import only_tenants, replace_derived
@@ -51,8 +52,12 @@ def load_files(tables: dict[str, DataFrame], files: DataFrame,
     fields = materialise(statements.split_files(opened))
     typed = statements.typed_lines(fields)
     facts = materialise(statements.file_facts(typed))
-    lines = statements.signed_lines(typed, facts)
-    new = materialise(new_transactions(lines, tables["raw_transaction"]))
+    lines = materialise(statements.signed_lines(typed, facts))
+    # A charge loaded before has its date, so older and newer history is not read.
+    first, last = lines.agg(F.min("posted_date"), F.max("posted_date")).first()
+    known = tables["raw_transaction"].filter(F.col("posted_date").between(
+        F.lit(first).cast("date"), F.lit(last).cast("date")))
+    new = materialise(new_transactions(lines, known))
     affected = materialise(new.select("user_id").distinct())
     tables = {**tables, "account": accounts,
               "raw_transaction": tables["raw_transaction"].unionByName(new)}
@@ -74,10 +79,10 @@ def with_as_of(tables: dict[str, DataFrame], today: dt.date | None = None
                ) -> dict[str, DataFrame]:
     """Adds the ``as_of`` table the reports read: the newest transaction of each
     tenant, or `today` for a tenant that only has an account."""
-    newest = tables["raw_transaction"].groupBy("user_id").agg(
-        F.max("posted_date").alias("as_of"))
+    newest = as_of_dates(tables["raw_transaction"])
     if today is not None:
         known = tables["account"].select("user_id").distinct()
-        newest = known.join(newest, "user_id", "left").withColumn(
-            "as_of", F.coalesce("as_of", F.lit(today)))
+        newest = known.join(newest, "user_id", "left").select(
+            "user_id", F.coalesce("as_of", F.lit(today)).alias("as_of"),
+            F.coalesce("rows", F.lit(0)).alias("rows"))
     return {**tables, "as_of": newest}

@@ -25,8 +25,8 @@ def page(df: DataFrame, order: list, limit: int = MAX_PAGE, offset: int = 0,
     """Rows offset+1 .. offset+limit per key with their position."""
     limit = max(1, min(int(limit), MAX_PAGE))
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (df.withColumn("position", at)
-            .filter((F.col("position") <= offset + limit) & (F.col("position") > offset)))
+    return (top_rows(df, list(keys), order, offset + limit).withColumn("position", at)
+            .filter(F.col("position") > offset))
 
 
 def clamp_days(days) -> int:
@@ -94,7 +94,7 @@ def filtered_list(subs: DataFrame, status: str = "active", min_annual: float = 0
 def upcoming(subs: DataFrame, as_of: DataFrame, days: int = 30) -> DataFrame:
     """Active charges due up to `days` (1..365) after the tenant's newest data."""
     dated = per_key_join(subs.filter("status = 'active'"), as_of, ["user_id"],
-                         ["merchant", "account_id"])
+                         ["merchant", "account_id"], weight="rows")
     return (dated.filter(F.col("next_due") <= F.date_add("as_of", clamp_days(days)))
             .select("user_id", "next_due", "merchant", "account_id", "current_amount_cents",
                     "currency", "cadence"))
@@ -119,8 +119,8 @@ def history(txns: DataFrame, subs: DataFrame, limit: int = MAX_PAGE,
     """The charges behind each subscription, oldest first."""
     charges = txns.filter("amount_cents < 0 and merchant is not null").select(
         *SERIES, "posted_date", (-F.col("amount_cents")).alias("amount_cents"))
-    rows = per_key_join(charges, subs.select(*SERIES), SERIES, ["posted_date", "amount_cents"],
-                        "left_semi")
+    rows = per_key_join(charges, subs.select(*SERIES, "charge_count"), SERIES,
+                        ["posted_date", "amount_cents"], "left_semi", "charge_count")
     return page(rows, ["posted_date", "amount_cents"], limit, offset, tuple(SERIES))
 
 
@@ -215,8 +215,9 @@ def cost_shares(subs: DataFrame) -> DataFrame:
     """Yearly cost relative to the tenant's dearest in the same currency."""
     rows = costed(subs)
     top = rows.groupBy("user_id", "currency").agg(
-        F.greatest(F.max("annual_cents"), F.lit(1)).alias("_top"))
-    return (per_key_join(rows, top, ["user_id", "currency"], ["merchant", "account_id"])
+        F.greatest(F.max("annual_cents"), F.lit(1)).alias("_top"), F.count("*").alias("_rows"))
+    return (per_key_join(rows, top, ["user_id", "currency"], ["merchant", "account_id"],
+                         weight="_rows")
             .select(*SERIES, "currency", "annual_cents",
                     (F.col("annual_cents") / F.col("_top")).alias("cost_share")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duebook.operators.skew import materialise
 from duebook.sources import schemas
 
-BUCKETS = 64
+BUCKETS = 64           # of a new store; more tenants and more cores want more
 BUCKET = "tenant_bucket"
 SCHEMAS = {
     "account": schemas.ACCOUNT, "merchant": schemas.MERCHANT,
@@ -54,6 +54,6 @@ def write_tables(tables: dict[str, DataFrame], root: str, buckets: list[int]) ->
         blank = spark.createDataFrame([(b,) for b in buckets], f"{BUCKET} int")
         (df.filter(F.col(BUCKET).isin(buckets))
          .unionByName(blank, allowMissingColumns=True)
-         .hint("rebalance", BUCKET)
+         .hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "user_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(f"{root}/{name}"))

@@ -88,6 +88,15 @@ def test_per_key_join(spark, monkeypatch, how, weight):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_top_rows_beyond_the_group_limit(spark, monkeypatch):
+    monkeypatch.setattr(skew, "GROUP_LIMIT", 5)
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 500).alias("v"))
+    got = skew.top_rows(df, ["k"], [F.desc("v")], 20)
+    want = skew.top_rows(df, ["k"], [F.desc("v")], 4)
+    assert got.groupBy("k").count().collect() and got.count() == 60
+    assert set(map(tuple, want.collect())) <= set(map(tuple, got.collect()))
+
+
 def log(spark, seed, n=300, keys=3):
     rng = random.Random(seed)
     t0 = dt.datetime(2026, 1, 1)
