@@ -54,9 +54,13 @@ class AcceptedOnly:
     def __init__(self, state: str | None):
         self.accepted = deque(json.loads(state) if state else ())
 
-    def state(self) -> str:
+    def tail(self) -> str:
         return json.dumps(list(self.accepted))
 
+    @staticmethod
+    def chain(state: str | None, tail: str) -> str:
+        return tail
+
     def feed(self, row, following):
         at, limit, width, cleared = row[:4]
         while self.accepted and self.accepted[0] <= at - width:

@@ -260,11 +260,26 @@ class PriceLevels:
     results = 2
 
     def __init__(self, state: str | None):
-        self.level, counts = json.loads(state) if state else (0, ())
-        self.run = RunningMedian([tuple(c) for c in counts])
-
-    def state(self) -> str:
-        return json.dumps([self.level, [[v, self.run.count[v]] for v in self.run.values]])
+        self.first, counts = json.loads(state) if state else (0, ())
+        self.level = self.first
+        self.given = {v: n for v, n in counts}
+        self.run = RunningMedian(list(self.given.items()))
+
+    def tail(self) -> str:
+        """Steps found here and the open level's amounts; without a step, only
+        those this chunk added to the level it was given."""
+        before = {} if self.level > self.first else self.given
+        added = [[v, self.run.count[v] - before.get(v, 0)] for v in self.run.values]
+        return json.dumps([self.level - self.first, [a for a in added if a[1]]])
+
+    @staticmethod
+    def chain(state: str | None, tail: str) -> str:
+        level, counts = json.loads(state) if state else (0, ())
+        steps, added = json.loads(tail)
+        total = {} if steps else {v: n for v, n in counts}
+        for v, n in added:
+            total[v] = total.get(v, 0) + n
+        return json.dumps([level + steps, sorted(total.items())])
 
     def feed(self, row, following):
         amount, n = row[1], row[2]

@@ -21,8 +21,8 @@ def _decide(key, frames, state):
     accepted = [step.feed(r, None)[0] for r in zip(
         rows["us"].tolist(), rows["limit"].tolist(), rows["width"].tolist(),
         rows["cleared"].tolist())]
-    state.update((step.state(),))
-    last = json.loads(step.state())
+    state.update((step.tail(),))
+    last = json.loads(step.tail())
     if last:
         until = (last[-1] + int(rows["width"].iloc[0])) // 1000
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
