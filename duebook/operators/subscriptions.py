@@ -11,11 +11,11 @@ from duebook.operators.series import SERIES, USAGE_CV, as_of_dates
 from duebook.operators.skew import materialise, per_key_join
 
 
-def assemble(points, as_of, cvs) -> DataFrame:
-    found = series.cadences(points)
-    amounts = series.current_amounts(points)
-    rows = (found.join(amounts, SERIES).join(series.series_currency(points), SERIES)
-            .join(cvs, SERIES, "left")
+def assemble(found, points, amounts, cvs, as_of) -> DataFrame:
+    """Join the facts of each series. `amounts` holds the counted charges of the
+    found series only; `points` of all, for the currency."""
+    rows = (found.join(series.current_amounts(amounts), SERIES)
+            .join(series.series_currency(points), SERIES).join(cvs, SERIES, "left")
             .withColumn("cv", F.coalesce("cv", F.lit(0.0))))
     rows = per_key_join(rows, as_of, ["user_id"], ["merchant", "account_id"], weight="rows")
     period, last = F.col("period_days"), F.col("last_seen")
@@ -29,17 +29,28 @@ def assemble(points, as_of, cvs) -> DataFrame:
         .alias("confidence"), F.col("cv").alias("_cv"))
 
 
+def _with_cadence(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """-> (series with a cadence, their points). Days alone decide the cadence, and
+    most series of a statement have none: only the rest goes on to amounts."""
+    found = materialise(series.cadences(points))
+    mine = per_key_join(points, found.select(*SERIES, "charge_count"), SERIES,
+                        ["posted_date", "amount"], "left_semi", "charge_count")
+    return found, mine
+
+
 def detect(txns: DataFrame, split_rows: int | None = SPLIT_ROWS
            ) -> tuple[DataFrame, DataFrame]:
     """-> (subscriptions, price changes) of every tenant in `txns`.
 
     Steps are found first and the spread is measured within the levels they make;
-    a series whose amount moves within a level has no price to change. The counted
-    points and the levels are each read several times, so both are written once.
+    a series whose amount moves within a level has no price to change. Points,
+    found series and levels are each read several times, so each is written once.
     """
     points = materialise(series.charge_points(txns))
-    levels = materialise(series.price_levels(points, split_rows))
-    subs = materialise(assemble(points, as_of_dates(txns), series.segmented_cv(levels)))
+    found, mine = _with_cadence(points)
+    levels = materialise(series.price_levels(mine, split_rows))
+    subs = materialise(assemble(found, points, levels, series.segmented_cv(levels),
+                                as_of_dates(txns)))
     steady = subs.filter(F.col("_cv") <= USAGE_CV).select(*SERIES)
     old, new = F.col("old_amount_cents"), F.col("new_amount_cents")
     changes = (series.price_steps(levels).join(steady, SERIES, "left_semi")
@@ -51,4 +62,7 @@ def subscriptions_plain(txns: DataFrame) -> DataFrame:
     """Detection with the spread of the whole series instead of its levels: all
     native, no fold. Differs from :func:`detect` only where a price changed."""
     points = materialise(series.charge_points(txns))
-    return assemble(points, as_of_dates(txns), series.spread(points, SERIES)).drop("_cv")
+    found, mine = _with_cadence(points)
+    mine = materialise(mine)
+    return assemble(found, points, mine, series.spread(mine, SERIES),
+                    as_of_dates(txns)).drop("_cv")
