@@ -28,6 +28,8 @@ SHORTEST_HELD = 5
 
 WORD_BITS = 64
 PAIRS_AT_ONCE = 1 << 18
+CELLS_AT_ONCE = 1 << 24        # pairs times letters of the alphabet in use
+ROWS_AT_ONCE = 2000
 # 2*C/(m+C) >= 0.85 solved for C, the characters two names have in common.
 _SHARED_FLOOR = SUSPECT / 100 / (2 - SUSPECT / 100) - 1e-9
 
@@ -96,8 +98,9 @@ class Names:
 
     def shared_characters(self, ia, ib) -> np.ndarray:
         out = np.zeros(len(ia), dtype=np.int64)
-        for at in range(0, len(ia), PAIRS_AT_ONCE):
-            part = slice(at, at + PAIRS_AT_ONCE)
+        pairs = max(CELLS_AT_ONCE // self.counts.shape[1], 1)
+        for at in range(0, len(ia), pairs):
+            part = slice(at, at + pairs)
             out[part] = np.minimum(self.counts[ia[part]], self.counts[ib[part]]).sum(axis=1)
         return out
 
@@ -216,9 +219,13 @@ def related(left, right, ia, ib) -> np.ndarray:
 
 def _columnwise(score):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        left, right = a.fillna("").tolist(), b.fillna("").tolist()
-        at = np.arange(len(left))
-        return pd.Series(score(left, right, at, at))
+        out = []
+        for k in range(0, len(a), ROWS_AT_ONCE):
+            left = a.iloc[k:k + ROWS_AT_ONCE].fillna("").tolist()
+            right = b.iloc[k:k + ROWS_AT_ONCE].fillna("").tolist()
+            at = np.arange(len(left))
+            out.append(score(left, right, at, at))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
     return run
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,13 +63,27 @@ def per_key_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def join_list(df: DataFrame, listed: DataFrame, keys: list[str], how: str) -> DataFrame:
+class KeyList(NamedTuple):
+    """Distinct keys, written once and counted."""
+    rows: DataFrame
+    short: bool
+
+
+def key_list(df: DataFrame | KeyList, keys: list[str]) -> KeyList:
+    if isinstance(df, KeyList):
+        return df
+    rows = materialise(df.select(*keys).distinct())
+    return KeyList(rows, rows.count() <= LIST_ROWS)
+
+
+def join_list(df: DataFrame, listed: DataFrame | KeyList, keys: list[str],
+              how: str) -> DataFrame:
     """Semi or anti join with a list of keys. A list counted to be short is
     broadcast, so `df` is not shuffled at all; a longer one joins key by key."""
-    listed = materialise(listed.select(*keys).distinct())
-    if listed.count() <= LIST_ROWS:
-        return df.join(F.broadcast(listed), keys, how)
-    return per_key_join(df, listed, keys, [c for c in df.columns if c not in keys], how)
+    listed = key_list(listed, keys)
+    if listed.short:
+        return df.join(F.broadcast(listed.rows), keys, how)
+    return per_key_join(df, listed.rows, keys, [c for c in df.columns if c not in keys], how)
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook.operators.series import SERIES
-from duebook.operators.skew import join_list
+from duebook.operators.skew import KeyList, join_list, key_list
 from duebook.sources.schemas import EXPORT_TABLES
 
 
@@ -17,21 +17,22 @@ def for_tenant(df: DataFrame, user_id: int | None) -> DataFrame:
     return df.filter(F.col("user_id") == F.lit(user_id).cast("bigint"))
 
 
-def without_tenants(df: DataFrame, users: DataFrame) -> DataFrame:
+def without_tenants(df: DataFrame, users: DataFrame | KeyList) -> DataFrame:
     """Rows of everyone but `users`."""
     return join_list(df, users, ["user_id"], "left_anti")
 
 
-def only_tenants(df: DataFrame, users: DataFrame) -> DataFrame:
+def only_tenants(df: DataFrame, users: DataFrame | KeyList) -> DataFrame:
     return join_list(df, users, ["user_id"], "left_semi")
 
 
 def erase(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
     """Every table without the given users: the whole deletion."""
+    users = key_list(users, ["user_id"])
     return {name: without_tenants(df, users) for name, df in tables.items()}
 
 
-def replace_derived(old: DataFrame, new: DataFrame, affected: DataFrame) -> DataFrame:
+def replace_derived(old: DataFrame, new: DataFrame, affected: DataFrame | KeyList) -> DataFrame:
     """Swap the derived rows of the affected tenants; no other tenant is touched."""
     return without_tenants(old, affected).unionByName(new)
 

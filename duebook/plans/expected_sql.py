@@ -538,11 +538,13 @@ EXPECTED = {
                    ORDER BY o_orderkey % 2, o_orderkey) AS rn FROM orders) WHERE rn = 1""",
     "queue_upsert": q("""
         SELECT user_id, scrubbed,
-               CASE WHEN user_id % 3 = 0 THEN txn_count * 10 ELSE txn_count END AS txn_count,
-               CASE WHEN user_id % 3 = 0 THEN NULL ELSE top_score END AS top_score,
+               CASE WHEN user_id % 2 = 1 OR user_id % 3 = 0 THEN txn_count * 10
+                    ELSE txn_count END AS txn_count,
+               CASE WHEN user_id % 2 = 1 OR user_id % 3 = 0 THEN NULL ELSE top_score END
+                 AS top_score,
                CASE WHEN user_id % 2 = 0 THEN reason ELSE 'ambiguous' END AS reason,
                CASE WHEN user_id % 2 = 0 THEN status ELSE 'pending' END AS status
-        FROM review_items WHERE user_id % 2 = 0 OR user_id % 3 = 0"""),
+        FROM review_items"""),
     "tenant_rows": q("""SELECT * EXCLUDE (merchant), merchant AS scrubbed FROM event_txns
         WHERE user_id = 7"""),
     "no_tenant_rows": "SELECT CAST(0 AS BIGINT) AS rows",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from duebook.operators.load import new_transactions, upsert_accounts
 from duebook.operators.resolve import State, apply_decisions, resolve
 from duebook.operators.series import as_of_dates
-from duebook.operators.skew import materialise, per_key_join
+from duebook.operators.skew import KeyList, key_list, materialise, per_key_join
 from duebook.operators.subscriptions import detect
 from duebook.operators.tenancy import only_tenants, replace_derived
 from duebook.plans import reports
@@ -26,7 +26,7 @@ class Loaded(NamedTuple):
     rejects: DataFrame
 
 
-def _analyse(tables: dict[str, DataFrame], affected: DataFrame):
+def _analyse(tables: dict[str, DataFrame], affected: KeyList):
     """Resolve and detect for the affected tenants -> (tables, outcomes, subs)."""
     mine = {name: only_tenants(df, affected) for name, df in tables.items()}
     state, outcomes = resolve(State(*(mine[n] for n in RESOLUTION)))
@@ -58,7 +58,7 @@ def load_files(tables: dict[str, DataFrame], files: DataFrame,
     known = tables["raw_transaction"].filter(F.col("posted_date").between(
         F.lit(first).cast("date"), F.lit(last).cast("date")))
     new = materialise(new_transactions(lines, known))
-    affected = materialise(new.select("user_id").distinct())
+    affected = key_list(new, ["user_id"])
     tables = {**tables, "account": accounts,
               "raw_transaction": tables["raw_transaction"].unionByName(new)}
     tables, outcomes, subs = _analyse(tables, affected)
@@ -71,8 +71,7 @@ def answer_review(tables: dict[str, DataFrame], decisions: DataFrame) -> dict[st
     answer can merge two merchants and change every total."""
     state = apply_decisions(State(*(tables[n] for n in RESOLUTION)), decisions)
     tables = {**tables, **dict(zip(RESOLUTION, state))}
-    affected = materialise(decisions.select("user_id").distinct())
-    return _analyse(tables, affected)[0]
+    return _analyse(tables, key_list(decisions, ["user_id"]))[0]
 
 
 def with_as_of(tables: dict[str, DataFrame], today: dt.date | None = None

@@ -229,7 +229,7 @@ def queue_upsert(spark, d):
     """Conflicts refresh count and score; reason and status stay."""
     q = review_items(spark, d).drop("candidates")
     old = q.filter("user_id % 2 = 0")
-    new = q.filter("user_id % 3 = 0").select(
+    new = q.filter("user_id % 2 = 1 or user_id % 3 = 0").select(
         "user_id", "scrubbed", (F.col("txn_count") * 10).alias("txn_count"),
         F.lit(None).cast("double").alias("top_score"), F.lit("ambiguous").alias("reason"),
         F.lit("pending").alias("status"))
