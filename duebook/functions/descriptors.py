@@ -7,6 +7,8 @@ one is useful (and tested) alone.
 
 from __future__ import annotations
 
+import functools
+import operator
 import sys
 from functools import lru_cache
 
@@ -70,7 +72,7 @@ def _ends_in_digit(c: Column) -> Column:
 
 
 def _any(c: Column, *texts: str) -> Column:
-    return F.greatest(*(c.contains(t) for t in texts)) if len(texts) > 1 else c.contains(texts[0])
+    return functools.reduce(operator.or_, (c.contains(t) for t in texts))
 
 
 # What plain ASCII text must have for TRAILING_JUNK[i] to match.
@@ -79,7 +81,7 @@ _COULD_MATCH = (
     _ends_in_digit,
     lambda c: _any(c, "#"),
     lambda c: _ends_in_digit(c) & _any(c, "/", "-"),
-    lambda c: F.greatest(*(c.endswith(x) for x in ("US", "USA", "CA", "CAN"))),
+    lambda c: functools.reduce(operator.or_, (c.endswith(x) for x in ("US", "USA", "CA", "CAN"))),
     lambda c: _ends_in_digit(c) & _any(c, "XX"),
     lambda c: _any(c, "REF", "AUTH", "INV", "ID", "TRN"),
 )
@@ -108,7 +110,7 @@ def drop_domains(c: Column, plain: bool = False) -> Column:
 def strip_state(c: Column, plain: bool = False) -> Column:
     """A trailing state code goes, unless nothing would be left."""
     if plain:
-        return let(c, lambda v: F.when(F.substring(v, -3, 1).rlike(r"\s"),
+        return let(c, lambda v: F.when(F.substring(v, -3, 1).isin(*_BLANKS),
                                        _drop(v, _STATE, True)).otherwise(v))
     return _drop(c, _STATE)
 
@@ -125,6 +127,14 @@ def _trailing_round(c: Column, plain: bool) -> Column:
     return strip_state(c, plain)
 
 
+def _may_have_trailing(c: Column) -> Column:
+    """Plain text that fails this has nothing to peel or strip."""
+    by_pattern = [could(c) for could in _COULD_MATCH]
+    state = F.substring(c, -3, 1).isin(*_BLANKS)
+    edges = F.substring(c, 1, 1).isin(*_BLANKS) | F.substring(c, -1, 1).isin(*_BLANKS)
+    return functools.reduce(operator.or_, (*by_pattern, state, edges))
+
+
 def peel_trailing(c: Column, plain: bool = False) -> Column:
     """Trailing junk stacks too: up to six rounds, ending with the first that
     changes nothing."""
@@ -135,8 +145,14 @@ def peel_trailing(c: Column, plain: bool = False) -> Column:
             lambda after: F.when(after == acc["text"], done).otherwise(
                 F.struct(after.alias("text"), F.lit(False).alias("done")))))
 
-    start = F.struct(c.alias("text"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_TRAILING_ROUNDS)), start, again)["text"]
+    def peeled(text: Column) -> Column:
+        start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+        rounds = F.sequence(F.lit(1), F.lit(MAX_TRAILING_ROUNDS))
+        return F.aggregate(rounds, start, again)["text"]
+
+    if not plain:
+        return peeled(c)
+    return let(c, lambda v: F.when(_may_have_trailing(v), peeled(v)).otherwise(v))
 
 
 def words_only(c: Column, plain: bool = False) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duebook.operators.folds import SPLIT_ROWS, fold_groups
@@ -19,31 +20,35 @@ HOUR = 3600 * MICROS
 KEY = ["kind", "key"]
 
 
+def _by_kind(values: dict[str, int]) -> Column:
+    """A setting per kind; kinds without one give NULL."""
+    return F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in values.items())).cast("bigint")
+
+
 def trailing_rate(attempts: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS) -> DataFrame:
     """Adds ``recent`` (other attempts of the key in the window before, bounds
     exclusive on the far side) and ``flagged`` (recent >= limit).
 
     A row lies in one window-wide time slot and is copied into the next, so every
-    partition spans two slots and a key busy for months is many partitions.
+    partition spans two slots and a key busy for months is many partitions. Time is
+    counted from the slot's start and stretched to the common multiple of all
+    windows, so that one frame serves every kind in one pass.
     """
-    settings: dict[tuple[int, int], list[str]] = {}
-    for kind, setting in limits.items():
-        settings.setdefault(setting, []).append(kind)
-    out = None
-    for (limit, seconds), kinds in settings.items():
-        width = seconds * MICROS
-        us = F.unix_micros("at")
-        slot = F.floor(us / F.lit(width))
-        rows = (attempts.filter(F.col("kind").isin(kinds)).withColumn("_us", us)
-                .withColumn("_own", slot)
-                .withColumn("_slot", F.explode(F.array(slot, slot + 1))))
-        before = (Window.partitionBy(*KEY, "_slot").orderBy("_us")
-                  .rangeBetween(-(width - 1), 0))
-        rows = (rows.withColumn("recent", F.count("*").over(before) - 1)
-                .filter("_own = _slot").drop("_us", "_own", "_slot")
-                .withColumn("flagged", F.col("recent") >= limit))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    common = math.lcm(*(seconds for _, seconds in limits.values()))
+    rows = (attempts.withColumn("_limit", _by_kind({k: n for k, (n, _) in limits.items()}))
+            .withColumn("_width", _by_kind({k: s * MICROS for k, (_, s) in limits.items()}))
+            .withColumn("_stretch", _by_kind({k: common // s for k, (_, s) in limits.items()}))
+            .filter("_limit is not null")
+            .withColumn("_own", F.expr("unix_micros(at) div _width"))
+            .withColumn("_slot", F.explode(F.array("_own", F.col("_own") + 1)))
+            .withColumn("_time", (F.unix_micros("at") - F.col("_own") * F.col("_width")
+                                  - F.when(F.col("_slot") > F.col("_own"), F.col("_width"))
+                                  .otherwise(0)) * F.col("_stretch")))
+    before = (Window.partitionBy(*KEY, "_slot").orderBy("_time")
+              .rangeBetween(-(common * MICROS - 1), 0))
+    return (rows.withColumn("recent", F.count("*").over(before) - 1).filter("_own = _slot")
+            .withColumn("flagged", F.col("recent") >= F.col("_limit"))
+            .select(*attempts.columns, "recent", "flagged"))
 
 
 class AcceptedOnly:
@@ -74,13 +79,12 @@ class AcceptedOnly:
 
 
 def with_limits(attempts: DataFrame, limits) -> DataFrame:
-    kind = F.col("kind")
-    limit = F.coalesce(*(F.when(kind == k, n) for k, (n, _) in limits.items()))
-    width = F.coalesce(*(F.when(kind == k, s * MICROS) for k, (_, s) in limits.items()))
+    limit = _by_kind({k: n for k, (n, _) in limits.items()})
+    width = _by_kind({k: seconds * MICROS for k, (_, seconds) in limits.items()})
     cleared = F.col("cleared") if "cleared" in attempts.columns else F.lit(False)
     return attempts.select(
-        *KEY, F.unix_micros("at").alias("us"), limit.cast("bigint").alias("limit"),
-        width.cast("bigint").alias("width"), cleared.alias("cleared"),
+        *KEY, F.unix_micros("at").alias("us"), limit.alias("limit"),
+        width.alias("width"), cleared.alias("cleared"),
         *(c for c in attempts.columns if c not in (*KEY, "at", "cleared"))
     ).filter("limit is not null")
 
