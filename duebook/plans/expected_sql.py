@@ -91,8 +91,8 @@ CTES = {
                ('purchase', 3, 43200), ('signup', 1, 86400)) AS t(kind, lim, secs)""",
     "event_fields": """
         SELECT user_id, user_id % 3 AS account_id,
-               'drop/' || user_id || '/' || (event_id // 512) || '.csv' AS source_file,
-               CAST(ts AS DATE) AS posted_date, (event_id // 512 + user_id) % 4 AS k,
+               'drop/' || user_id || '/' || (event_id // 65536) || '.csv' AS source_file,
+               CAST(ts AS DATE) AS posted_date, (event_id // 65536 + user_id) % 4 AS k,
                CAST(round_even(value * 100, 0) AS BIGINT) AS cents,
                'SQ *' || upper(event_type) || ' #' || (event_id % 97) AS raw_descriptor
         FROM events""",

@@ -162,7 +162,7 @@ def statement_files(spark, d):
 
 
 def signed_statement_lines(spark, d):
-    typed = statements.typed_lines(statement_fields(spark, d))
+    typed = statements.typed_lines(materialise(statement_fields(spark, d)))
     return statements.signed_lines(typed, statements.file_facts(typed))
 
 
@@ -535,8 +535,8 @@ def mixed_currency_series(spark, d):
 
 
 def load_report(spark, d):
-    typed = statements.typed_lines(statement_fields(spark, d))
-    facts = statements.file_facts(typed)
+    typed = statements.typed_lines(materialise(statement_fields(spark, d)))
+    facts = materialise(statements.file_facts(typed))
     new = load.new_transactions(statements.signed_lines(typed, facts))
     return reports.load_report(facts, new)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from duebook.functions.dates import parse_date
 from duebook.functions.descriptors import strip
 from duebook.functions.money import parse_amount
-from duebook.operators.load import FILE, apply_sign, flipped_files
+from duebook.operators.load import FILE, FLIPPED_SHARE, apply_sign
 
 # ---- fixed values: limits and the header words of each column's role --------
 MAX_BYTES = 8 * 1024 * 1024
@@ -194,15 +194,14 @@ def typed_lines(fields: DataFrame) -> DataFrame:
 def file_facts(typed: DataFrame) -> DataFrame:
     """Per file: usable and skipped lines, sign convention, and why it is refused."""
     usable = F.col("usable")
-    flips = flipped_files(typed.filter(usable))
-    counts = typed.groupBy(*FILE).agg(
+    positive = F.when(usable, (F.col("amount_cents") > 0).cast("int"))
+    return (typed.groupBy(*FILE).agg(
         F.count_if(usable).alias("rows_read"), F.count_if(~usable).alias("rows_skipped"),
-        F.max("flip_sign").alias("flip_sign"), F.bool_and("paired").alias("paired"))
-    return (counts.join(flips.drop("lines"), FILE, "left")
-            .withColumn("sign_flipped", F.coalesce("flip_sign", "sign_flipped", F.lit(False)))
-            .withColumn("reason", F.when(F.col("rows_read") == 0, "no usable rows")
-                        .when(F.col("rows_read") > MAX_ROWS, "more than 200000 rows"))
-            .drop("flip_sign"))
+        F.bool_and("paired").alias("paired"),
+        F.coalesce(F.max("flip_sign"), F.avg(positive) > FLIPPED_SHARE, F.lit(False))
+        .alias("sign_flipped"))
+        .withColumn("reason", F.when(F.col("rows_read") == 0, "no usable rows")
+                    .when(F.col("rows_read") > MAX_ROWS, "more than 200000 rows")))
 
 
 def signed_lines(typed: DataFrame, facts: DataFrame) -> DataFrame:

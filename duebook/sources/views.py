@@ -16,6 +16,7 @@ from duebook.functions.descriptors import scrub
 from duebook.operators.skew import by_python_key
 
 PARTS_PER_TENANT = 40
+EVENTS_PER_FILE = 65_536
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -85,11 +86,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statement files as (user_id, path, content). A file takes at most 512
-    events, whoever they belong to, so no file grows with the data. Layouts vary
+    """Statement files as (user_id, path, content). A file takes lines
+    of at most 65,536 consecutive events, whoever they belong to, so no file grows with the data. Layouts vary
     by file: separator, column names, date order, sign and encoding."""
     e = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value"
-             ).withColumn("block", F.floor(F.col("event_id") / 512))
+             ).withColumn("block", F.floor(F.col("event_id") / EVENTS_PER_FILE))
     kind = (F.col("block") + F.col("user_id")) % 4
     day, cents = F.to_date("ts"), F.rint(F.col("value") * 100).cast("bigint")
     text = F.concat(F.lit("SQ *"), F.upper("event_type"), F.lit(" #"),
