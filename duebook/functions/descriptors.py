@@ -97,7 +97,7 @@ def strip(c: Column, plain: bool = False) -> Column:
 
 
 def peel_prefixes(c: Column, plain: bool = False) -> Column:
-    """Processor prefixes stack; one repeated, anchored group takes them all."""
+    """Take up to five prefixes off with one anchored, repeated group."""
     return _drop(c, _PREFIXES, plain)
 
 
@@ -108,7 +108,7 @@ def drop_domains(c: Column, plain: bool = False) -> Column:
 
 
 def strip_state(c: Column, plain: bool = False) -> Column:
-    """A trailing state code goes, unless nothing would be left."""
+    """Drop a state code that follows something."""
     if plain:
         return let(c, lambda v: F.when(F.substring(v, -3, 1).isin(*_BLANKS),
                                        _drop(v, _STATE, True)).otherwise(v))
@@ -136,7 +136,7 @@ def _may_have_trailing(c: Column) -> Column:
 
 
 def peel_trailing(c: Column, plain: bool = False) -> Column:
-    """Trailing junk stacks too: up to six rounds, ending with the first that
+    """Up to six rounds over the trailing patterns, ending with the first that
     changes nothing."""
     def again(acc: Column, _: Column) -> Column:
         done = F.struct(acc["text"].alias("text"), F.lit(True).alias("done"))
@@ -178,7 +178,7 @@ def drop_store_numbers(tokens: Column, plain: bool = False) -> Column:
 
 
 def drop_id_tokens(tokens: Column, plain: bool = False) -> Column:
-    """Order ids mix digits and letters; never the first token."""
+    """Tokens of five or more with both digits and letters go, but for the first."""
     digit, letter = ("[0-9]", "[A-Za-z]") if plain else (digit_class(), r"\p{L}")
     return F.filter(tokens, lambda t, i: (i == 0) | (F.length(t) < SHORTEST_ID_TOKEN)
                     | ~t.rlike(digit) | ~t.rlike(letter))

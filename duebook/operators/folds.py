@@ -54,14 +54,14 @@ def _runner(step: Callable, keys: int, order: int, width: int, columns: list[str
                 if waiting is not None:
                     out.append((*group, ROW, *waiting, *folder.feed(waiting, row), None))
                 waiting = row if kind == ROW else None
-            yield pd.DataFrame(out, columns=columns).astype(object)
+            yield pd.DataFrame(out, columns=columns, dtype=object)
         if group is not None:
             out = []
             if waiting is not None:
                 out.append((*group, ROW, *waiting, *folder.feed(waiting, None), None))
             if end_states:
                 out.append((*group, STATE, *blank, folder.tail()))
-            yield pd.DataFrame(out, columns=columns).astype(object)
+            yield pd.DataFrame(out, columns=columns, dtype=object)
     return run
 
 
@@ -84,7 +84,7 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list[str], step: Callab
     """Fold `rows` per `keys` in `order`; returns the rows with the `results`
     columns ("name type, ...") added.
 
-    `order` columns must decide the order up to equal rows. `units` are expressions
+    Fields are numbers, booleans or text. `order` columns must decide the order up to equal rows. `units` are expressions
     that only grow along `order` and take a bounded number of values per group
     (a day, a day and a price band): chunks are made of whole units.
     """
@@ -138,7 +138,8 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list[str], step: Callab
                          *(F.col(f"_h.{f}").alias(f) for f in fields),
                          F.lit(None).cast("string").alias("_state"))
     stream = long.select(*ahead.columns).unionByName(ahead)
-    empty = [F.lit(None).cast(schema[f].dataType).alias(f) for f in fields]
+    # Zeros, not NULLs: one NULL would turn a whole batch of integers into floats.
+    empty = [F.lit(0).cast(schema[f].dataType).alias(f) for f in fields]
 
     def with_states(states: DataFrame | None) -> DataFrame:
         if states is None:

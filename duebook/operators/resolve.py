@@ -215,8 +215,8 @@ def _score(hits: str, i: int) -> Column:
 
 
 def classify(hits: DataFrame) -> DataFrame:
-    """-> (user_id, scrubbed, verdict, candidates). Only ``match`` is acted on
-    without asking."""
+    """-> (user_id, scrubbed, verdict, candidates). Every verdict but ``match``
+    goes to the review queue."""
     top, second = _score("token", 0), _score("token", 1)
     clash = (F.size("token") > 1) & (top - second <= MARGIN) & (second >= BORDERLINE)
     verdict = (F.when(clash, "ambiguous").when(top >= ACCEPT, "match")

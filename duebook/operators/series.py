@@ -80,10 +80,9 @@ def series_currency(points: DataFrame) -> DataFrame:
 
 
 def gap_fit(gap: Column, weight: Column, period: float) -> tuple[Column, Column, Column]:
-    """Aggregates of one cadence: median distance of the gaps from whole multiples
-    of the period, the widest multiple, and how many gaps skip a charge. The
-    distance is to the multiple and not divided by it: a wildly wrong gap must not
-    look close because it was split up."""
+    """Aggregates of one cadence: the median number of days by which gaps miss the
+    nearest whole multiple of the period (at least one), the largest such multiple,
+    and the number of gaps longer than one period."""
     k = F.greatest(F.lit(1.0), F.rint(gap / F.lit(period)))
     return (weighted_median(F.abs(gap - k * F.lit(period)), weight), F.max(k),
             F.sum(F.when(k > 1, weight).otherwise(0)))
@@ -177,8 +176,7 @@ def day_anchors(points: DataFrame) -> DataFrame:
 
 
 def current_amounts(points: DataFrame) -> DataFrame:
-    """Median of the last three charges, truncated: the price now, which one odd
-    final charge cannot set."""
+    """Median of the last three charges, truncated to a whole minor unit."""
     last = top_rows(points.select(*SERIES, "posted_date", "amount", "n"), SERIES,
                     [F.desc("posted_date"), F.desc("amount")], RECENT)
     repeated = F.flatten(F.transform(
@@ -253,9 +251,9 @@ class RunningMedian:
 
 
 class PriceLevels:
-    """Step of the price fold. A level is the run of charges near its median; a
-    charge off by more than the tolerance opens a new level only if the charge
-    after it agrees, otherwise it is a one-off and moves nothing."""
+    """Step of the price fold. A level is a run of amounts within the tolerance of
+    their running median. An amount outside it starts the next level if its
+    successor lies within the tolerance of it, and is skipped if not."""
 
     results = 2
 
@@ -341,7 +339,8 @@ def segmented_cv(levels: DataFrame) -> DataFrame:
 
 
 def confidence(charges: Column, norm_dev: Column, cv: Column) -> Column:
-    """More charges, a tighter fit and steadier amounts raise it; 3 decimals."""
+    """Weighted sum of three parts between 0 and 1 (number of charges, fit of the
+    cadence, steadiness of the amount), to 3 decimals."""
     score = (0.45 * F.least(F.lit(1.0), (charges - 1) / F.lit(4))
              + 0.40 * F.greatest(F.lit(0.0), 1.0 - norm_dev)
              + 0.15 * F.greatest(F.lit(0.0), 1.0 - F.least(cv, F.lit(1.0))))
@@ -365,7 +364,7 @@ def next_due(last: Column, as_of: Column, cadence: Column, period: Column,
 
 
 def status(last: Column, as_of: Column, period: Column) -> Column:
-    """Measured against the tenant's newest transaction, not against today."""
+    """By the days of silence up to the tenant's newest transaction."""
     silent = F.date_diff(as_of, last)
     return (F.when(silent > CANCELLED_AFTER * period, "cancelled")
             .when(silent > LAPSED_AFTER * period, "lapsed").otherwise("active"))

@@ -13,7 +13,7 @@ from duebook.sources.schemas import EXPORT_TABLES
 
 
 def for_tenant(df: DataFrame, user_id: int | None) -> DataFrame:
-    """One tenant's rows. No tenant means no rows, never all of them."""
+    """One tenant's rows; empty if there is no tenant."""
     return df.filter(F.col("user_id") == F.lit(user_id).cast("bigint"))
 
 
@@ -27,13 +27,13 @@ def only_tenants(df: DataFrame, users: DataFrame | KeyList) -> DataFrame:
 
 
 def erase(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the given users: the whole deletion."""
+    """Every table without the given users."""
     users = key_list(users, ["user_id"])
     return {name: without_tenants(df, users) for name, df in tables.items()}
 
 
 def replace_derived(old: DataFrame, new: DataFrame, affected: DataFrame | KeyList) -> DataFrame:
-    """Swap the derived rows of the affected tenants; no other tenant is touched."""
+    """Swap the derived rows of the affected tenants and keep everyone else's."""
     return without_tenants(old, affected).unionByName(new)
 
 
@@ -43,7 +43,7 @@ def purge_expired(df: DataFrame, expires: str, now: dt.datetime) -> DataFrame:
 
 
 def purge_older(df: DataFrame, at: str, now: dt.datetime, hours: int = 24) -> DataFrame:
-    """Drop rows older than `hours`: longer than the widest limit window."""
+    """Drop rows older than `hours` (a day covers every limit window)."""
     return df.filter(F.col(at) >= F.lit(now - dt.timedelta(hours=hours)))
 
 

@@ -67,8 +67,7 @@ def load_files(tables: dict[str, DataFrame], files: DataFrame,
 
 
 def answer_review(tables: dict[str, DataFrame], decisions: DataFrame) -> dict[str, DataFrame]:
-    """Apply review answers and run again for the tenants who gave them: one
-    answer can merge two merchants and change every total."""
+    """Apply review answers, then resolve and detect again for their tenants."""
     state = apply_decisions(State(*(tables[n] for n in RESOLUTION)), decisions)
     tables = {**tables, **dict(zip(RESOLUTION, state))}
     return _analyse(tables, key_list(decisions, ["user_id"]))[0]

@@ -16,8 +16,12 @@ from duebook.operators.series import SERIES, USAGE_CV, period_of
 from duebook.operators.skew import per_key_join, top_rows
 from duebook.operators.tenancy import for_tenant
 
+# ---- fixed values: page size, list length, the two reasons -------------------
 MAX_PAGE = 500
 FREQUENT = 15
+RENEWAL = "annual renewal ahead"
+SILENT = "no charge for over a cycle -- cancelled, or a failed card"
+# ---------------------------------------------------------------------------
 
 
 def page(df: DataFrame, order: list, limit: int = MAX_PAGE, offset: int = 0,
@@ -151,9 +155,8 @@ def spending_summary(subs: DataFrame, changes: DataFrame, as_of: DataFrame,
 def forgotten(subs: DataFrame) -> DataFrame:
     """Yearly renewals ahead, and what lapsed rather than ended."""
     reason = (F.when(F.col("cadence").isin("annual", "semiannual")
-                     & (F.col("status") == "active"), "annual renewal ahead")
-              .when(F.col("status") == "lapsed",
-                    "no charge for over a cycle -- cancelled, or a failed card"))
+                     & (F.col("status") == "active"), RENEWAL)
+              .when(F.col("status") == "lapsed", SILENT))
     return (subs.withColumn("reason", reason).filter("reason is not null")
             .select(*SERIES, "reason", "next_due", "last_seen", "current_amount_cents",
                     "currency"))
@@ -285,8 +288,8 @@ NAMED: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
 
 def call(tables: dict[str, DataFrame], user_id: int, name: str,
          arguments: dict | None = None) -> DataFrame:
-    """Run a named report for one tenant. An unknown name is refused; arguments a
-    report does not know are dropped, so none can name another tenant."""
+    """Run a named report for one tenant. Raises KeyError for an unknown name;
+    arguments the report does not list are ignored, a tenant among them."""
     builder, allowed = NAMED[name]
     known = {k: v for k, v in (arguments or {}).items() if k in allowed}
     scoped = {k: for_tenant(df, user_id) for k, df in tables.items()}

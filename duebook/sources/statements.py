@@ -119,10 +119,10 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 reason = "unreadable csv"
             out += [[*meta, None, reason, *[None] * len(ROLES), None]] if reason else mine
             if len(out) >= OUTPUT_ROWS:
-                yield pd.DataFrame(out, columns=columns)
+                yield pd.DataFrame(out, columns=columns, dtype=object)
                 out = []
     if out:
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=columns, dtype=object)
 
 
 def files_under(spark: SparkSession, root: str) -> DataFrame:

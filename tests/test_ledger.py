@@ -118,10 +118,10 @@ def test_reports(loaded):
     assert (up.old_amount_cents, up.new_amount_cents, up.annual_impact_cents) == (1549, 1799, 3000)
     q = reports.call(t, ALICE, "data_quality").first()
     assert (q.transactions, q.resolved_to_a_merchant, q.resolved_pct) == (7, 7, 100.0)
-    s = reports.call(t, ALICE, "spending_summary", {"evil": True}).first()
+    s = reports.call(t, ALICE, "spending_summary", {"limit": 1}).first()
     assert (s.active_subscriptions, s.annual) == (1, 215.86)
     with pytest.raises(KeyError):
-        reports.call(t, ALICE, "definitely_not_a_report")
+        reports.call(t, ALICE, "no_such_report")
     assert reports.call(t, None, "list_subscriptions").count() == 0
     h = reports.history(t["raw_transaction"], t["subscription"]).filter("user_id = 1")
     assert [r.amount_cents for r in h.orderBy("position").collect()] == [1549] * 3 + [1799] * 3

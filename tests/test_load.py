@@ -88,6 +88,16 @@ def test_per_key_join(spark, monkeypatch, how, weight):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("longest", [0, 100])
+def test_join_list(spark, monkeypatch, longest):
+    monkeypatch.setattr(skew, "LIST_ROWS", longest)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    df = spark.range(90).select((F.col("id") % 3).alias("user_id"), "id")
+    listed = spark.createDataFrame([(1,), (1,), (9,)], "user_id long")
+    assert skew.join_list(df, listed, ["user_id"], "left_semi").count() == 30
+    assert skew.join_list(df, listed, ["user_id"], "left_anti").count() == 60
+
+
 def test_top_rows_beyond_the_group_limit(spark, monkeypatch):
     monkeypatch.setattr(skew, "GROUP_LIMIT", 5)
     df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 500).alias("v"))
