@@ -62,10 +62,12 @@ class Encoder:
         self.table: dict[str, bytes] = {}
 
     def learn(self, pretokens) -> None:
-        new = list(set(pretokens) - self.table.keys())
+        wanted = set(pretokens)
+        new = wanted - self.table.keys()
         if len(self.table) + len(new) > TABLE:
             self.table.clear()
-            new = list(set(pretokens))
+            new = wanted
+        new = list(new)
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
             for word, code in zip(part, self.tokenizer.encode_batch_fast(
