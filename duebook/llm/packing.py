@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ CAPACITY = 1024
 END = 2
 SLACK = 16
 FAN_IN = 8
-TABLE = 400_000         # pre-tokens a worker remembers
+TABLE = 600_000         # pre-tokens a worker remembers
 CHUNK = 2 ** 21         # bytes of text cut into pre-tokens at once
 
 #: Letters of the plain range, all of category L.
@@ -61,18 +62,34 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.table: dict[str, bytes] = {}
 
-    def learn(self, pretokens) -> None:
-        wanted = set(pretokens)
-        new = wanted - self.table.keys()
-        if len(self.table) + len(new) > TABLE:
+    def learn(self, wanted: set[str]) -> None:
+        if len(self.table) + len(wanted) > TABLE:
             self.table.clear()
-            new = wanted
-        new = list(new)
+        new = list(wanted)
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
             for word, code in zip(part, self.tokenizer.encode_batch_fast(
                     part, add_special_tokens=False)):
-                self.table[word] = np.array(code.ids, dtype="<u4").tobytes()
+                ids = code.ids
+                self.table[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given as pre-tokens; new ones are learnt together."""
+        found = [list(map(self.table.get, words)) for words in texts]
+        gaps, wanted = [], set()
+        for words, codes in zip(texts, found):
+            spots, at = [], -1
+            for _ in range(codes.count(None)):
+                at = codes.index(None, at + 1)
+                spots.append(at)
+                wanted.add(words[at])
+            gaps.append(spots)
+        if wanted:
+            self.learn(wanted)
+            for words, codes, spots in zip(texts, found, gaps):
+                for at in spots:
+                    codes[at] = self.table[words[at]]
+        return list(map(b"".join, found))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
@@ -81,8 +98,7 @@ class Encoder:
     def long(self, text: str) -> bytes:
         found, out = PRETOKEN.finditer(text), []
         while part := [m.group() for m in islice(found, 100_000)]:
-            self.learn(part)
-            out.append(b"".join([self.table[x] for x in part]))
+            out += self.joined([part])
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -94,15 +110,13 @@ class Encoder:
                 size += len(texts[to])
                 to += 1
             part = texts[at:to]
-            if to - at == 1 and size > CHUNK:
-                yield self.long(part[0]) if PLAIN.fullmatch(part[0]) else self.whole(part[0])
+            plain = [bool(PLAIN.fullmatch(t)) for t in part]
+            if to - at == 1 and size > CHUNK and plain[0]:
+                yield self.long(part[0])
             else:
-                cut = [PRETOKEN.findall(t) if PLAIN.fullmatch(t) else None for t in part]
-                self.learn(chain.from_iterable(c for c in cut if c))
-                table = self.table
-                for text, words in zip(part, cut):
-                    yield (self.whole(text) if words is None
-                           else b"".join([table[w] for w in words]))
+                cut = iter(self.joined([PRETOKEN.findall(t) for t, p in zip(part, plain) if p]))
+                for text, is_plain in zip(part, plain):
+                    yield next(cut) if is_plain else self.whole(text)
             at = to
 
 
