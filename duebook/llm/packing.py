@@ -45,6 +45,11 @@ PLAIN = re.compile(f"[\t-\r -~{LETTER}]*")
 PRETOKEN = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\t-\r {LETTER}0-9]+"
     "|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Byte-level vocabularies write a byte as a character: printable ones as themselves, the
+#: others in order from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+OTHERS = [b for b in range(256) if b not in PRINTED]
+ALPHABET = {b: 256 + i for i, b in enumerate(OTHERS)}
 
 
 def default_tokenizer() -> str:
@@ -60,18 +65,16 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.table: dict[str, bytes] = {}
 
     def learn(self, wanted: set[str]) -> None:
         if len(self.table) + len(wanted) > TABLE:
             self.table.clear()
-        new = list(wanted)
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(
-                    part, add_special_tokens=False)):
-                ids = code.ids
-                self.table[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for word in wanted:
+            ids = [t.id for t in self.model.tokenize(
+                word.encode().decode("latin-1").translate(ALPHABET))]
+            self.table[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def joined(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts given as pre-tokens; new ones are learnt together."""
