@@ -57,9 +57,9 @@ TOKENS = 2 ** 18        # words handled at once
 SPELLED = 20_000        # words spelled at once while counting
 PRIOR = 0.4             # added to both counts of a context
 SEGMENT = 256           # words that are mixed in one run
-LANES = 1024            # segments that are stepped through together
-TREE_START = np.array([[0.25, 0.75, 0.05]] * 4, dtype=np.float32)
-SPELL_START = np.array([[0.15, 0.45, 0.45]] * 4, dtype=np.float32)
+LANES = 512             # segments that are stepped through together
+GATES = 4               # of the tree, and of the spelling
+TREE_START, SPELL_START = (0.25, 0.75, 0.05), (0.15, 0.45, 0.45)
 RATE, FAST, STEP = 0.02, 0.1, 0.02      # FAST falls with the words seen
 ROUNDS = 16             # rounded log-odds of the correction
 LIMIT = 14.0
@@ -220,27 +220,32 @@ def tokens_of(texts: list[bytes], numbers: dict[bytes, int], known: Known) -> To
 
 
 class Steps(NamedTuple):
-    """Decisions of tokens, one behind the other."""
-    owner: np.ndarray
+    """Decisions of words, one behind the other."""
+    owner: np.ndarray           # the word
+    of: np.ndarray              # what the contexts belong to: a word, or one of its bytes
     node: np.ndarray
     bit: np.ndarray
-    depth: np.ndarray
-    slots: list[np.ndarray]
+    gate: np.ndarray
+    contexts: list[np.ndarray]
+    bits: int
+
+    def slot(self, k: int) -> np.ndarray:
+        return hashed(self.contexts[k][self.of], self.node, self.bits)
 
 
 def word_steps(number, kind, before, paths: Paths) -> Steps:
+    """Gates go by the depth in the tree."""
     size, start = paths.length[number], paths.start[number]
     owner, at = ranges(start, size)
-    node = paths.node[at]
-    slots = [hashed(kind[owner], node, WORD_BITS), hashed(before[owner], node, WORD_BITS)]
-    return Steps(owner, node, paths.bit[at], at - start[owner], slots)
+    gate = np.minimum(at - start[owner] >> 2, GATES - 1).astype(np.int8)
+    return Steps(owner, owner, paths.node[at], paths.bit[at], gate, [kind, before], WORD_BITS)
 
 
 PLACES = np.arange(1, LONGEST + 1, dtype=np.uint64) * WIDE | np.uint64(1)
 
 
 def spelled(words: list[bytes], paths: Paths) -> Steps:
-    """`depth` is the place in the word."""
+    """Gates go by the place in the word."""
     sizes = np.array([len(w) for w in words], dtype=np.int64) + 1
     symbol = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -253,11 +258,11 @@ def spelled(words: list[bytes], paths: Paths) -> Steps:
     prefix = total - total[begin][owner] if len(words) else total
     path = one.astype(np.int64) * 256 + symbol
     of, where = ranges(paths.start[path], paths.length[path])
-    node = paths.node[where]
     contexts = (one, one | two << np.uint64(8) | three << np.uint64(16) | np.uint64(1 << 40),
                 prefix ^ np.uint64(1 << 50))
-    slots = [hashed(spread(c + (one << np.uint64(52)))[of], node, SPELL_BITS) for c in contexts]
-    return Steps(owner[of], node, paths.bit[where], at[of], slots)
+    return Steps(owner[of], of, paths.node[where], paths.bit[where],
+                 np.minimum(at, GATES - 1).astype(np.int8)[of],
+                 [spread(c + (one << np.uint64(52))) for c in contexts], SPELL_BITS)
 
 
 # ------------------------------------------------------------------ tables --
@@ -358,12 +363,14 @@ def spelling_odds(counts: DataFrame, rows: int, paths: Paths) -> np.ndarray:
             for at in range(0, len(words), SPELLED):
                 found = spelled(words[at:at + SPELLED], sent.value)
                 times = n[at:at + SPELLED][found.owner]
-                for table, slot in zip(tables, found.slots):
-                    np.add.at(table, slot * 2 + found.bit, times)
+                for k, table in enumerate(tables):
+                    np.add.at(table, found.slot(k) * 2 + found.bit, times)
         yield from parts_of(tables)
 
-    return log_odds(counts.repartition(tasks).mapInArrow(run, PARTS), tasks, SPELL_TABLES,
-                    SPELL_BITS)
+    out = log_odds(counts.repartition(tasks).mapInArrow(run, PARTS), tasks, SPELL_TABLES,
+                   SPELL_BITS)
+    sent.destroy()
+    return out
 
 
 def context_odds(train: DataFrame, known: Known) -> np.ndarray:
@@ -375,20 +382,29 @@ def context_odds(train: DataFrame, known: Known) -> np.ndarray:
         if not ready:
             ready.extend([sent.value, sent.value.numbers()])
         known, numbers = ready
-        tables = np.zeros((WORD_TABLES, 2 << WORD_BITS), dtype=np.int64)
+        tables = np.zeros((WORD_TABLES, 2 << WORD_BITS))
+        fresh, held = np.zeros(tables.shape, dtype=np.float32), 0   # exact up to 2 ** 24
         for batch in batches:
             for _, texts in chunks(text_bytes(batch)):
                 t = tokens_of(texts, numbers, known)
                 for at in range(0, len(t.number), TOKENS):
                     own = slice(at, at + TOKENS)
                     found = word_steps(t.number[own], t.kind[own], t.before[own], known.paths)
-                    for table, slot in zip(tables, found.slots):
-                        table += np.bincount(slot * 2 + found.bit, minlength=2 << WORD_BITS)
+                    once = np.ones(len(found.bit), dtype=np.float32)
+                    for k, table in enumerate(fresh):
+                        np.add.at(table, found.slot(k) * 2 + found.bit, once)
+                    held += TOKENS
+                    if held > 2 ** 23:
+                        tables += fresh
+                        fresh[:], held = 0, 0
+        tables += fresh
         yield from parts_of(tables)
 
     source = train.select("text")
-    return log_odds(source.mapInArrow(run, PARTS), source.rdd.getNumPartitions(), WORD_TABLES,
-                    WORD_BITS)
+    out = log_odds(source.mapInArrow(run, PARTS), source.rdd.getNumPartitions(), WORD_TABLES,
+                   WORD_BITS)
+    sent.destroy()
+    return out
 
 
 def chunks(texts: list[bytes]):
@@ -413,15 +429,14 @@ class Model(NamedTuple):
                              spelling_odds=self.spelling_odds.astype(np.float32))
 
 
-def mixed(odds: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, lane: np.ndarray,
-          bounds: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+def mixed(odds: list[np.ndarray], bit: np.ndarray, cells: np.ndarray, bounds: np.ndarray,
+          start: tuple, n: int) -> np.ndarray:
     """The cost, a natural logarithm, of all decisions of each of n lanes. Those between
-    bounds[k] and bounds[k + 1] are mixed together with what was learnt before."""
-    gates = len(start)
-    cells = lane * gates + gate
+    bounds[k] and bounds[k + 1] are mixed together with what was learnt before. `cells`
+    are lane * GATES + gate."""
     sign = bit.astype(np.float32) * 2 - 1
-    weights = [np.tile(column, n) for column in start.T]
-    shift = np.zeros(n * gates * ROUNDS, dtype=np.float32)
+    weights = [np.full(n * GATES, x, dtype=np.float32) for x in start]
+    shift = np.zeros(n * GATES * ROUNDS, dtype=np.float32)
     cost = np.empty(len(bit), dtype=np.float32)
     for turn, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
         if a == b:
@@ -442,9 +457,9 @@ def mixed(odds: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, lane: np.nd
         wrong /= 1 + wrong
         wrong *= s
         for weight, x in zip(weights, o):
-            weight += (rate * np.bincount(g, wrong * x, n * gates)).astype(np.float32)
+            weight += (rate * np.bincount(g, wrong * x, n * GATES)).astype(np.float32)
         np.add.at(shift, spot, STEP * wrong)
-    return np.bincount(lane, cost, n).astype(np.float64)
+    return np.bincount(cells, cost, n * GATES).astype(np.float64).reshape(n, GATES).sum(1)
 
 
 def mixed_logs(t: Tokens, start: np.ndarray, stop: np.ndarray, model: Model) -> np.ndarray:
@@ -463,19 +478,22 @@ def mixed_logs(t: Tokens, start: np.ndarray, stop: np.ndarray, model: Model) ->
 
     words = word_steps(number, t.kind[token], t.before[token], model.known.paths)
     ends = np.concatenate([[0], np.cumsum(model.known.paths.length[number])])
-    cost = mixed([model.known.paths.odds[words.node],
-                  *[x[slot] for x, slot in zip(model.word_odds, words.slots)]],
-                 words.bit, np.minimum(words.depth >> 2, 3), lane[words.owner], ends[turns],
-                 TREE_START, n)
+    odds = [model.known.paths.odds[words.node],
+            *[x[words.slot(k)] for k, x in enumerate(model.word_odds)]]
+    bit, cells = words.bit, lane[words.owner] * GATES + words.gate
+    del words
+    cost = mixed(odds, bit, cells, ends[turns], TREE_START, n)
+    del odds, bit, cells
 
     rare = np.flatnonzero(number == 0)
     if len(rare):
         text = [t.rare[i] for i in np.searchsorted(t.rare_at, token[rare]).tolist()]
         letters = spelled(text, model.spelling)
         ends = np.searchsorted(letters.owner, np.arange(len(rare) + 1))
-        cost += mixed([x[slot] for x, slot in zip(model.spelling_odds, letters.slots)],
-                      letters.bit, np.minimum(letters.depth, 3), lane[rare][letters.owner],
-                      ends[np.searchsorted(rare, turns)], SPELL_START, n)
+        odds = [x[letters.slot(k)] for k, x in enumerate(model.spelling_odds)]
+        bit, cells = letters.bit, lane[rare][letters.owner] * GATES + letters.gate
+        del letters
+        cost += mixed(odds, bit, cells, ends[np.searchsorted(rare, turns)], SPELL_START, n)
     out = np.empty(n)
     out[order] = -cost
     return out
@@ -548,6 +566,7 @@ def score(docs: DataFrame) -> DataFrame:
     scored = materialise(docs.select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", held.alias("held_out"), "text")
         .mapInArrow(run, SCORED))
+    sent.destroy()
     rare = scored.select("_row", F.explode("rare").alias("word"))
     met = (rare.join(words.filter(F.col("n") < least), "word").groupBy("_row")
            .agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs")))
