@@ -50,13 +50,10 @@ def _from_parts(ymd: Column) -> Column:
 
 
 def _parse(text: Column, layouts) -> Column:
-    """At most one layout fits a text, so the rearrangements chain safely."""
-    iso = text
-    for shape, order in layouts:
-        iso = F.regexp_replace(iso, F.lit(f"^{shape}$"), F.lit(order))
-    fits = r"^(\d{4}|\d{2})-([A-Za-z]{3}|\d{1,2})-( ?\d{1,2})$"
-    return let(iso, lambda i: F.when(
-        i.rlike(fits), let(F.split(i, "-"), _from_parts)))
+    """Only a text that fits a layout is rearranged; any other gives NULL."""
+    fitted = F.coalesce(*(F.when(text.rlike(f"^{shape}$"), F.regexp_replace(
+        text, F.lit(f"^{shape}$"), F.lit(order))) for shape, order in layouts))
+    return let(fitted, lambda iso: let(F.split(iso, "-"), _from_parts))
 
 
 def parse_date(raw: Column, dayfirst: Column | bool = False) -> Column:

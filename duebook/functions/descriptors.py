@@ -49,8 +49,6 @@ TRAILING_JUNK = (
     r"\s+X{2,}\d+$",
     r"\s+(?:REF|AUTH|INV|ID|TRN)[:#]?\s*" + WORD + r"+$",
 )
-MAX_PREFIXES = 5
-MAX_TRAILING_ROUNDS = 6
 LONGEST_LEADING_NUMBER = 2
 SHORTEST_ID_TOKEN = 5
 # ---------------------------------------------------------------------------
@@ -62,7 +60,7 @@ _U = "(?U)"
 _ASCII = r"^[\x00-\x7F]*$"
 _BLANKS = " \t\n\r\f\x0b"
 _PREFIXES = ("^(?:(?:" + "|".join(PROCESSOR_INITIALS) + r")\s*\*+\s*|(?:"
-             + "|".join(PROCESSOR_PHRASES) + r")\s+){1," + str(MAX_PREFIXES) + "}")
+             + "|".join(PROCESSOR_PHRASES) + r")\s+)+")
 _DOMAIN = r"\.(?:" + "|".join(DOMAIN_ENDINGS) + ")(?!" + WORD + ")"
 _STATE = r"(?<=\S)\s+(?:" + "|".join(STATE_CODES) + ")$"
 
@@ -97,7 +95,7 @@ def strip(c: Column, plain: bool = False) -> Column:
 
 
 def peel_prefixes(c: Column, plain: bool = False) -> Column:
-    """Take up to five prefixes off with one anchored, repeated group."""
+    """Take all prefixes off with one anchored, repeated group."""
     return _drop(c, _PREFIXES, plain)
 
 
@@ -136,8 +134,8 @@ def _may_have_trailing(c: Column) -> Column:
 
 
 def peel_trailing(c: Column, plain: bool = False) -> Column:
-    """Up to six rounds over the trailing patterns, ending with the first that
-    changes nothing."""
+    """Rounds over the trailing patterns until one changes nothing. Each round before
+    that takes two characters at least, which bounds their number."""
     def again(acc: Column, _: Column) -> Column:
         done = F.struct(acc["text"].alias("text"), F.lit(True).alias("done"))
         return F.when(acc["done"], acc).otherwise(let(
@@ -147,7 +145,7 @@ def peel_trailing(c: Column, plain: bool = False) -> Column:
 
     def peeled(text: Column) -> Column:
         start = F.struct(text.alias("text"), F.lit(False).alias("done"))
-        rounds = F.sequence(F.lit(1), F.lit(MAX_TRAILING_ROUNDS))
+        rounds = F.sequence(F.lit(0), F.floor(F.length(text) / 2))
         return F.aggregate(rounds, start, again)["text"]
 
     if not plain:

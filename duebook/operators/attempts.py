@@ -17,6 +17,7 @@ LIMITS = {"login": (8, 900), "register": (5, 3600), "reset": (5, 3600), "upload"
 
 MICROS = 1_000_000
 HOUR = 3600 * MICROS
+NEVER = 2 ** 62
 KEY = ["kind", "key"]
 
 
@@ -32,7 +33,8 @@ def trailing_rate(attempts: DataFrame, limits: dict[str, tuple[int, int]] = LIMI
     A row lies in one window-wide time slot and is copied into the next, so every
     partition spans two slots and a key busy for months is many partitions. Time is
     counted from the slot's start and stretched to the common multiple of all
-    windows, so that one frame serves every kind in one pass.
+    windows, so that one frame serves every kind in one pass. Attempts of a kind
+    without a limit stay, never flagged and without ``recent``.
     """
     common = math.lcm(*(seconds for _, seconds in limits.values()))
     rows = (attempts.withColumn("_limit", _by_kind({k: n for k, (n, _) in limits.items()}))
@@ -46,9 +48,16 @@ def trailing_rate(attempts: DataFrame, limits: dict[str, tuple[int, int]] = LIMI
                                   .otherwise(0)) * F.col("_stretch")))
     before = (Window.partitionBy(*KEY, "_slot").orderBy("_time")
               .rangeBetween(-(common * MICROS - 1), 0))
-    return (rows.withColumn("recent", F.count("*").over(before) - 1).filter("_own = _slot")
-            .withColumn("flagged", F.col("recent") >= F.col("_limit"))
-            .select(*attempts.columns, "recent", "flagged"))
+    counted = (rows.withColumn("recent", F.count("*").over(before) - 1).filter("_own = _slot")
+               .withColumn("flagged", F.col("recent") >= F.col("_limit"))
+               .select(*attempts.columns, "recent", "flagged"))
+    return counted.union(without_limit(attempts, limits).withColumn(
+        "recent", F.lit(None).cast("bigint")).withColumn("flagged", F.lit(False)))
+
+
+def without_limit(attempts: DataFrame, limits) -> DataFrame:
+    limit = _by_kind({k: n for k, (n, _) in limits.items()})
+    return attempts.filter(limit.isNull())
 
 
 class AcceptedOnly:
@@ -79,24 +88,27 @@ class AcceptedOnly:
 
 
 def with_limits(attempts: DataFrame, limits) -> DataFrame:
+    """The attempts with their kind's limit and window; kinds without one have a limit
+    that is never reached."""
     limit = _by_kind({k: n for k, (n, _) in limits.items()})
     width = _by_kind({k: seconds * MICROS for k, (_, seconds) in limits.items()})
     cleared = F.col("cleared") if "cleared" in attempts.columns else F.lit(False)
     return attempts.select(
-        *KEY, F.unix_micros("at").alias("us"), limit.alias("limit"),
-        width.alias("width"), cleared.alias("cleared"),
-        *(c for c in attempts.columns if c not in (*KEY, "at", "cleared"))
-    ).filter("limit is not null")
+        *KEY, F.unix_micros("at").alias("us"), F.coalesce(limit, F.lit(NEVER)).alias("limit"),
+        F.coalesce(width, F.lit(1)).cast("bigint").alias("width"), cleared.alias("cleared"),
+        *(c for c in attempts.columns if c not in (*KEY, "at", "cleared")))
 
 
 def replay(attempts: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS,
            split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """What the limiter would have answered: ``accepted`` per attempt. A refused
     attempt is not recorded, so it does not count against later ones; an accepted
-    one marked ``cleared`` wipes its key's record."""
-    rows = with_limits(attempts, limits)
+    one marked ``cleared`` wipes its key's record. Kinds without a limit are accepted."""
+    free = without_limit(attempts, limits)
+    limited = _by_kind({k: n for k, (n, _) in limits.items()}).isNotNull()
+    rows = with_limits(attempts.filter(limited), limits)
     rest = [c for c in rows.columns if c not in KEY]
     out = fold_groups(rows, KEY, rest, AcceptedOnly, "accepted boolean",
                       [F.floor(F.col("us") / F.lit(HOUR))], split_rows)
     return out.withColumn("at", F.timestamp_micros("us")).select(
-        *attempts.columns, "accepted")
+        *attempts.columns, "accepted").union(free.withColumn("accepted", F.lit(True)))

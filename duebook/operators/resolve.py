@@ -319,17 +319,19 @@ def apply_decisions(state: State, decisions: DataFrame, repoint_all: bool = True
     to pending queue items; the last answer to an item counts. A named merchant
     becomes the descriptor's alias for good (an old alias keeps how it was first
     resolved) and every transaction of the descriptor moves to it; with
-    ``repoint_all=False`` only the unresolved ones do. A blank name is no answer.
+    ``repoint_all=False`` only the unresolved ones do. A blank name, or one above
+    ``NAME_CHARS`` characters, is no answer: the item goes on waiting.
     """
     pending = state.queue.filter("status = 'pending'").select(*NEEDLE)
     last = (decisions.groupBy(*NEEDLE)
             .agg(F.max_by(F.struct("merchant", "ignore"), "decided_at").alias("a"))
             .join(pending, NEEDLE, "left_semi"))
     asked = F.when(F.col("a.merchant") == "", None).otherwise(F.col("a.merchant"))
-    name = F.substring(F.trim(F.coalesce(asked, F.col("scrubbed"))), 1, NAME_CHARS)
+    name = F.trim(F.coalesce(asked, F.col("scrubbed")))
     ignored = F.coalesce(F.col("a.ignore"), F.lit(False))
     last = last.select(*NEEDLE, ignored.alias("ignored"), F.when(~ignored, name).alias("merchant"))
-    last = materialise(last.filter("ignored or merchant <> ''"))
+    last = materialise(last.filter(F.col("ignored") | F.length("merchant").between(
+        1, NAME_CHARS)))
     named = last.filter("not ignored")
     status = last.select(*NEEDLE, F.when(F.col("ignored"), "ignored").otherwise("resolved")
                          .alias("_status"))

@@ -38,7 +38,6 @@ PRICE_TOLERANCE = 0.02
 USAGE_CV = 0.02
 DAY_TOLERANCE = 3
 MONTH_END = 32
-FORECAST_STEPS = 65
 CANCELLED_AFTER, LAPSED_AFTER = 2.5, 1.5
 RECENT = 3
 # ---------------------------------------------------------------------------
@@ -350,15 +349,13 @@ def confidence(charges: Column, norm_dev: Column, cv: Column) -> Column:
 def next_due(last: Column, as_of: Column, cadence: Column, period: Column,
              anchor: Column) -> Column:
     """The first charge after `as_of`, without a loop: the step that passes it is
-    computed, at most 65 ahead. Monthly and semimonthly walk the calendar and clamp
+    computed, however far ahead. Monthly and semimonthly walk the calendar and clamp
     to the month's length; everything else adds whole periods."""
     months = ((F.year(as_of) - F.year(last)) * 12 + F.month(as_of) - F.month(last))
     late = month_day(last, months, anchor) <= as_of
-    k_month = F.least(F.lit(FORECAST_STEPS), F.greatest(
-        F.lit(1), months + late.cast("int")))
+    k_month = F.greatest(F.lit(1), months + late.cast("int"))
     step = F.rint(period).cast("int")
-    k_days = F.least(F.lit(FORECAST_STEPS), F.greatest(
-        F.lit(1), F.floor(F.date_diff(as_of, last) / step) + 1))
+    k_days = F.greatest(F.lit(1), F.floor(F.date_diff(as_of, last) / step) + 1)
     return (F.when(cadence.isin("monthly", "semimonthly"), month_day(last, k_month, anchor))
             .otherwise(F.date_add(last, (k_days * step).cast("int"))))
 
