@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from typing import NamedTuple
@@ -15,9 +16,13 @@ GROUP_LIMIT = 1000      # spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def shared_folder(spark) -> str:
-    """The cluster's checkpoint folder; one is made only where none is named."""
+    """The cluster's checkpoint folder. In a local session one is made where none is
+    named; on a cluster that is an error, as executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
         named = tempfile.mkdtemp(prefix="duebook-")
         spark.sparkContext.setCheckpointDir(named)
     return named

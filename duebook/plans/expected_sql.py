@@ -19,10 +19,9 @@ def scrub(column: str) -> str:
     e = f"trim(upper({column}))"
     prefix = ("^(?:(?:" + "|".join(PROCESSOR_INITIALS) + r")\s*\*+\s*|(?:"
               + "|".join(PROCESSOR_PHRASES) + r")\s+)")
-    for _ in range(5):
-        e = f"trim({drop(e, prefix)})"
+    e = f"trim({drop(e, prefix.replace('^', '^(?:', 1) + ')+')})"
     e = f"trim({drop(e, chr(92) + '.(?:' + '|'.join(DOMAIN_ENDINGS) + ')' + chr(92) + 'b', ', ' + repr('g'))})"
-    for _ in range(6):
+    for _ in range(8):
         for p in (r"\s+\d{3}[-.\s]?\d{3}[-.\s]?\d{4}$", r"\s+\d{8,}$", r"\s+#\s*\w+$",
                   r"\s+\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?$", r"\s+(?:USA?|CAN?)$",
                   r"\s+X{2,}\d+$", r"\s+(?:REF|AUTH|INV|ID|TRN)[:#]?\s*\w+$"):
@@ -88,7 +87,7 @@ CTES = {
                event_id, event_id % 7 = 0 AS cleared FROM events""",
     "attempt_limits": """
         SELECT * FROM (VALUES ('click', 8, 900), ('view', 5, 3600), ('error', 2, 86400),
-               ('purchase', 3, 43200), ('signup', 1, 86400)) AS t(kind, lim, secs)""",
+               ('purchase', 3, 43200)) AS t(kind, lim, secs)""",
     "event_fields": """
         SELECT user_id, user_id % 3 AS account_id,
                'drop/' || user_id || '/' || (event_id // 65536) || '.csv' AS source_file,
@@ -232,7 +231,7 @@ CTES = {
                                                       AS INTEGER)
                       ELSE last_seen + CAST(round_even(period_days, 0) * step AS INTEGER) END AS due
           FROM (SELECT *, date_trunc('month', last_seen) + to_months(CAST(step AS INTEGER)) AS first
-                FROM found JOIN as_of USING (user_id), range(1, 66) AS r(step)))
+                FROM found JOIN as_of USING (user_id), range(1, 900) AS r(step)))
         GROUP BY {S}""",
     "assembled": f"""
         SELECT {S}, cadence, period_days, anchor_day, current_amount_cents, currency,
@@ -258,23 +257,25 @@ CTES = {
                CASE currency WHEN 'JPY' THEN 0 WHEN 'KWD' THEN 3 ELSE 2 END AS minor_digits
         FROM subs s""",
     "summary": f"""
-        SELECT user_id, as_of, currency, annual_minor,
-               CAST(round_even(annual_minor / 12, 0) AS BIGINT) AS monthly_minor,
-               active_count, inactive_count,
-               coalesce(effect, 0) AS price_increase_annual_minor, minor_digits,
+        SELECT user_id, as_of, currency, coalesce(annual_minor, 0) AS annual_minor,
+               CAST(round_even(coalesce(annual_minor, 0) / 12, 0) AS BIGINT) AS monthly_minor,
+               coalesce(active_count, 0) AS active_count,
+               coalesce(inactive_count, 0) AS inactive_count,
+               coalesce(effect, 0) AS price_increase_annual_minor,
+               coalesce(minor_digits, 2) AS minor_digits,
                coalesce(awaiting_review, 0) AS awaiting_review
-        FROM (SELECT user_id, currency,
+        FROM as_of
+        FULL JOIN (SELECT user_id, count(*) AS awaiting_review FROM review_items
+                   WHERE status = 'pending' GROUP BY ALL) USING (user_id)
+        LEFT JOIN (SELECT user_id, currency,
                      CAST(coalesce(sum(annual_cents) FILTER (WHERE status = 'active'), 0) AS BIGINT)
                        AS annual_minor, count(*) FILTER (WHERE status = 'active') AS active_count,
                      count(*) FILTER (WHERE status <> 'active') AS inactive_count,
-                     any_value(minor_digits) AS minor_digits FROM costed GROUP BY ALL)
+                     any_value(minor_digits) AS minor_digits FROM costed GROUP BY ALL) USING (user_id)
         LEFT JOIN (SELECT user_id, currency, CAST(sum(round_even(
                      (new_amount_cents - old_amount_cents) * CAST(365.25 AS DOUBLE) / period_days, 0))
                      AS BIGINT) AS effect FROM changes JOIN subs USING ({S}) GROUP BY ALL)
-             USING (user_id, currency)
-        LEFT JOIN as_of USING (user_id)
-        LEFT JOIN (SELECT user_id, count(*) AS awaiting_review FROM review_items
-                   WHERE status = 'pending' GROUP BY ALL) USING (user_id)""",
+             USING (user_id, currency)""",
     "truth": """
         SELECT user_id, merchant, CASE WHEN count(*) = 1 THEN min(c) END AS expected FROM (
           SELECT p_partkey // 40 + 1 AS user_id, upper(p_name) || ' ' || p_type AS merchant,
@@ -480,12 +481,17 @@ EXPECTED = {
                  WHEN 5 THEN strftime(d, '%d-') || {_MON} || strftime(d, '-%Y')
                  WHEN 6 THEN {_MON} || ' ' || day(d) || ', ' || year(d)
                  WHEN 7 THEN day(d) || ' ' || {_MON} || ' ' || year(d)
-                 ELSE strftime(d, '%d.%m.%Y') END AS raw,
-               d AS month_first,
-               CASE WHEN f IN (0, 1, 3) THEN CASE WHEN day(d) <= 12
+                 WHEN 8 THEN strftime(d, '%d.%m.%Y') WHEN 9 THEN strftime(d, '%d-%m-%y')
+                 WHEN 10 THEN strftime(d, '%y-%m-%d')
+                 WHEN 11 THEN strftime(d, '%d-') || {_MON} || strftime(d, '-%y')
+                 WHEN 12 THEN strftime(d, '%Y-') || {_MON} || strftime(d, '-%d')
+                 WHEN 13 THEN strftime(d, '%Y%m%d')
+                 ELSE strftime(d, '%Y-%m-%d') || ' 00:00' END AS raw,
+               CASE WHEN f < 9 THEN d END AS month_first,
+               CASE WHEN f > 8 THEN NULL WHEN f IN (0, 1, 3) THEN CASE WHEN day(d) <= 12
                     THEN make_date(year(d), day(d), month(d)) END
                     WHEN f = 6 THEN NULL ELSE d END AS day_first
-        FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 AS f FROM orders)""",
+        FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 15 AS f FROM orders)""",
     "money_columns": f"""
         SELECT o_orderkey, currency, digits, minor,
                CASE digits WHEN 0 THEN format('{{:,}}', minor)
@@ -547,7 +553,21 @@ EXPECTED = {
         FROM review_items"""),
     "tenant_rows": q("""SELECT * EXCLUDE (merchant), merchant AS scrubbed FROM event_txns
         WHERE user_id = 7"""),
-    "no_tenant_rows": "SELECT CAST(0 AS BIGINT) AS rows",
+    "no_tenant_rows": q("""SELECT user_id, count(*) AS rows FROM event_txns
+        WHERE user_id % 3 > 0 AND user_id IN (SELECT c_custkey FROM customer
+                                              WHERE c_custkey % 2 = 1) GROUP BY user_id"""),
+    "rejected_files": q("""
+        SELECT CASE WHEN k <> 6 THEN user_id END AS user_id,
+               replace(source_file, '/', '-') || CASE WHEN k = 5 THEN '.png' ELSE '' END AS file,
+               CASE k WHEN 0 THEN 'empty' WHEN 1 THEN 'binary' WHEN 2 THEN 'no usable rows'
+                    WHEN 3 THEN 'no amount or debit column'
+                    WHEN 4 THEN 'no date or description column'
+                    WHEN 5 THEN 'not a .csv, .txt or .tsv file' WHEN 6 THEN 'no user'
+                    WHEN 7 THEN 'account label above 64 characters'
+                    WHEN 8 THEN 'currency is not three letters' WHEN 9 THEN 'not text'
+                    ELSE 'no usable rows' END AS reason
+        FROM (SELECT DISTINCT user_id, source_file, user_id % 12 AS k FROM event_fields)
+        WHERE k < 11"""),
     "erased_tables": q("""
         WITH gone AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 5 = 0)
         SELECT user_id, count(*) AS rows, 'order' AS source FROM order_lines
@@ -628,7 +648,7 @@ EXPECTED = {
     "upcoming_totals": q("""
         SELECT user_id, currency, count(*) AS charges,
                CAST(sum(current_amount_cents) AS BIGINT) AS total_cents
-        FROM subs JOIN as_of USING (user_id) WHERE status = 'active' AND next_due <= as_of + 365
+        FROM subs JOIN as_of USING (user_id) WHERE status = 'active' AND next_due <= as_of + 400
         GROUP BY user_id, currency"""),
     "price_increases": q(f"""
         SELECT * FROM (SELECT {S}, effective_date, old_amount_cents, new_amount_cents, currency,
@@ -677,8 +697,9 @@ EXPECTED = {
     "understated_totals": q("""SELECT user_id, count(*) AS descriptors,
         CAST(sum(txn_count) AS BIGINT) AS charges FROM review_items
         WHERE status = 'pending' GROUP BY user_id"""),
-    "detected_totals": q("""SELECT user_id, currency, CAST(round_even(sum(current_amount_cents
-        * (CAST(365.25 AS DOUBLE) / period_days)), 0) AS BIGINT) AS annual_cents
+    "detected_totals": q("""SELECT user_id, currency, CAST(round_even(sum(CAST(
+        current_amount_cents * (CAST(365.25 AS DOUBLE) / period_days) AS DECIMAL(28, 6))), 0)
+        AS BIGINT) AS annual_cents
         FROM subs WHERE status = 'active' GROUP BY ALL"""),
     "cost_shares": q(f"""SELECT {S}, currency, annual_cents, round(annual_cents
         / greatest(max(annual_cents) OVER (PARTITION BY user_id, currency), 1), 6) AS cost_share
@@ -716,7 +737,7 @@ EXPECTED = {
         WHERE user_id = 3 AND status = 'active'
         UNION ALL SELECT 'spending_summary', count(*) FROM summary WHERE user_id = 3
         UNION ALL SELECT 'upcoming_charges', count(*) FROM subs JOIN as_of USING (user_id)
-                  WHERE user_id = 3 AND status = 'active' AND next_due <= as_of + 365
+                  WHERE user_id = 3 AND status = 'active' AND next_due <= as_of + 9999
         UNION ALL SELECT 'price_increases', count(*) FROM changes WHERE user_id = 3
         UNION ALL SELECT 'find_forgotten', count(*) FROM subs WHERE user_id = 3 AND (
                   status = 'lapsed' OR (status = 'active' AND cadence IN ('annual', 'semiannual')))
@@ -749,7 +770,9 @@ EXPECTED = {
         FROM attempt_log a JOIN attempt_limits USING (kind)
         JOIN attempt_log b ON a.kind = b.kind AND a.key = b.key AND b.us <= a.us
              AND b.us > a.us - CAST(secs AS BIGINT) * 1000000
-        GROUP BY a.kind, a.key, a.event_id"""),
+        GROUP BY a.kind, a.key, a.event_id
+        UNION ALL SELECT kind, key, event_id, NULL, false FROM attempt_log
+        WHERE kind NOT IN (SELECT kind FROM attempt_limits)"""),
     "accepted_attempts": q("""
         SELECT kind, key, r.e AS event_id, r.ok AS accepted FROM (
           SELECT kind, key, unnest(list_reduce(l, lambda acc, x:
@@ -763,5 +786,7 @@ EXPECTED = {
           FROM (SELECT kind, key, list({'us': us, 'w': CAST(secs AS BIGINT) * 1000000,
                          'lim': lim, 'cleared': cleared, 'e': event_id}
                          ORDER BY us, cleared, event_id) AS l
-                FROM attempt_log JOIN attempt_limits USING (kind) GROUP BY kind, key))"""),
+                FROM attempt_log JOIN attempt_limits USING (kind) GROUP BY kind, key))
+        UNION ALL SELECT kind, key, event_id, true FROM attempt_log
+        WHERE kind NOT IN (SELECT kind FROM attempt_limits)"""),
 }

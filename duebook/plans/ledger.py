@@ -8,10 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.operators.load import new_transactions, upsert_accounts
+from duebook.operators.load import FILE, new_transactions, upsert_accounts
 from duebook.operators.resolve import State, apply_decisions, resolve
 from duebook.operators.series import as_of_dates
-from duebook.operators.skew import KeyList, key_list, materialise, per_key_join
+from duebook.operators.skew import LIST_ROWS, KeyList, key_list, materialise, per_key_join
 from duebook.operators.subscriptions import detect
 from duebook.operators.tenancy import only_tenants, replace_derived
 from duebook.plans import reports
@@ -42,23 +42,33 @@ def _analyse(tables: dict[str, DataFrame], affected: KeyList):
 def load_files(tables: dict[str, DataFrame], files: DataFrame,
                loaded_at: dt.datetime) -> Loaded:
     """Load statement files (see ``statements.describe_files``): decode, parse,
-    drop what is already there, resolve, detect. Loading a file twice changes
-    nothing the second time."""
-    accounts = materialise(upsert_accounts(
-        tables["account"], files.select("user_id", "label", "currency"), loaded_at))
-    opened = per_key_join(statements.readable_files(files),
-                          accounts.select("user_id", "label", "account_id"),
-                          ["user_id", "label"], ["source_file"])
+    drop what is already there, resolve, detect. Loading a file twice adds nothing the
+    second time, but resolves and detects again for the tenants of all accepted files,
+    so a load that broke off before its results were written is made good. Accounts
+    come from accepted files only."""
+    readable = statements.readable_files(files)
+    label = ["user_id", "label"]
+    uploads = readable.select(*label, "currency", "source_file")
+    known = upsert_accounts(tables["account"], uploads.drop("source_file"), loaded_at)
+    known = materialise(known.join(uploads.select(*label).distinct(), label, "left_semi")
+                        .select(*label, "account_id"))
+    # File contents are shuffled only where the labels are too many to be sent along.
+    opened = (readable.join(F.broadcast(known), label) if known.count() <= LIST_ROWS
+              else per_key_join(readable, known, label, ["source_file"]))
     fields = materialise(statements.split_files(opened))
     typed = statements.typed_lines(fields)
     facts = materialise(statements.file_facts(typed))
+    accepted = facts.filter("reason is null").select(*FILE)
+    accounts = materialise(upsert_accounts(
+        tables["account"], uploads.join(accepted, FILE, "left_semi").drop("source_file"),
+        loaded_at))
     lines = materialise(statements.signed_lines(typed, facts))
     # A charge loaded before has its date, so older and newer history is not read.
     first, last = lines.agg(F.min("posted_date"), F.max("posted_date")).first()
     known = tables["raw_transaction"].filter(F.col("posted_date").between(
         F.lit(first).cast("date"), F.lit(last).cast("date")))
     new = materialise(new_transactions(lines, known))
-    affected = key_list(new, ["user_id"])
+    affected = key_list(accepted, ["user_id"])
     tables = {**tables, "account": accounts,
               "raw_transaction": tables["raw_transaction"].unionByName(new)}
     tables, outcomes, subs = _analyse(tables, affected)

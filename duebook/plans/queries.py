@@ -24,8 +24,7 @@ from duebook.operators.subscriptions import detect, subscriptions_plain
 from duebook.plans import reports
 from duebook.sources import schemas, statements, views
 
-LIMITS = {"click": (8, 900), "view": (5, 3600), "error": (2, 86400), "purchase": (3, 43200),
-          "signup": (1, 86400)}
+LIMITS = {"click": (8, 900), "view": (5, 3600), "error": (2, 86400), "purchase": (3, 43200)}
 CUT = dt.datetime(2024, 1, 20)
 
 
@@ -110,9 +109,12 @@ def parsed_amounts(spark, d):
 
 def parsed_dates(spark, d):
     o = views.read(spark, d, "orders", "o_orderkey", "o_orderdate")
-    day, form = F.to_date("o_orderdate"), F.col("o_orderkey") % 9
+    day, form = F.to_date("o_orderdate"), F.col("o_orderkey") % 15
     layouts = ("MM/dd/yyyy", "M/d/yy", "yyyy-MM-dd", "MM-dd-yyyy", "yyyy/M/d", "dd-MMM-yyyy",
-               "MMM d, yyyy", "d MMM yyyy", "dd.MM.yyyy")
+               "MMM d, yyyy", "d MMM yyyy", "dd.MM.yyyy",
+               # and some that are not read
+               "dd-MM-yy", "yy-MM-dd", "dd-MMM-yy", "yyyy-MMM-dd", "yyyyMMdd",
+               "yyyy-MM-dd HH:mm")
     text = F.coalesce(*(F.when(form == i, F.date_format(day, f)) for i, f in enumerate(layouts)))
     texts = o.select("o_orderkey", text.alias("raw"))
     return texts.select("o_orderkey", "raw",
@@ -161,6 +163,34 @@ def statement_files(spark, d):
     return statements.file_facts(typed).drop("reason")
 
 
+def rejected_files(spark, d):
+    """Event files, eleven of twelve of which are spoilt in one way each."""
+    f = views.event_files(spark, d)
+    k, user, empty = F.col("user_id") % 12, F.col("user_id").cast("string"), F.lit(b"")
+    files = f.select(
+        F.concat(F.lit("file:/drop"),
+                 F.when(k == 6, F.lit("")).otherwise(F.concat(F.lit("/user_id="), user)),
+                 F.lit("/account="), F.when(k == 7, F.repeat(F.lit("x"), 70)).otherwise("card"),
+                 F.lit("/currency="), F.when(k == 8, "EURO").otherwise("EUR"), F.lit("/"),
+                 F.regexp_replace("path", "/", "-"),
+                 F.when(k == 5, ".png").otherwise(F.lit(""))).alias("path"),
+        F.lit(0).cast("timestamp").alias("modificationTime"),
+        F.when(k == 0, empty).when(k == 1, F.concat("content", F.lit(b"\x00")))
+        .when(k == 2, F.lit(b"Date,Description,Amount\n"))
+        .when(k == 3, F.lit(b"Date,Payee\n2024-01-01,x\n"))
+        .when(k == 4, F.lit(b"When,Payee,Amount\n2024-01-01,x,1\n"))
+        .when(k == 9, F.lit(b"\x81\x8d"))
+        .when(k == 10, F.lit(b"Date,Payee,Amount\n31-12-24,x,1\n"))
+        .otherwise(F.col("content")).alias("content"))
+    described = statements.describe_files(files.withColumn("length", F.length("content")))
+    opened = statements.readable_files(described).withColumn(
+        "account_id", F.lit(1).cast("bigint"))
+    fields = materialise(statements.split_files(opened))
+    facts = statements.file_facts(statements.typed_lines(fields))
+    return statements.rejects(described, fields, facts).select(
+        "user_id", F.regexp_extract("source_file", "/(drop-[^/]*)$", 1).alias("file"), "reason")
+
+
 def signed_statement_lines(spark, d):
     typed = statements.typed_lines(materialise(statement_fields(spark, d)))
     return statements.signed_lines(typed, statements.file_facts(typed))
@@ -241,7 +271,13 @@ def tenant_rows(spark, d):
 
 
 def no_tenant_rows(spark, d):
-    return tenancy.for_tenant(event_txns(spark, d), None).agg(F.count("*").alias("rows"))
+    """A list of tenants in which every second one is unknown: those see nothing."""
+    listed = views.read(spark, d, "customer", "c_custkey").select(F.when(
+        F.col("c_custkey") % 2 == 1, F.col("c_custkey")).alias("user_id"))
+    anyone = event_txns(spark, d).withColumn("user_id", F.when(
+        F.col("user_id") % 3 > 0, F.col("user_id")))
+    return tenancy.only_tenants(anyone, listed).groupBy("user_id").agg(
+        F.count("*").alias("rows"))
 
 
 def erased_tables(spark, d):
@@ -604,7 +640,8 @@ def accepted_attempts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scrub_descriptors, parsed_amounts, parsed_dates, money_columns, dedup_keys,
-    statement_lines, statement_files, signed_statement_lines, sign_conventions,
+    statement_lines, statement_files, rejected_files, signed_statement_lines,
+    sign_conventions,
     idempotent_load, reload_is_noop, account_upsert, merged_keep_first, queue_upsert,
     tenant_rows, no_tenant_rows, erased_tables, purged_attempts, replaced_derived,
     backfilled_currency, name_similarity, unresolved_descriptors, exact_tier, founders,

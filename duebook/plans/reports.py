@@ -16,25 +16,27 @@ from duebook.operators.series import SERIES, USAGE_CV, period_of
 from duebook.operators.skew import per_key_join, top_rows
 from duebook.operators.tenancy import for_tenant
 
-# ---- fixed values: page size, list length, the two reasons -------------------
-MAX_PAGE = 500
+# ---- fixed values: list length, the two reasons -------------------------------
 FREQUENT = 15
 RENEWAL = "annual renewal ahead"
 SILENT = "no charge for over a cycle -- cancelled, or a failed card"
 # ---------------------------------------------------------------------------
 
 
-def page(df: DataFrame, order: list, limit: int = MAX_PAGE, offset: int = 0,
+def page(df: DataFrame, order: list, limit: int | None = None, offset: int = 0,
          keys: tuple = ("user_id",)) -> DataFrame:
-    """Rows offset+1 .. offset+limit per key with their position."""
-    limit = max(1, min(int(limit), MAX_PAGE))
+    """All rows per key with their position; a page of them only if a limit is given."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (top_rows(df, list(keys), order, offset + limit).withColumn("position", at)
-            .filter(F.col("position") > offset))
+    if limit is not None:
+        df = top_rows(df, list(keys), order, offset + int(limit))
+    return df.withColumn("position", at).filter(F.col("position") > offset)
 
 
-def clamp_days(days) -> int:
-    return max(1, min(int(days), 365))
+def whole_days(days) -> int:
+    """The range as given; one that holds no day is refused."""
+    if int(days) < 1:
+        raise ValueError(f"a range of {days} days")
+    return int(days)
 
 
 def _currency() -> Column:
@@ -58,7 +60,8 @@ def pending_counts(queue: DataFrame) -> DataFrame:
 def summary(subs: DataFrame, changes: DataFrame, as_of: DataFrame,
             queue: DataFrame) -> DataFrame:
     """Per tenant and currency: yearly and monthly cost of what is active, counts,
-    the yearly effect of all price changes, and how much still waits for review."""
+    the yearly effect of all price changes, and how much still waits for review. A
+    tenant with data or a queue but no subscription has one row without currency."""
     rows = costed(subs).withColumn("currency", _currency())
     active = F.col("status") == "active"
     totals = rows.groupBy("user_id", "currency").agg(
@@ -69,18 +72,20 @@ def summary(subs: DataFrame, changes: DataFrame, as_of: DataFrame,
               .agg(F.sum(annualise(F.col("new_amount_cents") - F.col("old_amount_cents"),
                                    F.col("period_days"))).alias("price_increase_annual_minor")))
     zero = F.lit(0).cast("bigint")
-    return (totals.join(effect, ["user_id", "currency"], "left")
-            .join(as_of, "user_id", "left").join(pending_counts(queue), "user_id", "left")
-            .select("user_id", "as_of", "currency", "annual_minor",
-                    F.rint(F.col("annual_minor") / 12).cast("bigint").alias("monthly_minor"),
-                    "active_count", "inactive_count",
+    tenants = as_of.join(pending_counts(queue), "user_id", "full")
+    annual = F.coalesce("annual_minor", zero)
+    return (tenants.join(totals.join(effect, ["user_id", "currency"], "left"), "user_id", "left")
+            .select("user_id", "as_of", "currency", annual.alias("annual_minor"),
+                    F.rint(annual / 12).cast("bigint").alias("monthly_minor"),
+                    F.coalesce("active_count", zero).alias("active_count"),
+                    F.coalesce("inactive_count", zero).alias("inactive_count"),
                     F.coalesce("price_increase_annual_minor", zero)
                     .alias("price_increase_annual_minor"),
                     minor_digits(F.col("currency")).alias("minor_digits"),
                     F.coalesce("awaiting_review", zero).alias("awaiting_review")))
 
 
-def subscription_list(subs: DataFrame, limit: int = MAX_PAGE, offset: int = 0) -> DataFrame:
+def subscription_list(subs: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Dearest first."""
     rate = F.col("current_amount_cents") * (F.lit(365.25) / F.col("period_days"))
     return page(costed(subs), [rate.desc(), "merchant", "account_id"], limit, offset)
@@ -96,10 +101,10 @@ def filtered_list(subs: DataFrame, status: str = "active", min_annual: float = 0
 
 
 def upcoming(subs: DataFrame, as_of: DataFrame, days: int = 30) -> DataFrame:
-    """Active charges due up to `days` (1..365) after the tenant's newest data."""
+    """Active charges due up to `days` after the tenant's newest data."""
     dated = per_key_join(subs.filter("status = 'active'"), as_of, ["user_id"],
                          ["merchant", "account_id"], weight="rows")
-    return (dated.filter(F.col("next_due") <= F.date_add("as_of", clamp_days(days)))
+    return (dated.filter(F.col("next_due") <= F.date_add("as_of", whole_days(days)))
             .select("user_id", "next_due", "merchant", "account_id", "current_amount_cents",
                     "currency", "cadence"))
 
@@ -109,7 +114,7 @@ def upcoming_totals(due: DataFrame) -> DataFrame:
         F.count("*").alias("charges"), F.sum("current_amount_cents").alias("total_cents"))
 
 
-def price_increases(changes: DataFrame, subs: DataFrame, limit: int = MAX_PAGE,
+def price_increases(changes: DataFrame, subs: DataFrame, limit: int | None = None,
                     offset: int = 0) -> DataFrame:
     """Price changes, newest first, with what each adds per year."""
     rows = changes.join(subs.select(*SERIES, "period_days", "currency"), SERIES)
@@ -118,7 +123,7 @@ def price_increases(changes: DataFrame, subs: DataFrame, limit: int = MAX_PAGE,
     return page(rows, [F.desc("effective_date"), "merchant", "account_id"], limit, offset)
 
 
-def history(txns: DataFrame, subs: DataFrame, limit: int = MAX_PAGE,
+def history(txns: DataFrame, subs: DataFrame, limit: int | None = None,
             offset: int = 0) -> DataFrame:
     """The charges behind each subscription, oldest first."""
     charges = txns.filter("amount_cents < 0 and merchant is not null").select(
@@ -128,7 +133,7 @@ def history(txns: DataFrame, subs: DataFrame, limit: int = MAX_PAGE,
     return page(rows, ["posted_date", "amount_cents"], limit, offset, tuple(SERIES))
 
 
-def review_queue(queue: DataFrame, limit: int = MAX_PAGE, offset: int = 0) -> DataFrame:
+def review_queue(queue: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """What waits for a person, most frequent descriptor first."""
     return page(queue.filter("status = 'pending'"), [F.desc("txn_count"), "scrubbed"],
                 limit, offset)
@@ -207,8 +212,9 @@ def understatement(queue: DataFrame) -> DataFrame:
 
 
 def detected_totals(subs: DataFrame) -> DataFrame:
-    """Yearly cost of the active series per currency, unrounded until the end."""
-    rate = F.col("current_amount_cents") * (F.lit(365.25) / F.col("period_days"))
+    """Yearly cost of the active series per currency, added up in millionths."""
+    rate = (F.col("current_amount_cents") * (F.lit(365.25) / F.col("period_days"))
+            ).cast("decimal(28,6)")
     return (subs.filter("status = 'active'")
             .groupBy("user_id", _currency().alias("currency"))
             .agg(F.rint(F.sum(rate)).cast("bigint").alias("annual_cents")))

@@ -1,7 +1,8 @@
 """Statements dropped into a folder, loaded as they arrive.
 
 Exactly-once follows from the load itself: a micro-batch run again finds its
-charges already present. A late file simply makes its tenant's results new.
+charges already present, and resolves and detects again for its tenants. A late file
+simply makes its tenant's results new.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 
 def load_batch(files: DataFrame, table_root: str) -> None:
     """Load one micro-batch of files into the tables, touching only the buckets
-    of the tenants in it."""
+    of the tenants in it. Refused files go to the ``rejects`` table with the reason."""
     spark = files.sparkSession
-    described = materialise(describe_files(files).filter("user_id is not null"))
-    buckets = [r[0] for r in described.select(store.bucket_of().alias("b")).distinct().collect()]
-    if not buckets:
-        return
+    described = materialise(describe_files(files))
+    buckets = [r[0] for r in described.filter("user_id is not null").select(
+        store.bucket_of().alias("b")).distinct().collect()]
     tables = store.read_tables(spark, table_root, buckets)
     loaded = load_files(tables, described, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-    store.write_tables(loaded.tables, table_root, buckets)
+    loaded.rejects.write.mode("append").parquet(f"{table_root}/rejects")
+    if buckets:
+        store.write_tables(loaded.tables, table_root, buckets)
 
 
 def start(spark: SparkSession, drop: str, table_root: str, checkpoint: str,
