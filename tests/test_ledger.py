@@ -47,6 +47,9 @@ FILES = {
     "user_id=3/account=c/columns.csv": b"no,useful,columns\n1,2,3",
     "user_id=3/account=c/picture.png": b"x",
     "user_id=3/account=c/undecodable.csv": b"\x81\x8d",
+    "user_id=3/account=ghost/header.csv": b"Date,Description,Amount\n",
+    "account=c/orphan.csv": US,
+    "user_id=3/account=ghost/currency=EURO/euro.csv": US,
     "user_id=3/account=c/summary.csv": b"Date,Description,Amount\n,,\n",
 }
 
@@ -76,7 +79,10 @@ def test_load_report_and_rejects(loaded):
     assert why == {"empty.csv": "empty", "binary.csv": "binary", "undecodable.csv": "not text",
                    "columns.csv": "no date or description column",
                    "picture.png": "not a .csv, .txt or .tsv file",
-                   "summary.csv": "no usable rows"}
+                   "summary.csv": "no usable rows", "header.csv": "no usable rows",
+                   "orphan.csv": "no user", "euro.csv": "currency is not three letters"}
+    accounts = {(r.user_id, r.label) for r in loaded.tables["account"].collect()}
+    assert accounts == {(1, "alice-card"), (2, "bob-card"), (3, "c")}
 
 
 def test_lines(loaded):
@@ -111,7 +117,8 @@ def test_reports(loaded):
     first = reports.call(t, ALICE, "list_subscriptions").first()
     assert first.current_amount_cents == 1799
     assert reports.call(t, ALICE, "list_subscriptions", {"min_annual": 99999}).count() == 0
-    assert reports.clamp_days(400) == 365 and reports.clamp_days(0) == 1
+    with pytest.raises(ValueError):
+        reports.upcoming(t["subscription"], t["as_of"], 0)
     assert reports.call(t, ALICE, "upcoming_charges", {"days": 400, "user_id": BOB}).first(
     ).merchant == "NETFLIX"
     up = reports.call(t, ALICE, "price_increases").first()
@@ -152,6 +159,38 @@ def test_reload_rename_other_currency(spark, loaded):
     assert fourth.tables["account"].filter("user_id = 1").count() == 2
 
 
+def test_replay_after_a_crash(spark, loaded):
+    """Charges are there but what follows from them was never written."""
+    broken = {**store.empty_tables(spark), "account": loaded.tables["account"],
+              "raw_transaction": loaded.tables["raw_transaction"].withColumn(
+                  "merchant", F.lit(None).cast("string"))}
+    again = ledger.load_files(broken, frame(spark, FILES), T0 + dt.timedelta(days=1))
+    assert {r.rows_new for r in again.report.collect()} == {0}
+    for name in ("subscription", "price_change", "merchant", "raw_transaction"):
+        columns = [c.split()[0] for c in store.SCHEMAS[name].split(", ")
+                   if not c.startswith("category")]
+        assert rows(again.tables[name], *columns) == rows(loaded.tables[name], *columns)
+
+
+def test_all_price_changes_and_idle_tenants(spark):
+    day = dt.date(2020, 1, 1)
+    changes = spark.createDataFrame(
+        [(1, "A", 1, day + dt.timedelta(days=i), 100, 200, 100.0) for i in range(600)],
+        store.SCHEMAS["price_change"])
+    subs = spark.createDataFrame([(1, "A", 1, "monthly", 30.44, "USD")],
+                                 "user_id long, merchant string, account_id long, "
+                                 "cadence string, period_days double, currency string")
+    assert reports.price_increases(changes, subs).count() == 600
+    assert reports.price_increases(changes, subs, 550, 40).count() == 550
+    none = store.empty_tables(spark)
+    as_of = spark.createDataFrame([(7, day)], "user_id long, as_of date")
+    queue = spark.createDataFrame([(7, "X", 1, None, None, "unknown", "pending"),
+                                   (8, "Y", 1, None, None, "unknown", "pending")],
+                                  store.SCHEMAS["resolution_queue"])
+    got = reports.summary(none["subscription"], none["price_change"], as_of, queue)
+    assert rows(got, "user_id", "annual_minor", "awaiting_review") == [(7, 0, 1), (8, 0, 1)]
+
+
 def test_isolation_and_erasure(spark, loaded):
     alone = ledger.load_files(store.empty_tables(spark), frame(spark, {
         p: c for p, c in FILES.items() if p.startswith("user_id=1/")}), T0).tables

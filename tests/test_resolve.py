@@ -1,4 +1,4 @@
-"""The resolution ladder against a plain sequential loop."""
+"""The resolution ladder: published verdicts and properties."""
 
 import random
 
@@ -9,38 +9,27 @@ from duebook.operators import resolve as R
 from duebook.sources import schemas
 
 
-def slow_classify(needle, known):
-    def rank(score, limit):
-        if len(needle) < 4:
-            return []
-        return sorted(((k, score(needle, k)) for k in known), key=lambda h: -h[1])[:limit]
-
-    hits = rank(slow_token_set, 5)
-    if hits:
-        top = hits[0][1]
-        if len(hits) > 1 and top - hits[1][1] <= 4 and hits[1][1] >= 72:
-            return "ambiguous", hits
-        if top >= 90:
-            return "match", hits
-        if top >= 72:
-            return "borderline", hits
-    partial = rank(slow_partial, 3)
-    if partial and partial[0][1] >= 85:
-        return "suspect", partial
-    inside = [k for k in known if slow_held(needle, k)]
-    if inside:
-        return "suspect", [(k, slow_partial(needle, k)) for k in inside[:3]]
-    return "unknown", hits
-
-
-def slow_resolve(counts, existing):
-    known, out = sorted(existing), {}
-    for s, n in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0])):
-        verdict, hits = slow_classify(s, known)
-        out[s] = (verdict, hits)
-        if verdict == "unknown" and s not in known:
-            known.append(s)
-    return out
+# Least and greatest best score by words, least best score by parts, and what it means.
+VERDICTS = ((90, 100, 0, {"match", "ambiguous"}), (72, 90, 0, {"borderline", "ambiguous"}),
+            (0, 72, 85, {"suspect"}))
+
+
+def related(a, b):
+    """Too alike for both to be founders."""
+    return slow_held(a, b) or len(a) >= 4 and (
+        slow_token_set(a, b) >= 72 or slow_partial(a, b) >= 85)
+
+
+def allowed_verdicts(name, known):
+    """By the scores against the known names."""
+    if not any(related(name, k) for k in known):
+        return {"unknown"}
+    words = max((slow_token_set(name, k) for k in known), default=0) if len(name) >= 4 else 0
+    parts = max((slow_partial(name, k) for k in known), default=0) if len(name) >= 4 else 0
+    for least, most, least_parts, verdicts in VERDICTS:
+        if least <= words and (words < most or most == 100) and parts >= least_parts:
+            return verdicts
+    return {"suspect"}
 
 
 def make_state(spark, txn_rows, merchants=(), aliases=(), queue=()):
@@ -87,8 +76,9 @@ def test_published_verdicts(spark):
 
 
 @pytest.mark.parametrize("batch,tile", [(1000, 1000), (6, 7)])
-def test_against_loop(spark, batch, tile):
-    """Small batches and tiles must give what one sequential pass gives."""
+def test_ladder_properties(spark, batch, tile):
+    """Founders are unlike every older name, everything else is like one; verdicts and
+    candidates follow the scores. Small batches and tiles change nothing."""
     rng = random.Random(11)
     tenants = {u: random_counts(rng, 4 + 6 * u) for u in range(5)}
     existing = {u: ["COFFEE BLUE", "XYLOPHONE", "ABC"][:u % 4] for u in tenants}
@@ -96,15 +86,28 @@ def test_against_loop(spark, batch, tile):
     state = make_state(spark, txns, [(u, m) for u, ms in existing.items() for m in ms])
     after, outcomes = R.resolve(state, batch, tile)
     got = {(r.user_id, r.scrubbed): r for r in outcomes.collect()}
-    tier = {"match": "fuzzy", "unknown": "new"}
     assert len(got) == sum(map(len, tenants.values()))
     for u, counts in tenants.items():
-        for s, (verdict, hits) in slow_resolve(counts, existing[u]).items():
+        rank = {s: (-n, s) for s, n in counts.items()}
+        founders = {s for s in counts if got[u, s].tier == "new"}
+        for s in counts:
             r = got[u, s]
-            assert (r.verdict, r.tier, r.n) == (verdict, tier.get(verdict, "queued"), counts[s])
-            if verdict != "unknown":
-                assert [c.name for c in r.candidates] == [h[0] for h in hits], (u, s)
-                assert all(abs(c.score - h[1]) < 1e-9 for c, h in zip(r.candidates, hits))
+            older = existing[u] + [f for f in founders if rank[f] < rank[s]]
+            assert r.n == counts[s]
+            assert (s in founders) == (not any(related(s, k) for k in older)), (u, s)
+            assert r.verdict in allowed_verdicts(s, older), (u, s)
+            assert r.tier == {"match": "fuzzy", "unknown": "new"}.get(r.verdict, "queued")
+            if r.verdict == "unknown":
+                continue
+            scores = [c.score for c in r.candidates]
+            score = slow_partial if r.verdict == "suspect" else slow_token_set
+            assert scores and all(abs(score(s, c.name) - c.score) < 1e-9 for c in r.candidates)
+            assert {c.name for c in r.candidates} <= set(older)
+            if r.verdict != "suspect":
+                assert scores == sorted(scores, reverse=True)
+                assert abs(scores[0] - max(slow_token_set(s, k) for k in older)) < 1e-9
+                close = len(scores) > 1 and scores[1] >= 72 and scores[0] - scores[1] <= 4
+                assert close == (r.verdict == "ambiguous")
     names = {(r.user_id, r.canonical_name) for r in after.merchants.collect()}
     assert names == {(r.user_id, r.merchant) for r in got.values() if r.tier == "new"} | {
         (u, m) for u, ms in existing.items() for m in ms}
