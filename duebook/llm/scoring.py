@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import crc_remainder, materialise, text_bytes
+from duebook.llm.common import crc_remainder, give_back, materialise, text_bytes
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 2 ** 18      # words in the tree, whose counts every task gets
@@ -283,6 +283,8 @@ def word_counts(train: DataFrame) -> DataFrame:
                     held = Counter()
         if held:
             yield rows(held)
+        del held
+        give_back()
 
     return (train.select("text").mapInArrow(run, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -366,6 +368,8 @@ def spelling_odds(counts: DataFrame, rows: int, paths: Paths) -> np.ndarray:
                 for k, table in enumerate(tables):
                     np.add.at(table, found.slot(k) * 2 + found.bit, times)
         yield from parts_of(tables)
+        del tables
+        give_back()
 
     out = log_odds(counts.repartition(tasks).mapInArrow(run, PARTS), tasks, SPELL_TABLES,
                    SPELL_BITS)
@@ -399,6 +403,8 @@ def context_odds(train: DataFrame, known: Known) -> np.ndarray:
                         fresh[:], held = 0, 0
         tables += fresh
         yield from parts_of(tables)
+        del tables, fresh
+        give_back()
 
     source = train.select("text")
     out = log_odds(source.mapInArrow(run, PARTS), source.rdd.getNumPartitions(), WORD_TABLES,
@@ -562,6 +568,8 @@ def score(docs: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(rare_cuts.astype(np.int32)),
                                               pa.array(t.rare, pa.binary()))],
                     [f.split()[0] for f in SCORED.split(", ")])
+                del t, owner
+                give_back()
 
     scored = materialise(docs.select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", held.alias("held_out"), "text")
