@@ -229,11 +229,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
                     "component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """`docs` with only the least doc_id of each group of near-duplicates; of rows that
-    are equal in doc_id and text one. A row without doc_id stays if its whole group has
-    none."""
-    found = materialise(near_duplicates(docs, shingle, bits))
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` with only the least doc_id of each group in `found` (doc_id, text_key,
+    component_id; written); of rows that are equal in doc_id and text one. A row without
+    doc_id stays if its whole group has none."""
     out = found.filter("component_id is not null and not (doc_id <=> component_id)").select(
         F.col("doc_id").alias("_out_id"), F.col("text_key").alias("_out_key")).distinct()
     key = F.xxhash64("text")
@@ -246,3 +245,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     return (named.dropDuplicates(["doc_id", "_key"]).drop("_key")
             .union(rest.filter("doc_id is null")))
 
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """`docs` with only the least doc_id of each group of near-duplicates."""
+    return keep_least(docs, materialise(near_duplicates(docs, shingle, bits)))
