@@ -1,21 +1,24 @@
 """Toxicity from the nearest labelled examples.
 
-Examples and the rows that calibrate the votes are a bounded sample of the labelled rows
+Examples and the rows that calibrate the votes are bounded samples of the labelled rows
 outside the held-out fold (``EXAMPLES`` of each label, ``CALIBRATION`` of any), taken by
-a hash of the id. The terms that tell the labels apart best in the sample (chi-square)
-make the vectors; their document frequencies are counted over all documents. Each
-document finds its nearest examples by the exact cosine of TF-IDF vectors: blocks of
-examples keep the largest weight of each term, the product of a document with these
-maxima bounds its cosine with any example of the block, and only blocks whose bound
-reaches the k-th best cosine so far are scored, on the terms they have. Votes weighted by
-distance are set against the labels' true shares and calibrated by a logistic curve
-fitted on the calibration rows.
+a hash of the id. Every term of the examples is in the
+vectors; its weight is the inverse document frequency over all documents times how well
+it tells the examples' labels apart (chi-square), which is never zero. Each document finds
+its nearest examples by the exact cosine: products over the terms that many examples hold
+are made for all examples at once; for the other terms, blocks of examples keep the
+largest weight of each, which bounds what they can add, and where few examples are left
+that can reach the k-th best cosine, only these are scored. Votes weighted by distance
+are set against the labels' true shares and calibrated by a logistic curve fitted on the
+calibration rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +31,10 @@ from duebook.llm.common import append_columns, crc_remainder, materialise, text_
 FOLDS = 5               # held out: crc32 of the id's text divisible by this
 EXAMPLES = 2048         # of each label
 CALIBRATION = 8192
-TERMS = 512
-LEAST_DOCUMENTS = 5     # of the sample that must hold a term
-CHI_SQUARE = 20.0       # least chi-square of a term,
-CHI_SHARE = 0.1         # also as a share of the best term's
+FREQUENT = 0.1          # share of examples from which a term's weights are kept dense
 NEAREST = 15
 BLOCK = 32              # examples of a block
+WORDS = 2 ** 18         # words a process knows by number
 BATCH = 256             # documents that are scored together
 SOFT = 0.05             # added to distances, so that equal texts have finite weight
 
@@ -53,20 +54,74 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """Rows of weights: row i has `weight[at[i]:at[i + 1]]` for the terms `term[...]`."""
+    at: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Sparse:
+        row, term = np.nonzero(dense)
+        at = np.searchsorted(row, np.arange(len(dense) + 1))
+        return cls(at, term, dense[row, term], dense.shape[1])
+
+    @classmethod
+    def unit(cls, terms: list, counts: list, weights: np.ndarray) -> Sparse:
+        """TF-IDF rows of unit length from each row's terms and their counts."""
+        at = np.concatenate([[0], np.cumsum([len(t) for t in terms], dtype=np.int64)])
+        term = np.concatenate([np.zeros(0, np.int64), *[np.asarray(t, np.int64) for t in terms]])
+        n = np.concatenate([np.ones(0), *[np.asarray(c, float) for c in counts]])
+        value = (1.0 + np.log(n)) * weights[term]
+        row = np.repeat(np.arange(len(terms)), np.diff(at))
+        length = np.sqrt(np.bincount(row, value * value, len(terms)))
+        return cls(at, term, value / length[row], len(weights))
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        n = self.at[rows + 1] - self.at[rows]
+        at = np.concatenate([[0], np.cumsum(n)])
+        pick = np.repeat(self.at[rows] - at[:-1], n) + np.arange(at[-1])
+        return Sparse(at, self.term[pick], self.weight[pick], self.width)
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+
 class Vectors:
-    """TF-IDF vectors of unit length over fixed terms."""
+    """TF-IDF vectors of unit length over fixed terms. Words are looked up once, and then
+    known by a number (`WORDS` of them at a time)."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray):
+    def __init__(self, terms: list[bytes], weights: np.ndarray):
         self.at = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
-
-    def rows(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.idf)))
-        at = self.at
-        for row, text in zip(out, texts):
-            for i, n in Counter([at[t] for t in terms_of(text) if t in at]).items():
-                row[i] = 1.0 + math.log(n)
-        return unit(out * self.idf)
+        self.weights = weights
+        self.words: dict[bytes, int] = {}
+        self.terms_of = np.zeros((0, 3), dtype=np.int64)
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        seen = self.words
+        return [seen.setdefault(w, len(seen)) for w in words]
+
+    def rows(self, texts: list[bytes]) -> Sparse:
+        if len(self.words) > WORDS:
+            self.words, self.terms_of = {}, self.terms_of[:0]
+        split = [self.numbers(x.translate(FOLD).split()) for x in texts]
+        new = [[self.at.get(t, -1) for t in (w, w[:4] if len(w) > 4 else None,
+                                             w[:5] if len(w) > 5 else None)]
+               for w in islice(self.words, len(self.terms_of), None)]
+        self.terms_of = np.concatenate(
+            [self.terms_of, np.array(new, dtype=np.int64).reshape(-1, 3)])
+        lengths = [len(x) for x in split]
+        row = np.repeat(np.arange(len(texts)), lengths)
+        term = self.terms_of[np.fromiter(chain.from_iterable(split), np.int64, sum(lengths))]
+        width = max(1, len(self.weights))
+        both, n = np.unique((row[:, None] * width + term)[term >= 0], return_counts=True)
+        row, term = both // width, both % width
+        value = (1.0 + np.log(n)) * self.weights[term]
+        length = np.sqrt(np.bincount(row, value * value, len(texts)))
+        return Sparse(np.searchsorted(row, np.arange(len(texts) + 1)), term,
+                      value / length[row], len(self.weights))
 
 
 class Found(NamedTuple):
@@ -76,57 +131,81 @@ class Found(NamedTuple):
 
 
 class BlockMaxIndex:
-    """Inverted lists by blocks of examples, with each term's largest weight in a block."""
+    """Examples by term: dense for frequent terms, inverted lists for the others, whose
+    largest weight in each block of examples is kept."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray | Sparse):
         """`weights`: unit rows. They are put into blocks with their likes: by their
         heaviest term and its weight."""
-        heaviest = weights.argmax(1) if weights.size else np.zeros(0, dtype=int)
-        top = weights.max(1) if weights.size else np.zeros(0)
+        rows = Sparse.of(weights) if isinstance(weights, np.ndarray) else weights
+        self.n = len(rows.at) - 1
+        heaviest, top = np.full(self.n, -1), np.zeros(self.n)
+        by = np.lexsort((-rows.term, rows.weight))
+        heaviest[rows.row_of()[by]], top[rows.row_of()[by]] = rows.term[by], rows.weight[by]
         self.order = np.lexsort((-top, heaviest))
-        ordered = weights[self.order]
-        self.n = len(ordered)
-        cuts = range(0, self.n, BLOCK)
-        self.maxima = np.array([ordered[a:a + BLOCK].max(0) for a in cuts])
-        self.terms = [np.flatnonzero(m) for m in self.maxima]
-        self.lists = [np.ascontiguousarray(ordered[a:a + BLOCK][:, t].T)
-                      for a, t in zip(cuts, self.terms)]
-
-    def nearest(self, rows: np.ndarray, k: int = NEAREST) -> Found:
+        rows = rows.take(self.order)
+        row = rows.row_of()
+        held = np.bincount(rows.term, minlength=rows.width)
+        frequent = held >= max(2, FREQUENT * self.n)
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        often = frequent[rows.term]
+        self.dense = np.zeros((int(frequent.sum()), self.n))
+        self.dense[self.column[rows.term[often]], row[often]] = rows.weight[often]
+        row, term, weight = row[~often], rows.term[~often], rows.weight[~often]
+        self.rare = Sparse(np.searchsorted(row, np.arange(self.n + 1)), term, weight, rows.width)
+        self.asked = np.zeros(rows.width)
+        self.maxima = np.zeros((rows.width, -(-self.n // BLOCK)), dtype=np.float32)
+        np.maximum.at(self.maxima, (term, row // BLOCK),
+                      np.nextafter(weight.astype(np.float32), np.float32(2)))
+        by = np.argsort(term, kind="stable")
+        self.lists = Sparse(np.searchsorted(term[by], np.arange(rows.width + 1)), row[by],
+                            weight[by], self.n)
+
+    def nearest(self, rows: np.ndarray | Sparse, k: int = NEAREST) -> Found:
         """Exact, ties to the first example; cosines are rounded to 12 places, so that
         equal ones are equal however the sums were made."""
-        n, width = len(rows), min(k, self.n)
+        rows = Sparse.of(rows) if isinstance(rows, np.ndarray) else rows
+        n, width = len(rows.at) - 1, min(k, self.n)
         best = np.full((n, width), -1.0)
         who = np.full((n, width), self.n, dtype=np.int64)
-        if not self.n or not n:
-            return Found(best, who)
-        bound = rows @ self.maxima.T + 1e-9
-        turn = np.argsort(-bound, axis=1, kind="stable")
-        first = -(-k // BLOCK) + 1
-        seen = np.zeros(bound.shape, dtype=bool)
-        np.put_along_axis(seen, turn[:, :first], True, axis=1)
-        self.score(rows, seen, best, who)
-        needed = (bound >= best[:, -1:]) & ~seen
-        self.score(rows, needed, best, who)
-        best[best <= 0] = -1.0
+        for a in range(0, n if self.n else 0, BATCH):
+            part = rows.take(np.arange(a, min(a + BATCH, n)))
+            column, row = self.column[part.term], part.row_of()
+            known = column >= 0
+            own = np.zeros((len(part.at) - 1, len(self.dense)))
+            own[row[known], column[known]] = part.weight[known]
+            sums = own @ self.dense
+            for i, cosine in enumerate(sums):
+                mine = slice(part.at[i], part.at[i + 1])
+                rest = ~known[mine]
+                self.add(cosine, part.term[mine][rest], part.weight[mine][rest], width)
+                cosine = np.round(cosine, 12)
+                least = np.partition(cosine, self.n - width)[self.n - width]
+                some = np.flatnonzero(cosine >= max(least, 1e-12))
+                some = some[np.lexsort((self.order[some], -cosine[some]))[:width]]
+                best[a + i, :len(some)], who[a + i, :len(some)] = cosine[some], self.order[some]
         return Found(best, who)
 
-    def score(self, rows, wanted, best, who) -> None:
-        """Merge the wanted (document, block) pairs into the best so far."""
-        width = best.shape[1]
-        for block in np.flatnonzero(wanted.any(0)).tolist():
-            own = np.flatnonzero(wanted[:, block])
-            cosine = np.round(rows[own][:, self.terms[block]] @ self.lists[block], 12)
-            names = self.order[block * BLOCK:block * BLOCK + cosine.shape[1]]
-            better = (cosine >= best[own, -1:]).any(1)
-            own, cosine = own[better], cosine[better]
-            if not len(own):
-                continue
-            both = np.hstack([best[own], cosine])
-            ids = np.hstack([who[own], np.tile(names, (len(own), 1))])
-            pick = np.lexsort((ids, -both), axis=1)[:, :width]
-            best[own] = np.take_along_axis(both, pick, 1)
-            who[own] = np.take_along_axis(ids, pick, 1)
+    def add(self, cosine: np.ndarray, term: np.ndarray, weight: np.ndarray, width: int) -> None:
+        """Add the products over the terms that are not frequent, where they can matter;
+        examples that cannot be among the nearest are set to -1."""
+        if not len(term):
+            return
+        more = weight.astype(np.float32) @ self.maxima[term] * np.float32(1.0001) + 1e-6
+        least = np.partition(cosine, self.n - width)[self.n - width]
+        able = cosine + np.repeat(more, BLOCK)[:self.n] >= least
+        few = np.flatnonzero(able)
+        if (self.rare.at[few + 1] - self.rare.at[few]).sum() < (
+                self.lists.at[term + 1] - self.lists.at[term]).sum():
+            rows = self.rare.take(few)
+            self.asked[term] = weight
+            cosine[few] += np.bincount(rows.row_of(), rows.weight * self.asked[rows.term], len(few))
+            self.asked[term] = 0.0
+        else:
+            lists = self.lists.take(term)
+            cosine += np.bincount(lists.term, lists.weight * np.repeat(weight, np.diff(lists.at)),
+                                  self.n)
+        cosine[~able] = -1.0
 
 
 def votes(found: Found, toxic: np.ndarray, share: float) -> np.ndarray:
@@ -165,8 +244,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 class Model(NamedTuple):
     terms: list[bytes]
-    idf: np.ndarray
-    weights: np.ndarray         # of the examples
+    by_term: np.ndarray         # weights
+    weights: Sparse             # of the examples
     toxic: np.ndarray
     ids: np.ndarray
     share: float                # of toxic among the labels
@@ -192,8 +271,9 @@ def sampled(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise(examples.union(rest)), learn
 
 
-def best_terms(sample: DataFrame) -> list[bytes]:
-    """The terms whose presence goes with the label most, by chi-square."""
+def weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """All terms of the examples, and how well the presence of each tells the labels
+    apart: (chi-square + 1) a row, 1 being what chance gives."""
     def run(batches):
         held = [Counter(), Counter()]
         for batch in batches:
@@ -204,20 +284,19 @@ def best_terms(sample: DataFrame) -> list[bytes]:
                 [pa.array(list(counts), pa.binary()), pa.array([label] * len(counts), pa.int32()),
                  pa.array(list(counts.values()), pa.int64())], ["term", "toxic", "n"])
 
-    n1, n0 = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    n1, n0 = (float(n or 0) for n in examples.agg(
+        F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     if not n1 or not n0:
-        return []
+        return [], np.zeros(0)
     a, b = (F.sum(F.when(F.col("toxic") == v, F.col("n")).otherwise(0)).cast("double")
             for v in (1, 0))
-    counted = (sample.select("text", "toxic").mapInArrow(run, "term binary, toxic int, n long")
-               .groupBy("term").agg(a.alias("a"), b.alias("b")))
-    chi = ((F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))) ** 2 * (n1 + n0)
-           / ((F.col("a") + F.col("b")) * (n1 + n0 - F.col("a") - F.col("b")) * n1 * n0))
-    best = (counted.filter((F.col("a") + F.col("b") >= LEAST_DOCUMENTS)
-                           & (F.col("a") + F.col("b") < n1 + n0))
-            .withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE)
-            .orderBy(F.desc("chi"), "term").limit(TERMS).collect())
-    return [bytes(r["term"]) for r in best if r["chi"] >= CHI_SHARE * best[0]["chi"]]
+    found = (examples.select("text", "toxic").mapInArrow(run, "term binary, toxic int, n long")
+             .groupBy("term").agg(a.alias("a"), b.alias("b")).toPandas().sort_values("term"))
+    a, b = found["a"].to_numpy(), found["b"].to_numpy()
+    n, held = n1 + n0, a + b
+    chi = np.divide((a * (n0 - b) - b * (n1 - a)) ** 2 * n, held * (n - held) * n1 * n0,
+                    out=np.zeros(len(found)), where=held < n)
+    return [bytes(t) for t in found["term"]], (chi + 1) / n
 
 
 def inverse_frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
@@ -229,14 +308,15 @@ def inverse_frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
         for batch in batches:
             for text in text_bytes(batch):
                 n += 1
-                held[[wanted[t] for t in wanted.keys() & set(terms_of(text))]] += 1
+                held[[wanted[t] for t in set(terms_of(text)) if t in wanted]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(wanted))),
                                           pa.array(np.append(n, held))], ["term", "n"])
 
-    counted = dict(docs.select("text").mapInArrow(run, "term long, n long")
-                   .groupBy("term").agg(F.sum("n")).collect())
-    n = counted.get(-1, 0)
-    return np.array([math.log((1 + n) / (1 + counted.get(i, 0))) + 1 for i in range(len(terms))])
+    counted = (docs.select("text").mapInArrow(run, "term long, n long")
+               .groupBy("term").agg(F.sum("n").alias("n")).toPandas())
+    n = np.zeros(len(terms) + 1)
+    n[counted["term"].to_numpy(dtype=int) + 1] = counted["n"].to_numpy()
+    return np.log((1 + n[0]) / (1 + n[1:])) + 1
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -248,8 +328,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = 0.5 if not n else (share * n + 0.5) / (n + 1)
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
                          .groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")))
-    terms = best_terms(sample)
-    idf = inverse_frequencies(docs, terms)
+    terms, by_term = weighed_terms(sample.filter("part = 0"))
+    by_term = by_term * inverse_frequencies(docs, terms)
     at = {t: i for i, t in enumerate(terms)}
 
     def counts(batches):
@@ -259,15 +339,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     rows = (append_columns(sample, "terms array<int>, counts array<int>", counts,
                            consumed=("text",)).toPandas().sort_values("doc_id"))
-    dense = np.zeros((len(rows), len(terms)))
-    for row, own, n_own in zip(dense, rows["terms"], rows["counts"]):
-        row[np.asarray(own, dtype=int)] = 1 + np.log(np.asarray(n_own, dtype=float))
-    dense = unit(dense * idf)
+    vectors = Sparse.unit(list(rows["terms"]), list(rows["counts"]), by_term)
     toxic, part = rows["toxic"].to_numpy().astype(int), rows["part"].to_numpy()
-    example = (part == 0) & dense.any(1)
-    model = Model(terms, idf, dense[example], toxic[example], rows["doc_id"].to_numpy()[example],
-                  share, share, 1.0, 0.0)
-    found = BlockMaxIndex(model.weights).nearest(dense[part == 1])
+    example = np.flatnonzero((part == 0) & (np.diff(vectors.at) > 0))
+    model = Model(terms, by_term, vectors.take(example), toxic[example],
+                  rows["doc_id"].to_numpy()[example], share, share, 1.0, 0.0)
+    found = BlockMaxIndex(model.weights).nearest(vectors.take(np.flatnonzero(part == 1)))
     raw, truth = votes(found, model.toxic, share), toxic[part == 1]
     none = np.isnan(raw)
     empty = (truth[none].sum() + share) / (none.sum() + 1)
@@ -292,7 +369,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         if not ready:
             model = sent.value
-            ready.extend([model, Vectors(model.terms, model.idf), BlockMaxIndex(model.weights)])
+            ready.extend([model, Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)])
         model, vectors, index = ready
         for batch in batches:
             texts = text_bytes(batch)
