@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples.
 
 Examples and the rows that calibrate the votes are bounded samples of the labelled rows
-outside the held-out fold (``EXAMPLES`` of each label, ``CALIBRATION`` of any), taken by
-a hash of the id. Every term of the examples is in the
+outside the held-out fold, taken by hashes of the id: a quarter of either label is set
+apart for calibration (at most ``CALIBRATION`` rows of each), and of the rest
+``EXAMPLES`` of each label are the examples. Every term of the examples is in the
 vectors; its weight is the inverse document frequency over all documents times how well
 it tells the examples' labels apart (chi-square), which is never zero. Each document finds
 its nearest examples by the exact cosine: products over the terms that many examples hold
@@ -10,7 +11,7 @@ are made for all examples at once; for the other terms, blocks of examples keep
 largest weight of each, which bounds what they can add, and where few examples are left
 that can reach the k-th best cosine, only these are scored. Votes weighted by distance
 are set against the labels' true shares and calibrated by a logistic curve fitted on the
-calibration rows.
+calibration rows, which are weighted to the same shares.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from duebook.llm.common import append_columns, crc_remainder, materialise, text_
 
 FOLDS = 5               # held out: crc32 of the id's text divisible by this
 EXAMPLES = 2048         # of each label
-CALIBRATION = 8192
+CALIBRATION = 4096      # of each label
+APART = 4               # one labelled row of so many is for calibration,
+FEWEST = 8              # of labels that have so many rows
 FREQUENT = 0.1          # share of examples from which a term's weights are kept dense
 NEAREST = 15
 BLOCK = 32              # examples of a block
@@ -68,17 +71,6 @@ class Sparse:
         at = np.searchsorted(row, np.arange(len(dense) + 1))
         return cls(at, term, dense[row, term], dense.shape[1])
 
-    @classmethod
-    def unit(cls, terms: list, counts: list, weights: np.ndarray) -> Sparse:
-        """TF-IDF rows of unit length from each row's terms and their counts."""
-        at = np.concatenate([[0], np.cumsum([len(t) for t in terms], dtype=np.int64)])
-        term = np.concatenate([np.zeros(0, np.int64), *[np.asarray(t, np.int64) for t in terms]])
-        n = np.concatenate([np.ones(0), *[np.asarray(c, float) for c in counts]])
-        value = (1.0 + np.log(n)) * weights[term]
-        row = np.repeat(np.arange(len(terms)), np.diff(at))
-        length = np.sqrt(np.bincount(row, value * value, len(terms)))
-        return cls(at, term, value / length[row], len(weights))
-
     def take(self, rows: np.ndarray) -> Sparse:
         n = self.at[rows + 1] - self.at[rows]
         at = np.concatenate([[0], np.cumsum(n)])
@@ -226,20 +218,31 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a small ridge towards the identity."""
-    a, b, ridge = 1.0, 0.0, 1.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([((p - y) * x).sum() + ridge * (a - 1), (p - y).sum() + ridge * b * 0.01])
-        h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()],
-                      [(w * x).sum(), w.sum() + 0.01 * ridge]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None
+             ) -> tuple[float, float]:
+    """Slope and intercept by Newton steps with a small ridge towards the identity; a
+    step is halved until the loss falls."""
+    weight = np.ones(len(x)) if weight is None else weight
+    ridge = np.array([1.0, 0.01])
+    now = np.array([1.0, 0.0])
+
+    def loss(at):
+        z = at[0] * x + at[1]
+        return ((weight * (np.logaddexp(0, z) - y * z)).sum()
+                + (ridge * (at - [1.0, 0.0]) ** 2).sum() / 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(now[0] * x + now[1], -30, 30)))
+        w, r = weight * p * (1 - p), weight * (p - y)
+        g = np.array([(r * x).sum(), r.sum()]) + ridge * (now - [1.0, 0.0])
+        h = np.array([[(w * x * x).sum(), (w * x).sum()], [(w * x).sum(), w.sum()]])
+        step, before = np.linalg.solve(h + np.diag(ridge), g), loss(now)
+        while np.abs(step).max() > 1e-9 and not loss(now - step) < before:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
             break
-    return float(a), float(b)
+        now = now - step
+    return float(now[0]), float(now[1])
 
 
 class Model(NamedTuple):
@@ -263,12 +266,17 @@ def sampled(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         .filter("doc_id is not null and toxic in (0, 1)")
         .filter(crc_remainder(F.col("doc_id"), FOLDS) != 0)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    many = {r["toxic"]: r["count"] >= FEWEST for r in learn.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [learn.filter(F.col("toxic") == v).orderBy(*order).limit(EXAMPLES) for v in (1, 0)]
-    examples = materialise(parts[0].union(parts[1]).withColumn("part", F.lit(0)))
-    rest = (learn.join(F.broadcast(examples.select("doc_id")), "doc_id", "left_anti")
-            .orderBy(*order).limit(CALIBRATION).withColumn("part", F.lit(1)))
-    return materialise(examples.union(rest)), learn
+    apart = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(APART)) == 0
+    parts = []
+    for label in (1, 0):
+        rows = learn.filter(F.col("toxic") == label)
+        for part, most, own in ((0, EXAMPLES, ~apart), (1, CALIBRATION, apart)):
+            own = own if many.get(label) else F.lit(part == 0)
+            parts.append(rows.filter(own).orderBy(*order).limit(most)
+                         .withColumn("part", F.lit(part)))
+    return materialise(parts[0].union(parts[1]).union(parts[2]).union(parts[3])), learn
 
 
 def weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
@@ -291,12 +299,12 @@ def weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
     a, b = (F.sum(F.when(F.col("toxic") == v, F.col("n")).otherwise(0)).cast("double")
             for v in (1, 0))
     found = (examples.select("text", "toxic").mapInArrow(run, "term binary, toxic int, n long")
-             .groupBy("term").agg(a.alias("a"), b.alias("b")).toPandas().sort_values("term"))
+             .groupBy("term").agg(a.alias("a"), b.alias("b")).toArrow().sort_by("term"))
     a, b = found["a"].to_numpy(), found["b"].to_numpy()
     n, held = n1 + n0, a + b
     chi = np.divide((a * (n0 - b) - b * (n1 - a)) ** 2 * n, held * (n - held) * n1 * n0,
-                    out=np.zeros(len(found)), where=held < n)
-    return [bytes(t) for t in found["term"]], (chi + 1) / n
+                    out=np.zeros(len(a)), where=held < n)
+    return found["term"].to_pylist(), (chi + 1) / n
 
 
 def inverse_frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
@@ -313,12 +321,50 @@ def inverse_frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
                                           pa.array(np.append(n, held))], ["term", "n"])
 
     counted = (docs.select("text").mapInArrow(run, "term long, n long")
-               .groupBy("term").agg(F.sum("n").alias("n")).toPandas())
+               .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
     n = np.zeros(len(terms) + 1)
-    n[counted["term"].to_numpy(dtype=int) + 1] = counted["n"].to_numpy()
+    n[counted["term"].to_numpy() + 1] = counted["n"].to_numpy()
     return np.log((1 + n[0]) / (1 + n[1:])) + 1
 
 
+def vectors_of(examples: DataFrame, terms: list[bytes], by_term: np.ndarray) -> pa.Table:
+    """doc_id, toxic and the vector (terms and weights as bytes) of each example, by id."""
+    def run(batches):
+        vectors = Vectors(terms, by_term)
+        for batch in batches:
+            own = vectors.rows(text_bytes(batch))
+            cuts = list(zip(own.at, own.at[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 pa.array([own.term[a:b].astype(np.int64).tobytes() for a, b in cuts], pa.binary()),
+                 pa.array([own.weight[a:b].tobytes() for a, b in cuts], pa.binary())],
+                ["doc_id", "toxic", "term", "weight"])
+
+    return (examples.select("doc_id", "toxic", "text")
+            .mapInArrow(run, "doc_id long, toxic int, term binary, weight binary")
+            .toArrow().sort_by("doc_id"))
+
+
+def calibration_votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The votes on each calibration row, and the labels."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model, vectors, index = None, None, None
+        for batch in batches:
+            if model is None:
+                model = sent.value
+                vectors, index = Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)
+            raw = votes(index.nearest(vectors.rows(text_bytes(batch))), model.toxic, model.share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw)],
+                                             ["doc_id", "toxic", "raw"])
+
+    found = (rows.select("doc_id", "toxic", "text")
+             .mapInArrow(run, "doc_id long, toxic int, raw double").toArrow().sort_by("doc_id"))
+    sent.unpersist()
+    return found["raw"].to_numpy(), found["toxic"].to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows outside the held-out fold. Without labels of both
     kinds every score is the share of toxic labels, a half if there are none. Of rows
@@ -330,26 +376,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                          .groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")))
     terms, by_term = weighed_terms(sample.filter("part = 0"))
     by_term = by_term * inverse_frequencies(docs, terms)
-    at = {t: i for i, t in enumerate(terms)}
-
-    def counts(batches):
-        for batch in batches:
-            held = [Counter([at[t] for t in terms_of(x) if t in at]) for x in text_bytes(batch)]
-            yield [[sorted(h) for h in held], [[h[i] for i in sorted(h)] for h in held]]
-
-    rows = (append_columns(sample, "terms array<int>, counts array<int>", counts,
-                           consumed=("text",)).toPandas().sort_values("doc_id"))
-    vectors = Sparse.unit(list(rows["terms"]), list(rows["counts"]), by_term)
-    toxic, part = rows["toxic"].to_numpy().astype(int), rows["part"].to_numpy()
-    example = np.flatnonzero((part == 0) & (np.diff(vectors.at) > 0))
-    model = Model(terms, by_term, vectors.take(example), toxic[example],
+    rows = vectors_of(sample.filter("part = 0"), terms, by_term)
+    part = [np.frombuffer(x, own) for name, own in (("term", np.int64), ("weight", float))
+            for x in [b"".join(rows[name].to_pylist())]]
+    lengths = [len(x) // 8 for x in rows["term"].to_pylist()]
+    vectors = Sparse(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), *part, len(terms))
+    example = np.flatnonzero(lengths)
+    model = Model(terms, by_term, vectors.take(example), rows["toxic"].to_numpy()[example],
                   rows["doc_id"].to_numpy()[example], share, share, 1.0, 0.0)
-    found = BlockMaxIndex(model.weights).nearest(vectors.take(np.flatnonzero(part == 1)))
-    raw, truth = votes(found, model.toxic, share), toxic[part == 1]
+    raw, truth = calibration_votes(sample.filter("part = 1"), model)
+    if not 0 < truth.sum() < len(truth):
+        return model
+    weight = np.where(truth == 1, share / truth.mean(), (1 - share) / (1 - truth.mean()))
     none = np.isnan(raw)
-    empty = (truth[none].sum() + share) / (none.sum() + 1)
-    slope, intercept = (logistic(logit(raw[~none]), truth[~none]) if (~none).sum() >= 50
-                        else (1.0, 0.0))
+    empty = ((weight * truth)[none].sum() + share) / (weight[none].sum() + 1)
+    slope, intercept = logistic(logit(raw[~none]), truth[~none], weight[~none])
     return model._replace(empty=float(empty), slope=slope, intercept=intercept)
 
 

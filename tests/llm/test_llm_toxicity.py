@@ -1,4 +1,4 @@
-"""Toxicity over the whole vocabulary, by exact search."""
+"""Toxicity over the whole vocabulary, and calibration with few toxic labels."""
 
 import random
 
@@ -37,6 +37,27 @@ def test_every_term_of_the_examples_counts(spark):
     assert (np.diff(model.weights.at) > 0).all()
 
 
+def test_calibration_has_both_labels(spark):
+    rows, labels = labelled(900, 0.12)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    chosen, learn = toxicity.sampled(marks)
+    parts = {(r.part, r.toxic): r["count"] for r in chosen.groupBy("part", "toxic").count().collect()}
+    assert set(parts) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert sum(parts.values()) == learn.count()
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), marks)
+    assert (model.slope, model.intercept) != (1.0, 0.0)
+
+
+def test_logistic_settles():
+    rng = np.random.default_rng(1)
+    for n in (3, 100, 400):
+        x = np.where(rng.random(n) < 0.9, -6.9, 6.9) + rng.normal(size=n) * 0.01
+        for y in (np.zeros(n), (x > 0).astype(float), (rng.random(n) < 0.1).astype(float)):
+            a, b = toxicity.logistic(x, y)
+            p = 1 / (1 + np.exp(-(a * x + b)))
+            assert np.allclose([((p - y) * x).sum() + a - 1, (p - y).sum() + 0.01 * b], 0, atol=1e-3)
+
+
 def test_sparse_search_is_exact():
     rng = np.random.default_rng(2)
     share = np.concatenate([np.full(10, 0.6), np.full(500, 0.02)])
