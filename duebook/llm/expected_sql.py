@@ -57,4 +57,53 @@ SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines,
 FROM m GROUP BY r
 """
 
-EXPECTED = {"op5_decontaminate": OP5, "op6_warc": OP6, "op10_lines": OP10}
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+               coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT r, doc_id, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20),
+s AS (SELECT r, k, row_number() OVER (PARTITION BY gram ORDER BY doc_id, k) > 1 AS again
+      FROM (SELECT v.r, v.doc_id, v.k, array_to_string(d.w[v.k:v.k + 19], ' ') AS gram
+            FROM v JOIN d ON d.r = v.r)),
+g AS (SELECT DISTINCT r, unnest(range(k, k + 20)) AS pos FROM s WHERE again),
+p AS (SELECT r, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+q AS (SELECT p.r, count(g.pos) AS n_removed,
+             string_agg(p.word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS kept
+      FROM p LEFT JOIN g ON g.r = p.r AND g.pos = p.pos GROUP BY p.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
+       CAST(coalesce(q.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(q.kept, '')) AS kept_sha256
+FROM d LEFT JOIN q USING (r)
+"""
+
+OP13 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(LOWER_TEXT,
+               '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'),
+                               lambda x: x <> '') AS w FROM t),
+m AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM w),
+o AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2),
+             lambda k: array_to_string(w[k:k + size - 1], ' '))) AS phrase
+      FROM m WHERE len(w) >= size),
+c AS (SELECT lang, size, phrase, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE size = 1 GROUP BY lang),
+a AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f FROM c
+      WHERE size >= 2 AND f >= 30),
+x AS (SELECT lang, f, w, size, unnest(range(2, size)) AS part FROM a WHERE size > 2),
+y AS (SELECT lang, f, unnest(list_transform(range(1, size - part + 2),
+             lambda k: array_to_string(w[k:k + part - 1], ' '))) AS phrase FROM x),
+z AS (SELECT lang, phrase, max(f) AS longer FROM y GROUP BY ALL),
+k AS (SELECT a.*, unnest(range(1, a.size)) AS k FROM a LEFT JOIN z USING (lang, phrase)
+      WHERE z.longer IS NULL OR 100 * z.longer < 80 * a.f),
+s AS (SELECT k.lang, k.phrase, k.f AS a, l.f AS l, r.f AS r, k.k,
+             CAST(2000000 * CAST(k.f AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+      FROM k JOIN c l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ')
+             JOIN c r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM s),
+e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM b WHERE pick = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, score
+FROM e JOIN n USING (lang) WHERE rank <= 2000
+""".replace("LOWER_TEXT", LOWER.format("coalesce(text, '')"))
+
+EXPECTED = {"op5_decontaminate": OP5, "op6_warc": OP6, "op10_lines": OP10, "op12_spans": OP12,
+            "op13_collocations": OP13}

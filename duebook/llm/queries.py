@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from duebook.llm import (decontaminate, extract, lines, neighbours, packing, resample, scoring,
-                         simhash, toxicity, warc)
+from duebook.llm import (collocations, decontaminate, extract, lines, neighbours, packing,
+                         resample, scoring, simhash, spans, toxicity, warc, whitening)
 from duebook.llm.common import read
 from duebook.operators.skew import shared_folder
 
@@ -70,6 +70,21 @@ def op10_lines(spark, d):
         F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark, d):
+    return whitening.whiten(read(spark, d, "embeddings", "vec_id", "embedding"))
+
+
+def op12_spans(spark, d):
+    kept = spans.dedup_spans(read(spark, d, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(
+        F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark, d):
+    return collocations.collocations(read(spark, d, "documents", "text", "lang"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_extract, op2_resample, op3_neighbours, op4_scoring, op5_decontaminate, op6_warc,
-    op7_simhash, op8_packing, op9_toxicity, op10_lines)}
+    op7_simhash, op8_packing, op9_toxicity, op10_lines, op11_whitening, op12_spans,
+    op13_collocations)}
