@@ -12,8 +12,13 @@ corpus fit no task. So the shards are cut by content: a window's anchor is the l
 among its runs of 8 words, equal windows have equal anchors, and the consecutive windows
 that share an anchor are one fragment of a text. Fragments of equal anchor meet in the shard
 of that anchor, each distinct one once, in the order of first occurrence; the shard is at
-once the reference and what streams through it. An anchor that occurs once in the corpus
-cannot belong to a repeated window: those are thinned out by a bit array of fixed size.
+once the reference and what streams through it.
+
+Three passes over the texts keep what moves small. The first counts anchors into a bit array
+of fixed size: one that occurs once in the corpus cannot belong to a repeated window. The
+second gives a row of numbers for each remaining fragment, known by its anchor's hash and its
+own. Equal fragments need no automaton, as all but the first are repeated whole; nor does an
+anchor that has one distinct fragment. Only the words of the others are sent, by the third.
 
 An anchor with more distinct fragments than a shard should hold (a line that many texts
 share, each time in other words) has them cut into single windows, which are compared by
@@ -31,13 +36,14 @@ from pyspark.sql import functions as F
 
 from duebook.llm import bitfilter
 from duebook.llm.common import append_columns, materialise, text_bytes
-from duebook.operators.skew import join_list
+from duebook.operators.skew import join_list, key_list
 
 WINDOW = 20
 ANCHOR = 8
 SHARD_FRAGMENTS = 4096
 BATCH_WORDS = 2 ** 20
 KNOWN = 2 ** 18         # entries that a task remembers: words, fragments it has sent
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 # -------------------------------------------------------- suffix automaton --
@@ -122,32 +128,36 @@ def repeated(sequences: list[list], window: int) -> list[int]:
 
 # ---------------------------------------------------------------- fragments --
 class WordHashes(dict):
-    """Numbers words as they come and keeps their hashes."""
-
-    def __init__(self):
-        self.hashes: list[int] = []
+    """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return number
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out = np.array(self.hashes, dtype=np.uint64)[numbers]
+        out = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         if len(self) > KNOWN:
             self.clear()
-            self.hashes.clear()
         return out
 
 
 def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each `length` consecutive words."""
-    n = max(0, len(hashes) - length + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(length):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + n]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    """A hash of each `length` consecutive words: a polynomial, put together from those of
+    half the length."""
+    def polynomial(n):
+        if n == 1:
+            return hashes, BASE
+        half, power = polynomial(n // 2)
+        out = half[:max(0, len(half) - n // 2)] * power + half[n // 2:]
+        power = power * power
+        if n % 2:
+            out = out[:max(0, len(out) - 1)] * BASE + hashes[n - 1:]
+            power = power * BASE
+        return out, power
+
+    with np.errstate(over="ignore"):
+        out, _ = polynomial(length)
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
@@ -211,62 +221,85 @@ def repeated_anchors(texts: DataFrame, window: int, anchor: int, bits: int) -> n
                                .filter("n > 1"), bits)
 
 
-FRAGMENTS = "anchor long, a long, b long, doc_id long, key long, start int, n int, text binary"
+FRAGMENTS = "anchor long, print long, doc_id long, key long, start int, n int"
+WORDS = "anchor long, print long, text binary"
 
 
 def fragments(texts: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """A row for each fragment whose anchor may be repeated. A task sends a fragment's
-    words with the first of the equal ones it meets."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(repeated_anchors(texts, window, anchor, bits))
-    names = [f.split()[0] for f in FRAGMENTS.split(", ")]
+    """A row for each fragment whose anchor may be repeated."""
+    sent = texts.sparkSession.sparkContext.broadcast(
+        repeated_anchors(texts, window, anchor, bits))
 
     def run(batches):
-        words, seen = WordHashes(), set()
+        words = WordHashes()
         for rows, lists, hashes, ends in batched(batches, words):
             places, found = windows_by_anchor(hashes, ends, window, anchor)
             kept = bitfilter.held(sent.value, found, bits)
             (text, start, n), found = places[:, kept], found[kept]
-            prints, texts_out = [], []
-            for t, s, m in zip(text.tolist(), start.tolist(), n.tolist()):
+            prints = [xxhash.xxh3_64_intdigest(b" ".join(lists[t][s:s + m + window - 1]))
+                      for t, s, m in zip(text.tolist(), start.tolist(), n.tolist())]
+            ids = rows.select(["doc_id", "key"]).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.view(np.int64)),
+                 pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
+                 ids.column(0).cast(pa.int64()), ids.column(1), pa.array(start.astype(np.int32)),
+                 pa.array(n.astype(np.int32))], [f.split()[0] for f in FRAGMENTS.split(", ")])
+
+    return texts.mapInArrow(run, FRAGMENTS)
+
+
+def fragment_words(texts: DataFrame, wanted: DataFrame, window: int, anchor: int, bits: int
+                   ) -> DataFrame:
+    """The words of the `wanted` fragments (anchor, print), and of some others; a task sends
+    them with the first of the equal ones it meets."""
+    slot = F.shiftrightunsigned("anchor", 64 - bits).alias("slot")
+    sent = texts.sparkSession.sparkContext.broadcast(
+        bitfilter.collected(wanted.select(slot), bits))
+
+    def run(batches):
+        words, seen = WordHashes(), set()
+        for _, lists, hashes, ends in batched(batches, words):
+            places, found = windows_by_anchor(hashes, ends, window, anchor)
+            kept = bitfilter.held(sent.value, found, bits)
+            out = ([], [], [])
+            for t, s, m, key in zip(*(x[kept].tolist() for x in places),
+                                    found[kept].view(np.int64).tolist()):
                 own = b" ".join(lists[t][s:s + m + window - 1])
-                digest = xxhash.xxh3_128_digest(own)
-                texts_out.append(None if digest in seen else own)
-                seen.add(digest)
-                prints.append(digest)
+                digest = xxhash.xxh3_64_intdigest(own)
+                if (key, digest) not in seen:
+                    seen.add((key, digest))
+                    for column, value in zip(out, (key, digest, own)):
+                        column.append(value)
             if len(seen) > KNOWN:
                 seen.clear()
-            halves = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            ids = rows.select(["doc_id", "key"]).take(pa.array(text))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), pa.array(np.ascontiguousarray(halves[:, 0])),
-                 pa.array(np.ascontiguousarray(halves[:, 1])), ids.column(0).cast(pa.int64()),
-                 ids.column(1), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
-                 pa.array(texts_out, pa.binary())], names)
+                [pa.array(out[0], pa.int64()),
+                 pa.array(np.array(out[1], dtype=np.uint64).view(np.int64)),
+                 pa.array(out[2], pa.binary())], ["anchor", "print", "text"])
 
-    return texts.select("doc_id", "key", "text").mapInArrow(run, FRAGMENTS)
+    return (texts.select("text").mapInArrow(run, WORDS)
+            .groupBy("anchor", "print").agg(F.max("text").alias("text")))
 
 
 # -------------------------------------------------------------------- masks --
 def shard_masks(distinct: DataFrame, window: int, shard_fragments: int) -> DataFrame:
-    """(a, b, mask) of the fragments of which some window has an earlier place, by the
-    automaton of each anchor's shard."""
+    """(anchor, print, mask) of the fragments of which some window has an earlier place, by
+    the automaton of each anchor's shard."""
     shards = max(1, -(-distinct.count() // shard_fragments))
 
     def run(key, pdf):
-        # A fragment that is alone with its anchor has all its windows to itself.
-        pdf = pdf[pdf.duplicated("anchor", keep=False)].sort_values(
-            ["known", "doc_id", "key", "start"], kind="stable")
+        pdf = pdf.sort_values(["known", "doc_id", "key", "start"], kind="stable")
         numbers: dict = {}
         sequences = [[numbers.setdefault(w, len(numbers)) for w in text.split(b" ")]
                      for text in pdf["text"]]
-        return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "mask": repeated(sequences, window)})
+        return pd.DataFrame({"anchor": pdf["anchor"], "print": pdf["print"],
+                             "mask": repeated(sequences, window)})
 
-    return (distinct.select("anchor", "a", "b", "text", F.col("first.doc_id").isNotNull()
+    return (distinct.select("anchor", "print", "text", F.col("first.doc_id").isNotNull()
                             .alias("known"), F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"),
                             "first.key", "first.start")
             .groupBy(F.pmod("anchor", F.lit(shards)).alias("shard"))
-            .applyInPandas(run, "a long, b long, mask long").filter("mask != 0"))
+            .applyInPandas(run, "anchor long, print long, mask long").filter("mask != 0"))
 
 
 def window_masks(distinct: DataFrame, window: int) -> DataFrame:
@@ -282,21 +315,22 @@ def window_masks(distinct: DataFrame, window: int) -> DataFrame:
                     out["at"].append(k)
                     out["hash"].append(xxhash.xxh3_128_digest(b" ".join(words[k:k + window])))
             halves = np.frombuffer(b"".join(out["hash"]), np.int64).reshape(-1, 2)
-            rows = batch.select(["a", "b", "doc_id", "key", "start"]).take(
+            rows = batch.select(["anchor", "print", "doc_id", "key", "start"]).take(
                 pa.array(out["row"], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array(out["at"], pa.int32()),
                  pa.array(np.ascontiguousarray(halves[:, 0])),
                  pa.array(np.ascontiguousarray(halves[:, 1]))],
-                ["a", "b", "doc_id", "key", "start", "at", "wa", "wb"])
+                ["anchor", "print", "doc_id", "key", "start", "at", "wa", "wb"])
 
     rows = materialise(
-        distinct.select("a", "b", "text", "first.doc_id", "first.key", "first.start").mapInArrow(
-            cut, "a long, b long, doc_id long, key long, start int, at int, wa long, wb long")
+        distinct.select("anchor", "print", "text", "first.doc_id", "first.key", "first.start")
+        .mapInArrow(cut, "anchor long, print long, doc_id long, key long, start int, at int, "
+                         "wa long, wb long")
         .withColumn("place", F.struct("doc_id", "key", (F.col("start") + F.col("at")).alias("p"))))
     first = rows.groupBy("wa", "wb").agg(F.min("place").alias("earliest"))
     return (rows.join(first, ["wa", "wb"]).filter("place != earliest")
-            .groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")))
+            .groupBy("anchor", "print").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")))
 
 
 def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
@@ -304,18 +338,22 @@ def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
     """(doc_id, key, starts): for each text the (start, mask) of its fragments with windows
     that occur earlier."""
     rows = materialise(fragments(texts, window, anchor, bits))
-    distinct = materialise(rows.groupBy("a", "b").agg(
-        F.min(F.struct("doc_id", "key", "start")).alias("first"),
-        F.first("anchor").alias("anchor"), F.max("text").alias("text")))
-    hot = materialise(distinct.groupBy("anchor").count().filter(F.col("count") > shard_fragments)
-                      .select("anchor"))
+    own = ["anchor", "print"]
+    distinct = materialise(rows.groupBy(*own).agg(
+        F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("copies")))
+    mixed = materialise(distinct.groupBy("anchor").count().filter(F.col("count") > 1))
+    wanted = materialise(join_list(distinct, mixed, ["anchor"], "left_semi").drop("copies"))
+    wanted = materialise(wanted.join(
+        fragment_words(texts, wanted, window, anchor, bits), own))
+    hot = key_list(mixed.filter(F.col("count") > shard_fragments), ["anchor"])
     masks = materialise(
-        shard_masks(materialise(join_list(distinct, hot, ["anchor"], "left_anti")),
+        shard_masks(materialise(join_list(wanted, hot, ["anchor"], "left_anti")),
                     window, shard_fragments)
-        .unionByName(window_masks(join_list(distinct, hot, ["anchor"], "left_semi"), window)))
+        .unionByName(window_masks(join_list(wanted, hot, ["anchor"], "left_semi"), window)))
     # Of equal fragments all but the first have every window earlier.
-    both = (rows.select("a", "b", "n", F.struct("doc_id", "key", "start").alias("place"))
-            .join(distinct.select("a", "b", "first").join(masks, ["a", "b"], "left"), ["a", "b"])
+    told = distinct.join(masks, own, "left").filter("copies > 1 or mask is not null")
+    both = (rows.select(*own, "n", F.struct("doc_id", "key", "start").alias("place"))
+            .join(told, own)
             .select("place.*", F.when(F.col("place") == F.col("first"), F.coalesce(
                 "mask", F.lit(0).cast("long"))).otherwise(F.expr("shiftleft(1L, n) - 1"))
                 .alias("mask")).filter("mask != 0"))
@@ -342,6 +380,26 @@ def runs(flags: np.ndarray) -> list[dict]:
     return [{"start": int(a), "stop": int(b)} for a, b in turns.reshape(-1, 2)]
 
 
+def ids_with_several_texts(docs: DataFrame) -> DataFrame:
+    digest = F.xxhash64("text")
+    return materialise(docs.groupBy("doc_id").agg(F.min(digest).alias("a"),
+                                                  F.max(digest).alias("b"))
+                       .filter("a != b").select(F.col("doc_id").isNotNull().alias("_known"),
+                                                F.coalesce("doc_id", F.lit(0)).alias("_id")))
+
+
+def told_apart(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text and others) with a key, which is 0 but for an id that has several
+    texts: there it is the text's hash."""
+    if several.isEmpty():
+        return rows.withColumn("key", F.lit(0).cast("long"))
+    known = rows.withColumns({"_known": F.col("doc_id").isNotNull(),
+                              "_id": F.coalesce("doc_id", F.lit(0))})
+    joined = known.join(several.withColumn("_several", F.lit(True)), ["_known", "_id"], "left")
+    return joined.select(*rows.columns, F.when(F.col("_several"), F.xxhash64("text"))
+                         .otherwise(0).alias("key"))
+
+
 def place(doc_id: Column, key: Column) -> list[Column]:
     return [doc_id.isNotNull().alias("_known"),
             F.coalesce(doc_id.cast("long"), F.lit(0)).alias("_id"), key.alias("_key")]
@@ -364,12 +422,15 @@ def dedup_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     column are replaced, and a column n_chars follows the new text."""
     if not anchor < window <= anchor + 62:
         raise ValueError("a window is longer than its anchor, by 62 words at most")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = ids_with_several_texts(texts)
+    texts = told_apart(texts, several)
     found = repeated_windows(texts, window, anchor, bits, shard_fragments).select(
         *place(F.col("doc_id"), F.col("key")), F.col("starts").alias("_starts"))
     # All of a row is one struct, so that no name of its columns meets one of ours.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    both = rows.select("_row", *place(F.col("_row.doc_id"), F.xxhash64("_row.text"))).join(
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = told_apart(rows, several).select("_row", *place(F.col("doc_id"), F.col("key"))).join(
         found, ["_known", "_id", "_key"], "left")
     taken = {f.split()[0] for f in ADDED.split(", ")} | {"_starts"}
     passed = [c for c in docs.columns if c.lower() not in taken]

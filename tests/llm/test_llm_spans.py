@@ -42,7 +42,7 @@ def corpus(seed):
 
 def run(spark, rows, **how):
     df = spark.createDataFrame([(*r, "own", 7, 8, 9, 1) for r in rows], SCHEMA).repartition(5)
-    return spans.dedup_spans(df, **how)
+    return spans.dedup_spans(df, **{"bits": 16, **how})
 
 
 @pytest.mark.parametrize("seed,how", [
