@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duebook.llm import bitfilter
-from duebook.llm.common import materialise, small_side, text_bytes
+from duebook.llm.common import give_back, materialise, small_side, text_bytes
 from duebook.operators.skew import top_rows
 
 MOST = 4                # words of the longest phrase
@@ -31,8 +32,8 @@ SCALE = 2_000_000
 COVER = 80              # per cent of a phrase's occurrences inside a longer one
 TOP = 2000
 UNKNOWN = "und"
-BATCH_WORDS = 2 ** 20
-KNOWN = 2 ** 19         # words that a task remembers
+BATCH_WORDS = 2 ** 19   # words that a task counts before it sends
+KNOWN = 2 ** 17         # words that it remembers
 HOT_PHRASES = 1_000_000
 
 #: Ends of pieces become line feeds, tabs blanks, letters A-Z lower case.
@@ -114,12 +115,13 @@ def level_counts(docs: DataFrame, size: int, shorter: np.ndarray | None, bits: i
             kept &= bitfilter.held(sent.value, phrase_hashes(seeds, own[1:]), bits)
             at, owner = at[kept], owner[kept]
         (owner, *parts), n = counted([owner, *[p[at] for p in parts]])
-        texts = words.texts
-        phrases = [b" ".join([texts[i] for i in row]) for row in zip(*(p.tolist() for p in parts))]
+        known = pa.array(words.texts, pa.binary())
+        columns = [known.take(pa.array(p)) for p in parts]
+        phrases = (columns[0] if size == 1 else
+                   pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())))
         return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()).take(pa.array(owner)),
-             pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)],
-            ["lang", "phrase", "n"])
+            [pa.array(langs, pa.string()).take(pa.array(owner)), phrases.cast(pa.string()),
+             pa.array(n)], ["lang", "phrase", "n"])
 
     def run(batches):
         words, langs, texts, total = Words(), {}, [], 0
@@ -136,6 +138,7 @@ def level_counts(docs: DataFrame, size: int, shorter: np.ndarray | None, bits: i
                         words.restart()
         if texts:
             yield flush(words, list(langs), texts)
+        give_back()
 
     rows = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
     return (rows.mapInArrow(run, "lang string, phrase string, n long")
