@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from duebook.llm import bitfilter
 from duebook.llm.common import give_back, materialise, small_side, text_bytes
+from duebook.llm.words import Texts, slices
 from duebook.operators.skew import top_rows
 
 MOST = 4                # words of the longest phrase
@@ -32,8 +33,6 @@ SCALE = 2_000_000
 COVER = 80              # per cent of a phrase's occurrences inside a longer one
 TOP = 2000
 UNKNOWN = "und"
-BATCH_WORDS = 2 ** 19   # words that a task counts before it sends
-KNOWN = 2 ** 17         # words that it remembers
 HOT_PHRASES = 1_000_000
 
 #: Ends of pieces become line feeds, tabs blanks, letters A-Z lower case.
@@ -42,28 +41,6 @@ TABLE = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r" + bytes(range(65, 91)),
 
 
 # ------------------------------------------------------------------ counting --
-class Words(dict):
-    """Numbers words as they come; 0 is the end of a piece, 1 nothing at all."""
-
-    def __init__(self):
-        self.restart()
-
-    def restart(self) -> None:
-        self.clear()
-        self.update({b"\n": 0, b"": 1})
-        self.texts, self.hashes = [b"\n", b""], [0, 0]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.texts)
-        self.texts.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return number
-
-    def numbers(self, text: bytes) -> np.ndarray:
-        words = text.translate(TABLE).replace(b"\n", b" \n ").split(b" ")
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 def mixed(value: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a phrase from that of its first words and its last word's."""
     value = (value ^ word) * np.uint64(0x9E3779B97F4A7C15)
@@ -95,49 +72,35 @@ def level_counts(docs: DataFrame, size: int, shorter: np.ndarray | None, bits: i
     array may hold."""
     sent = None if shorter is None else docs.sparkSession.sparkContext.broadcast(shorter)
 
-    def flush(words, langs, texts):
-        flat = np.concatenate([x for _, x in texts])
-        owner = np.repeat(np.array([x for x, _ in texts]), [len(x) for _, x in texts])
-        there = flat != 1
-        flat, owner = flat[there], owner[there]
-        n = max(0, len(flat) - size + 1)
-        parts = [flat[i:i + n] for i in range(size)]
-        good = owner[:n] == owner[size - 1:size - 1 + n]
-        for part in parts:
-            good &= part != 0
-        at = np.flatnonzero(good)
-        owner = owner[at]
+    def counts(langs, texts):
+        there = Texts(texts, TABLE)
+        numbers, spellings = there.numbered()
+        n = max(0, len(numbers) - size + 1)
+        pieces = there.pieces()
+        at = np.flatnonzero(pieces[:n] == pieces[size - 1:size - 1 + n])
+        names = sorted(set(langs))
+        place = {lang: k for k, lang in enumerate(names)}
+        owner = np.array([place[x] for x in langs])[there.owners()]
         if sent is not None:
-            hashes = np.array(words.hashes, dtype=np.uint64)
-            seeds = lang_hashes(langs)[owner]
-            own = [hashes[p[at]] for p in parts]
+            seeds = lang_hashes(names)[owner[at]]
+            own = [there.hashes[at + i] for i in range(size)]
             kept = bitfilter.held(sent.value, phrase_hashes(seeds, own[:-1]), bits)
             kept &= bitfilter.held(sent.value, phrase_hashes(seeds, own[1:]), bits)
-            at, owner = at[kept], owner[kept]
-        (owner, *parts), n = counted([owner, *[p[at] for p in parts]])
-        known = pa.array(words.texts, pa.binary())
+            at = at[kept]
+        (owner, *parts), n = counted([owner[at], *[numbers[at + i] for i in range(size)]])
+        known = pa.array(spellings, pa.binary())
         columns = [known.take(pa.array(p)) for p in parts]
         phrases = (columns[0] if size == 1 else
                    pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())))
         return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()).take(pa.array(owner)), phrases.cast(pa.string()),
+            [pa.array(names, pa.string()).take(pa.array(owner)), phrases.cast(pa.string()),
              pa.array(n)], ["lang", "phrase", "n"])
 
     def run(batches):
-        words, langs, texts, total = Words(), {}, [], 0
         for batch in batches:
-            for lang, text in zip(batch.column(1).to_pylist(), text_bytes(batch)):
-                own = words.numbers(text)
-                # A text's end is the end of a piece.
-                texts.append((langs.setdefault(lang, len(langs)), np.append(own, 0)))
-                total += len(own)
-                if total >= BATCH_WORDS or len(words) > KNOWN:
-                    yield flush(words, list(langs), texts)
-                    langs, texts, total = {}, [], 0
-                    if len(words) > KNOWN:
-                        words.restart()
-        if texts:
-            yield flush(words, list(langs), texts)
+            langs = batch.column(1).to_pylist()
+            for begin, texts in slices(text_bytes(batch)):
+                yield counts(langs[begin:begin + len(texts)], texts)
         give_back()
 
     rows = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
@@ -145,13 +108,13 @@ def level_counts(docs: DataFrame, size: int, shorter: np.ndarray | None, bits: i
             .groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
 
 
-def phrase_bits(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The bit array of phrases, all of one size."""
+def phrase_bits(frequent: DataFrame, size: int, bits: int) -> np.ndarray:
+    """The bit array of phrases of `size` words."""
     def run(batches):
         for batch in batches:
-            words = zip(*(p.encode().split(b" ") for p in batch.column(1).to_pylist()))
-            hashes = phrase_hashes(lang_hashes(batch.column(0).to_pylist()), [np.array(
-                [xxhash.xxh64_intdigest(w) for w in column], dtype=np.uint64) for column in words])
+            phrases = batch.column(1).cast(pa.binary()).to_pylist()
+            words = Texts(phrases, TABLE).hashes.reshape(len(phrases), size)
+            hashes = phrase_hashes(lang_hashes(batch.column(0).to_pylist()), list(words.T))
             yield pa.RecordBatch.from_arrays([pa.array(bitfilter.slots(hashes, bits))], ["slot"])
 
     return bitfilter.collected(frequent.select("lang", "phrase").mapInArrow(run, "slot long"), bits)
@@ -164,7 +127,7 @@ def count_streams(docs: DataFrame, most: int, least: int, bits: int) -> tuple:
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     levels = [materialise(words.filter(F.col("n") >= least))]
     for size in range(2, most + 1):
-        array = phrase_bits(levels[-1], bits)
+        array = phrase_bits(levels[-1], size - 1, bits)
         levels.append(materialise(level_counts(docs, size, array, bits)
                                   .filter(F.col("n") >= least)))
     stream = levels[0].withColumn("size", F.lit(1))

@@ -35,15 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm import bitfilter
-from duebook.llm.common import append_columns, materialise, text_bytes
+from duebook.llm.common import append_columns, give_back, materialise, text_bytes
+from duebook.llm.words import BASE, Texts, slices
 from duebook.operators.skew import join_list, key_list
 
 WINDOW = 20
 ANCHOR = 8
 SHARD_FRAGMENTS = 4096
-BATCH_WORDS = 2 ** 20
-KNOWN = 2 ** 18         # entries that a task remembers: words, fragments it has sent
-BASE = np.uint64(0x9E3779B97F4A7C15)
+KNOWN = 2 ** 17         # fragments a task remembers to have sent
 
 
 # -------------------------------------------------------- suffix automaton --
@@ -127,20 +126,6 @@ def repeated(sequences: list[list], window: int) -> list[int]:
 
 
 # ---------------------------------------------------------------- fragments --
-class WordHashes(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        if len(self) > KNOWN:
-            self.clear()
-        return out
-
-
 def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     """A hash of each `length` consecutive words: a polynomial, put together from those of
     half the length."""
@@ -173,13 +158,13 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows_by_anchor(hashes: np.ndarray, ends: np.ndarray, window: int, anchor: int):
-    """Of texts laid end to end (`ends`: where each stops): (text, start, windows, anchor's
-    hash) of each run of windows that share an anchor's place."""
+    """Of texts laid end to end (`ends`: where each stops): (text, start, windows, first word
+    of all) and the anchor's hash of each run of windows that share an anchor's place."""
     if len(hashes) < window:
-        return np.zeros((3, 0), np.int64), np.zeros(0, np.uint64)
+        return np.zeros((4, 0), np.int64), np.zeros(0, np.uint64)
     runs = run_hashes(hashes, anchor)
     place = least_places(runs, window - anchor + 1)
-    text = np.searchsorted(ends, np.arange(len(place)), side="right")
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:len(place)]
     inside = np.arange(len(place)) + window <= ends[text]
     new = np.ones(len(place), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
@@ -189,30 +174,22 @@ def windows_by_anchor(hashes: np.ndarray, ends: np.ndarray, window: int, anchor:
     # Windows that run over a text's end follow those inside, so only the length changes.
     size = np.minimum(size, ends[text[start]] - window + 1 - start)
     begins = np.concatenate([[0], ends])[text[start]]
-    return np.stack([text[start], start - begins, size]), runs[place[start]]
+    return np.stack([text[start], start - begins, size, start]), runs[place[start]]
 
 
-def batched(batches, words: WordHashes):
-    """(batch rows, word lists, hashes, ends) of slices of about BATCH_WORDS words."""
+def batched(batches):
+    """(batch rows, their Texts) of slices of bounded size."""
     for batch in batches:
-        texts, at = text_bytes(batch), 0
-        while at < len(texts):
-            lists, total, begin = [], 0, at
-            while at < len(texts) and total < BATCH_WORDS:
-                lists.append(texts[at].split())
-                total += len(lists[-1])
-                at += 1
-            flat = [w for x in lists for w in x]
-            yield batch.slice(begin, at - begin), lists, words.of(flat), np.cumsum(
-                [len(x) for x in lists])
+        for begin, texts in slices(text_bytes(batch)):
+            yield batch.slice(begin, len(texts)), Texts(texts)
+    give_back()
 
 
 def repeated_anchors(texts: DataFrame, window: int, anchor: int, bits: int) -> np.ndarray:
     """Bits of the anchors that occur at two places or more."""
     def run(batches):
-        words = WordHashes()
-        for _, _, hashes, ends in batched(batches, words):
-            _, found = windows_by_anchor(hashes, ends, window, anchor)
+        for _, texts in batched(batches):
+            _, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
             slot, n = np.unique(bitfilter.slots(found, bits), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
@@ -231,13 +208,11 @@ def fragments(texts: DataFrame, window: int, anchor: int, bits: int) -> DataFram
         repeated_anchors(texts, window, anchor, bits))
 
     def run(batches):
-        words = WordHashes()
-        for rows, lists, hashes, ends in batched(batches, words):
-            places, found = windows_by_anchor(hashes, ends, window, anchor)
+        for rows, texts in batched(batches):
+            places, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
             kept = bitfilter.held(sent.value, found, bits)
-            (text, start, n), found = places[:, kept], found[kept]
-            prints = [xxhash.xxh3_64_intdigest(b" ".join(lists[t][s:s + m + window - 1]))
-                      for t, s, m in zip(text.tolist(), start.tolist(), n.tolist())]
+            (text, start, n, first), found = places[:, kept], found[kept]
+            prints = list(map(xxhash.xxh3_64_intdigest, texts.words(first, n + (window - 1))))
             ids = rows.select(["doc_id", "key"]).take(pa.array(text))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.view(np.int64)),
@@ -257,14 +232,13 @@ def fragment_words(texts: DataFrame, wanted: DataFrame, window: int, anchor: int
         bitfilter.collected(wanted.select(slot), bits))
 
     def run(batches):
-        words, seen = WordHashes(), set()
-        for _, lists, hashes, ends in batched(batches, words):
-            places, found = windows_by_anchor(hashes, ends, window, anchor)
+        seen = set()
+        for _, texts in batched(batches):
+            places, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
             kept = bitfilter.held(sent.value, found, bits)
             out = ([], [], [])
-            for t, s, m, key in zip(*(x[kept].tolist() for x in places),
-                                    found[kept].view(np.int64).tolist()):
-                own = b" ".join(lists[t][s:s + m + window - 1])
+            owns = texts.words(places[3][kept], places[2][kept] + (window - 1))
+            for own, key in zip(owns, found[kept].view(np.int64).tolist()):
                 digest = xxhash.xxh3_64_intdigest(own)
                 if (key, digest) not in seen:
                     seen.add((key, digest))
@@ -335,8 +309,8 @@ def window_masks(distinct: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
                      shard_fragments: int) -> DataFrame:
-    """(doc_id, key, starts): for each text the (start, mask) of its fragments with windows
-    that occur earlier."""
+    """(_known, _id, _key, _starts): for each text the (start, mask) of its fragments with
+    windows that occur earlier."""
     rows = materialise(fragments(texts, window, anchor, bits))
     own = ["anchor", "print"]
     distinct = materialise(rows.groupBy(*own).agg(
@@ -357,8 +331,9 @@ def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
             .select("place.*", F.when(F.col("place") == F.col("first"), F.coalesce(
                 "mask", F.lit(0).cast("long"))).otherwise(F.expr("shiftleft(1L, n) - 1"))
                 .alias("mask")).filter("mask != 0"))
-    return both.groupBy("doc_id", "key").agg(
-        F.collect_set(F.struct("start", "mask")).alias("starts"))
+    return (both.select(*place(F.col("doc_id"), F.col("key")), "start", "mask")
+            .groupBy("_known", "_id", "_key")
+            .agg(F.collect_set(F.struct("start", "mask")).alias("_starts")))
 
 
 # ------------------------------------------------------------------ removal --
@@ -425,8 +400,7 @@ def dedup_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     several = ids_with_several_texts(texts)
     texts = told_apart(texts, several)
-    found = repeated_windows(texts, window, anchor, bits, shard_fragments).select(
-        *place(F.col("doc_id"), F.col("key")), F.col("starts").alias("_starts"))
+    found = repeated_windows(texts, window, anchor, bits, shard_fragments)
     # All of a row is one struct, so that no name of its columns meets one of ours.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -111,10 +111,11 @@ def test_windows_fall_into_fragments_once():
     sizes = [0, 5, 20, 21, 300, 0, 19, 40]
     ends = np.cumsum(sizes)
     hashes = rng.integers(0, 40, ends[-1]).astype(np.uint64)
-    (text, start, n), _ = spans.windows_by_anchor(hashes, ends, 20, 8)
+    (text, start, n, first), _ = spans.windows_by_anchor(hashes, ends, 20, 8)
     got = [(t, s + k) for t, s, m in zip(text, start, n) for k in range(m)]
     assert sorted(got) == [(t, k) for t, m in enumerate(sizes) for k in range(m - 19)]
     assert len(set(got)) == len(got) and n.max() <= 13
+    assert (first - start == np.concatenate([[0], ends])[text]).all()
 
 
 def test_bit_array_has_no_false_negatives(spark):
