@@ -5,7 +5,7 @@ array only lets more rows through."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +29,16 @@ def collected(rows: DataFrame, bits: int = BITS) -> np.ndarray:
     reach the driver, however many rows there are."""
     chunk = min(CHUNK, bits)
 
-    def pack(key, pdf):
+    def pack(key, table):
         ones = np.zeros(2 ** chunk, dtype=bool)
-        ones[pdf["slot"].to_numpy() & (2 ** chunk - 1)] = True
-        return pd.DataFrame({"chunk": [int(key[0])],
-                             "bits": [np.packbits(ones, bitorder="little").tobytes()]})
+        ones[table["slot"].to_numpy() & (2 ** chunk - 1)] = True
+        packed = np.packbits(ones, bitorder="little").tobytes()
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()),
+                         "bits": pa.array([packed], pa.binary())})
 
     made = materialise(rows.select("slot").distinct()
                        .groupBy(F.shiftright("slot", chunk).alias("chunk"))
-                       .applyInPandas(pack, "chunk long, bits binary"))
+                       .applyInArrow(pack, "chunk long, bits binary"))
     out = np.zeros(2 ** bits // 8, dtype=np.uint8)
     step = 2 ** chunk // 8
     for row in made.toLocalIterator():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duebook.llm import bitfilter
-from duebook.llm.common import give_back, materialise, small_side, text_bytes
+from duebook.llm.common import materialise, small_side
 from duebook.llm.words import Texts, slices
 from duebook.operators.skew import top_rows
 
@@ -97,11 +97,8 @@ def level_counts(docs: DataFrame, size: int, shorter: np.ndarray | None, bits: i
              pa.array(n)], ["lang", "phrase", "n"])
 
     def run(batches):
-        for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for begin, texts in slices(text_bytes(batch)):
-                yield counts(langs[begin:begin + len(texts)], texts)
-        give_back()
+        for rows, texts in slices(batches):
+            yield counts(rows.column(1).to_pylist(), texts)
 
     rows = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
     return (rows.mapInArrow(run, "lang string, phrase string, n long")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm import bitfilter
-from duebook.llm.common import append_columns, give_back, materialise, text_bytes
+from duebook.llm.common import append_columns, materialise, text_bytes
 from duebook.llm.words import BASE, Texts, slices
 from duebook.operators.skew import join_list, key_list
 
@@ -177,18 +177,11 @@ def windows_by_anchor(hashes: np.ndarray, ends: np.ndarray, window: int, anchor:
     return np.stack([text[start], start - begins, size, start]), runs[place[start]]
 
 
-def batched(batches):
-    """(batch rows, their Texts) of slices of bounded size."""
-    for batch in batches:
-        for begin, texts in slices(text_bytes(batch)):
-            yield batch.slice(begin, len(texts)), Texts(texts)
-    give_back()
-
-
 def repeated_anchors(texts: DataFrame, window: int, anchor: int, bits: int) -> np.ndarray:
     """Bits of the anchors that occur at two places or more."""
     def run(batches):
-        for _, texts in batched(batches):
+        for _, own in slices(batches):
+            texts = Texts(own)
             _, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
             slot, n = np.unique(bitfilter.slots(found, bits), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
@@ -208,7 +201,8 @@ def fragments(texts: DataFrame, window: int, anchor: int, bits: int) -> DataFram
         repeated_anchors(texts, window, anchor, bits))
 
     def run(batches):
-        for rows, texts in batched(batches):
+        for rows, own in slices(batches):
+            texts = Texts(own)
             places, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
             kept = bitfilter.held(sent.value, found, bits)
             (text, start, n, first), found = places[:, kept], found[kept]
@@ -233,7 +227,8 @@ def fragment_words(texts: DataFrame, wanted: DataFrame, window: int, anchor: int
 
     def run(batches):
         seen = set()
-        for _, texts in batched(batches):
+        for _, own in slices(batches):
+            texts = Texts(own)
             places, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
             kept = bitfilter.held(sent.value, found, bits)
             out = ([], [], [])

@@ -6,44 +6,54 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+from duebook.llm.common import give_back
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SECOND = np.uint64(0xD6E8FEB86659FD93)
-SLICE_BYTES = 2 ** 21
+SLICE_BYTES = 2 ** 20
 LONG_WORD = 256
 BLANK, LINE = 32, 10
+#: Numbers in place of bytes, for a second hash.
+OTHER_LETTERS = np.random.default_rng(1).integers(1, 2 ** 32, 256, dtype=np.uint64)
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of the first, texts) of runs of texts of about SLICE_BYTES."""
-    at = 0
-    while at < len(texts):
-        total, begin = 0, at
-        while at < len(texts) and total < SLICE_BYTES:
-            total += len(texts[at])
-            at += 1
-        yield begin, texts[begin:at]
+def slices(batches, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(rows, their texts) of runs of rows with about SLICE_BYTES of text; null is empty."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(int(np.searchsorted(ends, before + SLICE_BYTES)) + 1, batch.num_rows)
+            yield batch.slice(at, to - at), [
+                b"" if x is None else x for x in column.slice(at, to - at).to_pylist()]
+            at = to
+    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class Powers:
-    """Powers of an odd number modulo 2^64, and of its inverse, as far as asked for."""
-    known: dict = {}
+    """Powers of BASE modulo 2^64, and of its inverse, as far as asked for."""
+    up = down = np.ones(1, dtype=np.uint64)
 
     @classmethod
-    def upto(cls, base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-        up, down = cls.known.get(int(base), ((), ()))
-        if len(up) < n:
-            both = []
-            for factor in (int(base), pow(int(base), -1, 2 ** 64)):
-                row = np.full(n, factor, dtype=np.uint64)
-                row[0] = 1
-                both.append(np.cumprod(row, dtype=np.uint64))
-            up, down = both
-            if n <= 2 * SLICE_BYTES:
-                cls.known[int(base)] = both
-        return up[:n], down[:n]
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) >= n:
+            return cls.up[:n], cls.down[:n]
+        both = []
+        for factor in (int(BASE), pow(int(BASE), -1, 2 ** 64)):
+            row = np.full(max(n, SLICE_BYTES + SLICE_BYTES // 4), factor, dtype=np.uint64)
+            row[0] = 1
+            both.append(np.cumprod(row, dtype=np.uint64))
+        if n <= 2 * SLICE_BYTES:        # what one very long text needs is not kept
+            cls.up, cls.down = both
+        return both[0][:n], both[1][:n]
 
 
 class Texts:
@@ -56,23 +66,23 @@ class Texts:
         apart = (self.letters == BLANK) | (self.letters == LINE)
         turns = np.flatnonzero(np.diff(apart, prepend=True, append=True))
         self.starts, self.stops = turns[::2], turns[1::2]
-        self.hashes = self._hashed(BASE)
+        self.hashes = self._hashed(self.letters, 0)
         # The number of words up to each text's end.
         self.ends = np.searchsorted(self.starts, np.cumsum([len(t) + 1 for t in texts]))
 
-    def _hashed(self, base: np.uint64) -> np.ndarray:
-        """A polynomial of each word's bytes modulo 2^64, from sums up to each byte. Long words,
-        for which such polynomials have known collisions, are hashed otherwise."""
-        up, down = Powers.upto(base, len(self.letters) + 1)
-        sums = np.zeros(len(self.letters) + 1, dtype=np.uint64)
-        np.multiply(self.letters, up[:-1], out=sums[1:], dtype=np.uint64)
+    def _hashed(self, letters: np.ndarray, seed: int) -> np.ndarray:
+        """A polynomial of each word's letters modulo 2^64, from sums up to each byte. Long
+        words, for which such polynomials have known collisions, are hashed otherwise."""
+        up, down = Powers.upto(len(letters) + 1)
+        sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+        np.multiply(letters, up[:-1], out=sums[1:], dtype=np.uint64)
         np.cumsum(sums, out=sums)
         size = self.stops - self.starts
         own = (sums[self.stops] - sums[self.starts]) * down[self.starts]
         own += size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         own = (own ^ (own >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         for k in np.flatnonzero(size > LONG_WORD).tolist():
-            own[k] = xxhash.xxh64_intdigest(self.data[self.starts[k]:self.stops[k]], int(base))
+            own[k] = xxhash.xxh64_intdigest(self.data[self.starts[k]:self.stops[k]], seed)
         return own
 
     def pieces(self) -> np.ndarray:
@@ -94,7 +104,7 @@ class Texts:
         """For each word the number of its spelling, and the spellings. Words are told apart
         by two hashes, together of 128 bits."""
         _, first, number = np.unique(self.hashes, return_index=True, return_inverse=True)
-        again = self._hashed(SECOND)
+        again = self._hashed(OTHER_LETTERS[self.letters], 1)
         if (again[first][number] != again).any():
             pairs = np.stack([self.hashes, again], axis=1)
             _, first, number = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
