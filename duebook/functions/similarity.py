@@ -12,6 +12,9 @@ Python's unbounded integers.
 
 from __future__ import annotations
 
+from functools import cached_property
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -28,8 +31,11 @@ SHORTEST_HELD = 5
 
 WORD_BITS = 64
 PAIRS_AT_ONCE = 1 << 18
-CELLS_AT_ONCE = 1 << 24        # pairs times letters of the alphabet in use
 ROWS_AT_ONCE = 2000
+NEEDLES_AT_ONCE = 256
+FIRST_LOOK = 4
+LETTER_WIDTH, PAIR_WIDTH, TOKEN_WIDTH = 256, 512, 256      # columns of hashed counts
+SLACK = 1e-3                   # for rounding; bounds may be loose, never tight
 # 2*C/(m+C) >= 0.85 solved for C, the characters two names have in common.
 _SHARED_FLOOR = SUSPECT / 100 / (2 - SUSPECT / 100) - 1e-9
 
@@ -61,8 +67,6 @@ class Names:
         at = np.arange(len(points)) - (np.cumsum(self.size) - self.size)[row]
         self.codes = np.zeros((n, int(self.size.max(initial=0))), dtype=np.int64)
         self.codes[row, at] = code
-        self.counts = np.zeros((n, len(alphabet) + 1), dtype=np.int32)
-        np.add.at(self.counts, (row, code), 1)
         self.masks = np.zeros((n, len(alphabet) + 1), dtype=np.uint64)
         fits = at < WORD_BITS
         np.bitwise_or.at(self.masks, (row[fits], code[fits]),
@@ -96,14 +100,6 @@ class Names:
             out[k] = np.bitwise_count(~s & used)
         return out
 
-    def shared_characters(self, ia, ib) -> np.ndarray:
-        out = np.zeros(len(ia), dtype=np.int64)
-        pairs = max(CELLS_AT_ONCE // self.counts.shape[1], 1)
-        for at in range(0, len(ia), pairs):
-            part = slice(at, at + pairs)
-            out[part] = np.minimum(self.counts[ia[part]], self.counts[ib[part]]).sum(axis=1)
-        return out
-
     def partial(self, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
         """partial score of each pair."""
         swap = self.size[ia] > self.size[ib]
@@ -142,79 +138,266 @@ def _joined(tokens) -> str:
     return " ".join(sorted(tokens))
 
 
+def _hashed_counts(rows: list[list], width: int) -> np.ndarray:
+    """Row vectors that count each row's features, by hash. A dot product of two is never
+    below the number of features they share."""
+    out = np.zeros((len(rows), width), dtype=np.float32)
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.fromiter((crc32(f.encode("utf-8", "surrogatepass")) for r in rows for f in r),
+                         np.int64, len(at)) % width
+    np.add.at(out, (at, column), 1)
+    return out
+
+
+def _numbered(parts) -> list[str]:
+    """Parts of a text, equal ones told apart by how often they came before."""
+    seen: dict[str, int] = {}
+    out = []
+    for p in parts:
+        seen[p] = n = seen.get(p, 0) + 1
+        out.append(f"{p}\0{n}")
+    return out
+
+
+class Comparison:
+    """The scores of needles against known names, for pairs (i, j) of their places, and
+    bounds that tell from a few matrix products which pairs can reach a score at all.
+
+    A pair's letters in common bound a common subsequence from above. Two texts of lengths m
+    and w with a common subsequence of L letters share at least 3 L - m - w - 1 pairs of
+    neighbouring letters: of the m - 1 in the first each unmatched letter spoils two, and
+    each unmatched letter of the second parts one. Tokens in common bound how much of either
+    name they can make up."""
+
+    def __init__(self, left, right):
+        self.left, self.right = list(left), list(right)
+        self.shift = len(self.left)
+        self.texts = self.left + self.right
+        self.sets = [frozenset(t.split()) for t in self.texts]
+        self.bare = [t.replace(" ", "") for t in self.texts]
+
+    @cached_property
+    def names(self) -> Names:
+        return Names(self.texts)
+
+    @cached_property
+    def sorted_names(self) -> Names:
+        return Names([_joined(s) for s in self.sets])
+
+    # -- scores
+    def token_set(self, ia, ib) -> np.ndarray:
+        score = np.zeros(len(ia))
+        if not len(ia):
+            return score
+        sets, shift = self.sets, self.shift
+        overlap = np.fromiter((not sets[i].isdisjoint(sets[j + shift])
+                               for i, j in zip(ia.tolist(), ib.tolist())), dtype=bool,
+                              count=len(ia))
+
+        # No token in common: plain ratio of the sorted token strings.
+        names = self.sorted_names
+        k = np.flatnonzero(~overlap)
+        a, b = ia[k], ib[k] + shift
+        total = names.size[a] + names.size[b]
+        usable = (names.size[a] > 0) & (names.size[b] > 0)
+        k, a, b, total = k[usable], a[usable], b[usable], total[usable]
+        score[k] = 100.0 - 100.0 * (total - 2 * names.lcs(a, b)) / total
+
+        # Some in common: the leftovers decide, seen from three sides.
+        k = np.flatnonzero(overlap)
+        common, rest_a, rest_b = [], [], []
+        for i, j in zip(ia[k].tolist(), ib[k].tolist()):
+            both = sets[i] & sets[j + shift]
+            common.append(sum(map(len, both)) + len(both) - 1)
+            rest_a.append(_joined(sets[i] - both))
+            rest_b.append(_joined(sets[j + shift] - both))
+        if len(k):
+            texts = {t: n for n, t in enumerate(dict.fromkeys(rest_a + rest_b))}
+            rests = Names(texts)
+            a = np.array([texts[t] for t in rest_a])
+            b = np.array([texts[t] for t in rest_b])
+            s = np.array(common)
+            la, lb = rests.size[a], rests.size[b]
+            whole_a, whole_b = s + 1 + la, s + 1 + lb
+            sides = [100.0 - 100.0 * (la + lb - 2 * rests.lcs(a, b)) / (whole_a + whole_b),
+                     100.0 - 100.0 * (1 + la) / (s + whole_a),
+                     100.0 - 100.0 * (1 + lb) / (s + whole_b)]
+            score[k] = np.where((la == 0) | (lb == 0), 100.0, np.maximum.reduce(sides))
+        return score
+
+    def held(self, ia, ib) -> np.ndarray:
+        bare, shift = self.bare, self.shift
+        return np.fromiter(
+            (len(bare[i]) >= SHORTEST_HELD and len(bare[j + shift]) >= SHORTEST_HELD
+             and (bare[i] in bare[j + shift] or bare[j + shift] in bare[i])
+             for i, j in zip(ia.tolist(), ib.tolist())), dtype=bool, count=len(ia))
+
+    def partial(self, ia, ib) -> np.ndarray:
+        return self.names.partial(ia, ib + self.shift)
+
+    def related(self, ia, ib) -> np.ndarray:
+        """True where a pair may not be called unrelated: some score reaches its floor."""
+        out = np.zeros(len(ia), dtype=bool)
+        k = np.flatnonzero(self._long_enough[ia])
+        out[k] = self.token_set(ia[k], ib[k]) >= BORDERLINE
+        k = k[~out[k]]
+        out[k] = self.held(ia[k], ib[k])
+        k = k[~out[k]]
+        _, letters, pairs = self.shared(ia[k], ib[k])
+        chance = self._place_chance(ia[k], ib[k], letters, pairs)
+        out[k[chance]] = self.partial(ia[k[chance]], ib[k[chance]]) >= SUSPECT
+        return out
+
+    # -- bounds
+    @cached_property
+    def _long_enough(self) -> np.ndarray:
+        return np.array([len(t) >= SHORTEST_NEEDLE for t in self.left], dtype=bool)
+
+    @cached_property
+    def _sizes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = [sum(map(len, s)) + max(len(s) - 1, 0) for s in self.sets]
+        return tuple(np.array(x, dtype=np.float32) for x in (
+            [len(t) for t in self.texts], whole, [len(t) for t in self.bare]))
+
+    @cached_property
+    def _features(self) -> tuple[np.ndarray, ...]:
+        letters = _hashed_counts([_numbered(t) for t in self.texts], LETTER_WIDTH)
+        pairs = _hashed_counts([_numbered(map("".join, zip(t, t[1:]))) for t in self.texts],
+                               PAIR_WIDTH)
+        tokens = _hashed_counts([list(s) for s in self.sets], TOKEN_WIDTH)
+        weights = np.zeros_like(tokens)
+        at = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
+        flat = [t for s in self.sets for t in s]
+        column = np.fromiter((crc32(t.encode("utf-8", "surrogatepass")) for t in flat),
+                             np.int64, len(flat)) % TOKEN_WIDTH
+        np.add.at(weights, (at, column), np.array([len(t) + 1 for t in flat], dtype=np.float32))
+        return weights, tokens, letters, pairs
+
+    def shared(self, ia, ib) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Upper bounds on what pairs share: letters of common tokens with a space each,
+        letters, pairs of neighbouring letters."""
+        weights, tokens, letters, pairs = self._features
+        out = [np.empty(len(ia), dtype=np.float32) for _ in range(3)]
+        for at in range(0, len(ia), ROWS_AT_ONCE * 4):
+            part = slice(at, at + ROWS_AT_ONCE * 4)
+            a, b = ia[part], ib[part] + self.shift
+            for k, (x, y) in enumerate(((weights, tokens), (letters, letters), (pairs, pairs))):
+                out[k][part] = np.einsum("ij,ij->i", x[a], y[b])
+        return tuple(out)
+
+    def shared_block(self, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for some needles against every known name, as matrices."""
+        weights, tokens, letters, pairs = self._features
+        n = self.shift
+        return (weights[:n][rows] @ tokens[n:].T, letters[:n][rows] @ letters[n:].T,
+                pairs[:n][rows] @ pairs[n:].T)
+
+    def _place_chance(self, ia, ib, letters, pairs) -> np.ndarray:
+        size = self._sizes[0]
+        m = np.minimum(size[ia], size[ib + self.shift])
+        least = (1.5 * SUSPECT / 100 - 1) * (1 + _SHARED_FLOOR) * m - 1
+        return (m > 0) & (letters >= _SHARED_FLOOR * m - SLACK) & (pairs >= least - SLACK)
+
+    def candidates(self, rows: slice) -> np.ndarray:
+        """Which known names each of some needles may be related to; no related pair is
+        left out."""
+        common, letters, pairs = self.shared_block(rows)
+        size, whole, bare = self._sizes
+        i, j = np.arange(len(self.left))[rows][:, None], np.arange(len(self.right))[None, :]
+        wa, wb = whole[i], whole[j + self.shift]
+        t = BORDERLINE / 100
+        by_token = (common > 0) & (common - 1 >= t / (2 - t) * np.minimum(wa, wb) - SLACK)
+        by_letters = letters + (common > 0) >= t / 2 * (wa + wb) - SLACK
+        inside = np.minimum(bare[i], bare[j + self.shift])
+        by_inside = (inside >= SHORTEST_HELD) & (letters >= inside - SLACK)
+        return ((by_token | by_letters | by_inside | self._place_chance(i, j, letters, pairs))
+                & self._long_enough[rows][:, None])
+
+    def token_bound(self, common, letters, i, j) -> np.ndarray:
+        """What token_set cannot exceed."""
+        whole = self._sizes[1]
+        wa, wb = whole[i], whole[j + self.shift]
+        least = np.minimum(wa, wb)
+        s = common - 1
+        by_token = np.where(common > 0, np.where(s >= least - SLACK, 1.0,
+                                                 2 * s / np.maximum(s + least, 1)), 0)
+        by_letters = 2 * (letters + (common > 0)) / np.maximum(wa + wb, 1)
+        return 100 * np.minimum(np.maximum(by_token, by_letters), 1) + SLACK
+
+    def partial_bound(self, letters, pairs, i, j) -> np.ndarray:
+        """What partial cannot exceed: a place of w letters holds at most w of the common
+        ones, and at most (pairs + m + w + 1) / 3."""
+        size = self._sizes[0]
+        m = np.minimum(size[i], size[j + self.shift])
+        x = np.minimum(np.minimum(letters, (m + pairs + 1) / 2), m)
+        return np.where(m > 0, 200 * x / np.maximum(m + x, 1), 0) + SLACK
+
+    # -- searches
+    def flags(self, allowed=None) -> np.ndarray:
+        """Which needles are related to some known name; `allowed(rows)` gives the pairs
+        that count. A needle's candidates are looked at until one is related."""
+        out = np.zeros(len(self.left), dtype=bool)
+        for at in range(0, len(self.left), NEEDLES_AT_ONCE):
+            rows = slice(at, at + NEEDLES_AT_ONCE)
+            maybe = self.candidates(rows)
+            if allowed is not None:
+                maybe &= allowed(rows)
+            place = np.cumsum(maybe, axis=1)
+            done, most = 0, FIRST_LOOK
+            while done < place.shape[1]:
+                ia, ib = np.nonzero(maybe & (place > done) & (place <= most)
+                                    & ~out[rows][:, None])
+                if not len(ia) and not (maybe & (place > most) & ~out[rows][:, None]).any():
+                    break
+                out[at + ia[self.related(at + ia, ib)]] = True
+                done, most = most, most * 4
+        return out
+
+    def best(self, score, bound: np.ndarray, rows: np.ndarray, limit: int):
+        """For each of the needles `rows` its `limit` best known names by `score(ia, ib)`
+        (ties to the smaller place): (ia, ib, scores). `bound` has a row for each of them,
+        and -inf where a pair does not count; pairs are scored from the highest bound on,
+        until the next cannot be among the best."""
+        order = np.argsort(-bound, axis=1, kind="stable")
+        limits = np.take_along_axis(bound, order, axis=1)
+        found = np.full(bound.shape, -np.inf)
+        active = np.arange(len(rows))
+        done, to = 0, 2 * limit
+        while len(active) and done < bound.shape[1]:
+            r, c = np.nonzero(np.isfinite(limits[active, done:to]))
+            r, c = active[r], order[active[r], done + c]
+            found[r, c] = score(rows[r], c)
+            done, to = to, to * 3
+            if done < bound.shape[1]:
+                kth = -np.partition(-found[active], min(limit, bound.shape[1]) - 1,
+                                    axis=1)[:, min(limit, bound.shape[1]) - 1]
+                # An equal score may still win by its place.
+                active = active[limits[active, done] >= kth]
+                active = active[np.isfinite(limits[active, done])]
+        r, c = np.nonzero(np.isfinite(found))
+        value = found[r, c]
+        at = np.lexsort((c, -value, r))
+        r, c, value = r[at], c[at], value[at]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < limit
+        return rows[r[first]], c[first], value[first]
+
+
 def token_set(left, right, ia, ib) -> np.ndarray:
     """token_set score of each pair (left[ia[k]], right[ib[k]])."""
-    score = np.zeros(len(ia))
-    if not len(ia):
-        return score
-    sets_l, sets_r = [frozenset(t.split()) for t in left], [frozenset(t.split()) for t in right]
-    overlap = np.fromiter((not sets_l[i].isdisjoint(sets_r[j])
-                           for i, j in zip(ia.tolist(), ib.tolist())), dtype=bool, count=len(ia))
-
-    # No token in common: plain ratio of the sorted token strings.
-    names = Names([_joined(s) for s in sets_l] + [_joined(s) for s in sets_r])
-    k = np.flatnonzero(~overlap)
-    a, b = ia[k], ib[k] + len(sets_l)
-    total = names.size[a] + names.size[b]
-    usable = (names.size[a] > 0) & (names.size[b] > 0)
-    k, a, b, total = k[usable], a[usable], b[usable], total[usable]
-    score[k] = 100.0 - 100.0 * (total - 2 * names.lcs(a, b)) / total
-
-    # Some in common: the leftovers decide, seen from three sides.
-    k = np.flatnonzero(overlap)
-    common, rest_a, rest_b = [], [], []
-    for i, j in zip(ia[k].tolist(), ib[k].tolist()):
-        both = sets_l[i] & sets_r[j]
-        common.append(sum(map(len, both)) + len(both) - 1)
-        rest_a.append(_joined(sets_l[i] - both))
-        rest_b.append(_joined(sets_r[j] - both))
-    if len(k):
-        texts = {t: n for n, t in enumerate(dict.fromkeys(rest_a + rest_b))}
-        rests = Names(texts)
-        a = np.array([texts[t] for t in rest_a])
-        b = np.array([texts[t] for t in rest_b])
-        s = np.array(common)
-        la, lb = rests.size[a], rests.size[b]
-        whole_a, whole_b = s + 1 + la, s + 1 + lb
-        sides = [100.0 - 100.0 * (la + lb - 2 * rests.lcs(a, b)) / (whole_a + whole_b),
-                 100.0 - 100.0 * (1 + la) / (s + whole_a),
-                 100.0 - 100.0 * (1 + lb) / (s + whole_b)]
-        score[k] = np.where((la == 0) | (lb == 0), 100.0, np.maximum.reduce(sides))
-    return score
+    return Comparison(left, right).token_set(ia, ib)
 
 
 def held(left, right, ia, ib) -> np.ndarray:
     """Despaced containment of each pair; both must have real length."""
-    a = [t.replace(" ", "") for t in left]
-    b = [t.replace(" ", "") for t in right]
-    return np.fromiter(
-        (len(a[i]) >= SHORTEST_HELD and len(b[j]) >= SHORTEST_HELD
-         and (a[i] in b[j] or b[j] in a[i]) for i, j in zip(ia.tolist(), ib.tolist())),
-        dtype=bool, count=len(ia))
+    return Comparison(left, right).held(ia, ib)
 
 
 def partial(left, right, ia, ib) -> np.ndarray:
-    names = Names(list(left) + list(right))
-    return names.partial(ia, ib + len(left))
+    return Comparison(left, right).partial(ia, ib)
 
 
 def related(left, right, ia, ib) -> np.ndarray:
-    """True where a pair may not be called unrelated: some score reaches its
-    floor. The partial score is only worked out where the letters in common
-    leave it a chance."""
-    out = np.zeros(len(ia), dtype=bool)
-    long_enough = np.array([len(t) >= SHORTEST_NEEDLE for t in left], dtype=bool)[ia]
-    k = np.flatnonzero(long_enough)
-    out[k] = token_set(left, right, ia[k], ib[k]) >= BORDERLINE
-    k = np.flatnonzero(long_enough & ~out)
-    out[k] = held(left, right, ia[k], ib[k])
-    k = np.flatnonzero(long_enough & ~out)
-    names = Names(list(left) + list(right))
-    a, b = ia[k], ib[k] + len(left)
-    shorter = np.minimum(names.size[a], names.size[b])
-    chance = (shorter > 0) & (names.shared_characters(a, b) >= _SHARED_FLOOR * shorter)
-    out[k[chance]] = names.partial(a[chance], b[chance]) >= SUSPECT
-    return out
+    return Comparison(left, right).related(ia, ib)
 
 
 def _columnwise(score):

@@ -2,10 +2,11 @@
 
 A descriptor that resembles no known merchant becomes one itself, most frequent
 first, and is known to all later ones. Names are compared inside tiles: a tenant's
-needles and known names are dealt to hash buckets of about a thousand, each pair
+needles and known names are dealt to hash buckets of about two thousand, each pair
 of buckets is one Arrow group, and a tile only emits what survives (a flag, or a
 needle's best few). No pair of names is ever a row, and a tenant with very many
-names is many equal tiles instead of one task.
+names is many equal tiles instead of one task. In a tile, bounds from matrix products
+(``similarity.Comparison``) leave few pairs to be scored, and lose none that counts.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.similarity import (ACCEPT, BORDERLINE, MARGIN, SUSPECT, held, partial,
-                                          related, token_set)
+from duebook.functions.similarity import (ACCEPT, BORDERLINE, MARGIN, NEEDLES_AT_ONCE,
+                                          SHORTEST_HELD, SUSPECT, Comparison)
 from duebook.operators.merge import merge_keep_first, merge_update
-from duebook.operators.skew import by_python_key, materialise, per_key_join, top_rows
+from duebook.operators.skew import by_python_key, join_list, materialise, per_key_join, top_rows
 
-TILE = 1000
+TILE = 2000
 BATCH = 1000
 BLOCK = 64
 TOKEN_HITS, OTHER_HITS = 5, 3
@@ -69,17 +70,9 @@ def _in_tiles(needles: DataFrame, known: DataFrame, body, schema: str, tile: int
     return left.cogroup(right).applyInPandas(body, schema)
 
 
-def _pairs(n_left: int, n_right: int):
-    ia, ib = np.divmod(np.arange(n_left * n_right), max(n_right, 1))
-    return ia, ib
-
-
 def _flag_related(needles: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    left, right = needles["scrubbed"].tolist(), known["name"].tolist()
-    ia, ib = _pairs(len(left), len(right))
-    hit = np.zeros(len(left), dtype=bool)
-    hit[ia[related(left, right, ia, ib)]] = True
-    return needles.loc[hit, NEEDLE]
+    found = Comparison(needles["scrubbed"].tolist(), known["name"].tolist()).flags()
+    return needles.loc[found, NEEDLE]
 
 
 def drop_related(needles: DataFrame, known: DataFrame, tile: int = TILE) -> DataFrame:
@@ -94,17 +87,17 @@ def _found(batch: pd.DataFrame) -> pd.DataFrame:
     """First come, first founded, over one bounded batch in rank order."""
     batch = batch.sort_values(["n", "scrubbed"], ascending=[False, True], kind="stable")
     names = batch["scrubbed"].tolist()
+    both = Comparison(names, names)
     chosen: list[int] = []
     for at in range(0, len(names), BLOCK):
         block = np.arange(at, min(at + BLOCK, len(names)))
-        if chosen:
-            ia, ib = _pairs(len(block), len(chosen))
-            ia, ib = block[ia], np.array(chosen)[ib]
-            block = np.setdiff1d(block, ia[related(names, names, ia, ib)])
-        ia, ib = _pairs(len(block), len(block))
-        later = ia > ib
-        ia, ib = block[ia[later]], block[ib[later]]
-        close = related(names, names, ia, ib)
+        maybe = both.candidates(slice(at, at + BLOCK))
+        ia, ib = np.nonzero(maybe[:, chosen])
+        ia, ib = block[ia], np.array(chosen, dtype=np.int64)[ib]
+        block = np.setdiff1d(block, ia[both.related(ia, ib)])
+        ia, ib = np.nonzero(np.tril(maybe[np.ix_(block - at, block)], -1))
+        ia, ib = block[ia], block[ib]
+        close = both.related(ia, ib)
         barred = set()
         earlier: dict[int, list[int]] = {}
         for d, e in zip(ia[close].tolist(), ib[close].tolist()):
@@ -117,34 +110,63 @@ def _found(batch: pd.DataFrame) -> pd.DataFrame:
     return batch.iloc[chosen][[*NEEDLE, "n"]]
 
 
+def _ranks(*sides: list[tuple]) -> list[np.ndarray]:
+    """Places of sort keys in the order of all sides together."""
+    at = {key: k for k, key in enumerate(sorted({key for side in sides for key in side}))}
+    return [np.array([at[key] for key in side], dtype=np.int64) for side in sides]
+
+
+def _flag_later(needles: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Needles related to a known name of a smaller rank than their own."""
+    left, right = needles["scrubbed"].tolist(), known["name"].tolist()
+    mine, theirs = _ranks(list(zip((-needles["n"]).tolist(), left)),
+                          list(zip((-known["n"]).tolist(), right)))
+    found = Comparison(left, right).flags(lambda rows: theirs[None, :] < mine[rows][:, None])
+    return needles.loc[found, NEEDLE]
+
+
+def found_round(undecided: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """One round for all tenants at once: a name that resembles no undecided name before
+    it is a founder whatever becomes of the others. -> (founders, undecided after them)"""
+    def after(names, known):
+        return materialise(_in_tiles(names, known.toDF("user_id", "name", "n"), _flag_later,
+                                     "user_id bigint, scrubbed string", tile).distinct())
+
+    later = after(undecided, undecided)
+    new = materialise(undecided.join(later, NEEDLE, "left_anti"))
+    rest = materialise(undecided.join(later, NEEDLE, "left_semi"))
+    return new, materialise(rest.join(after(rest, new), NEEDLE, "left_anti"))
+
+
 def select_founders(needles: DataFrame, merchants: DataFrame, batch: int = BATCH,
                     tile: int = TILE) -> DataFrame:
     """Needles (user_id, scrubbed, n) that become merchants, in the order count
     descending, then text.
 
     Nearly all tenants have fewer distinct names than one batch and finish in one
-    pass. Larger ones go round by round: the first batch of names still undecided
-    is settled, and its founders then strike whatever resembles them from the rest.
+    pass. The names of larger ones are settled in parallel rounds: who resembles no
+    undecided name before it is in, and strikes whatever resembles it. That is the
+    sequential rule, in as many rounds as the longest chain of names that each hang on
+    the one before; struck and settled names take no part in the next.
     """
     known = merchants.select("user_id", F.col("canonical_name").alias("name"))
     schema = "user_id bigint, scrubbed string, n bigint"
     undecided = drop_related(needles, known, tile)
-    oversize = needles.groupBy("user_id").agg(F.count("*").alias("k")).filter(F.col("k") > batch)
+    oversize = materialise(needles.groupBy("user_id").agg(F.count("*").alias("k"))
+                           .filter(F.col("k") > batch).select("user_id"))
+
+    def in_one_pass(df):
+        return (by_python_key(df, ["user_id"]).groupBy("user_id").applyInPandas(_found, schema))
+
     if oversize.isEmpty():
-        return (by_python_key(undecided, ["user_id"]).groupBy("user_id")
-                .applyInPandas(_found, schema))
-    found = None
+        return in_one_pass(undecided)
     undecided = materialise(undecided)
-    while True:
-        first = materialise(top_rows(undecided, ["user_id"], [F.desc("n"), "scrubbed"], batch))
-        new = materialise(by_python_key(first, ["user_id"]).groupBy("user_id")
-                          .applyInPandas(_found, schema))
-        found = new if found is None else found.unionByName(new)
-        rest = undecided.join(first.select(*NEEDLE), NEEDLE, "left_anti")
-        undecided = materialise(drop_related(
-            rest, new.select("user_id", F.col("scrubbed").alias("name")), tile))
-        if undecided.isEmpty():
-            return found
+    found = in_one_pass(join_list(undecided, oversize, ["user_id"], "left_anti"))
+    rest = materialise(join_list(undecided, oversize, ["user_id"], "left_semi"))
+    while not rest.isEmpty():
+        new, rest = found_round(rest, tile)
+        found = found.unionByName(new)
+    return found
 
 
 # --------------------------------------------------------------- verdicts --
@@ -156,35 +178,42 @@ def _best_hits(needles: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """Per needle: its best names in this tile, by each score."""
     known = known.sort_values(["founded", "rank_n", "name"], kind="stable")
     left, right = needles["scrubbed"].tolist(), known["name"].tolist()
-    ia, ib = _pairs(len(left), len(right))
-    rank = list(zip(known["rank_n"].tolist(), right))
-    mine = list(zip((-needles["n"]).tolist(), left))
-    founded = known["founded"].to_numpy(dtype=bool)
-    allowed = np.fromiter((not founded[j] or rank[j] < mine[i]
-                           for i, j in zip(ia.tolist(), ib.tolist())), dtype=bool, count=len(ia))
-    ia, ib = ia[allowed], ib[allowed]
+    rank_n = known["rank_n"].tolist()
+    mine, theirs = _ranks(list(zip((-needles["n"]).tolist(), left)), list(zip(rank_n, right)))
+    founded, users = known["founded"].to_numpy(dtype=bool), needles["user_id"].tolist()
+    both = Comparison(left, right)
+    bare = np.array([len(t) for t in both.bare], dtype=np.float32)
+    j = np.arange(len(right))[None, :]
     out = []
 
-    def keep(kind, a, b, score, limit, by_score=True):
-        order = np.lexsort((b, -score, a)) if by_score else np.lexsort((b, a))
-        a, b, score = a[order], b[order], score[order]
-        first = np.searchsorted(a, a)
-        top = np.arange(len(a)) - first < limit
-        for i, j, s in zip(a[top].tolist(), b[top].tolist(), score[top].tolist()):
-            out.append((needles["user_id"].iloc[i], left[i], kind, right[j], s,
-                        bool(founded[j]), rank[j][0]))
-
-    token = token_set(left, right, ia, ib)
-    keep("token", ia, ib, token, TOKEN_HITS)
-    best = np.zeros(len(left))
-    np.maximum.at(best, ia, token)
-    doubtful = best[ia] < BORDERLINE
-    ia, ib = ia[doubtful], ib[doubtful]
-    if len(ia):
-        place = partial(left, right, ia, ib)
-        keep("partial", ia, ib, place, OTHER_HITS)
-        inside = held(left, right, ia, ib)
-        keep("held", ia[inside], ib[inside], place[inside], OTHER_HITS, by_score=False)
+    def keep(kind, ia, ib, score):
+        for a, b, s in zip(ia.tolist(), ib.tolist(), score.tolist()):
+            out.append((users[a], left[a], kind, right[b], s, bool(founded[b]), rank_n[b]))
+
+    for at in range(0, len(left), NEEDLES_AT_ONCE):
+        rows = np.arange(at, min(at + NEEDLES_AT_ONCE, len(left)))
+        common, letters, pairs = both.shared_block(slice(at, at + NEEDLES_AT_ONCE))
+        allowed = ~founded[None, :] | (theirs[None, :] < mine[rows][:, None])
+        i = rows[:, None]
+        bound = np.where(allowed, both.token_bound(common, letters, i, j), -np.inf)
+        ia, ib, score = both.best(both.token_set, bound, rows, TOKEN_HITS)
+        keep("token", ia, ib, score)
+        top = np.zeros(len(rows))
+        np.maximum.at(top, ia - at, score)
+        k = np.flatnonzero(top < BORDERLINE)
+        if not len(k):
+            continue
+        rows, i = rows[k], rows[k][:, None]
+        allowed, letters, pairs = allowed[k], letters[k], pairs[k]
+        bound = np.where(allowed, both.partial_bound(letters, pairs, i, j), -np.inf)
+        keep("partial", *both.best(both.partial, bound, rows, OTHER_HITS))
+        least = np.minimum(bare[i], bare[j + both.shift])
+        ia, ib = np.nonzero(allowed & (least >= SHORTEST_HELD) & (letters >= least - 0.5))
+        inside = both.held(rows[ia], ib)
+        ia, ib = ia[inside], ib[inside]
+        first = np.arange(len(ia)) - np.searchsorted(ia, ia) < OTHER_HITS
+        ia, ib = rows[ia[first]], ib[first]
+        keep("held", ia, ib, both.partial(ia, ib))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _HIT.split(", ")])
 
 

@@ -122,6 +122,28 @@ def test_ladder_properties(spark, batch, tile):
     assert again.merchants.count() == after.merchants.count()
 
 
+def test_rounds_found_as_the_sequential_rule(spark, monkeypatch):
+    rng = random.Random(5)
+    counts = {u: random_counts(rng, 150) for u in (1, 2)}
+    counts[3] = {f"MERCHANT NUMBER {i}": 200 - i for i in range(120)}       # all alike
+    rows = [(u, s, n) for u, c in counts.items() for s, n in c.items()]
+    needles = spark.createDataFrame(rows, "user_id long, scrubbed string, n long")
+    none = spark.createDataFrame([], schemas.MERCHANT)
+    rounds = []
+    one = R.found_round
+    monkeypatch.setattr(R, "found_round", lambda *a: rounds.append(1) or one(*a))
+    got = {(r.user_id, r.scrubbed) for r in R.select_founders(needles, none, 20, 13).collect()}
+    want = set()
+    for u, c in counts.items():
+        chosen = []
+        for s in sorted(c, key=lambda s: (-c[s], s)):
+            if not any(related(s, k) for k in chosen):
+                chosen.append(s)
+        want |= {(u, s) for s in chosen}
+    assert got == want
+    assert 1 < len(rounds) < 10
+
+
 def test_alias_pending_and_decisions(spark):
     import datetime as dt
     cand = [("NETFLIX", 80.0)]

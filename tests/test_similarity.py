@@ -84,7 +84,7 @@ def test_published_scores():
 def test_against_definition(seed, monkeypatch):
     if seed % 2:
         monkeypatch.setattr(sim, "PAIRS_AT_ONCE", 100)
-        monkeypatch.setattr(sim, "CELLS_AT_ONCE", 100)
+        monkeypatch.setattr(sim, "ROWS_AT_ONCE", 7)
     rng = random.Random(seed)
     left = [name(rng) for _ in range(40)] + ["X" * 70 + " AB", "ABCD" * 16]
     right = [name(rng) for _ in range(40)] + ["X" * 66, "ABCD" * 16 + "E"]
@@ -104,3 +104,59 @@ def test_columns(spark):
                      sim.held_column(F.col("a"), F.col("b"))).collect()
     assert tuple(rows[0]) == (48.0, 83.3, True)
     assert rows[1][2] is False and rows[2][0] == 0.0
+
+
+def assorted_names(rng, n):
+    stems = ["NETFLIX", "AMAZON PRIME", "PAYPAL", "CAFÉ RIO", "ANANAS", "HBO MAX", "A B C D", "ÅÄÖ"]
+    out = ["", " ", "A", "ABC", "AAAA AAAA", "X" * 70, "X" * 69 + " Y"]
+    while len(out) < n:
+        name = rng.choice(stems) if rng.random() < 0.6 else "".join(
+            rng.choice("ABCDEF ") for _ in range(rng.randint(1, 18)))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(name) + 1)
+            name = name[:at] + rng.choice(["", "X", " ", "NE", "Q"]) + name[at + rng.randrange(2):]
+        out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_related_pair_is_left_out(seed):
+    rng = random.Random(seed)
+    left, right = assorted_names(rng, 60), assorted_names(rng, 70)
+    both = sim.Comparison(left, right)
+    maybe = both.candidates(slice(0, len(left)))
+    want = np.array([[slow_related(a, b) for b in right] for a in left])
+    assert not (want & ~maybe).any()
+    assert (both.flags() == want.any(axis=1)).all()
+    allowed = np.array([[(i + j) % 3 > 0 for j in range(len(right))] for i in range(len(left))])
+    assert (both.flags(lambda rows: allowed[rows]) == (want & allowed).any(axis=1)).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_and_best(seed):
+    rng = random.Random(40 + seed)
+    left, right = assorted_names(rng, 50), assorted_names(rng, 64)
+    both = sim.Comparison(left, right)
+    common, letters, pairs = both.shared_block(slice(0, len(left)))
+    i, j = np.arange(len(left))[:, None], np.arange(len(right))[None, :]
+    for slow, score, bound in (
+            (slow_token_set, both.token_set, both.token_bound(common, letters, i, j)),
+            (slow_partial, both.partial, both.partial_bound(letters, pairs, i, j))):
+        exact = np.array([[slow(a, b) for b in right] for a in left])
+        assert (exact <= bound).all()
+        limits = np.where((i + j) % 5 > 0, bound, -np.inf)
+        ia, ib, got = both.best(score, limits, np.arange(len(left)), 4)
+        for row in range(len(left)):
+            order = sorted((-exact[row, c], c) for c in range(len(right)) if (row + c) % 5)
+            # Scores that differ by rounding only may change places.
+            assert np.allclose(got[ia == row], [-s for s, _ in order[:4]], atol=1e-9)
+            assert np.allclose(exact[row, ib[ia == row]], got[ia == row], atol=1e-9)
+
+
+def test_random_names_leave_few_candidates():
+    rng = random.Random(9)
+    names = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(8, 18)))
+             for _ in range(1500)]
+    both = sim.Comparison(names, names)
+    share = np.mean([both.candidates(slice(at, at + 256)).mean() for at in range(0, 1500, 256)])
+    assert share < 0.02
