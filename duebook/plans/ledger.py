@@ -15,7 +15,7 @@ from duebook.operators.skew import LIST_ROWS, KeyList, key_list, materialise, pe
 from duebook.operators.subscriptions import detect
 from duebook.operators.tenancy import only_tenants, replace_derived
 from duebook.plans import reports
-from duebook.sources import statements
+from duebook.sources import splits, statements
 
 RESOLUTION = ("raw_transaction", "merchant", "merchant_alias", "resolution_queue")
 
@@ -39,23 +39,25 @@ def _analyse(tables: dict[str, DataFrame], affected: KeyList):
                           for name, df in new.items()}}, outcomes, subs)
 
 
-def load_files(tables: dict[str, DataFrame], files: DataFrame,
-               loaded_at: dt.datetime) -> Loaded:
-    """Load statement files (see ``statements.describe_files``): decode, parse,
-    drop what is already there, resolve, detect. Loading a file twice adds nothing the
-    second time, but resolves and detects again for the tenants of all accepted files,
-    so a load that broke off before its results were written is made good. Accounts
-    come from accepted files only."""
+def load_files(tables: dict[str, DataFrame], files: DataFrame, loaded_at: dt.datetime,
+               root: str | list[str] | None = None) -> Loaded:
+    """Load statement files (see ``statements.describe_files``), which lie below `root`, or
+    are the paths it lists, or have their content in a column: decode, parse, drop what is
+    already there, resolve, detect. Loading a file twice adds nothing the second time, but
+    resolves and detects again for the tenants of all accepted files, so a load that broke
+    off before its results were written is made good. Accounts come from accepted files
+    only."""
     readable = statements.readable_files(files)
     label = ["user_id", "label"]
     uploads = readable.select(*label, "currency", "source_file")
     known = upsert_accounts(tables["account"], uploads.drop("source_file"), loaded_at)
     known = materialise(known.join(uploads.select(*label).distinct(), label, "left_semi")
                         .select(*label, "account_id"))
-    # File contents are shuffled only where the labels are too many to be sent along.
+    # Files are shuffled only where the labels are too many to be sent along.
     opened = (readable.join(F.broadcast(known), label) if known.count() <= LIST_ROWS
               else per_key_join(readable, known, label, ["source_file"]))
-    fields = materialise(statements.split_files(opened))
+    fields = materialise(statements.split_files(opened) if root is None
+                         else splits.read_fields(opened, root))
     typed = statements.typed_lines(fields)
     facts = materialise(statements.file_facts(typed))
     accepted = facts.filter("reason is null").select(*FILE)

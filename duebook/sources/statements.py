@@ -1,7 +1,8 @@
 """Statement files to typed lines.
 
-Bytes and CSV dialects are the one place that needs Python: a file is decoded and
-split inside ``mapInPandas`` (one file is small by rule, files are many). Column
+Bytes and CSV dialects are the one place that needs Python: a file that comes as a column
+is decoded and split inside ``mapInPandas``; files in folders are read in byte ranges
+(``splits``). Column
 values leave it as text; dates, amounts and signs are parsed by native columns.
 Nothing here fails a job: what cannot be read becomes a row with a ``reason``.
 """
@@ -135,9 +136,11 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def files_under(spark: SparkSession, root: str) -> DataFrame:
     """Files below `root`. Their settings are ``name=value`` folders on the path:
-    user_id (needed), account, currency, dayfirst, flip_sign."""
+    user_id (needed), account, currency, dayfirst, flip_sign. Nothing is read here;
+    ``splits.read_fields`` reads the files in byte ranges."""
     return describe_files(spark.read.format("binaryFile")
-                          .option("recursiveFileLookup", "true").load(root))
+                          .option("recursiveFileLookup", "true").load(root)
+                          .select("*", "_metadata.file_path"))
 
 
 def describe_files(files: DataFrame) -> DataFrame:
@@ -152,7 +155,8 @@ def describe_files(files: DataFrame) -> DataFrame:
         F.upper(F.coalesce(setting("currency"), F.lit("USD"))).alias("currency"),
         F.coalesce(setting("dayfirst").try_cast("boolean"), F.lit(False)).alias("dayfirst"),
         setting("flip_sign").try_cast("boolean").alias("flip_sign"),
-        F.col("path").alias("source_file"), "length", "content")
+        F.col("path").alias("source_file"),
+        *(c for c in ("file_path", "length", "content") if c in files.columns))
 
 
 def _known_bad():
@@ -176,7 +180,9 @@ def unopened_rejects(files: DataFrame) -> DataFrame:
 
 
 def split_files(files: DataFrame) -> DataFrame:
-    """Text fields of every line, plus one row with a reason per unreadable file."""
+    """Text fields of every line, plus one row with a reason per unreadable file, from
+    files whose content is a column. Such files are small; ``splits.read_fields`` gives the
+    same rows for files of any size in a folder."""
     return files.select(*META, "content").mapInPandas(_read_batches, FIELD)
 
 
