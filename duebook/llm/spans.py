@@ -246,28 +246,31 @@ def fragment_words(texts: DataFrame, wanted: DataFrame, window: int, anchor: int
                  pa.array(np.array(out[1], dtype=np.uint64).view(np.int64)),
                  pa.array(out[2], pa.binary())], ["anchor", "print", "text"])
 
-    return (texts.select("text").mapInArrow(run, WORDS)
-            .groupBy("anchor", "print").agg(F.max("text").alias("text")))
+    return texts.select("text").mapInArrow(run, WORDS)
 
 
 # -------------------------------------------------------------------- masks --
-def shard_masks(distinct: DataFrame, window: int, shard_fragments: int) -> DataFrame:
-    """(anchor, print, mask) of the fragments of which some window has an earlier place, by
-    the automaton of each anchor's shard."""
-    shards = max(1, -(-distinct.count() // shard_fragments))
-
-    def run(key, pdf):
-        pdf = pdf.sort_values(["known", "doc_id", "key", "start"], kind="stable")
+def shard_masks(wanted: DataFrame, words: DataFrame, window: int, shard_fragments: int
+                ) -> DataFrame:
+    """(anchor, print, mask) of the `wanted` fragments of which some window has an earlier
+    place, by the automaton of each anchor's shard. `words` may have a fragment repeatedly."""
+    shards = max(1, -(-wanted.count() // shard_fragments))
+    shard = F.pmod("anchor", F.lit(shards)).alias("shard")
+
+    def run(places, words):
+        own = ["anchor", "print"]
+        pdf = places.merge(words.drop_duplicates(own), on=own).sort_values(
+            ["known", "doc_id", "key", "start"], kind="stable")
         numbers: dict = {}
         sequences = [[numbers.setdefault(w, len(numbers)) for w in text.split(b" ")]
                      for text in pdf["text"]]
         return pd.DataFrame({"anchor": pdf["anchor"], "print": pdf["print"],
                              "mask": repeated(sequences, window)})
 
-    return (distinct.select("anchor", "print", "text", F.col("first.doc_id").isNotNull()
-                            .alias("known"), F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"),
-                            "first.key", "first.start")
-            .groupBy(F.pmod("anchor", F.lit(shards)).alias("shard"))
+    places = wanted.select("anchor", "print", F.col("first.doc_id").isNotNull().alias("known"),
+                           F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), "first.key",
+                           "first.start")
+    return (places.groupBy(shard).cogroup(words.groupBy(shard))
             .applyInPandas(run, "anchor long, print long, mask long").filter("mask != 0"))
 
 
@@ -312,13 +315,20 @@ def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
         F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("copies")))
     mixed = materialise(distinct.groupBy("anchor").count().filter(F.col("count") > 1))
     wanted = materialise(join_list(distinct, mixed, ["anchor"], "left_semi").drop("copies"))
-    wanted = materialise(wanted.join(
-        fragment_words(texts, wanted, window, anchor, bits), own))
+    words = fragment_words(texts, wanted, window, anchor, bits)
     hot = key_list(mixed.filter(F.col("count") > shard_fragments), ["anchor"])
-    masks = materialise(
-        shard_masks(materialise(join_list(wanted, hot, ["anchor"], "left_anti")),
-                    window, shard_fragments)
-        .unionByName(window_masks(join_list(wanted, hot, ["anchor"], "left_semi"), window)))
+    if hot.rows.isEmpty():
+        masks = shard_masks(wanted, words, window, shard_fragments)
+    else:
+        words = materialise(words)
+        masks = shard_masks(join_list(wanted, hot, ["anchor"], "left_anti"),
+                            join_list(words, hot, ["anchor"], "left_anti"),
+                            window, shard_fragments)
+        told = join_list(words, hot, ["anchor"], "left_semi").groupBy(*own).agg(
+            F.max("text").alias("text"))
+        masks = masks.unionByName(window_masks(
+            join_list(wanted, hot, ["anchor"], "left_semi").join(told, own), window))
+    masks = materialise(masks)
     # Of equal fragments all but the first have every window earlier.
     told = distinct.join(masks, own, "left").filter("copies > 1 or mask is not null")
     both = (rows.select(*own, "n", F.struct("doc_id", "key", "start").alias("place"))
