@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import append_columns, crc_remainder, materialise, text_bytes
+from duebook.llm.common import (append_columns, crc_remainder, give_back, materialise,
+                                text_bytes)
+from duebook.llm.words import Texts, slices
 
 FOLDS = 5               # held out: crc32 of the id's text divisible by this
 EXAMPLES = 2048         # of each label
@@ -37,7 +39,8 @@ FEWEST = 8              # of labels that have so many rows
 FREQUENT = 0.1          # share of examples from which a term's weights are kept dense
 NEAREST = 15
 BLOCK = 32              # examples of a block
-WORDS = 2 ** 18         # words a process knows by number
+SPARSE = 8              # terms in more than a block of so many have dense maxima
+WORDS = 2 ** 17         # spellings a task knows by number
 BATCH = 256             # documents that are scored together
 SOFT = 0.05             # added to distances, so that equal texts have finite weight
 
@@ -82,8 +85,8 @@ class Sparse:
 
 
 class Vectors:
-    """TF-IDF vectors of unit length over fixed terms. Words are looked up once, and then
-    known by a number (`WORDS` of them at a time)."""
+    """TF-IDF vectors of unit length over fixed terms. Of many texts at once, each spelling
+    is looked up once."""
 
     def __init__(self, terms: list[bytes], weights: np.ndarray):
         self.at = {t: i for i, t in enumerate(terms)}
@@ -91,25 +94,31 @@ class Vectors:
         self.words: dict[bytes, int] = {}
         self.terms_of = np.zeros((0, 3), dtype=np.int64)
 
-    def numbers(self, words: list[bytes]) -> list[int]:
-        seen = self.words
-        return [seen.setdefault(w, len(seen)) for w in words]
-
-    def rows(self, texts: list[bytes]) -> Sparse:
+    def known(self, spellings: list[bytes]) -> np.ndarray:
+        """The terms of each spelling, -1 for none; WORDS spellings are remembered."""
         if len(self.words) > WORDS:
             self.words, self.terms_of = {}, self.terms_of[:0]
-        split = [self.numbers(x.translate(FOLD).split()) for x in texts]
-        new = [[self.at.get(t, -1) for t in (w, w[:4] if len(w) > 4 else None,
-                                             w[:5] if len(w) > 5 else None)]
-               for w in islice(self.words, len(self.terms_of), None)]
+        seen, at = self.words, self.at
+        numbers = [seen.setdefault(w, len(seen)) for w in spellings]
+        new = [(at.get(w, -1), at.get(w[:4], -1) if len(w) > 4 else -1,
+                at.get(w[:5], -1) if len(w) > 5 else -1)
+               for w in islice(seen, len(self.terms_of), None)]
         self.terms_of = np.concatenate(
             [self.terms_of, np.array(new, dtype=np.int64).reshape(-1, 3)])
-        lengths = [len(x) for x in split]
-        row = np.repeat(np.arange(len(texts)), lengths)
-        term = self.terms_of[np.fromiter(chain.from_iterable(split), np.int64, sum(lengths))]
+        return self.terms_of[np.array(numbers, dtype=np.int64)]
+
+    def occurrences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, how often) of the terms in each text, in this order."""
+        words = Texts(texts, FOLD)
+        number, spellings = words.numbered()
+        terms = self.known(spellings)[number]
         width = max(1, len(self.weights))
-        both, n = np.unique((row[:, None] * width + term)[term >= 0], return_counts=True)
-        row, term = both // width, both % width
+        both, n = np.unique((words.owners()[:, None] * width + terms)[terms >= 0],
+                            return_counts=True)
+        return both // width, both % width, n
+
+    def rows(self, texts: list[bytes]) -> Sparse:
+        row, term, n = self.occurrences(texts)
         value = (1.0 + np.log(n)) * self.weights[term]
         length = np.sqrt(np.bincount(row, value * value, len(texts)))
         return Sparse(np.searchsorted(row, np.arange(len(texts) + 1)), term,
@@ -146,12 +155,25 @@ class BlockMaxIndex:
         row, term, weight = row[~often], rows.term[~often], rows.weight[~often]
         self.rare = Sparse(np.searchsorted(row, np.arange(self.n + 1)), term, weight, rows.width)
         self.asked = np.zeros(rows.width)
-        self.maxima = np.zeros((rows.width, -(-self.n // BLOCK)), dtype=np.float32)
-        np.maximum.at(self.maxima, (term, row // BLOCK),
-                      np.nextafter(weight.astype(np.float32), np.float32(2)))
         by = np.argsort(term, kind="stable")
-        self.lists = Sparse(np.searchsorted(term[by], np.arange(rows.width + 1)), row[by],
-                            weight[by], self.n)
+        row, term, weight = row[by], term[by], weight[by]
+        terms = np.arange(rows.width + 1)
+        self.lists = Sparse(np.searchsorted(term, terms), row, weight, self.n)
+        # Of each term only the blocks that hold it: at most as many as examples do.
+        block = row // BLOCK
+        new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        self.blocks = -(-self.n // BLOCK)
+        term, block = term[new], block[new]
+        weight = np.maximum.reduceat(weight, new) if len(new) else weight
+        held = np.bincount(term, minlength=rows.width)
+        many = held * SPARSE > self.blocks
+        self.wide = np.where(many, np.cumsum(many) - 1, -1)
+        often = many[term]
+        self.wide_maxima = np.zeros((int(many.sum()), self.blocks), dtype=np.float32)
+        self.wide_maxima[self.wide[term[often]], block[often]] = np.nextafter(
+            weight[often].astype(np.float32), np.float32(2))
+        term, block, weight = term[~often], block[~often], weight[~often]
+        self.maxima = Sparse(np.searchsorted(term, terms), block, weight, self.blocks)
 
     def nearest(self, rows: np.ndarray | Sparse, k: int = NEAREST) -> Found:
         """Exact, ties to the first example; cosines are rounded to 12 places, so that
@@ -183,7 +205,12 @@ class BlockMaxIndex:
         examples that cannot be among the nearest are set to -1."""
         if not len(term):
             return
-        more = weight.astype(np.float32) @ self.maxima[term] * np.float32(1.0001) + 1e-6
+        column = self.wide[term]
+        wide = column >= 0
+        more = weight[wide].astype(np.float32) @ self.wide_maxima[column[wide]]
+        blocks = self.maxima.take(term[~wide])
+        more = more * 1.0001 + 1e-6 + np.bincount(
+            blocks.term, blocks.weight * np.repeat(weight[~wide], np.diff(blocks.at)), self.blocks)
         least = np.partition(cosine, self.n - width)[self.n - width]
         able = cosine + np.repeat(more, BLOCK)[:self.n] >= least
         few = np.flatnonzero(able)
@@ -257,6 +284,17 @@ class Model(NamedTuple):
     intercept: float
 
 
+_PREPARED: list = []
+
+
+def prepared(model: Model) -> tuple[Model, Vectors, BlockMaxIndex]:
+    """The model with its index, which a worker process builds once, not for every task."""
+    if not _PREPARED or _PREPARED[0] is not model.weights:
+        _PREPARED[:] = [model.weights, Vectors(model.terms, model.by_term),
+                        BlockMaxIndex(model.weights)]
+    return model, *_PREPARED[1:]
+
+
 def sampled(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, toxic, part) of the sampled labelled rows, part 0 being examples and part
     1 for calibration; and (doc_id, toxic) of all that may be learnt from. A doc_id
@@ -309,15 +347,12 @@ def weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
 def inverse_frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
     """log((1 + documents) / (1 + documents with the term)) + 1 over all of `docs`."""
-    wanted = {t: i for i, t in enumerate(terms)}
-
     def run(batches):
-        n, held = 0, np.zeros(len(wanted), dtype=np.int64)
-        for batch in batches:
-            for text in text_bytes(batch):
-                n += 1
-                held[[wanted[t] for t in set(terms_of(text)) if t in wanted]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(wanted))),
+        vectors, n, held = Vectors(terms, np.ones(len(terms))), 0, np.zeros(len(terms), np.int64)
+        for _, texts in slices(batches):
+            n += len(texts)
+            held += np.bincount(vectors.occurrences(texts)[1], minlength=len(terms))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))),
                                           pa.array(np.append(n, held))], ["term", "n"])
 
     counted = (docs.select("text").mapInArrow(run, "term long, n long")
@@ -350,11 +385,8 @@ def calibration_votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model, vectors, index = None, None, None
+        model, vectors, index = prepared(sent.value)
         for batch in batches:
-            if model is None:
-                model = sent.value
-                vectors, index = Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)
             raw = votes(index.nearest(vectors.rows(text_bytes(batch))), model.toxic, model.share)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw)],
                                              ["doc_id", "toxic", "raw"])
@@ -405,13 +437,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the share of toxic labels among such texts."""
     model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    ready: list = []
 
     def run(batches):
-        if not ready:
-            model = sent.value
-            ready.extend([model, Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)])
-        model, vectors, index = ready
+        model, vectors, index = prepared(sent.value)
         for batch in batches:
             texts = text_bytes(batch)
             scores, evidence = [], []
@@ -426,6 +454,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                                       "toxic": int(model.toxic[e])}
                                      for c, e in zip(cosines, examples) if c > 0])
             yield [scores, [int(s >= 0.5) for s in scores], evidence]
+        give_back()
 
     fold = F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False))
     out = append_columns(docs, ADDED.split(", ", 1)[1], run)
