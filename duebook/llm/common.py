@@ -34,6 +34,17 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of `df` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def append_columns(df: DataFrame, added: str,
                    make: Callable[[Iterator[pa.RecordBatch]], Iterator[list]],
                    consumed: tuple[str, ...] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import materialise
+from duebook.llm.common import materialise, unused
 
 WORDS = 13
 SHARE = 20              # contaminated from a twentieth of the words on
@@ -133,24 +133,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS,
                       share: int = SHARE) -> DataFrame:
     """`docs` without the rows whose text is contaminated."""
+    out_id, out_key = unused(docs, "_out_id", "_out_key")
     out = contamination(docs, benchmark, n, share).filter("contaminated").select(
-        F.col("doc_id").alias("_out_id"), F.col("text_key").alias("_out_key")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_out_id"))
-                     & (F.xxhash64("text") == F.col("_out_key")), "left_anti")
+        F.col("doc_id").alias(out_id), F.col("text_key").alias(out_key)).distinct()
+    return docs.join(out, docs["doc_id"].eqNullSafe(F.col(out_id))
+                     & (F.xxhash64("text") == F.col(out_key)), "left_anti")
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = WORDS) -> DataFrame:
     """`docs` with the hit words, and what separates each from the next word, cut out of
     `text`; texts without a hit stay as they are."""
+    own_id, key, hit_at = unused(docs, "_id", "_key", "hit_at")
     out = contamination(docs, benchmark, n).filter("n_hit > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "hit_at").dropDuplicates(
-        ["_id", "_key"])
+        F.col("doc_id").alias(own_id), F.col("text_key").alias(key),
+        F.col("hit_at").alias(hit_at)).dropDuplicates([own_id, key])
     between = BETWEEN[:-1]
     part = F.lit(f"[^{between[1:]}+{between}*")
     parts = F.regexp_extract_all("text", part, F.lit(0))
     kept = F.concat(F.regexp_extract("text", f"^{between}*", 0), F.array_join(
-        F.filter(parts, lambda x, i: ~F.array_contains("hit_at", i + 1)), ""))
-    both = docs.join(out, docs["doc_id"].eqNullSafe(F.col("_id"))
-                     & (F.xxhash64("text") == F.col("_key")), "left")
-    return both.withColumn("text", F.when(F.col("hit_at").isNotNull(), kept).otherwise(
+        F.filter(parts, lambda x, i: ~F.array_contains(hit_at, i + 1)), ""))
+    both = docs.join(out, docs["doc_id"].eqNullSafe(F.col(own_id))
+                     & (F.xxhash64("text") == F.col(key)), "left")
+    return both.withColumn("text", F.when(F.col(hit_at).isNotNull(), kept).otherwise(
         F.col("text"))).select(*[docs[c] if c != "text" else F.col("text") for c in docs.columns])

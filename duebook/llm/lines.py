@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import SPACE, append_columns, materialise, text_bytes
+from duebook.llm.common import SPACE, append_columns, materialise, text_bytes, unused
 
 LETTERS = 20            # code points of the shortest line that may go
 DOCUMENTS = 3           # documents a line must be found in to go
@@ -258,6 +258,7 @@ def routed(docs, shards, n_shards, letters, documents):
                  pa.array(out["line"], pa.int64()), pa.array(a.view(np.int64)),
                  pa.array(b.view(np.int64))], ["doc_id", "_key", "line", "a", "b"])
 
+    own_id, own_key, own_hash, own_lines = unused(docs, "_id", "_key", "_hash", "_lines")
     key = F.xxhash64("text")
     asked = materialise(docs.select("doc_id", key.alias("_key"), "text").mapInArrow(
         hashes, "doc_id long, _key long, line long, a long, b long"))
@@ -278,18 +279,19 @@ def routed(docs, shards, n_shards, letters, documents):
 
     gone = (asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt"))
             .applyInPandas(answer, "doc_id long, _key long, line long")
-            .groupBy(F.col("doc_id").alias("_id"), "_key")
-            .agg(F.collect_set("line").alias("_lines")))
-    given = docs.withColumn("_hash", key)
-    both = given.join(gone, given["doc_id"].eqNullSafe(gone["_id"])
-                      & (given["_hash"] == gone["_key"]), "left").drop("_id", "_key", "_hash")
+            .groupBy(F.col("doc_id").alias(own_id), F.col("_key").alias(own_key))
+            .agg(F.collect_set("line").alias(own_lines)))
+    given = docs.withColumn(own_hash, key)
+    both = given.join(gone, given["doc_id"].eqNullSafe(gone[own_id])
+                      & (given[own_hash] == gone[own_key]), "left").drop(
+                          own_id, own_key, own_hash)
 
     def run(batches):
         for batch in batches:
             texts, nulls = text_bytes(batch), missing(batch)
-            lists = batch.column(batch.schema.get_field_index("_lines")).to_pylist()
+            lists = batch.column(batch.schema.get_field_index(own_lines)).to_pylist()
             yield [[t.count(b"\n") + 1 for t in texts], [len(x or ()) for x in lists],
                    [None if null else stay(t, np.array(x)) if x else t
                     for t, null, x in zip(texts, nulls, lists)]]
 
-    return append_columns(both, ADDED, run, consumed=("text", "_lines"))
+    return append_columns(both, ADDED, run, consumed=("text", own_lines))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import components, materialise, text_bytes
+from duebook.llm.common import components, materialise, text_bytes, unused
 
 SHINGLE = 3
 BITS = 3
@@ -233,16 +233,17 @@ def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     """`docs` with only the least doc_id of each group in `found` (doc_id, text_key,
     component_id; written); of rows that are equal in doc_id and text one. A row without
     doc_id stays if its whole group has none."""
+    out_id, out_key, own_key = unused(docs, "_out_id", "_out_key", "_key")
     out = found.filter("component_id is not null and not (doc_id <=> component_id)").select(
-        F.col("doc_id").alias("_out_id"), F.col("text_key").alias("_out_key")).distinct()
+        F.col("doc_id").alias(out_id), F.col("text_key").alias(out_key)).distinct()
     key = F.xxhash64("text")
-    rest = docs.join(out, docs["doc_id"].eqNullSafe(F.col("_out_id"))
-                     & (key == F.col("_out_key")), "left_anti")
+    rest = docs.join(out, docs["doc_id"].eqNullSafe(F.col(out_id))
+                     & (key == F.col(out_key)), "left_anti")
     repeated = found.groupBy("doc_id", "text_key").count().filter("count > 1 and doc_id is not null")
     if repeated.isEmpty():
         return rest
-    named = rest.filter("doc_id is not null").withColumn("_key", key)
-    return (named.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    named = rest.filter("doc_id is not null").withColumn(own_key, key)
+    return (named.dropDuplicates(["doc_id", own_key]).drop(own_key)
             .union(rest.filter("doc_id is null")))
 
 
