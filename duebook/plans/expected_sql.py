@@ -514,6 +514,16 @@ EXPECTED = {
                      row_number() OVER (PARTITION BY user_id, source_file, account_id, posted_date,
                        amount_cents, raw_descriptor) - 1 AS occurrence FROM event_lines)"""),
     "statement_lines": q("SELECT * EXCLUDE (k) FROM event_typed"),
+    "split_statement_lines": """
+        WITH e AS (SELECT *, event_id % 4 AS k, CAST(round_even(value * 100, 0) AS BIGINT) AS cents
+                   FROM events)
+        SELECT k + 1 AS user_id, event_id // 65536 AS account_id, CAST(ts AS DATE) AS posted_date,
+               CASE WHEN k = 3 THEN cents WHEN k = 2 AND cents = 0 THEN NULL ELSE -cents END
+                 AS amount_cents,
+               'SQ *' || upper(event_type) || ' #' || (event_id % 97)
+                 || CASE WHEN event_id % 5 = 0 THEN chr(10) || 'SAID ' || (event_id % 97) || ', 1; '
+                      || event_id ELSE '' END AS raw_descriptor,
+               NOT (k = 2 AND cents = 0) AS usable FROM e""",
     "statement_files": q("SELECT * FROM event_facts"),
     "signed_statement_lines": q("SELECT * FROM event_signed"),
     "sign_conventions": q("""
@@ -595,6 +605,11 @@ EXPECTED = {
     "resolved_transactions": q(_LADDER + """
         SELECT t.user_id, o.merchant, t.account_id, o.scrubbed, posted_date, amount_cents
         FROM part_txns t JOIN outcomes o ON t.user_id = o.user_id AND t.merchant = o.scrubbed"""),
+    "resolved_aliases": q(_LADDER + """
+        SELECT user_id, scrubbed AS scrubbed_pattern, merchant,
+               CASE WHEN tier = 'fuzzy' THEN 'fuzzy' ELSE 'exact' END AS resolved_by,
+               CASE WHEN tier = 'fuzzy' THEN round_even(score * 10, 0) / 1000 END AS confidence
+        FROM outcomes WHERE tier IN ('new', 'fuzzy')"""),
     "queued_candidates": q(_LADDER + """
         SELECT user_id, scrubbed, n AS txn_count, round_even(score * 100, 0) / 100 AS top_score,
                verdict AS reason, candidates FROM outcomes WHERE tier = 'queued'"""),
@@ -635,6 +650,11 @@ EXPECTED = {
                  AS annual_cost_added_by_price_rises,
                awaiting_review AS descriptors_awaiting_review FROM summary"""),
     "subscription_list": q(f"""
+        SELECT {S}, CAST(position AS INTEGER) AS position, annual_cents, usage_based, minor_digits
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+                ORDER BY current_amount_cents * (CAST(365.25 AS DOUBLE) / period_days) DESC,
+                merchant, account_id) AS position FROM costed)"""),
+    "subscription_page": q(f"""
         SELECT {S}, CAST(position AS INTEGER) AS position, annual_cents, usage_based, minor_digits
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id
                 ORDER BY current_amount_cents * (CAST(365.25 AS DOUBLE) / period_days) DESC,
@@ -656,16 +676,15 @@ EXPECTED = {
                / period_days, 0) AS BIGINT) AS annual_impact_cents,
           CAST(row_number() OVER (PARTITION BY user_id ORDER BY effective_date DESC, merchant,
                account_id) AS INTEGER) AS position
-          FROM changes JOIN subs USING ({S})) WHERE position <= 5"""),
+          FROM changes JOIN subs USING ({S}))"""),
     "charge_history": q(f"""
         SELECT * FROM (SELECT {S}, posted_date, amount AS amount_cents,
           CAST(row_number() OVER (PARTITION BY {S} ORDER BY posted_date, amount) AS INTEGER)
-            AS position FROM charges SEMI JOIN found USING ({S}))
-        WHERE position BETWEEN 3 AND 8"""),
+            AS position FROM charges SEMI JOIN found USING ({S}))"""),
     "review_queue": q("""
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id
           ORDER BY txn_count DESC, scrubbed) AS INTEGER) AS position FROM review_items
-          WHERE status = 'pending') WHERE position IN (2, 3)"""),
+          WHERE status = 'pending')"""),
     "forgotten_subscriptions": q(f"""
         SELECT {S}, CASE WHEN status = 'active' THEN 'annual renewal ahead'
                  ELSE 'no charge for over a cycle -- cancelled, or a failed card' END AS reason,
@@ -720,7 +739,11 @@ EXPECTED = {
     "mixed_currency_series": q(f"""SELECT {S}, min(currency) AS first_currency,
         max(currency) AS last_currency FROM charges GROUP BY {S}
         HAVING count(DISTINCT currency) > 1"""),
-    "load_report": q("""
+    "load_report": q(_LADDER.replace("FROM part_txns", "FROM event_txns") + """
+        SELECT r.*, CAST(coalesce("exact", 0) AS BIGINT) AS "exact",
+               CAST(coalesce(fuzzy, 0) AS BIGINT) AS fuzzy, CAST(coalesce(new, 0) AS BIGINT) AS new,
+               CAST(coalesce(queued, 0) AS BIGINT) AS queued,
+               coalesce(found, 0) AS subscriptions_found FROM (
         SELECT user_id, source_file, rows_read, rows_skipped, coalesce(new, 0) AS rows_new,
                rows_read - coalesce(new, 0) AS rows_duplicate, sign_flipped,
                CAST(0 AS BIGINT) AS empty_names
@@ -731,17 +754,37 @@ EXPECTED = {
               SELECT *, row_number() OVER (PARTITION BY user_id, source_file, account_id,
                        posted_date, amount_cents, raw_descriptor) AS occ FROM event_signed)
             GROUP BY ALL) GROUP BY ALL) USING (user_id, source_file)
-        WHERE rows_read > 0"""),
+        WHERE rows_read > 0) r
+        LEFT JOIN (SELECT user_id, sum(n) FILTER (WHERE tier = 'exact') AS "exact",
+                          sum(n) FILTER (WHERE tier = 'fuzzy') AS fuzzy,
+                          sum(n) FILTER (WHERE tier = 'new') AS new,
+                          sum(n) FILTER (WHERE tier = 'queued') AS queued
+                   FROM outcomes GROUP BY user_id) USING (user_id)
+        LEFT JOIN (SELECT user_id, count(*) AS found FROM subs GROUP BY user_id)
+             USING (user_id)"""),
     "named_reports": q(f"""
-        SELECT 'list_subscriptions' AS report, count(*) AS rows FROM subs
-        WHERE user_id = 3 AND status = 'active'
-        UNION ALL SELECT 'spending_summary', count(*) FROM summary WHERE user_id = 3
-        UNION ALL SELECT 'upcoming_charges', count(*) FROM subs JOIN as_of USING (user_id)
-                  WHERE user_id = 3 AND status = 'active' AND next_due <= as_of + 9999
-        UNION ALL SELECT 'price_increases', count(*) FROM changes WHERE user_id = 3
-        UNION ALL SELECT 'find_forgotten', count(*) FROM subs WHERE user_id = 3 AND (
-                  status = 'lapsed' OR (status = 'active' AND cadence IN ('annual', 'semiannual')))
-        UNION ALL SELECT 'data_quality', count(DISTINCT user_id) FROM part_txns WHERE user_id = 3"""),
+        SELECT 'list_subscriptions' AS report, user_id, merchant || '|' || account_id AS item,
+               CAST(annual_cents AS DOUBLE) AS amount, next_due AS day, cadence AS note
+        FROM costed WHERE status = 'active'
+        UNION ALL SELECT 'spending_summary', user_id, currency,
+               round(annual_minor / pow(10, minor_digits), 3), as_of,
+               CAST(active_count AS VARCHAR) FROM summary
+        UNION ALL SELECT 'upcoming_charges', user_id, merchant || '|' || account_id,
+               CAST(current_amount_cents AS DOUBLE), next_due, currency
+        FROM subs JOIN as_of USING (user_id) WHERE status = 'active' AND next_due <= as_of + 9999
+        UNION ALL SELECT 'price_increases', user_id, merchant || '|' || account_id,
+               round_even((new_amount_cents - old_amount_cents) * CAST(365.25 AS DOUBLE)
+                          / period_days, 0), effective_date,
+               CAST(row_number() OVER (PARTITION BY user_id ORDER BY effective_date DESC, merchant,
+                    account_id) AS VARCHAR) FROM changes JOIN subs USING ({S})
+        UNION ALL SELECT 'find_forgotten', user_id, merchant || '|' || account_id,
+               CAST(current_amount_cents AS DOUBLE), last_seen,
+               CASE WHEN status = 'active' THEN 'annual renewal ahead'
+                    ELSE 'no charge for over a cycle -- cancelled, or a failed card' END
+        FROM subs WHERE status = 'lapsed' OR (
+            status = 'active' AND cadence IN ('annual', 'semiannual'))
+        UNION ALL SELECT 'data_quality', user_id, NULL, 100.0, NULL,
+               CAST(count(DISTINCT merchant) AS VARCHAR) FROM part_txns GROUP BY user_id"""),
     "detector_scores": q("""
         SELECT *, round(p, 6) AS precision, round(r, 6) AS recall,
                round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1,

@@ -7,6 +7,7 @@ part lines are regular charges, event lines irregular ones, order lines span yea
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,10 @@ from duebook.functions.money import (annualise, format_minor, minor_digits, pars
                                      to_minor)
 from duebook.operators import attempts, evaluation, load, merge, resolve, series, tenancy
 from duebook.operators.series import SERIES
-from duebook.operators.skew import materialise
+from duebook.operators.skew import materialise, shared_folder
 from duebook.operators.subscriptions import detect, subscriptions_plain
 from duebook.plans import reports
-from duebook.sources import schemas, statements, views
+from duebook.sources import schemas, splits, statements, views
 
 LIMITS = {"click": (8, 900), "view": (5, 3600), "error": (2, 86400), "purchase": (3, 43200)}
 CUT = dt.datetime(2024, 1, 20)
@@ -158,6 +159,16 @@ def statement_lines(spark, d):
                         "raw_descriptor", "usable")
 
 
+def split_statement_lines(spark, d):
+    """Lines of statement files in folders, read in byte ranges."""
+    root = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
+    views.write_statements(spark, d, root)
+    files = statements.files_under(spark, root).withColumn(
+        "account_id", F.col("label").cast("bigint"))
+    return statements.typed_lines(splits.read_fields(files, root)).select(
+        "user_id", "account_id", "posted_date", "amount_cents", "raw_descriptor", "usable")
+
+
 def statement_files(spark, d):
     typed = statements.typed_lines(statement_fields(spark, d))
     return statements.file_facts(typed).drop("reason")
@@ -373,6 +384,12 @@ def queued_candidates(spark, d):
                               _as_text("candidates").alias("candidates"))
 
 
+def resolved_aliases(spark, d):
+    """The alias table after a run: who resolved a descriptor, and how surely."""
+    state, _ = resolve.resolve(resolution_state(spark, d))
+    return state.aliases
+
+
 def exact_tier(spark, d):
     """Every descriptor already has an alias: one join links all of it."""
     state = resolution_state(spark, d, views.event_lines)
@@ -493,6 +510,12 @@ def spending_summary(spark, d):
 
 
 def subscription_list(spark, d):
+    return reports.subscription_list(detected(spark, d)[1]).select(
+        *SERIES, "position", "annual_cents", "usage_based", "minor_digits")
+
+
+def subscription_page(spark, d):
+    """Paging: ten of each tenant's list, from the fourth on."""
     return reports.subscription_list(detected(spark, d)[1], 10, 3).select(
         *SERIES, "position", "annual_cents", "usage_based", "minor_digits")
 
@@ -514,16 +537,16 @@ def upcoming_totals(spark, d):
 
 def price_increases(spark, d):
     _, subs, changes, _ = detected(spark, d)
-    return reports.price_increases(changes, subs, 5).drop("period_days", "pct_change")
+    return reports.price_increases(changes, subs).drop("period_days", "pct_change")
 
 
 def charge_history(spark, d):
     txns = part_txns(spark, d)
-    return reports.history(txns, subscriptions_plain(txns), 6, 2)
+    return reports.history(txns, subscriptions_plain(txns))
 
 
 def review_queue(spark, d):
-    return reports.review_queue(review_items(spark, d), 2, 1).drop("candidates")
+    return reports.review_queue(review_items(spark, d)).drop("candidates")
 
 
 def forgotten_subscriptions(spark, d):
@@ -574,20 +597,38 @@ def load_report(spark, d):
     typed = statements.typed_lines(materialise(statement_fields(spark, d)))
     facts = materialise(statements.file_facts(typed))
     new = load.new_transactions(statements.signed_lines(typed, facts))
-    return reports.load_report(facts, new)
+    _, outcomes = resolve.resolve(resolution_state(spark, d, views.event_lines))
+    return reports.load_report(facts, new, outcomes, detected(spark, d)[1])
+
+
+#: Of each named report: what a row is about, its amount, day and note.
+SHOWN = {
+    "list_subscriptions": ("annual_cents", "next_due", "cadence"),
+    "spending_summary": ("annual", "statement_through", "active_subscriptions"),
+    "upcoming_charges": ("current_amount_cents", "next_due", "currency"),
+    "price_increases": ("annual_impact_cents", "effective_date", "position"),
+    "find_forgotten": ("current_amount_cents", "last_seen", "reason"),
+    "data_quality": ("resolved_pct", None, "merchants")}
 
 
 def named_reports(spark, d):
-    """Each named report for one tenant, by number of rows."""
+    """Every named report of every tenant, all rows."""
     txns, subs, changes, as_of = detected(spark, d)
     tables = {"raw_transaction": txns, "subscription": materialise(subs),
               "price_change": materialise(changes), "as_of": as_of,
               "merchant": txns.select("user_id", F.col("merchant").alias("canonical_name"))
               .distinct(), "resolution_queue": review_items(spark, d)}
     out = None
-    for name in reports.NAMED:
-        rows = reports.call(tables, 3, name, {"days": 9999, "user_id": 4}).agg(
-            F.lit(name).alias("report"), F.count("*").alias("rows"))
+    for name, (amount, day, note) in SHOWN.items():
+        rows = reports.call_for_all(tables, name, {"days": 9999, "user_id": 4})
+        item = (F.concat_ws("|", "merchant", "account_id") if "merchant" in rows.columns
+                and "account_id" in rows.columns else F.col("currency")
+                if "currency" in rows.columns else F.lit(None).cast("string"))
+        rows = rows.select(
+            F.lit(name).alias("report"), "user_id", item.alias("item"),
+            F.round(F.col(amount).cast("double"), 3).alias("amount"),
+            (F.col(day) if day else F.lit(None).cast("date")).alias("day"),
+            F.col(note).cast("string").alias("note"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -640,16 +681,19 @@ def accepted_attempts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scrub_descriptors, parsed_amounts, parsed_dates, money_columns, dedup_keys,
-    statement_lines, statement_files, rejected_files, signed_statement_lines,
+    statement_lines, split_statement_lines, statement_files, rejected_files,
+    signed_statement_lines,
     sign_conventions,
     idempotent_load, reload_is_noop, account_upsert, merged_keep_first, queue_upsert,
     tenant_rows, no_tenant_rows, erased_tables, purged_attempts, replaced_derived,
     backfilled_currency, name_similarity, unresolved_descriptors, exact_tier, founders,
-    resolution_outcomes, resolution_tiers, resolved_transactions, queued_candidates,
+    resolution_outcomes, resolution_tiers, resolved_transactions, resolved_aliases,
+    queued_candidates,
     review_decisions, charge_points, as_of_dates, part_cadences, event_cadences,
     order_cadences, day_anchors, current_amounts, robust_cv, plain_subscriptions,
     price_steps, segmented_cv, subscriptions, event_subscriptions, price_changes,
-    spending_by_currency, spending_summary, subscription_list, filtered_subscriptions,
+    spending_by_currency, spending_summary, subscription_list, subscription_page,
+    filtered_subscriptions,
     upcoming_charges, upcoming_totals, price_increases, charge_history, review_queue,
     forgotten_subscriptions, data_quality, frequent_merchants, variant_groups,
     understated_totals, detected_totals, cost_shares, displayed_amounts,

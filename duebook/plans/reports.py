@@ -296,7 +296,11 @@ def call(tables: dict[str, DataFrame], user_id: int, name: str,
          arguments: dict | None = None) -> DataFrame:
     """Run a named report for one tenant. Raises KeyError for an unknown name;
     arguments the report does not list are ignored, a tenant among them."""
+    return call_for_all({k: for_tenant(df, user_id) for k, df in tables.items()}, name, arguments)
+
+
+def call_for_all(tables: dict[str, DataFrame], name: str,
+                 arguments: dict | None = None) -> DataFrame:
+    """A named report of every tenant, in one plan; its rows carry their tenant."""
     builder, allowed = NAMED[name]
-    known = {k: v for k, v in (arguments or {}).items() if k in allowed}
-    scoped = {k: for_tenant(df, user_id) for k, df in tables.items()}
-    return builder(scoped, **known)
+    return builder(tables, **{k: v for k, v in (arguments or {}).items() if k in allowed})

@@ -5,6 +5,7 @@
                  price step, missed charge and currency follow from its key
 ``order_lines``  purchases with a wide date range: one line per order
 ``event_files``  the event lines written out as CSV statement bytes
+``write_statements``  the events as statement files in folders, some fields quoted
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_key(key: Column, *values) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)),
+    return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)),
                         (key % len(values) + 1).cast("int"))
 
 
@@ -118,6 +119,40 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .alias("content")))
 
 
+def write_statements(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Files below `root`, one for each of four tenants and 65,536 consecutive events, in a
+    layout and encoding of the tenant's own. A fifth of the descriptors has a line break
+    and separators in quotes."""
+    e = read(spark, sf_dir, "events", "event_id", "ts", "event_type", "value")
+    kind = F.col("event_id") % 4
+    day, cents = F.to_date("ts"), F.rint(F.col("value") * 100).cast("bigint")
+    code = (F.col("event_id") % 97).cast("string")
+    name = F.concat(F.lit("SQ *"), F.upper("event_type"), F.lit(" #"), code)
+    text = F.when(F.col("event_id") % 5 == 0, F.concat(
+        F.lit('"'), name, F.lit("\nSAID "), code, F.lit(", 1; "), "event_id", F.lit('"'))
+        ).otherwise(name)
+    units, rest = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    line = _by_key(
+        kind, *(F.concat_ws(separator, F.date_format(day, form), text, F.concat(
+            F.lit(sign), units, F.lit(point), rest, F.lit(end)))
+            for separator, form, sign, point, end in (
+                (",", "MM/dd/yyyy", "-", ".", ""), (";", "dd.MM.yyyy", "-", ",", ""),
+                ("\t", "yyyy-MM-dd", "", ".", "\t"), ("|", "yyyy/MM/dd", "", ".", ""))))
+    head = _by_key(kind, "Date,Description,Amount", "Buchung;Verwendungszweck;Betrag",
+                   "Posted\tDetails\tDebit\tCredit", "Valuta|Libellé|Montant")
+    rows = e.select((kind + 1).alias("user_id"),
+                    F.floor(F.col("event_id") / EVENTS_PER_FILE).alias("account"),
+                    "event_id", line.alias("value"), head.alias("head"))
+    heads = rows.groupBy("user_id", "account").agg(F.first("head").alias("value")).select(
+        "user_id", "account", F.lit(-1).cast("long").alias("event_id"), "value")
+    lines = by_python_key(rows.drop("head").unionByName(heads), ["user_id", "account"])
+    encoded = F.when(F.col("user_id") == 4, F.encode("value", "ISO-8859-1")).otherwise(
+        F.encode("value", "UTF-8")).cast("string")
+    (lines.sortWithinPartitions("user_id", "account", "event_id")
+     .select("user_id", "account", encoded.alias("value"))
+     .write.partitionBy("user_id", "account").text(root))
+
+
 def exact_transactions(lines: DataFrame) -> DataFrame:
     """Lines with the exact tier only: each scrubbed name is its own merchant."""
     name = F.coalesce(scrub(F.col("raw_descriptor")), F.lit(""))
