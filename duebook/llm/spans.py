@@ -27,6 +27,8 @@ their hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -305,16 +307,32 @@ def window_masks(distinct: DataFrame, window: int) -> DataFrame:
             .groupBy("anchor", "print").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")))
 
 
+def places(rows: DataFrame) -> tuple[Column, Callable[[str], Column]]:
+    """A column that orders the rows' places in the corpus, and what gives doc_id, key and
+    start back from a column of such. Usual ids and starts fit one number, which a shuffle
+    carries in a third of a struct's bytes."""
+    odd = F.coalesce(~F.col("doc_id").between(0, 2 ** 39 - 1), F.lit(True)) | (
+        F.col("key") != 0) | (F.col("start") >= 2 ** 24)
+    if rows.agg(F.bool_or(odd)).first()[0]:
+        return F.struct("doc_id", "key", "start"), F.col
+    return (F.shiftleft("doc_id", 24).bitwiseOR(F.col("start").cast("long")),
+            lambda name: F.struct(
+                F.shiftright(name, 24).alias("doc_id"), F.lit(0).cast("long").alias("key"),
+                F.col(name).bitwiseAND(2 ** 24 - 1).cast("int").alias("start")))
+
+
 def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
                      shard_fragments: int) -> DataFrame:
     """(_known, _id, _key, _starts): for each text the (start, mask) of its fragments with
     windows that occur earlier."""
     rows = materialise(fragments(texts, window, anchor, bits))
     own = ["anchor", "print"]
+    at, told_from = places(rows)
     distinct = materialise(rows.groupBy(*own).agg(
-        F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("copies")))
+        F.min(at).alias("first"), F.count("*").alias("copies")))
     mixed = materialise(distinct.groupBy("anchor").count().filter(F.col("count") > 1))
-    wanted = materialise(join_list(distinct, mixed, ["anchor"], "left_semi").drop("copies"))
+    wanted = materialise(join_list(distinct, mixed, ["anchor"], "left_semi").select(
+        *own, told_from("first").alias("first")))
     words = fragment_words(texts, wanted, window, anchor, bits)
     hot = key_list(mixed.filter(F.col("count") > shard_fragments), ["anchor"])
     if hot.rows.isEmpty():
@@ -331,11 +349,10 @@ def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
     masks = materialise(masks)
     # Of equal fragments all but the first have every window earlier.
     told = distinct.join(masks, own, "left").filter("copies > 1 or mask is not null")
-    both = (rows.select(*own, "n", F.struct("doc_id", "key", "start").alias("place"))
-            .join(told, own)
-            .select("place.*", F.when(F.col("place") == F.col("first"), F.coalesce(
+    both = (rows.select(*own, "n", at.alias("place")).join(told.drop("copies"), own)
+            .select(told_from("place").alias("at"), F.when(F.col("place") == F.col("first"), F.coalesce(
                 "mask", F.lit(0).cast("long"))).otherwise(F.expr("shiftleft(1L, n) - 1"))
-                .alias("mask")).filter("mask != 0"))
+                .alias("mask")).filter("mask != 0").select("at.*", "mask"))
     return (both.select(*place(F.col("doc_id"), F.col("key")), "start", "mask")
             .groupBy("_known", "_id", "_key")
             .agg(F.collect_set(F.struct("start", "mask")).alias("_starts")))
