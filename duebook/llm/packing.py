@@ -17,10 +17,9 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,7 @@ PRETOKEN = re.compile(
 #: others in order from 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 OTHERS = [b for b in range(256) if b not in PRINTED]
-ALPHABET = {b: 256 + i for i, b in enumerate(OTHERS)}
+LETTERS = np.array([b if b in PRINTED else 256 + OTHERS.index(b) for b in range(256)], dtype="<u2")
 
 
 def default_tokenizer() -> str:
@@ -69,30 +68,28 @@ class Encoder:
         self.table: dict[str, bytes] = {}
 
     def learn(self, wanted: set[str]) -> None:
+        """Encode pre-tokens. They hold no zero byte, so that byte divides them while all are
+        put into the vocabulary's letters at once."""
         if len(self.table) + len(wanted) > TABLE:
             self.table.clear()
-        for word in wanted:
-            ids = [t.id for t in self.model.tokenize(
-                word.encode().decode("latin-1").translate(ALPHABET))]
-            self.table[word] = struct.pack(f"<{len(ids)}I", *ids)
+        words = list(wanted)
+        laid = np.frombuffer("\0".join(words).encode(), dtype=np.uint8)
+        printed = LETTERS[laid].tobytes().decode("utf-16-le").split(chr(LETTERS[0]))
+        tokenize = self.model.tokenize
+        codes = [[t.id for t in tokenize(word)] for word in printed]
+        ends = (4 * np.cumsum([len(c) for c in codes])).tolist()
+        laid = np.array(list(chain.from_iterable(codes)), dtype="<u4").tobytes()
+        self.table.update(zip(words, [laid[a:b] for a, b in zip([0, *ends], ends)]))
 
     def joined(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts given as pre-tokens; new ones are learnt together."""
-        found = [list(map(self.table.get, words)) for words in texts]
-        gaps, wanted = [], set()
-        for words, codes in zip(texts, found):
-            spots, at = [], -1
-            for _ in range(codes.count(None)):
-                at = codes.index(None, at + 1)
-                spots.append(at)
-                wanted.add(words[at])
-            gaps.append(spots)
+        words = set().union(*texts)
+        wanted = words.difference(self.table)
+        if len(self.table) + len(wanted) > TABLE:
+            wanted = words          # the table is cleared for them
         if wanted:
             self.learn(wanted)
-            for words, codes, spots in zip(texts, found, gaps):
-                for at in spots:
-                    codes[at] = self.table[words[at]]
-        return list(map(b"".join, found))
+        return [b"".join(map(self.table.__getitem__, words)) for words in texts]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
