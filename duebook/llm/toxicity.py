@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -40,8 +39,9 @@ FREQUENT = 0.1          # share of examples from which a term's weights are kept
 NEAREST = 15
 BLOCK = 32              # examples of a block
 SPARSE = 8              # terms in more than a block of so many have dense maxima
-WORDS = 2 ** 17         # spellings a task knows by number
-BATCH = 256             # documents that are scored together
+BEGINNINGS = (4, 5)     # bytes of longer words that are terms too
+BATCH = 256             # documents that are scored together,
+TOGETHER = 2 ** 17      # fewer if they have more terms
 SOFT = 0.05             # added to distances, so that equal texts have finite weight
 
 #: Words are runs of ASCII letters (A-Z lower-cased) and of all bytes above ASCII.
@@ -52,7 +52,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 3
 def terms_of(text: bytes) -> list[bytes]:
     """Words, and the beginnings of longer ones, which stand for a stem's forms."""
     words = text.translate(FOLD).split()
-    return (words + [w[:4] for w in words if len(w) > 4] + [w[:5] for w in words if len(w) > 5])
+    return words + [w[:n] for n in BEGINNINGS for w in words if len(w) > n]
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -86,32 +86,48 @@ class Sparse:
 
 class Vectors:
     """TF-IDF vectors of unit length over fixed terms. Of many texts at once, each spelling
-    is looked up once."""
+    is looked up once: whole words by two hashes, beginnings by their bytes."""
 
     def __init__(self, terms: list[bytes], weights: np.ndarray):
-        self.at = {t: i for i, t in enumerate(terms)}
         self.weights = weights
-        self.words: dict[bytes, int] = {}
-        self.terms_of = np.zeros((0, 3), dtype=np.int64)
-
-    def known(self, spellings: list[bytes]) -> np.ndarray:
-        """The terms of each spelling, -1 for none; WORDS spellings are remembered."""
-        if len(self.words) > WORDS:
-            self.words, self.terms_of = {}, self.terms_of[:0]
-        seen, at = self.words, self.at
-        numbers = [seen.setdefault(w, len(seen)) for w in spellings]
-        new = [(at.get(w, -1), at.get(w[:4], -1) if len(w) > 4 else -1,
-                at.get(w[:5], -1) if len(w) > 5 else -1)
-               for w in islice(seen, len(self.terms_of), None)]
-        self.terms_of = np.concatenate(
-            [self.terms_of, np.array(new, dtype=np.int64).reshape(-1, 3)])
-        return self.terms_of[np.array(numbers, dtype=np.int64)]
+        own = Texts([b" ".join(terms)], FOLD)
+        number, _, second = own.distinct()
+        self.order = np.argsort(own.hashes, kind="stable")
+        self.hashes, self.second = own.hashes[self.order], second[number][self.order]
+        same = np.flatnonzero(np.diff(self.hashes, prepend=self.hashes[:1] + np.uint64(1)))
+        self.most = int(np.diff(same, append=len(self.hashes)).max(initial=0))
+        self.short = {}
+        for length in BEGINNINGS:
+            some = np.flatnonzero(own.stops - own.starts == length)
+            value = own.beginnings(some, length)
+            by = np.argsort(value)
+            self.short[length] = value[by], some[by]
+
+    def known(self, words: Texts, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The terms of each spelling (`first`: a word that has it), -1 for none."""
+        found = np.full((len(first), 1 + len(BEGINNINGS)), -1)
+        if not len(self.order):
+            return found
+        hashes = words.hashes[first]
+        place = np.searchsorted(self.hashes, hashes)
+        for k in range(self.most):
+            at = np.minimum(place + k, len(self.order) - 1)
+            hit = (self.hashes[at] == hashes) & (self.second[at] == second)
+            found[hit, 0] = self.order[at[hit]]
+        size = (words.stops - words.starts)[first]
+        for column, (length, (values, terms)) in enumerate(self.short.items(), 1):
+            longer = np.flatnonzero(size > length)
+            if len(terms):
+                value = words.beginnings(first[longer], length)
+                at = np.minimum(np.searchsorted(values, value), len(terms) - 1)
+                found[longer, column] = np.where(values[at] == value, terms[at], -1)
+        return found
 
     def occurrences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, how often) of the terms in each text, in this order."""
         words = Texts(texts, FOLD)
-        number, spellings = words.numbered()
-        terms = self.known(spellings)[number]
+        number, first, second = words.distinct()
+        terms = self.known(words, first, second)[number]
         width = max(1, len(self.weights))
         both, n = np.unique((words.owners()[:, None] * width + terms)[terms >= 0],
                             return_counts=True)
@@ -182,35 +198,52 @@ class BlockMaxIndex:
         n, width = len(rows.at) - 1, min(k, self.n)
         best = np.full((n, width), -1.0)
         who = np.full((n, width), self.n, dtype=np.int64)
-        for a in range(0, n if self.n else 0, BATCH):
-            part = rows.take(np.arange(a, min(a + BATCH, n)))
+        a = 0 if self.n else n
+        while a < n:
+            to = max(a + 1, min(a + BATCH, n, int(
+                np.searchsorted(rows.at, rows.at[a] + TOGETHER, side="right")) - 1))
+            part = rows.take(np.arange(a, to))
             column, row = self.column[part.term], part.row_of()
             known = column >= 0
             own = np.zeros((len(part.at) - 1, len(self.dense)))
             own[row[known], column[known]] = part.weight[known]
             sums = own @ self.dense
-            for i, cosine in enumerate(sums):
-                mine = slice(part.at[i], part.at[i + 1])
-                rest = ~known[mine]
-                self.add(cosine, part.term[mine][rest], part.weight[mine][rest], width)
+            rest = Sparse(np.searchsorted(row[~known], np.arange(to - a + 1)),
+                          part.term[~known], part.weight[~known], part.width)
+            for i, (cosine, more) in enumerate(zip(sums, self.most(rest))):
+                mine = slice(rest.at[i], rest.at[i + 1])
+                self.add(cosine, more, rest.term[mine], rest.weight[mine], width)
                 cosine = np.round(cosine, 12)
                 least = np.partition(cosine, self.n - width)[self.n - width]
                 some = np.flatnonzero(cosine >= max(least, 1e-12))
                 some = some[np.lexsort((self.order[some], -cosine[some]))[:width]]
                 best[a + i, :len(some)], who[a + i, :len(some)] = cosine[some], self.order[some]
+            a = to
         return Found(best, who)
 
-    def add(self, cosine: np.ndarray, term: np.ndarray, weight: np.ndarray, width: int) -> None:
+    def most(self, rows: Sparse) -> np.ndarray:
+        """For each row what its terms (none frequent) can add in each block, at most."""
+        row, column = rows.row_of(), self.wide[rows.term]
+        narrow = column < 0
+        blocks = self.maxima.take(rows.term[narrow])
+        times = np.diff(blocks.at)
+        more = np.bincount(np.repeat(row[narrow], times) * self.blocks + blocks.term,
+                           blocks.weight * np.repeat(rows.weight[narrow], times),
+                           (len(rows.at) - 1) * self.blocks).reshape(-1, self.blocks)
+        row, column, weight = row[~narrow], column[~narrow], rows.weight[~narrow]
+        weight = weight.astype(np.float32)
+        at = np.searchsorted(row, np.arange(len(more) + 1))
+        for i, (a, b) in enumerate(zip(at, at[1:])):
+            if b > a:
+                more[i] += weight[a:b] @ self.wide_maxima.take(column[a:b], axis=0)
+        return more * 1.0001 + 1e-6
+
+    def add(self, cosine: np.ndarray, more: np.ndarray, term: np.ndarray, weight: np.ndarray,
+            width: int) -> None:
         """Add the products over the terms that are not frequent, where they can matter;
         examples that cannot be among the nearest are set to -1."""
         if not len(term):
             return
-        column = self.wide[term]
-        wide = column >= 0
-        more = weight[wide].astype(np.float32) @ self.wide_maxima[column[wide]]
-        blocks = self.maxima.take(term[~wide])
-        more = more * 1.0001 + 1e-6 + np.bincount(
-            blocks.term, blocks.weight * np.repeat(weight[~wide], np.diff(blocks.at)), self.blocks)
         least = np.partition(cosine, self.n - width)[self.n - width]
         able = cosine + np.repeat(more, BLOCK)[:self.n] >= least
         few = np.flatnonzero(able)

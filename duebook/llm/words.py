@@ -100,12 +100,24 @@ class Texts:
                                           self.stops[first + count - 1].tolist())]
         return [b" ".join([w for w in r.split(b" ") if w]) if b"  " in r else r for r in runs]
 
-    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
-        """For each word the number of its spelling, and the spellings. Words are told apart
-        by two hashes, together of 128 bits."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word the number of its spelling; and for each spelling a word that has it
+        and a second hash. Words are told apart by two hashes, together of 128 bits."""
         _, first, number = np.unique(self.hashes, return_index=True, return_inverse=True)
         again = self._hashed(OTHER_LETTERS[self.letters], 1)
         if (again[first][number] != again).any():
             pairs = np.stack([self.hashes, again], axis=1)
             _, first, number = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
-        return number.ravel(), self.words(first, np.ones_like(first))
+        return number.ravel(), first, again[first]
+
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """For each word the number of its spelling, and the spellings."""
+        number, first, _ = self.distinct()
+        return number, self.words(first, np.ones_like(first))
+
+    def beginnings(self, words: np.ndarray, length: int) -> np.ndarray:
+        """The first bytes of these words, which have so many, as one number."""
+        value = np.zeros(len(words), dtype=np.int64)
+        for k in range(length):
+            value = value << 8 | self.letters[self.starts[words] + k]
+        return value
