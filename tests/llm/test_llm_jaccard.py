@@ -74,3 +74,21 @@ def test_rows_without_id(spark):
                                   (7, text, "x")], SCHEMA)
     kept = jaccard.keep_one(docs).collect()
     assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "alone"), (7, text)]
+
+
+def test_texts_of_one_template_are_not_paired(spark, monkeypatch):
+    """Below the similarity; the pairs that are verified grow with the texts, not their square."""
+    seen = []
+    real = jaccard.verified
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    n = 600
+    own = [(i, f"dear customer your order has been shipped number {i}", "x") for i in range(n)]
+    own += [(n + i, f"w{i} " + " ".join(f"v{k}" for k in range(30)), "x") for i in range(3)]
+    found = jaccard.near_duplicates(spark.createDataFrame(own, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in found} == least_ids(own)
+    assert sum(seen) < 4 * n
