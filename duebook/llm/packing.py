@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import materialise, text_bytes
+from duebook.llm.common import give_back, materialise, text_bytes
 
 CAPACITY = 1024
 END = 2
@@ -160,6 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int32()), ("ids_crc32", pa.int64()))]
                 + [pa.array(out["ids"], pa.binary())] * with_ids, list(out)[:5 + with_ids])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -317,17 +317,6 @@ class Model(NamedTuple):
     intercept: float
 
 
-_PREPARED: list = []
-
-
-def prepared(model: Model) -> tuple[Model, Vectors, BlockMaxIndex]:
-    """The model with its index, which a worker process builds once, not for every task."""
-    if not _PREPARED or _PREPARED[0] is not model.weights:
-        _PREPARED[:] = [model.weights, Vectors(model.terms, model.by_term),
-                        BlockMaxIndex(model.weights)]
-    return model, *_PREPARED[1:]
-
-
 def sampled(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, toxic, part) of the sampled labelled rows, part 0 being examples and part
     1 for calibration; and (doc_id, toxic) of all that may be learnt from. A doc_id
@@ -362,6 +351,8 @@ def weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.binary()), pa.array([label] * len(counts), pa.int32()),
                  pa.array(list(counts.values()), pa.int64())], ["term", "toxic", "n"])
+        del held, counts
+        give_back()
 
     n1, n0 = (float(n or 0) for n in examples.agg(
         F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
@@ -418,10 +409,11 @@ def calibration_votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model, vectors, index = prepared(sent.value)
-        for batch in batches:
-            raw = votes(index.nearest(vectors.rows(text_bytes(batch))), model.toxic, model.share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw)],
+        model = sent.value
+        vectors, index = Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)
+        for rows, texts in slices(batches):
+            raw = votes(index.nearest(vectors.rows(texts)), model.toxic, model.share)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(raw)],
                                              ["doc_id", "toxic", "raw"])
 
     found = (rows.select("doc_id", "toxic", "text")
@@ -472,12 +464,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model, vectors, index = prepared(sent.value)
+        # The index is built anew for each task: kept, it would take memory from later stages.
+        model = sent.value
+        vectors, index = Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)
         for batch in batches:
-            texts = text_bytes(batch)
             scores, evidence = [], []
-            for at in range(0, len(texts), BATCH):
-                found = index.nearest(vectors.rows(texts[at:at + BATCH]))
+            for at in range(0, len(batch), BATCH):
+                found = index.nearest(vectors.rows(text_bytes(batch.slice(at, BATCH))))
                 raw = votes(found, model.toxic, model.share)
                 p = 1 / (1 + np.exp(-np.clip(model.slope * logit(raw) + model.intercept, -30, 30)))
                 scores += np.where(np.isnan(raw), model.empty, p).tolist()
@@ -487,6 +480,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                                       "toxic": int(model.toxic[e])}
                                      for c, e in zip(cosines, examples) if c > 0])
             yield [scores, [int(s >= 0.5) for s in scores], evidence]
+        del vectors, index
         give_back()
 
     fold = F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False))
