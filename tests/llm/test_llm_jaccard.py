@@ -92,3 +92,35 @@ def test_texts_of_one_template_are_not_paired(spark, monkeypatch):
     found = jaccard.near_duplicates(spark.createDataFrame(own, SCHEMA)).collect()
     assert {r.doc_id: r.component_id for r in found} == least_ids(own)
     assert sum(seen) < 4 * n
+
+
+def test_stage_asks_the_trees_and_checks_their_links(spark, monkeypatch):
+    """The trees' links are verified before the index looks for others; wrong ones fall, and
+    those that the trees miss are found."""
+    own = rows()
+    docs = spark.createDataFrame(own, SCHEMA)
+    want, real, pairs = sorted(set(least_ids(own).values())), simhash.links, jaccard.verified
+    seen = []
+
+    def counted(asked, *more):
+        found = pairs(asked, *more)
+        seen.append((asked.count(), found.count()))
+        return found
+
+    def kept():
+        return sorted(r.doc_id for r in corpus_pipeline.dedup_documents(
+            spark, docs, "").collect())
+
+    def chained(distinct, *more):
+        row = distinct.selectExpr("min(fingerprint) as b")
+        return distinct.crossJoin(row).selectExpr("fingerprint as a", "b")
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    given = []
+    monkeypatch.setattr(simhash, "links", lambda d, *more: given.append(d) or real(d, *more))
+    assert kept() == want
+    assert len(given) == 1 and len(seen) == 3 and seen[0][1] > 20
+    monkeypatch.setattr(simhash, "links", chained)
+    assert kept() == want
+    monkeypatch.setattr(simhash, "links", lambda d, *more: real(d, *more).limit(0))
+    assert kept() == want
