@@ -345,7 +345,8 @@ def resolution_state(spark, d, lines=None):
             .withColumn("dedup_hash", F.sha2(F.concat_ws(
                 "|", "user_id", "account_id", "posted_date", "raw_descriptor"), 256)))
     none = spark.createDataFrame
-    return resolve.State(txns, none([], schemas.MERCHANT), none([], schemas.MERCHANT_ALIAS),
+    # Resolution reads the charges several times; their names are scrubbed once.
+    return resolve.State(materialise(txns), none([], schemas.MERCHANT), none([], schemas.MERCHANT_ALIAS),
                          none([], schemas.RESOLUTION_QUEUE))
 
 
