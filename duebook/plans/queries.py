@@ -65,8 +65,8 @@ def attempt_log(spark, d):
                     "event_id", (F.col("event_id") % 7 == 0).alias("cleared"))
 
 
-def detected(spark, d):
-    txns = part_txns(spark, d)
+def detected(spark, d, txns=None):
+    txns = part_txns(spark, d) if txns is None else txns
     subs, changes = detect(txns)
     return txns, subs, changes, series.as_of_dates(txns)
 
@@ -614,7 +614,7 @@ SHOWN = {
 
 def named_reports(spark, d):
     """Every named report of every tenant, all rows."""
-    txns, subs, changes, as_of = detected(spark, d)
+    txns, subs, changes, as_of = detected(spark, d, materialise(part_txns(spark, d)))
     tables = {"raw_transaction": txns, "subscription": materialise(subs),
               "price_change": materialise(changes), "as_of": as_of,
               "merchant": txns.select("user_id", F.col("merchant").alias("canonical_name"))

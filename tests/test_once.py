@@ -41,3 +41,11 @@ def test_separator_is_what_the_sniffer_finds(monkeypatch):
         b = statements.dialect_of(text)
         assert (a.delimiter, a.quotechar, bool(a.doublequote), bool(a.skipinitialspace)) == (
             b.delimiter, b.quotechar, bool(b.doublequote), bool(b.skipinitialspace)), text
+
+
+def test_named_reports_scrub_each_line_once(spark, monkeypatch):
+    seen, real = [], queries.reports.call_for_all
+    monkeypatch.setattr(queries.reports, "call_for_all", lambda tables, *more: seen.append(
+        tables["raw_transaction"]) or real(tables, *more))
+    queries.named_reports(spark, SF_SMALL)
+    assert len(seen) == 6 and not any(worked_out(df) for df in seen)
