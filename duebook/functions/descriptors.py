@@ -66,7 +66,7 @@ _STATE = r"(?<=\S)\s+(?:" + "|".join(STATE_CODES) + ")$"
 
 
 def _ends_in_digit(c: Column) -> Column:
-    return F.substring(c, -1, 1).between("0", "9")
+    return functools.reduce(operator.or_, (c.endswith(d) for d in "0123456789"))
 
 
 def _any(c: Column, *texts: str) -> Column:
@@ -135,22 +135,30 @@ def _may_have_trailing(c: Column) -> Column:
 
 def peel_trailing(c: Column, plain: bool = False) -> Column:
     """Rounds over the trailing patterns until one changes nothing. Each round before
-    that takes two characters at least, which bounds their number."""
+    that takes two characters at least, a blank among them, which bounds their number. Of
+    plain text most takes one round: none is run only to see that nothing is left."""
     def again(acc: Column, _: Column) -> Column:
         done = F.struct(acc["text"].alias("text"), F.lit(True).alias("done"))
-        return F.when(acc["done"], acc).otherwise(let(
-            _trailing_round(acc["text"], plain),
-            lambda after: F.when(after == acc["text"], done).otherwise(
-                F.struct(after.alias("text"), F.lit(False).alias("done")))))
+
+        def judged(after: Column) -> Column:
+            left = _may_have_trailing(after) if plain else F.lit(True)
+            return F.when(after == acc["text"], done).otherwise(
+                F.struct(after.alias("text"), (~left).alias("done")))
+
+        return F.when(acc["done"], acc).otherwise(let(_trailing_round(acc["text"], plain), judged))
 
     def peeled(text: Column) -> Column:
         start = F.struct(text.alias("text"), F.lit(False).alias("done"))
-        rounds = F.sequence(F.lit(0), F.floor(F.length(text) / 2))
-        return F.aggregate(rounds, start, again)["text"]
+        most = (F.length(text) - F.length(F.translate(text, _BLANKS, "")) if plain
+                else F.floor(F.length(text) / 2).cast("int"))
+        return F.aggregate(F.sequence(F.lit(0), most), start, again)["text"]
 
     if not plain:
         return peeled(c)
-    return let(c, lambda v: F.when(_may_have_trailing(v), peeled(v)).otherwise(v))
+    return let(c, lambda v: F.when(_may_have_trailing(v), let(
+        _trailing_round(v, True), lambda after: F.when(
+            (after != v) & _may_have_trailing(after), peeled(after)).otherwise(after)))
+        .otherwise(v))
 
 
 def words_only(c: Column, plain: bool = False) -> Column:

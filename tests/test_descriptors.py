@@ -111,3 +111,31 @@ def test_money(spark):
         format_minor(F.lit(1234567), F.lit("KWD")),
         annualise(F.lit(1799), F.lit(30.44))).first()
     assert tuple(row) == (1549, 2, 1234, "1,234.56 USD", "-1,200 JPY", "1,234.567 KWD", 21586)
+
+
+def test_trailing_rounds_against_a_loop(spark):
+    """Plain text: as many rounds as there is junk, and none of them only to look."""
+    import re
+
+    from duebook.functions import descriptors as d
+
+    def loop(text):
+        while True:
+            before = text
+            for i, pattern in enumerate(d.TRAILING_JUNK):
+                text = re.sub(pattern.replace(d.WORD, "[A-Za-z0-9_]"), "", text)
+                text = text.strip(d._BLANKS) if i == 0 else text
+            if re.search(r"\S\s+(?:" + "|".join(d.STATE_CODES) + ")$", text):
+                text = re.sub(r"\s+(?:" + "|".join(d.STATE_CODES) + ")$", "", text)
+            if text == before:
+                return text
+
+    junk = [" 866-579-7172", " 12345678", " #A17", " 12/31", " USA", " CA", " XX12", " REF:9", "  NY"]
+    texts = ["X", "X Y", "MIDNIGHT CO", "A #", "X" + " US" * 40, "CA CA", " CA", "12/31 USA"]
+    texts += ["SHOP" + "".join(junk[k * i % len(junk)] for i in range(1, n))
+              for k in range(1, 9) for n in range(1, 14)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", d.peel_trailing(F.col("t"), True).alias("got"))
+    assert {r.t: r.got for r in rows.collect()} == {t: loop(t) for t in texts}
+    shown = rows._jdf.queryExecution().analyzed().toString()
+    assert "/ cast(2" not in shown and "translate(" in shown     # bounded by blanks
