@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import components, materialise, text_bytes, unused
+from duebook.llm.common import components, give_back, materialise, text_bytes, unused
 
 SHINGLE = 3
 BITS = 3
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
                 ["doc_id", "text_key", "fingerprint"])
+        give_back()
 
     source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return source.mapInArrow(run, "doc_id long, text_key long, fingerprint long")

@@ -81,7 +81,7 @@ class Sparse:
         return Sparse(at, self.term[pick], self.weight[pick], self.width)
 
     def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        return np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
 
 
 class Vectors:
@@ -157,8 +157,9 @@ class BlockMaxIndex:
         rows = Sparse.of(weights) if isinstance(weights, np.ndarray) else weights
         self.n = len(rows.at) - 1
         heaviest, top = np.full(self.n, -1), np.zeros(self.n)
-        by = np.lexsort((-rows.term, rows.weight))
-        heaviest[rows.row_of()[by]], top[rows.row_of()[by]] = rows.term[by], rows.weight[by]
+        by, row = np.lexsort((-rows.term, rows.weight)), rows.row_of()
+        heaviest[row[by]], top[row[by]] = rows.term[by], rows.weight[by]
+        del by
         self.order = np.lexsort((-top, heaviest))
         rows = rows.take(self.order)
         row = rows.row_of()
@@ -169,11 +170,14 @@ class BlockMaxIndex:
         self.dense = np.zeros((int(frequent.sum()), self.n))
         self.dense[self.column[rows.term[often]], row[often]] = rows.weight[often]
         row, term, weight = row[~often], rows.term[~often], rows.weight[~often]
-        self.rare = Sparse(np.searchsorted(row, np.arange(self.n + 1)), term, weight, rows.width)
-        self.asked = np.zeros(rows.width)
+        width = rows.width
+        del rows, often
+        self.rare = Sparse(np.searchsorted(row, np.arange(self.n + 1)), term, weight, width)
+        self.asked = np.zeros(width)
         by = np.argsort(term, kind="stable")
         row, term, weight = row[by], term[by], weight[by]
-        terms = np.arange(rows.width + 1)
+        del by
+        terms = np.arange(width + 1)
         self.lists = Sparse(np.searchsorted(term, terms), row, weight, self.n)
         # Of each term only the blocks that hold it: at most as many as examples do.
         block = row // BLOCK
@@ -181,7 +185,7 @@ class BlockMaxIndex:
         self.blocks = -(-self.n // BLOCK)
         term, block = term[new], block[new]
         weight = np.maximum.reduceat(weight, new) if len(new) else weight
-        held = np.bincount(term, minlength=rows.width)
+        held = np.bincount(term, minlength=width)
         many = held * SPARSE > self.blocks
         self.wide = np.where(many, np.cumsum(many) - 1, -1)
         often = many[term]
@@ -376,6 +380,8 @@ def inverse_frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
         for _, texts in slices(batches):
             n += len(texts)
             held += np.bincount(vectors.occurrences(texts)[1], minlength=len(terms))
+        del vectors
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))),
                                           pa.array(np.append(n, held))], ["term", "n"])
 
@@ -398,6 +404,8 @@ def vectors_of(examples: DataFrame, terms: list[bytes], by_term: np.ndarray) ->
                  pa.array([own.term[a:b].astype(np.int64).tobytes() for a, b in cuts], pa.binary()),
                  pa.array([own.weight[a:b].tobytes() for a, b in cuts], pa.binary())],
                 ["doc_id", "toxic", "term", "weight"])
+        del vectors
+        give_back()
 
     return (examples.select("doc_id", "toxic", "text")
             .mapInArrow(run, "doc_id long, toxic int, term binary, weight binary")
@@ -411,10 +419,13 @@ def calibration_votes(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
     def run(batches):
         model = sent.value
         vectors, index = Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)
+        give_back()         # what building took
         for rows, texts in slices(batches):
             raw = votes(index.nearest(vectors.rows(texts)), model.toxic, model.share)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(raw)],
                                              ["doc_id", "toxic", "raw"])
+        del vectors, index
+        give_back()
 
     found = (rows.select("doc_id", "toxic", "text")
              .mapInArrow(run, "doc_id long, toxic int, raw double").toArrow().sort_by("doc_id"))
@@ -437,7 +448,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     part = [np.frombuffer(x, own) for name, own in (("term", np.int64), ("weight", float))
             for x in [b"".join(rows[name].to_pylist())]]
     lengths = [len(x) // 8 for x in rows["term"].to_pylist()]
-    vectors = Sparse(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), *part, len(terms))
+    vectors = Sparse(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]),
+                     part[0].astype(np.int32), part[1], len(terms))
     example = np.flatnonzero(lengths)
     model = Model(terms, by_term, vectors.take(example), rows["toxic"].to_numpy()[example],
                   rows["doc_id"].to_numpy()[example], share, share, 1.0, 0.0)
@@ -467,6 +479,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         # The index is built anew for each task: kept, it would take memory from later stages.
         model = sent.value
         vectors, index = Vectors(model.terms, model.by_term), BlockMaxIndex(model.weights)
+        give_back()         # what building took
         for batch in batches:
             scores, evidence = [], []
             for at in range(0, len(batch), BATCH):
