@@ -58,7 +58,7 @@ def load_files(tables: dict[str, DataFrame], files: DataFrame, loaded_at: dt.dat
               else per_key_join(readable, known, label, ["source_file"]))
     fields = materialise(statements.split_files(opened) if root is None
                          else splits.read_fields(opened, root))
-    typed = statements.typed_lines(fields)
+    typed = materialise(statements.typed_lines(fields))
     facts = materialise(statements.file_facts(typed))
     accepted = facts.filter("reason is null").select(*FILE)
     accounts = materialise(upsert_accounts(

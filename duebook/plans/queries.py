@@ -203,7 +203,7 @@ def rejected_files(spark, d):
 
 
 def signed_statement_lines(spark, d):
-    typed = statements.typed_lines(materialise(statement_fields(spark, d)))
+    typed = materialise(statements.typed_lines(statement_fields(spark, d)))
     return statements.signed_lines(typed, statements.file_facts(typed))
 
 
@@ -595,7 +595,7 @@ def mixed_currency_series(spark, d):
 
 
 def load_report(spark, d):
-    typed = statements.typed_lines(materialise(statement_fields(spark, d)))
+    typed = materialise(statements.typed_lines(statement_fields(spark, d)))
     facts = materialise(statements.file_facts(typed))
     new = load.new_transactions(statements.signed_lines(typed, facts))
     _, outcomes = resolve.resolve(resolution_state(spark, d, views.event_lines))

@@ -49,3 +49,10 @@ def test_named_reports_scrub_each_line_once(spark, monkeypatch):
         tables["raw_transaction"]) or real(tables, *more))
     queries.named_reports(spark, SF_SMALL)
     assert len(seen) == 6 and not any(worked_out(df) for df in seen)
+
+
+def test_load_report_parses_each_line_once(spark, monkeypatch):
+    seen, real = [], statements.file_facts
+    monkeypatch.setattr(statements, "file_facts", lambda typed: seen.append(typed) or real(typed))
+    assert queries.load_report(spark, SF_SMALL).count()
+    assert len(seen) == 1 and not worked_out(seen[0])
