@@ -124,3 +124,14 @@ def test_stage_asks_the_trees_and_checks_their_links(spark, monkeypatch):
     assert kept() == want
     monkeypatch.setattr(simhash, "links", lambda d, *more: real(d, *more).limit(0))
     assert kept() == want
+
+
+def test_only_shingles_of_several_sets_are_written(spark, monkeypatch):
+    written, real = [], jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df: written.append(real(df)) or written[-1])
+    jaccard.near_duplicates(spark.createDataFrame(rows(), SCHEMA))
+    index = [df for df in written if {"shingle", "set_key"} <= set(df.columns)]
+    assert index
+    for df in index[:1]:
+        sets = df.selectExpr("shingle", "set_key").distinct().groupBy("shingle").count()
+        assert sets.count() and sets.filter("count < 2").isEmpty()
