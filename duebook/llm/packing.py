@@ -28,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import give_back, materialise, text_bytes
+from duebook.llm.common import materialise
+from duebook.llm.words import slices
 
 CAPACITY = 1024
 END = 2
 SLACK = 16
 FAN_IN = 8
-TABLE = 600_000         # pre-tokens a worker remembers
-CHUNK = 2 ** 21         # bytes of text cut into pre-tokens at once
+TABLE = 200_000         # pre-tokens a worker remembers beyond those in use
+CHUNK = 2 ** 20         # bytes of text cut into pre-tokens at once
 
 #: Letters of the plain range, all of category L.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -70,8 +71,6 @@ class Encoder:
     def learn(self, wanted: set[str]) -> None:
         """Encode pre-tokens. They hold no zero byte, so that byte divides them while all are
         put into the vocabulary's letters at once."""
-        if len(self.table) + len(wanted) > TABLE:
-            self.table.clear()
         words = list(wanted)
         laid = np.frombuffer("\0".join(words).encode(), dtype=np.uint8)
         printed = LETTERS[laid].tobytes().decode("utf-16-le").split(chr(LETTERS[0]))
@@ -85,8 +84,8 @@ class Encoder:
         """The ids of texts given as pre-tokens; new ones are learnt together."""
         words = set().union(*texts)
         wanted = words.difference(self.table)
-        if len(self.table) + len(wanted) > TABLE:
-            wanted = words          # the table is cleared for them
+        if len(self.table) + len(wanted) > TABLE:       # only those in use stay
+            self.table = {w: self.table[w] for w in words.difference(wanted)}
         if wanted:
             self.learn(wanted)
         return [b"".join(map(self.table.__getitem__, words)) for words in texts]
@@ -142,9 +141,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def run(batches):
         stop = np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch, texts in slices(batches):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            texts = [t.decode() for t in text_bytes(batch)]
+            texts = [t.decode() for t in texts]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(texts)):
                 ids += stop
                 n = len(ids) // 4
@@ -160,7 +159,6 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int32()), ("ids_crc32", pa.int64()))]
                 + [pa.array(out["ids"], pa.binary())] * with_ids, list(out)[:5 + with_ids])
-        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

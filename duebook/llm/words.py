@@ -34,6 +34,7 @@ def slices(batches, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[b
             yield batch.slice(at, to - at), [
                 b"" if x is None else x for x in column.slice(at, to - at).to_pylist()]
             at = to
+    Powers.up = Powers.down = Powers.up[:1].copy()      # a later stage may have no use for them
     give_back()
 
 

@@ -368,3 +368,17 @@ def test_entry_without_the_subpackage():
             "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())")
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert out.stdout.split()[-1] == "False", out.stderr[-500:]
+
+
+def test_encoder_keeps_what_is_in_use(monkeypatch):
+    """A full table loses what the texts at hand do not use, and nothing else is learnt anew."""
+    monkeypatch.setattr(packing, "TABLE", 40)
+    one, learnt = packing.Encoder(packing.default_tokenizer()), []
+    learn = packing.Encoder.learn
+    monkeypatch.setattr(packing.Encoder, "learn",
+                        lambda self, wanted: (learnt.extend(wanted), learn(self, wanted)))
+    for k in range(30):
+        text = " the same words of" + "".join(f" n{k}x{i}" for i in "abcde")
+        got, = one.encode([text])
+        assert got == one.whole(text) and len(one.table) <= 40
+    assert all(learnt.count(w) == 1 for w in (" the", " same", " words", " of"))
