@@ -57,7 +57,7 @@ TOKENS = 2 ** 18        # words handled at once
 SPELLED = 20_000        # words spelled at once while counting
 PRIOR = 0.4             # added to both counts of a context
 SEGMENT = 256           # words that are mixed in one run
-LANES = 512             # segments that are stepped through together
+STEPPED = 2 ** 17       # words whose segments are stepped through together
 GATES = 4               # of the tree, and of the spelling
 TREE_START, SPELL_START = (0.25, 0.75, 0.05), (0.15, 0.45, 0.45)
 RATE, FAST, STEP = 0.02, 0.1, 0.02      # FAST falls with the words seen
@@ -192,13 +192,17 @@ class Tokens(NamedTuple):
     rare: list[bytes]           # the words numbered 0
     rare_at: np.ndarray
     cuts: np.ndarray            # of the texts
+    sizes: np.ndarray           # bytes of the texts' words, each with its blank or end
 
 
 def tokens_of(texts: list[bytes], numbers: dict[bytes, int], known: Known) -> Tokens:
     words: list[bytes] = []
     cuts = [0]
+    sizes = []
     for text in texts:
-        words += text.lower().split()
+        own = text.lower().split()
+        sizes.append(sum(map(len, own)) + len(own) + 1)
+        words += own
         words.append(b"")
         cuts.append(len(words))
     number = np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
@@ -216,7 +220,7 @@ def tokens_of(texts: list[bytes], numbers: dict[bytes, int], known: Known) -> To
     value[rare_at] = [zlib.crc32(w) | 1 << 32 for w in rare]
     before = np.where(here > first, np.concatenate([value[:1], value[:-1]]), np.uint64(1 << 40))
     return Tokens(number, spread(kind.astype(np.uint64)), spread(before ^ np.uint64(1 << 41)), rare,
-                  rare_at, cuts)
+                  rare_at, cuts, np.array(sizes, dtype=np.int64))
 
 
 class Steps(NamedTuple):
@@ -377,6 +381,17 @@ def spelling_odds(counts: DataFrame, rows: int, paths: Paths) -> np.ndarray:
     return out
 
 
+def count_into(table: np.ndarray, number: np.ndarray, context: np.ndarray, paths: Paths) -> None:
+    """Add the words' decisions to a table; equal words in equal contexts are added together."""
+    pairs, times = np.unique(number << 32 | context, return_counts=True)
+    number = pairs >> 32
+    owner, at = ranges(paths.start[number], paths.length[number])
+    slot = hashed((pairs & 0xFFFFFFFF).astype(np.uint32)[owner], paths.node[at], WORD_BITS)
+    slot *= 2
+    slot += paths.bit[at]
+    np.add.at(table, slot, times.astype(np.float32)[owner])
+
+
 def context_odds(train: DataFrame, known: Known) -> np.ndarray:
     """The words' tables, from a pass over the training texts."""
     sent = train.sparkSession.sparkContext.broadcast(known)
@@ -393,10 +408,8 @@ def context_odds(train: DataFrame, known: Known) -> np.ndarray:
                 t = tokens_of(texts, numbers, known)
                 for at in range(0, len(t.number), TOKENS):
                     own = slice(at, at + TOKENS)
-                    found = word_steps(t.number[own], t.kind[own], t.before[own], known.paths)
-                    once = np.ones(len(found.bit), dtype=np.float32)
-                    for k, table in enumerate(fresh):
-                        np.add.at(table, found.slot(k) * 2 + found.bit, once)
+                    for table, context in zip(fresh, (t.kind[own], t.before[own])):
+                        count_into(table, t.number[own], context, known.paths)
                     held += TOKENS
                     if held > 2 ** 23:
                         tables += fresh
@@ -453,12 +466,17 @@ def mixed(odds: list[np.ndarray], bit: np.ndarray, cells: np.ndarray, bounds: np
         mix = o[0] * weights[0][g]
         mix += o[1] * weights[1][g]
         mix += o[2] * weights[2][g]
+        wrong = mix + np.float32(ROUNDS / 2)
+        np.maximum(wrong, 0, out=wrong)
+        np.minimum(wrong, ROUNDS - 1, out=wrong)
         spot = g * ROUNDS
-        spot += np.clip(mix + ROUNDS / 2, 0, ROUNDS - 1).astype(np.int64)
+        spot += wrong.astype(np.int64)
         mix += shift[spot]
         mix *= s
-        np.clip(mix, -LIMIT, LIMIT, out=mix)
-        wrong = np.exp(-mix)
+        np.maximum(mix, -LIMIT, out=mix)
+        np.minimum(mix, LIMIT, out=mix)
+        np.negative(mix, out=mix)
+        np.exp(mix, out=wrong)
         np.log1p(wrong, out=cost[a:b])
         wrong /= 1 + wrong
         wrong *= s
@@ -512,8 +530,12 @@ def text_logs(t: Tokens, model: Model) -> np.ndarray:
     owner, number = ranges(np.zeros(len(size), dtype=np.int64), pieces)
     start = t.cuts[:-1][owner] + number * SEGMENT
     stop = np.minimum(start + SEGMENT, t.cuts[1:][owner])
-    logs = np.concatenate([mixed_logs(t, start[at:at + LANES], stop[at:at + LANES], model)
-                           for at in range(0, len(start), LANES)])
+    # Segments of about one length go together, so that few lanes end before the others.
+    order = np.argsort(start - stop, kind="stable")
+    group = np.cumsum((stop - start)[order]) // STEPPED
+    logs = np.empty(len(start))
+    for own in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+        logs[own] = mixed_logs(t, start[own], stop[own], model)
     return np.bincount(owner, logs, len(size))
 
 
@@ -560,8 +582,7 @@ def score(docs: DataFrame) -> DataFrame:
                 rare_cuts = np.searchsorted(t.rare_at, t.cuts)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).slice(at, len(texts)) for i in range(3)],
-                     pa.array(size), pa.array([len(b" ".join(x.split())) + 2 if x.strip() else 1
-                                               for x in texts], pa.int64()),
+                     pa.array(size), pa.array(t.sizes),
                      pa.array(size - np.diff(rare_cuts)),
                      pa.array(np.bincount(owner, model.known.logs[t.number], len(size))),
                      pa.array(text_logs(t, model)),

@@ -155,6 +155,36 @@ def test_score_does_not_depend_on_company():
     assert np.allclose(both, alone, rtol=1e-4)
 
 
+def test_segments_of_about_one_length_are_stepped_together(monkeypatch):
+    rng = random.Random(9)
+    texts = [sentence(rng, rng.choice((2, 60, 300))).encode() for _ in range(200)]
+    model, groups = model_of(texts), []
+    t = scoring.tokens_of(texts, model.known.numbers(), model.known)
+    whole = scoring.text_logs(t, model)
+    mixed_logs = scoring.mixed_logs
+    monkeypatch.setattr(scoring, "STEPPED", 1000)
+    monkeypatch.setattr(scoring, "mixed_logs", lambda t, a, b, model: (
+        groups.append(b - a), mixed_logs(t, a, b, model))[1])
+    assert np.allclose(scoring.text_logs(t, model), whole, rtol=1e-4)
+    assert sum(g.sum() for g in groups) == len(t.number)
+    assert max(g.sum() for g in groups) <= 1000 + scoring.SEGMENT
+    assert all(a.min() >= b.max() for a, b in zip(groups, groups[1:]))
+
+
+def test_equal_words_are_counted_together():
+    rng = random.Random(10)
+    texts = [sentence(rng, 400).encode(), b"", " é  \xa0 x ".encode()]
+    model = model_of(texts)
+    t = scoring.tokens_of(texts, model.known.numbers(), model.known)
+    assert t.sizes.tolist() == [sum(len(w) + 1 for w in x.lower().split()) + 1 for x in texts]
+    for k, context in enumerate((t.kind, t.before)):
+        got, want = np.zeros((2, 2 << scoring.WORD_BITS), dtype=np.float32)
+        scoring.count_into(got, t.number, context, model.known.paths)
+        steps = scoring.word_steps(t.number, t.kind, t.before, model.known.paths)
+        np.add.at(want, steps.slot(k) * 2 + steps.bit, np.float32(1))
+        assert (got == want).all() and got.sum() == len(steps.bit)
+
+
 def test_scoring_nothing(spark):
     assert scoring.score(spark.createDataFrame([], SCHEMA)).count() == 0
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
