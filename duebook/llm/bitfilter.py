@@ -20,7 +20,10 @@ def slots(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def held(array: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
-    at = slots(hashes, bits)
+    return marked(array, slots(hashes, bits))
+
+
+def marked(array: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (array[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 

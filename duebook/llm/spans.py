@@ -14,11 +14,13 @@ that share an anchor are one fragment of a text. Fragments of equal anchor meet
 of that anchor, each distinct one once, in the order of first occurrence; the shard is at
 once the reference and what streams through it.
 
-Three passes over the texts keep what moves small. The first counts anchors into a bit array
-of fixed size: one that occurs once in the corpus cannot belong to a repeated window. The
-second gives a row of numbers for each remaining fragment, known by its anchor's hash and its
-own. Equal fragments need no automaton, as all but the first are repeated whole; nor does an
-anchor that has one distinct fragment. Only the words of the others are sent, by the third.
+Two passes over the texts keep what moves small. The first gives a row of numbers for each
+fragment, known by its anchor's hash and its own; all of them, so that what moves grows as the
+corpus does, however much of it is repeated. Equal fragments need no automaton, as all but the
+first are repeated whole; nor does an anchor that has one distinct fragment. Only the words of
+the others are sent, by the second, each from its first place. A text then needs to know which
+of its fragments are first ones: these come back to it by its id, and all its others are
+repeated.
 
 An anchor with more distinct fragments than a shard should hold (a line that many texts
 share, each time in other words) has them cut into single windows, which are compared by
@@ -44,7 +46,6 @@ from duebook.operators.skew import join_list, key_list
 WINDOW = 20
 ANCHOR = 8
 SHARD_FRAGMENTS = 4096
-KNOWN = 2 ** 17         # fragments a task remembers to have sent
 
 
 # -------------------------------------------------------- suffix automaton --
@@ -179,35 +180,17 @@ def windows_by_anchor(hashes: np.ndarray, ends: np.ndarray, window: int, anchor:
     return np.stack([text[start], start - begins, size, start]), runs[place[start]]
 
 
-def repeated_anchors(texts: DataFrame, window: int, anchor: int, bits: int) -> np.ndarray:
-    """Bits of the anchors that occur at two places or more."""
-    def run(batches):
-        for _, own in slices(batches):
-            texts = Texts(own)
-            _, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
-            slot, n = np.unique(bitfilter.slots(found, bits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
-
-    counted = texts.select("text").mapInArrow(run, "slot long, n long")
-    return bitfilter.collected(counted.groupBy("slot").agg(F.sum("n").alias("n"))
-                               .filter("n > 1"), bits)
-
-
 FRAGMENTS = "anchor long, print long, doc_id long, key long, start int, n int"
 WORDS = "anchor long, print long, text binary"
 
 
-def fragments(texts: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """A row for each fragment whose anchor may be repeated."""
-    sent = texts.sparkSession.sparkContext.broadcast(
-        repeated_anchors(texts, window, anchor, bits))
-
+def fragments(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """A row for each fragment."""
     def run(batches):
         for rows, own in slices(batches):
             texts = Texts(own)
-            places, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
-            kept = bitfilter.held(sent.value, found, bits)
-            (text, start, n, first), found = places[:, kept], found[kept]
+            (text, start, n, first), found = windows_by_anchor(
+                texts.hashes, texts.ends, window, anchor)
             prints = list(map(xxhash.xxh3_64_intdigest, texts.words(first, n + (window - 1))))
             ids = rows.select(["doc_id", "key"]).take(pa.array(text))
             yield pa.RecordBatch.from_arrays(
@@ -219,43 +202,54 @@ def fragments(texts: DataFrame, window: int, anchor: int, bits: int) -> DataFram
     return texts.mapInArrow(run, FRAGMENTS)
 
 
+def place_slots(rows: pa.RecordBatch, start: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of the places (doc_id, key, start); `rows` has the first two."""
+    doc_id, key = (rows.column(rows.schema.get_field_index(c)).cast(pa.int64()).fill_null(0)
+                   .to_numpy(zero_copy_only=False).view(np.uint64) for c in ("doc_id", "key"))
+    with np.errstate(over="ignore"):
+        mixed = ((doc_id * BASE ^ key) * BASE + start.astype(np.uint64)) * BASE
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return bitfilter.slots(mixed ^ (mixed >> np.uint64(32)), bits)
+
+
 def fragment_words(texts: DataFrame, wanted: DataFrame, window: int, anchor: int, bits: int
                    ) -> DataFrame:
-    """The words of the `wanted` fragments (anchor, print), and of some others; a task sends
-    them with the first of the equal ones it meets."""
-    slot = F.shiftrightunsigned("anchor", 64 - bits).alias("slot")
-    sent = texts.sparkSession.sparkContext.broadcast(
-        bitfilter.collected(wanted.select(slot), bits))
+    """The words of the `wanted` fragments (anchor, print, first), from their first places, and
+    of some others."""
+    def slots(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place_slots(
+                batch, batch.column(2).to_numpy(zero_copy_only=False), bits))], ["slot"])
+
+    sent = texts.sparkSession.sparkContext.broadcast(bitfilter.collected(
+        wanted.select("first.doc_id", "first.key", "first.start").mapInArrow(slots, "slot long"),
+        bits))
 
     def run(batches):
-        seen = set()
-        for _, own in slices(batches):
+        for rows, own in slices(batches):
             texts = Texts(own)
-            places, found = windows_by_anchor(texts.hashes, texts.ends, window, anchor)
-            kept = bitfilter.held(sent.value, found, bits)
-            out = ([], [], [])
-            owns = texts.words(places[3][kept], places[2][kept] + (window - 1))
-            for own, key in zip(owns, found[kept].view(np.int64).tolist()):
-                digest = xxhash.xxh3_64_intdigest(own)
-                if (key, digest) not in seen:
-                    seen.add((key, digest))
-                    for column, value in zip(out, (key, digest, own)):
-                        column.append(value)
-            if len(seen) > KNOWN:
-                seen.clear()
+            (text, start, n, first), found = windows_by_anchor(
+                texts.hashes, texts.ends, window, anchor)
+            kept = bitfilter.marked(sent.value, place_slots(
+                rows.select(["doc_id", "key"]).take(pa.array(text)), start, bits))
+            words = texts.words(first[kept], n[kept] + (window - 1))
+            prints = np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()),
-                 pa.array(np.array(out[1], dtype=np.uint64).view(np.int64)),
-                 pa.array(out[2], pa.binary())], ["anchor", "print", "text"])
+                [pa.array(found[kept].view(np.int64)), pa.array(prints.view(np.int64)),
+                 pa.array(words, pa.binary())], ["anchor", "print", "text"])
 
-    return texts.select("text").mapInArrow(run, WORDS)
+    return texts.mapInArrow(run, WORDS)
 
 
 # -------------------------------------------------------------------- masks --
+#: A mask stands at the first place of its fragment.
+MASKS = "_known boolean, _id long, _key long, start int, mask long"
+
+
 def shard_masks(wanted: DataFrame, words: DataFrame, window: int, shard_fragments: int
                 ) -> DataFrame:
-    """(anchor, print, mask) of the `wanted` fragments of which some window has an earlier
-    place, by the automaton of each anchor's shard. `words` may have a fragment repeatedly."""
+    """MASKS of the `wanted` fragments of which some window has an earlier place, by the
+    automaton of each anchor's shard. `words` may have a fragment repeatedly."""
     shards = max(1, -(-wanted.count() // shard_fragments))
     shard = F.pmod("anchor", F.lit(shards)).alias("shard")
 
@@ -266,14 +260,14 @@ def shard_masks(wanted: DataFrame, words: DataFrame, window: int, shard_fragment
         numbers: dict = {}
         sequences = [[numbers.setdefault(w, len(numbers)) for w in text.split(b" ")]
                      for text in pdf["text"]]
-        return pd.DataFrame({"anchor": pdf["anchor"], "print": pdf["print"],
-                             "mask": repeated(sequences, window)})
+        return pd.DataFrame({"_known": pdf["known"], "_id": pdf["doc_id"], "_key": pdf["key"],
+                             "start": pdf["start"], "mask": repeated(sequences, window)})
 
     places = wanted.select("anchor", "print", F.col("first.doc_id").isNotNull().alias("known"),
                            F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), "first.key",
                            "first.start")
     return (places.groupBy(shard).cogroup(words.groupBy(shard))
-            .applyInPandas(run, "anchor long, print long, mask long").filter("mask != 0"))
+            .applyInPandas(run, MASKS).filter("mask != 0"))
 
 
 def window_masks(distinct: DataFrame, window: int) -> DataFrame:
@@ -304,7 +298,9 @@ def window_masks(distinct: DataFrame, window: int) -> DataFrame:
         .withColumn("place", F.struct("doc_id", "key", (F.col("start") + F.col("at")).alias("p"))))
     first = rows.groupBy("wa", "wb").agg(F.min("place").alias("earliest"))
     return (rows.join(first, ["wa", "wb"]).filter("place != earliest")
-            .groupBy("anchor", "print").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")))
+            .groupBy("anchor", "print", *place(F.col("doc_id"), F.col("key")), "start")
+            .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+            .select(*[f.split()[0] for f in MASKS.split(", ")]))
 
 
 def places(rows: DataFrame) -> tuple[Column, Callable[[str], Column]]:
@@ -325,11 +321,10 @@ def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
                      shard_fragments: int) -> DataFrame:
     """(_known, _id, _key, _starts): for each text the (start, mask) of its fragments with
     windows that occur earlier."""
-    rows = materialise(fragments(texts, window, anchor, bits))
+    rows = materialise(fragments(texts, window, anchor))
     own = ["anchor", "print"]
     at, told_from = places(rows)
-    distinct = materialise(rows.groupBy(*own).agg(
-        F.min(at).alias("first"), F.count("*").alias("copies")))
+    distinct = materialise(rows.groupBy(*own).agg(F.min(at).alias("first")))
     mixed = materialise(distinct.groupBy("anchor").count().filter(F.col("count") > 1))
     wanted = materialise(join_list(distinct, mixed, ["anchor"], "left_semi").select(
         *own, told_from("first").alias("first")))
@@ -348,14 +343,18 @@ def repeated_windows(texts: DataFrame, window: int, anchor: int, bits: int,
             join_list(wanted, hot, ["anchor"], "left_semi").join(told, own), window))
     masks = materialise(masks)
     # Of equal fragments all but the first have every window earlier.
-    told = distinct.join(masks, own, "left").filter("copies > 1 or mask is not null")
-    both = (rows.select(*own, "n", at.alias("place")).join(told.drop("copies"), own)
-            .select(told_from("place").alias("at"), F.when(F.col("place") == F.col("first"), F.coalesce(
-                "mask", F.lit(0).cast("long"))).otherwise(F.expr("shiftleft(1L, n) - 1"))
-                .alias("mask")).filter("mask != 0").select("at.*", "mask"))
-    return (both.select(*place(F.col("doc_id"), F.col("key")), "start", "mask")
-            .groupBy("_known", "_id", "_key")
-            .agg(F.collect_set(F.struct("start", "mask")).alias("_starts")))
+    firsts = distinct.select(told_from("first").alias("at"))
+    key, none = ["_known", "_id", "_key"], F.lit(0).cast("long")
+    marks = (rows.select(*place(F.col("doc_id"), F.col("key")), "start",
+                         F.expr("shiftleft(1L, n) - 1").alias("all"),
+                         F.lit(None).cast("long").alias("mask"))
+             .unionByName(firsts.select(*place(F.col("at.doc_id"), F.col("at.key")), "at.start",
+                                        none.alias("all"), none.alias("mask")))
+             .unionByName(masks.select(*key, "start", none.alias("all"), "mask"))
+             .repartition(*key).groupBy(*key, "start")
+             .agg(F.max("all").alias("all"), F.bit_or("mask").alias("mask"))
+             .withColumn("mask", F.coalesce("mask", "all")).filter("mask != 0"))
+    return marks.groupBy(*key).agg(F.collect_list(F.struct("start", "mask")).alias("_starts"))
 
 
 # ------------------------------------------------------------------ removal --

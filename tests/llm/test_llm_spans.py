@@ -118,6 +118,22 @@ def test_windows_fall_into_fragments_once():
     assert (first - start == np.concatenate([[0], ends])[text]).all()
 
 
+def test_fragments_do_not_depend_on_repeats(spark):
+    """Each fragment has a row, and the words of equal ones are sent once, from the first."""
+    rng = random.Random(11)
+    draw = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    same = draw(60)
+    texts = spark.createDataFrame(
+        [(i, draw(60) if i % 2 else same, 0) for i in range(40)],
+        "doc_id long, text string, key long").repartition(8).cache()
+    rows = spans.fragments(texts, 20, 8)
+    assert rows.groupBy("doc_id").agg({"n": "sum"}).filter("`sum(n)` = 41").count() == 40
+    wanted = rows.filter("doc_id = 0").selectExpr(
+        "anchor", "print", "struct(doc_id, key, start) as first")
+    sent = spans.fragment_words(texts, wanted, 20, 8, 24)
+    assert sent.join(wanted, ["anchor", "print"]).count() == wanted.count()
+
+
 def test_bit_array_has_no_false_negatives(spark):
     rng = np.random.default_rng(8)
     hashes = rng.integers(0, 2 ** 64, 500, dtype=np.uint64)
