@@ -15,9 +15,17 @@ from duebook.operators.skew import materialise
 
 SPACE = b" \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 1_000_000
+BATCH_BYTES = 8 * 2 ** 20
+
+
+def bounded_batches(spark) -> None:
+    """Whole texts reach Python in batches of at most BATCH_BYTES or one row: of Spark's usual
+    batches, of 10,000 rows, each task holds tens of MB twice, in the JVM and in its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def read(spark, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 

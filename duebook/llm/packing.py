@@ -28,22 +28,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import materialise
+from duebook.llm.common import bounded_batches, give_back, materialise
 from duebook.llm.words import slices
 
 CAPACITY = 1024
 END = 2
 SLACK = 16
 FAN_IN = 8
-TABLE = 200_000         # pre-tokens a worker remembers beyond those in use
-CHUNK = 2 ** 20         # bytes of text cut into pre-tokens at once
+TABLE = 300_000         # pre-tokens a worker remembers, in two halves
+CHUNK = 2 ** 16         # bytes of text cut into pre-tokens at once
 
 #: Letters of the plain range, all of category L.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[\t-\r -~{LETTER}]*")
 #: The byte-level pre-tokenizer's published pattern, for texts of that range.
 PRETOKEN = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\t-\r {LETTER}0-9]+"
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?+[{LETTER}]++| ?+[0-9]++| ?+[^\t-\r {LETTER}0-9]++"
     "|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Byte-level vocabularies write a byte as a character: printable ones as themselves, the
 #: others in order from 256 on.
@@ -67,11 +67,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, wanted: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encode pre-tokens. They hold no zero byte, so that byte divides them while all are
         put into the vocabulary's letters at once."""
-        words = list(wanted)
         laid = np.frombuffer("\0".join(words).encode(), dtype=np.uint8)
         printed = LETTERS[laid].tobytes().decode("utf-16-le").split(chr(LETTERS[0]))
         tokenize = self.model.tokenize
@@ -82,13 +82,28 @@ class Encoder:
 
     def joined(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts given as pre-tokens; new ones are learnt together."""
-        words = set().union(*texts)
-        wanted = words.difference(self.table)
-        if len(self.table) + len(wanted) > TABLE:       # only those in use stay
-            self.table = {w: self.table[w] for w in words.difference(wanted)}
-        if wanted:
-            self.learn(wanted)
-        return [b"".join(map(self.table.__getitem__, words)) for words in texts]
+        if len(self.table) > TABLE // 2:        # those met again pass on to the next table
+            self.older, self.table = self.table, {}
+        table, older = self.table, self.older
+        found = [list(map(table.get, words)) for words in texts]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = []
+        for word in {words[i] for words, at in zip(texts, gaps) for i in at}:
+            if (ids := older.get(word)) is None:
+                new.append(word)
+            else:
+                table[word] = ids
+        if new:
+            self.learn(new)
+        for words, ids, at in zip(texts, found, gaps):
+            for i in at:
+                ids[i] = table[words[i]]
+        return list(map(b"".join, found))
+
+    def forget(self) -> None:
+        """Pre-tokens are learnt anew for each task: kept, they take memory from later stages."""
+        self.table, self.older = {}, {}
+        give_back()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
@@ -159,7 +174,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int32()), ("ids_crc32", pa.int64()))]
                 + [pa.array(out["ids"], pa.binary())] * with_ids, list(out)[:5 + with_ids])
+        encoder(path).forget()
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

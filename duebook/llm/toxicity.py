@@ -40,6 +40,7 @@ NEAREST = 15
 BLOCK = 32              # examples of a block
 SPARSE = 8              # terms in more than a block of so many have dense maxima
 BEGINNINGS = (4, 5)     # bytes of longer words that are terms too
+TERMS = 2 ** 15         # terms hashed together
 BATCH = 256             # documents that are scored together,
 TOGETHER = 2 ** 17      # fewer if they have more terms
 SOFT = 0.05             # added to distances, so that equal texts have finite weight
@@ -90,16 +91,23 @@ class Vectors:
 
     def __init__(self, terms: list[bytes], weights: np.ndarray):
         self.weights = weights
-        own = Texts([b" ".join(terms)], FOLD)
-        number, _, second = own.distinct()
-        self.order = np.argsort(own.hashes, kind="stable")
-        self.hashes, self.second = own.hashes[self.order], second[number][self.order]
+        hashes, second, short = [], [], {length: [] for length in BEGINNINGS}
+        for at in range(0, max(1, len(terms)), TERMS):
+            own = Texts([b" ".join(terms[at:at + TERMS])], FOLD)
+            number, _, again = own.distinct()
+            hashes.append(own.hashes)
+            second.append(again[number])
+            for length in BEGINNINGS:
+                some = np.flatnonzero(own.stops - own.starts == length)
+                short[length].append((own.beginnings(some, length), at + some))
+        hashes, second = np.concatenate(hashes), np.concatenate(second)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.second = hashes[self.order], second[self.order]
         same = np.flatnonzero(np.diff(self.hashes, prepend=self.hashes[:1] + np.uint64(1)))
         self.most = int(np.diff(same, append=len(self.hashes)).max(initial=0))
         self.short = {}
-        for length in BEGINNINGS:
-            some = np.flatnonzero(own.stops - own.starts == length)
-            value = own.beginnings(some, length)
+        for length, parts in short.items():
+            value, some = (np.concatenate(x) for x in zip(*parts))
             by = np.argsort(value)
             self.short[length] = value[by], some[by]
 
