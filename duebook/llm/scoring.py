@@ -477,12 +477,14 @@ def mixed(odds: list[np.ndarray], bit: np.ndarray, cells: np.ndarray, bounds: np
         np.minimum(mix, LIMIT, out=mix)
         np.negative(mix, out=mix)
         np.exp(mix, out=wrong)
-        np.log1p(wrong, out=cost[a:b])
-        wrong /= 1 + wrong
+        odd = cost[a:b]
+        np.add(wrong, 1, out=odd)
+        wrong /= odd
         wrong *= s
         for weight, x in zip(weights, o):
             weight += (rate * np.bincount(g, wrong * x, n * GATES)).astype(np.float32)
         np.add.at(shift, spot, STEP * wrong)
+    np.log(cost, out=cost)
     return np.bincount(cells, cost, n * GATES).astype(np.float64).reshape(n, GATES).sum(1)
 
 
