@@ -106,11 +106,21 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
+def starred(pairs: DataFrame) -> bool:
+    """Whether in pairs (a, b) no node has two b, and no b is an a."""
+    ends = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ).alias("e")).select("e.*")
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return odd.filter("up > 1 or up = 1 and down = 1").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b), root being the component's least
     node. Large-star and small-star rounds (Kiveris et al., 2014): each is a grouped
-    minimum and a join, written once, until nothing changes. No neighbour list is
-    gathered anywhere."""
+    minimum and a join, written once, until all are stars; edges that are stars already,
+    as those of an earlier result, take none. No neighbour list is gathered anywhere."""
     def stars(pairs):
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -124,17 +134,9 @@ def components(edges: DataFrame) -> DataFrame:
                                           )).alias("e"))
                 .select("e.a", "e.b").filter("a != b").distinct())
 
-    def mark(df):
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
     pairs = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .filter("a != b").distinct())
-    before = mark(pairs)
-    while before[0]:
+    while not starred(pairs):
         pairs = materialise(stars(pairs))
-        after = mark(pairs)
-        if after == before:
-            break
-        before = after
     return (pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
             .union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

@@ -461,6 +461,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     example = np.flatnonzero(lengths)
     model = Model(terms, by_term, vectors.take(example), rows["toxic"].to_numpy()[example],
                   rows["doc_id"].to_numpy()[example], share, share, 1.0, 0.0)
+    del rows, part, vectors
     raw, truth = calibration_votes(sample.filter("part = 1"), model)
     if not 0 < truth.sum() < len(truth):
         return model
@@ -482,6 +483,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the share of toxic labels among such texts."""
     model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    del model
+    give_back()             # the driver, too, has later stages to run
 
     def run(batches):
         # The index is built anew for each task: kept, it would take memory from later stages.

@@ -1,9 +1,12 @@
-"""What Python workers hold: batches of bounded size, and nothing that outlives a task."""
+"""What Python workers hold: batches of bounded size, and nothing that outlives a task; what
+the driver holds and plans."""
+
+import gc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from duebook.llm import packing, toxicity
+from duebook.llm import common, packing, toxicity
 
 
 def test_texts_come_in_batches_of_bounded_size(spark):
@@ -55,3 +58,39 @@ def test_terms_hashed_in_slices_are_found_alike(monkeypatch):
     monkeypatch.setattr(toxicity, "TERMS", 37)
     many = toxicity.Vectors(terms, toxicity.np.array(weights)).occurrences(texts)
     assert all((a == b).all() for a, b in zip(one, many))
+
+
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    written, real = [], common.materialise
+
+    def counted(df):
+        written.append(real(df))
+        return written[-1]
+
+    monkeypatch.setattr(common, "materialise", counted)
+
+    def found(edges):
+        written.clear()
+        rows = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        return {r["node"]: r["root"] for r in rows}
+
+    stars = [(i, i % 7) for i in range(7, 200)] + [(3, 3)]
+    assert found(stars) == {**{i: i % 7 for i in range(200)}}
+    assert len(written) == 1
+    assert found([*stars, (150, 151)]) == {i: 3 if i % 7 in (3, 4) else i % 7 for i in range(200)}
+    assert len(written) <= 3
+
+
+def test_the_driver_gives_back_the_model_once_it_is_sent(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(
+        " ", F.lit("some"), F.when(F.col("id") % 2 == 0, "bad").otherwise("good")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    held = []
+
+    def noted():
+        gc.collect()
+        held.append(sum(isinstance(x, toxicity.Model) for x in gc.get_objects()))
+
+    monkeypatch.setattr(toxicity, "give_back", noted)
+    toxicity.score(docs, labels)
+    assert held and held[-1] == 0
