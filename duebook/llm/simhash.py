@@ -7,8 +7,8 @@ By the triangle inequality a fingerprint inside can only be linked to one outsid
 it lies within the link distance of the border, so only those cross over, as guests
 that are compared with a shard's members but belong to another shard. Within a shard a
 tree over its own members does the same, down to leaves that are compared whole. A
-shard answers with links from each fingerprint to the least one of its group there,
-never with all pairs, and the groups are joined by ``common.components``.
+shard answers with linked pairs that suffice to join its groups, fewer than it has
+fingerprints, never with all pairs, and the groups are joined by ``common.components``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm.common import components, give_back, materialise, text_bytes, unused
@@ -135,8 +135,10 @@ def dealt(tree: list[tuple], points: np.ndarray, own: np.ndarray, guests: np.nda
             [guests[guest_far > radius - bits], own[near & (far > radius - bits)]])))
 
 
-def unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """`label` (each index's least known companion) after joining left to right."""
+def unite(label: np.ndarray, left: np.ndarray, right: np.ndarray,
+          joins: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """`label` (each index's least known companion) after joining left to right. `joins`
+    gets the pairs that did it, one for each group that goes into another."""
     while True:
         a, b = label[left], label[right]
         apart = a != b
@@ -144,7 +146,11 @@ def unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
         left, right = left[apart], right[apart]
         a, b = a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(label, high, low)
+        taken = np.flatnonzero(label[high] == low)
+        taken = taken[np.unique(high[taken], return_index=True)[1]]
+        joins.append((left[taken], right[taken]))
         while True:
             jumped = label[label]
             if (jumped == label).all():
@@ -152,9 +158,11 @@ def unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def groups(members: np.ndarray, guests: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """For members and then guests, the index of the first one of its linked group.
-    Links between two guests are not looked for."""
+def joining(members: np.ndarray, guests: np.ndarray,
+            bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs among members and then guests, by index, whose groups are those of all
+    links. Links between two guests are not looked for."""
+    joins = [(np.arange(0), np.arange(0))]
     points = np.concatenate([members, guests])
     label = np.arange(len(points))
     tree = grow(members, math.ceil(len(members) / LEAF), bits)
@@ -169,13 +177,14 @@ def groups(members: np.ndarray, guests: np.ndarray, bits: int = BITS) -> np.ndar
                     points[part][:, None] ^ points[block][None, :]) <= bits)
                 other = part[i] != block[j]
                 if other.any():
-                    label = unite(label, part[i][other], block[j][other])
-    return label
+                    label = unite(label, part[i][other], block[j][other], joins)
+    left, right = (np.concatenate(side) for side in zip(*joins))
+    return left, right
 
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose groups are those of all pairs that differ in
-    at most `bits` bits. `distinct` has each fingerprint once, written."""
+    """Pairs (a, b) of fingerprints that differ in at most `bits` bits, whose groups are
+    those of all such pairs. `distinct` has each fingerprint once, written."""
     n = distinct.count()
     shards = max(1, min(math.ceil(n / SHARD), SAMPLE // PER_SHARD))
     tree: list[tuple] = []
@@ -199,55 +208,59 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         points = pdf["fingerprint"].to_numpy().view(np.uint64)
         guest = pdf["guest"].to_numpy()
         points = np.concatenate([points[~guest], points[guest]])
-        label = groups(points[:len(points) - guest.sum()], points[len(points) - guest.sum():],
+        a, b = joining(points[:len(points) - guest.sum()], points[len(points) - guest.sum():],
                        bits)
-        moved = np.flatnonzero(label != np.arange(len(points)))
-        return pd.DataFrame({"a": points[moved].view(np.int64),
-                             "b": points[label[moved]].view(np.int64)})
+        return pd.DataFrame({"a": points[a].view(np.int64), "b": points[b].view(np.int64)})
 
     return (distinct.select("fingerprint")
             .mapInPandas(route, "shard int, guest boolean, fingerprint long")
             .groupBy("shard").applyInPandas(answer, "a long, b long"))
 
 
+def first_row() -> Column:
+    """Of a group's rows the one that stays: by doc_id, those without one last, and text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, text_key, fingerprint (16 hex digits) and component_id of every row of
     `docs`: the least doc_id that can be reached over fingerprints differing in at most
     `bits` bits. A null or blank text has fingerprint 0 and is linked like any other;
     rows without doc_id get the least id of their component, null if it has none. Equal
-    rows each give a row. `text_key` is a hash of the text, to find rows again."""
+    rows each give a row. `text_key` is a hash of the text, to find rows again; `kept_key`
+    that of the row of its component that stays."""
     prints = materialise(fingerprints(docs, shingle))
-    distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    distinct = materialise(prints.groupBy("fingerprint").agg(first_row()))
     roots = components(links(distinct, bits)).withColumnRenamed("node", "fingerprint")
     roots = materialise(roots)
     least = (roots.join(distinct, "fingerprint").groupBy("root")
-             .agg(F.min("first").alias("component_id")))
+             .agg(F.min("first").alias("least")))
     named = (distinct.join(roots.join(least, "root"), "fingerprint", "left")
-             .select("fingerprint", F.coalesce("component_id", "first").alias("component_id")))
+             .select("fingerprint", F.coalesce("least", "first").alias("least")))
     return (prints.join(named, "fingerprint")
             .select("doc_id", "text_key",
                     F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-                    "component_id"))
+                    F.col("least.doc_id").alias("component_id"),
+                    F.col("least.text_key").alias("kept_key")))
 
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`docs` with only the least doc_id of each group in `found` (doc_id, text_key,
-    component_id; written); of rows that are equal in doc_id and text one. A row without
-    doc_id stays if its whole group has none."""
+    """`docs` with one row of each group in `found` (doc_id, text_key, component_id,
+    kept_key; written), that with the least doc_id. Of rows that share it, or of a group
+    without any, one stays too."""
     out_id, out_key, own_key = unused(docs, "_out_id", "_out_key", "_key")
-    out = found.filter("component_id is not null and not (doc_id <=> component_id)").select(
+    stays = "doc_id <=> component_id and text_key = kept_key"
+    out = found.filter(f"not ({stays})").select(
         F.col("doc_id").alias(out_id), F.col("text_key").alias(out_key)).distinct()
     key = F.xxhash64("text")
     rest = docs.join(out, docs["doc_id"].eqNullSafe(F.col(out_id))
                      & (key == F.col(out_key)), "left_anti")
-    repeated = found.groupBy("doc_id", "text_key").count().filter("count > 1 and doc_id is not null")
+    repeated = found.filter(stays).groupBy("doc_id", "text_key").count().filter("count > 1")
     if repeated.isEmpty():
         return rest
-    named = rest.filter("doc_id is not null").withColumn(own_key, key)
-    return (named.dropDuplicates(["doc_id", own_key]).drop(own_key)
-            .union(rest.filter("doc_id is null")))
+    return rest.withColumn(own_key, key).dropDuplicates(["doc_id", own_key]).drop(own_key)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """`docs` with only the least doc_id of each group of near-duplicates."""
+    """`docs` with one row of each group of near-duplicates, that with the least doc_id."""
     return keep_least(docs, materialise(near_duplicates(docs, shingle, bits)))
